@@ -53,7 +53,8 @@ def layers(
     layers_per_job: int = LAYERS_PER_JOB,
 ) -> DataFrame:
     """All layers; with `keep_kv` the keys and values stay as columns k0, v0, k1, ..."""
-    df = with_block(df, model.config)
+    if "_block" not in df.columns:
+        df = with_block(df, model.config)
     for layer in range(model.config.n_layers):
         df = attention(df, model, layer, None if cache is None else cache(layer))
         names = {"k": f"k{layer}", "v": f"v{layer}"}
@@ -66,6 +67,14 @@ def layers(
 
 
 def embedded(tokens: DataFrame, model: Model) -> DataFrame:
+    """Token rows with their embedding x, laid out for the layers.
+
+    The rows are partitioned by sequence while they are still small; all layers
+    keep that layout. The number of partitions is the session's, since the work
+    per row is far larger than its bytes suggest.
+    """
+    partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = with_block(tokens, model.config).repartition(partitions, "seq_id", "_block")
     return embed(tokens, model.rows("emb"), model.config.matrix_bytes("emb"))
 
 
