@@ -132,16 +132,17 @@ def repetition_penalty(
     left alone. With `at`, the position column of `logits`, each position looks
     back from itself; without it, every sequence looks back from its end.
     """
-    unprotected = tokens.where(F.col("token") > protected)
     if at is None:
-        ends = tokens.groupBy("seq_id").agg(F.max("pos").alias("_end"), F.count(F.lit(1)).alias("_n"))
-        recent = lookup_join(
-            unprotected, ends.drop("_n"), "seq_id", counts=ends.select("seq_id", "_n")
-        ).where(F.col("pos") >= F.col("_end") - window).select("seq_id", "token")
+        placed = with_group_value(tokens, "seq_id", _end=F.max("pos"))
+        recent = placed.where(
+            (F.col("pos") >= F.col("_end") - window) & (F.col("token") > protected)
+        ).select("seq_id", "token")
         keys = ["seq_id", "token"]
     else:
         reach = F.sequence(F.col("pos"), F.col("pos") + window)
-        recent = unprotected.select("seq_id", F.explode(reach).alias(at), "token")
+        recent = tokens.where(F.col("token") > protected).select(
+            "seq_id", F.explode(reach).alias(at), "token"
+        )
         keys = ["seq_id", at, "token"]
     seen = recent.distinct().withColumn("_seen", F.lit(True))
     value = F.col(val)

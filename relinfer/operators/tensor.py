@@ -150,9 +150,8 @@ def linear_join(
     keys = as_list(keys)
     salt = F.pmod(F.xxhash64(*keys), F.lit(JOIN_SALTS))
     long = df.select(*keys, salt.alias("_salt"), F.posexplode(x).alias(in_idx, "_x"))
-    copies = weights.select(
-        in_idx, "w", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).cast("bigint").alias("_salt")
-    )
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(JOIN_SALTS - 1).cast("bigint"))
+    copies = weights.select(in_idx, "w", F.explode(salts).alias("_salt"))
     products = long.join(copies, [in_idx, "_salt"]).select(
         *keys, "_x", F.posexplode("w").alias(index, "_w")
     )
