@@ -36,6 +36,11 @@ def _matrix(vectors: pa.ListArray) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def _once(kernel):
+    """Keep the optimizer from copying a call into a filter below it."""
+    return kernel.asNondeterministic()
+
+
 def matmul_kernel(weights):
     """UDF (x, size of x) -> W x for a broadcast matrix W of shape (out, in)."""
 
@@ -48,7 +53,7 @@ def matmul_kernel(weights):
         rows = _matrix(x)
         return _vectors(rows @ w.T if len(rows) else np.zeros((0, w.shape[0])), valid)
 
-    return matmul
+    return _once(matmul)
 
 
 def _attend_one(pos, q, kpos, k, v, n_kv, head_dim, scale, clamp, chunk=256):
@@ -100,4 +105,4 @@ def attention_kernel(n_kv_heads: int, head_dim: int, scale: float, clamp: float)
         rows = np.concatenate(results) if results else np.zeros((0, 0))
         return pa.ListArray.from_arrays(_offsets(np.diff(bounds)), _vectors(rows, flags))
 
-    return attend
+    return _once(attend)
