@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relinfer.config import INLINE_MATRIX_ELEMENTS, MAX_BROADCAST_BYTES
@@ -72,12 +72,42 @@ def vec_weighted_sum(
     return df.groupBy(*as_list(keys)).agg(F.array(*sums).alias(out))
 
 
-def _inline(matrix: np.ndarray):
-    return F.array(*[V.vec_lit(row) for row in matrix])
+class Matrix:
+    """A local matrix (out, in) that is sent to the executors once, however often used."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self._transposed = None
+        self._kernel = None
+        self._columns = {}
+
+    @property
+    def T(self) -> "Matrix":
+        if self._transposed is None:
+            self._transposed = Matrix(np.ascontiguousarray(self.values.T))
+        return self._transposed
+
+    def column(self, x: str, build) -> Column:
+        """The product with column `x` in array functions, built once."""
+        if x not in self._columns:
+            literal = F.array(*[V.vec_lit(row) for row in self.values])
+            self._columns[x] = build(literal)
+        return self._columns[x]
+
+    def kernel(self, df: DataFrame):
+        if self._kernel is None:
+            if self.values.nbytes > MAX_BROADCAST_BYTES:
+                raise ValueError("matrix exceeds the broadcast bound; use linear_join")
+            self._kernel = matmul_kernel(df.sparkSession.sparkContext.broadcast(self.values))
+        return self._kernel
+
+
+def as_matrix(matrix: Matrix | np.ndarray) -> Matrix:
+    return matrix if isinstance(matrix, Matrix) else Matrix(matrix)
 
 
 def linear(
-    df: DataFrame, matrix: np.ndarray, x: str, out: str = "y", engine: str = "auto"
+    df: DataFrame, matrix: Matrix | np.ndarray, x: str, out: str = "y", engine: str = "auto"
 ) -> DataFrame:
     """y_o = sum_i W[o,i] x_i for a matrix of shape (out, in); a narrow operation.
 
@@ -88,7 +118,7 @@ def linear(
 
 
 def linears(
-    df: DataFrame, matrices: dict[str, np.ndarray], x: str, engine: str = "auto"
+    df: DataFrame, matrices: dict[str, Matrix | np.ndarray], x: str, engine: str = "auto"
 ) -> DataFrame:
     """Several linear maps of the same vector in one pass."""
     return df.withColumns(
@@ -96,33 +126,36 @@ def linears(
     )
 
 
-def linear_column(df: DataFrame, matrix: np.ndarray, x: str, engine: str = "auto"):
+def linear_column(
+    df: DataFrame, matrix: Matrix | np.ndarray, x: str, engine: str = "auto"
+) -> Column:
+    matrix = as_matrix(matrix)
     if engine == "auto":
-        engine = "inline" if matrix.size <= INLINE_MATRIX_ELEMENTS else "arrow"
+        engine = "inline" if matrix.values.size <= INLINE_MATRIX_ELEMENTS else "arrow"
     if engine == "inline":
-        return F.when(
-            F.col(x).isNotNull(),
-            V.let(x, lambda xv: F.transform(_inline(matrix), lambda r: V.dot(r, xv))),
+        return matrix.column(
+            x,
+            lambda literal: F.when(
+                F.col(x).isNotNull(),
+                V.let(x, lambda xv: F.transform(literal, lambda r: V.dot(r, xv))),
+            ),
         )
     if engine != "arrow":
         raise ValueError("engine must be 'auto', 'inline' or 'arrow'")
-    if matrix.nbytes > MAX_BROADCAST_BYTES:
-        raise ValueError("matrix exceeds the broadcast bound; use linear_join")
     # Naming x twice also keeps the optimizer from moving the expression behind
     # x into the UDF call, where Spark cannot plan nested lambdas.
-    kernel = matmul_kernel(df.sparkSession.sparkContext.broadcast(matrix))
-    return kernel(F.col(x), F.size(F.col(x)))
+    return matrix.kernel(df)(F.col(x), F.size(F.col(x)))
 
 
 def linear_t(
-    df: DataFrame, matrix_t: np.ndarray, x: str, out: str = "y", engine: str = "auto"
+    df: DataFrame, matrix_t: Matrix | np.ndarray, x: str, out: str = "y", engine: str = "auto"
 ) -> DataFrame:
     """y = sum_i x_i W_t[i,:] for an input-major matrix of shape (in, out)."""
-    return linear(df, np.ascontiguousarray(matrix_t.T), x, out, engine)
+    return linear(df, as_matrix(matrix_t).T, x, out, engine)
 
 
 def linear_rows(
-    df: DataFrame, matrix: np.ndarray, x: str, index: str = "token", value: str = "val",
+    df: DataFrame, matrix: Matrix | np.ndarray, x: str, index: str = "token", value: str = "val",
     engine: str = "auto",
 ) -> DataFrame:
     """Linear map with one output row per output unit (language-model head)."""

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from relinfer.config import ModelConfig, SamplingParams
 from relinfer.functions import vector as V
-from relinfer.operators.layers import attend, embed, residual_add, rms_norm, rope, swiglu, with_block
+from relinfer.operators.layers import attend, embed, with_block
 from relinfer.operators.sampling import gumbel_vec, penalise_vec, survivors_vec
 from relinfer.operators.skew import with_group_value
 from relinfer.operators.tensor import linear_column, linear_join, linears, to_rows, transpose_matrix
@@ -21,31 +21,44 @@ from relinfer.sources.weights import Model
 LAYERS_PER_JOB = 4
 
 
+def _normed(df: DataFrame, model: Model, tensor: str, layer: int = 0) -> DataFrame:
+    def build():
+        return V.rms_norm_vec("x", V.vec_lit(model.matrix(tensor, layer)), model.config.rms_eps)
+
+    return df.withColumn("x_norm", model.column((tensor, layer), build))
+
+
 def attention(df: DataFrame, model: Model, layer: int, cache: DataFrame | None = None) -> DataFrame:
     """Attention sub-layer: norm, projections, rotary encoding, attention, residual.
 
     Rows (seq_id, pos, x, ...) get the new x and the keys and values k and v.
     """
     cfg = model.config
-    df = rms_norm(df, model.matrix("norm", layer), cfg.rms_eps)
+    df = _normed(df, model, "norm", layer)
     df = linears(df, {t: model.matrix(t, layer) for t in ("q", "k", "v")}, "x_norm").drop("x_norm")
-    for vec in ("q", "k"):
-        df = rope(df, vec, cfg.head_dim, cfg.rope_theta)
-    df = attend(df, cfg, cache)
-    df = df.withColumn("_d", linear_column(df, model.matrix("o", layer).T.copy(), "o"))
-    return residual_add(df, "x", "_d").drop("_d", "o")
+    turned = {
+        c: model.column(("rope", c), lambda: V.rope_vec(c, "pos", cfg.head_dim, cfg.rope_theta))
+        for c in ("q", "k")
+    }
+    df = attend(df.withColumns(turned), cfg, cache)
+    return _residual(df.withColumn("_d", linear_column(df, model.matrix("o", layer).T, "o")), model, "o")
 
 
 def ffn(df: DataFrame, model: Model, layer: int) -> DataFrame:
     """Feed-forward sub-layer: norm, gate and up, gated activation, down, residual."""
     cfg = model.config
-    df = rms_norm(df, model.matrix("ffn_norm", layer), cfg.rms_eps)
+    df = _normed(df, model, "ffn_norm", layer)
     df = linears(
         df, {"_g": model.matrix("gate", layer), "_u": model.matrix("up", layer)}, "x_norm"
     )
-    df = swiglu(df, "_g", "_u", "_h", cfg.exp_clamp).drop("x_norm", "_g", "_u")
-    df = df.withColumn("_d", linear_column(df, model.matrix("down", layer).T.copy(), "_h"))
-    return residual_add(df, "x", "_d").drop("_d", "_h")
+    gated = model.column(("swiglu",), lambda: V.swiglu_vec("_g", "_u", cfg.exp_clamp))
+    df = df.withColumn("_h", gated).drop("x_norm", "_g", "_u")
+    return _residual(df.withColumn("_d", linear_column(df, model.matrix("down", layer).T, "_h")), model, "_h")
+
+
+def _residual(df: DataFrame, model: Model, used: str) -> DataFrame:
+    added = model.column(("residual",), lambda: V.add_vec("x", "_d"))
+    return df.withColumn("x", added).drop("_d", used)
 
 
 def layers(
@@ -80,8 +93,7 @@ def embedded(tokens: DataFrame, model: Model) -> DataFrame:
 
 def logits_vec(df: DataFrame, model: Model, out: str = "logits") -> DataFrame:
     """Final norm and language-model head; x becomes a vector of logits."""
-    cfg = model.config
-    normed = rms_norm(df, model.matrix("out_norm"), cfg.rms_eps).drop("x")
+    normed = _normed(df, model, "out_norm").drop("x")
     if model.fits("out"):
         return normed.withColumn(
             out, linear_column(normed, model.matrix("out"), "x_norm")
@@ -208,13 +220,17 @@ def sample_next(
 ) -> DataFrame:
     """The next token of every frontier row; narrow."""
     cfg = model.config
-    scored = logits_vec(frontier, model)
-    survivors = survivors_vec(
-        penalise_vec("logits", "recent", params.rep_pen, cfg.protected_tokens), params, cfg.exp_clamp
+
+    def build():
+        penalised = penalise_vec("logits", "recent", params.rep_pen, cfg.protected_tokens)
+        return survivors_vec(penalised, params, cfg.exp_clamp)
+
+    survivors = model.column(("survivors", params), build)
+    chosen = model.column(("choice", seed), lambda: gumbel_vec("_survivors", seed, "seq_id", "pos"))
+    following = logits_vec(frontier, model).withColumns(
+        {"pos": F.col("pos") + 1, "_survivors": survivors}
     )
-    following = scored.withColumn("pos", F.col("pos") + 1).withColumn("_survivors", survivors)
-    chosen = following.withColumn("token", gumbel_vec("_survivors", seed, "seq_id", "pos"))
-    return chosen.drop("logits", "_survivors")
+    return following.withColumn("token", chosen).drop("logits", "_survivors")
 
 
 def _slide(recent: Column, token: Column, size: int) -> Column:

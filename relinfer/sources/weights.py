@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relinfer.config import MAX_BROADCAST_BYTES, ModelConfig
+from relinfer.operators.tensor import Matrix
 
 LAYER_TENSORS = ("norm", "q", "k", "v", "o", "ffn_norm", "gate", "up", "down")
 GLOBAL_TENSORS = ("emb", "out", "out_norm")
@@ -25,6 +26,7 @@ class Model:
     config: ModelConfig
     weights: DataFrame
     _cache: dict = field(default_factory=dict, repr=False)
+    _columns: dict = field(default_factory=dict, repr=False)
 
     def rows(self, tensor: str, layer: int = 0) -> DataFrame:
         """The row vectors (row, w) of one tensor."""
@@ -36,8 +38,11 @@ class Model:
         """Whether the tensor is below the broadcast bound, by its configured shape."""
         return self.config.matrix_bytes(tensor) <= MAX_BROADCAST_BYTES
 
-    def matrix(self, tensor: str, layer: int = 0) -> np.ndarray:
-        """One tensor as a local matrix, to be broadcast; only below the bound."""
+    def matrix(self, tensor: str, layer: int = 0) -> Matrix | np.ndarray:
+        """One tensor as a local matrix, to be broadcast; only below the bound.
+
+        Gains, which are single rows, come as plain vectors.
+        """
         key = (tensor, layer)
         if key not in self._cache:
             if not self.fits(tensor):
@@ -48,6 +53,16 @@ class Model:
             self._fetch(group, layer)
         return self._cache[key]
 
+    def column(self, key: tuple, build) -> Column:
+        """A column expression that layers and steps share, built once.
+
+        Describing an expression costs the driver more than planning it, and a
+        decode loop repeats the same ones for every step.
+        """
+        if key not in self._columns:
+            self._columns[key] = build()
+        return self._columns[key]
+
     def _layer_bytes(self) -> int:
         return sum(self.config.matrix_bytes(t) for t in LAYER_TENSORS)
 
@@ -66,7 +81,8 @@ class Model:
             if (len(own), flat.shape[1]) != shapes[tensor]:
                 raise ValueError(f"{tensor}, layer {layer}: expected shape {shapes[tensor]}")
             matrix = np.ascontiguousarray(flat[own[np.argsort(order[own])]])
-            self._cache[tensor, layer] = matrix[0] if shapes[tensor][0] == 1 else matrix
+            single = shapes[tensor][0] == 1
+            self._cache[tensor, layer] = matrix[0] if single else Matrix(matrix)
 
 
 def save_weights(weights: DataFrame, path: str) -> None:
