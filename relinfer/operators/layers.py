@@ -94,6 +94,11 @@ def _sequences(df: DataFrame, columns: Sequence[str], key: str = "seq_id") -> Da
     return df.groupBy(key, "_block").agg(F.collect_list(F.struct(*columns)).alias("_rows"))
 
 
+def _ordered(packed: DataFrame) -> DataFrame:
+    """The rows of each sequence by position."""
+    return packed.withColumn("_rows", F.array_sort("_rows"))
+
+
 def attn_scores(
     df: DataFrame, config: ModelConfig, key: str = "seq_id"
 ) -> DataFrame:
@@ -104,10 +109,9 @@ def attn_scores(
     outside the rotary table have none.
     """
     hd, group = config.head_dim, config.gqa_group
-    packed = _sequences(with_block(df, config).where("_block = 0"), ["pos", "q", "k"], key)
-    rows = F.array_sort("_rows", lambda a, b: (a.getField("pos") - b.getField("pos")).cast("int"))
-    packed = packed.select(key, rows.alias("_rows"))
-    queries = packed.select(key, F.explode(F.transform("_rows", lambda r: _scores_of(r, hd, group, config))).alias("_s"))
+    packed = _ordered(_sequences(with_block(df, config).where("_block = 0"), ["pos", "q", "k"], key))
+    scored = F.transform("_rows", lambda r: _scores_of(r, hd, group, config))
+    queries = packed.select(key, F.explode(scored).alias("_s"))
     return queries.select(
         key, F.col("_s.pos").alias("pos"), F.posexplode("_s.heads").alias("head", "_h")
     ).select(key, "pos", "head", F.col("_h.kpos").alias("kpos"), F.col("_h.val").alias("val"))
@@ -143,46 +147,39 @@ def attn_mix(
 ) -> DataFrame:
     """Mix values by attention weights: (key, pos, head, o).
 
-    `weights` is (key, pos, head, kpos[], weight[]) and `kv` has (key, pos, v)
-    with concatenated heads.
+    `weights` is (key, pos, head, weight[]), a weight for every position up to
+    its own as `attn_scores` orders them; `kv` has (key, pos, v) with
+    concatenated heads.
     """
     hd, group = config.head_dim, config.gqa_group
-    values = _sequences(with_block(kv, config).where("_block = 0"), ["pos", "v"], key).select(
-        key,
-        F.map_from_entries(
-            F.transform("_rows", lambda r: F.struct(r.getField("pos"), r.getField("v")))
-        ).alias("_v"),
-    )
-    queries = weights.groupBy(key).agg(
-        F.collect_list(F.struct("pos", "head", "kpos", F.col(weight).alias("w"))).alias("_q")
+    values = _ordered(_sequences(with_block(kv, config).where("_block = 0"), ["pos", "v"], key))
+    queries = weights.groupBy(key, "head").agg(
+        F.collect_list(F.struct("pos", F.col(weight).alias("w"))).alias("_q")
     )
 
     def mix(q):
-        first = F.floor(q.getField("head") / group).cast("int") * hd
-        seen = F.transform(q.getField("kpos"), lambda p: F.element_at("_v", p))
+        first = F.floor(F.col("head") / group).cast("int") * hd
+        seen = F.filter(F.col("_rows"), lambda r: r.getField("pos") <= q.getField("pos"))
         return V.let(
             seen,
             lambda sv: F.transform(
                 F.sequence(F.lit(0), F.lit(hd - 1)),
                 lambda d: F.aggregate(
-                    F.zip_with(q.getField("w"), sv, lambda p, v: p * F.get(v, first + d)),
+                    F.zip_with(
+                        q.getField("w"), sv, lambda p, r: p * F.get(r.getField("v"), first + d)
+                    ),
                     F.lit(0.0), lambda acc, t: acc + t,
                 ),
             ),
         )
 
-    mixed = queries.join(values, key).select(
-        key,
-        F.explode(
-            F.transform(
-                "_q",
-                lambda q: F.struct(
-                    q.getField("pos").alias("pos"), q.getField("head").alias("head"), mix(q).alias(out)
-                ),
-            )
-        ).alias("_m"),
+    def mixed_query(q):
+        return F.struct(q.getField("pos").alias("pos"), mix(q).alias(out))
+
+    mixed = queries.join(values.select(key, "_rows"), key).select(
+        key, "head", F.explode(F.transform("_q", mixed_query)).alias("_m")
     )
-    return mixed.select(key, "_m.*")
+    return mixed.select(key, "_m.pos", "head", f"_m.{out}")
 
 
 def attend(

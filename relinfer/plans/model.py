@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relinfer.config import ModelConfig, SamplingParams
+from relinfer.config import SamplingParams
 from relinfer.functions import vector as V
 from relinfer.operators.layers import attend, embed, with_block
 from relinfer.operators.sampling import gumbel_vec, penalise_vec, survivors_vec
@@ -61,34 +61,42 @@ def _residual(df: DataFrame, model: Model, used: str) -> DataFrame:
     return df.withColumn("x", added).drop("_d", used)
 
 
-def layers(
-    df: DataFrame, model: Model, cache=None, keep_kv: bool = False,
-    layers_per_job: int = LAYERS_PER_JOB,
-) -> DataFrame:
-    """All layers; with `keep_kv` the keys and values stay as columns k0, v0, k1, ..."""
+def _layer(df: DataFrame, model: Model, layer: int, cache: DataFrame | None = None) -> DataFrame:
+    return ffn(attention(df, model, layer, cache), model, layer)
+
+
+def _groups(model: Model, layers_per_job: int) -> list[range]:
+    n = model.config.n_layers
+    return [range(i, min(i + layers_per_job, n)) for i in range(0, n, layers_per_job)]
+
+
+def _by_sequence(df: DataFrame, model: Model) -> DataFrame:
+    """Partition rows by sequence, the layout that all layers keep.
+
+    The number of partitions is the session's, since the work per row is far
+    larger than its bytes suggest.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_block(df, model.config).repartition(partitions, "seq_id", "_block")
+
+
+def layers(df: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> DataFrame:
+    """All layers, without keeping keys and values."""
+    groups = _groups(model, layers_per_job)
     if "_block" not in df.columns:
-        df = with_block(df, model.config)
-    for layer in range(model.config.n_layers):
-        df = attention(df, model, layer, None if cache is None else cache(layer))
-        names = {"k": f"k{layer}", "v": f"v{layer}"}
-        df = df.withColumnsRenamed(names) if keep_kv else df.drop("k", "v")
-        df = ffn(df, model, layer)
-        done = layer + 1
-        if done % layers_per_job == 0 and done < model.config.n_layers:
+        df = _by_sequence(df, model)
+    for group in groups:
+        for layer in group:
+            df = _layer(df, model, layer).drop("k", "v")
+        if group is not groups[-1]:
             df = cut(df)
     return df.drop("_block")
 
 
 def embedded(tokens: DataFrame, model: Model) -> DataFrame:
-    """Token rows with their embedding x, laid out for the layers.
-
-    The rows are partitioned by sequence while they are still small; all layers
-    keep that layout. The number of partitions is the session's, since the work
-    per row is far larger than its bytes suggest.
-    """
-    partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = with_block(tokens, model.config).repartition(partitions, "seq_id", "_block")
-    return embed(tokens, model.rows("emb"), model.config.matrix_bytes("emb"))
+    """Token rows with their embedding x, partitioned while they are still small."""
+    rows = _by_sequence(tokens, model)
+    return embed(rows, model.rows("emb"), model.config.matrix_bytes("emb"))
 
 
 def logits_vec(df: DataFrame, model: Model, out: str = "logits") -> DataFrame:
@@ -107,78 +115,101 @@ def logits_vec(df: DataFrame, model: Model, out: str = "logits") -> DataFrame:
     return kept.drop("x_norm").join(vectors, ["seq_id", "pos"])
 
 
-def forward(
-    tokens: DataFrame, model: Model, cache=None, layers_per_job: int = LAYERS_PER_JOB
-) -> DataFrame:
+def forward(tokens: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> DataFrame:
     """Logit vector of every position: (seq_id, pos, token, logits)."""
-    x = layers(embedded(tokens, model), model, cache, layers_per_job=layers_per_job)
-    return logits_vec(x, model)
+    return logits_vec(layers(embedded(tokens, model), model, layers_per_job), model)
 
 
 # ------------------------------------------------------------------ state
 
 
+VECTOR = T.ArrayType(T.DoubleType())
+ROW = (
+    T.StructField("seq_id", T.LongType()), T.StructField("pos", T.LongType()),
+    T.StructField("token", T.IntegerType()), T.StructField("last", T.BooleanType()),
+    T.StructField("recent", T.ArrayType(T.IntegerType())), T.StructField("x", VECTOR),
+)
+
+
 @dataclass
 class State:
-    """Append-only state of a run: tokens, keys, values and last activations.
+    """Append-only state of a run: tokens, activations, keys and values.
 
-    The rows lie in tables in the shared folder, one per step, so a lost
-    executor costs nothing that was finished; reading a layer's keys and values
-    reads only their columns.
+    Layers are run in groups, and each group has its tables in the shared
+    folder, one per step: the rows that leave the group, with the keys and
+    values of its layers. A lost executor costs nothing that was finished, and
+    reading a layer's keys and values reads only their columns.
     """
 
     spark: SparkSession
-    config: ModelConfig
+    groups: list[range]
     root: str
-    segments: list[str] = field(default_factory=list)
+    segments: list[list[str]]
+    merged: int = 0
     written: int = 0
 
-    @property
-    def schema(self) -> T.StructType:
-        vector = T.ArrayType(T.DoubleType())
-        fields = [
-            T.StructField("seq_id", T.LongType()), T.StructField("pos", T.LongType()),
-            T.StructField("token", T.IntegerType()), T.StructField("last", T.BooleanType()),
-            T.StructField("recent", T.ArrayType(T.IntegerType())), T.StructField("x", vector),
-        ]
-        for layer in range(self.config.n_layers):
-            fields += [T.StructField(f"k{layer}", vector), T.StructField(f"v{layer}", vector)]
-        return T.StructType(fields)
-
-    def read(self, *segments: str) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*(segments or self.segments))
-
-    def append(self, rows: DataFrame) -> DataFrame:
-        """Write the rows of a step and return them as stored."""
-        path = f"{self.root}/step-{self.written:06d}"
+    def _schema(self, group: int) -> T.StructType:
+        kv = [T.StructField(f"{c}{n}", VECTOR) for n in self.groups[group] for c in "kv"]
+        return T.StructType([*ROW, *kv])
+
+    def read(self, group: int, *segments: str) -> DataFrame:
+        paths = segments or self.segments[group]
+        return self.spark.read.schema(self._schema(group)).parquet(*paths)
+
+    def append(self, group: int, rows: DataFrame) -> DataFrame:
+        """Write the rows of a step and return them as stored, without keys and values."""
+        path = f"{self.root}/group-{group:03d}/step-{self.written:06d}"
         self.written += 1
         rows.select(
-            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema(group).fields]
         ).write.parquet(path)
-        self.segments.append(path)
-        return self.read(path)
-
-    def compact(self, keep: int = 1) -> None:
-        """Merge all but the first `keep` tables and the newest into one."""
-        old = self.segments[keep:-1]
-        if len(old) > 1:
-            path = f"{self.root}/merged-{self.written:06d}"
-            self.read(*old).repartition("seq_id").write.parquet(path)
-            self.segments[keep:-1] = [path]
-
-    def cache(self, layer: int) -> DataFrame:
-        """Keys and values (seq_id, pos, k, v) of one layer."""
-        return self.read().select(
+        self.segments[group].append(path)
+        return self.read(group, path).select(*[f.name for f in ROW])
+
+    def compact(self) -> None:
+        """Merge the small tables of the steps since the last merge, but the newest."""
+        first = 1 + self.merged
+        for group, segments in enumerate(self.segments):
+            old = segments[first:-1]
+            if len(old) > 1:
+                path = f"{self.root}/group-{group:03d}/merged-{self.written:06d}"
+                self.read(group, *old).write.parquet(path)
+                segments[first:-1] = [path]
+        self.merged += 1
+
+    def cache(self, layer: int) -> DataFrame | None:
+        """Keys and values (seq_id, pos, k, v) of one layer; none before the first step."""
+        group = next(g for g, members in enumerate(self.groups) if layer in members)
+        if not self.segments[group]:
+            return None
+        return self.read(group).select(
             "seq_id", "pos", F.col(f"k{layer}").alias("k"), F.col(f"v{layer}").alias("v")
         )
 
     def tokens(self) -> DataFrame:
-        return self.read().select("seq_id", "pos", "token")
+        return self.read(len(self.groups) - 1).select("seq_id", "pos", "token")
 
 
-def init_state(spark: SparkSession, config: ModelConfig) -> State:
+def init_state(spark: SparkSession, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> State:
     """An empty state of its own for each run; nothing is deleted or reused."""
-    return State(spark, config, new_table_path(spark, "state"))
+    groups = _groups(model, layers_per_job)
+    return State(spark, groups, new_table_path(spark, "state"), [[] for _ in groups])
+
+
+def _stored_layers(df: DataFrame, model: Model, state: State) -> DataFrame:
+    """All layers over new rows (seq_id, pos, token, last, recent, x), into the state."""
+    for number, group in enumerate(state.groups):
+        if "_block" not in df.columns:
+            df = _by_sequence(df, model)
+        for layer in group:
+            df = _layer(df, model, layer, state.cache(layer)).withColumnsRenamed(
+                {"k": f"k{layer}", "v": f"v{layer}"}
+            )
+        if number == len(state.groups) - 1:
+            # Only the last position of a sequence is ever scored.
+            df = df.withColumn("x", F.when(F.col("last"), F.col("x")))
+        df = state.append(number, df)
+    return df
 
 
 def kv_append(cache: DataFrame, k: DataFrame, v: DataFrame) -> DataFrame:
@@ -187,32 +218,27 @@ def kv_append(cache: DataFrame, k: DataFrame, v: DataFrame) -> DataFrame:
     return cache.unionByName(k.join(v, keys).select(*cache.columns))
 
 
-def prefill(tokens: DataFrame, model: Model, state: State, layers_per_job: int = LAYERS_PER_JOB) -> DataFrame:
+def prefill(tokens: DataFrame, model: Model, state: State) -> DataFrame:
     """Forward pass over all prompt positions at once; fills the state.
 
     Returns the frontier (seq_id, pos, token, recent, x), the last position of
-    every sequence.
+    every sequence with the tokens its penalty looks back on.
     """
-    window = model.config.rep_window
+    near = F.col("pos") >= F.col("_end") - model.config.rep_window
     placed = with_group_value(
         tokens.select("seq_id", F.col("pos").cast("bigint").alias("pos"), "token"), "seq_id",
         _end=F.max("pos"),
     )
     marked = placed.select(
         "seq_id", "pos", "token", (F.col("pos") == F.col("_end")).alias("last"),
-        (F.col("pos") >= F.col("_end") - window).alias("_near"),
-    )
-    x = layers(embedded(marked, model), model, keep_kv=True, layers_per_job=layers_per_job)
-    near = F.when(F.col("_near"), F.array(F.col("token").cast("int")))
-    stored = state.append(
-        x.withColumns({"recent": near, "x": F.when(F.col("last"), F.col("x"))})
+        F.when(near, F.array(F.col("token").cast("int"))).alias("recent"),
     )
+    stored = _stored_layers(embedded(marked, model), model, state)
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.col("recent")[0].alias("token"))))
     recent = stored.where(F.col("recent").isNotNull()).groupBy("seq_id").agg(
         F.transform(ordered, lambda r: r.getField("token")).alias("recent")
     )
-    ends = stored.where("last").select("seq_id", "pos", "token", "x")
-    return ends.join(recent, "seq_id")
+    return stored.where("last").select("seq_id", "pos", "token", "x").join(recent, "seq_id")
 
 
 def sample_next(
@@ -241,7 +267,6 @@ def _slide(recent: Column, token: Column, size: int) -> Column:
 def decode_step(
     frontier: DataFrame, model: Model, params: SamplingParams, state: State, seed: int,
     max_pos: DataFrame | None = None, forced: DataFrame | None = None,
-    layers_per_job: int = LAYERS_PER_JOB,
 ) -> DataFrame:
     """One token for every live sequence: sample, embed, all layers, append to the state.
 
@@ -250,7 +275,8 @@ def decode_step(
     cfg = model.config
     live = frontier.where(~F.col("token").isin(*cfg.stop_tokens))
     if max_pos is not None:
-        live = live.join(max_pos.select("seq_id", "max_pos"), "seq_id").where("pos < max_pos").drop("max_pos")
+        limits = max_pos.select("seq_id", "max_pos")
+        live = live.join(limits, "seq_id").where("pos < max_pos").drop("max_pos")
     new = sample_next(live, model, params, seed)
     if forced is not None:
         given = forced.select("seq_id", "pos", F.col("token").cast("int").alias("_forced"))
@@ -263,27 +289,27 @@ def decode_step(
             "last": F.lit(True),
         }
     )
-    x = layers(embedded(new, model), model, state.cache, keep_kv=True, layers_per_job=layers_per_job)
-    return state.append(x).select("seq_id", "pos", "token", "recent", "x")
+    stored = _stored_layers(embedded(new, model), model, state)
+    return stored.select("seq_id", "pos", "token", "recent", "x")
 
 
 def generate(
     tokens: DataFrame, model: Model, params: SamplingParams, max_new: int, seed: int = 0,
-    forced: DataFrame | None = None, layers_per_job: int = LAYERS_PER_JOB, compact_every: int = 16,
+    max_pos: DataFrame | None = None, forced: DataFrame | None = None,
+    layers_per_job: int = LAYERS_PER_JOB, compact_every: int = 16,
 ) -> DataFrame:
     """Continue every prompt (seq_id, pos, token) by up to `max_new` tokens.
 
     Returns all tokens (seq_id, pos, token), the prompt's included. A sequence
-    ends after a stop token, which is kept. The driver only starts the steps;
-    it stops when no sequence is live.
+    ends after a stop token, which is kept, or at its `max_pos`. `forced` gives
+    tokens (seq_id, pos, token) that replace the sampled ones. The driver only
+    starts the steps; it stops when no sequence is live.
     """
     spark = tokens.sparkSession
-    state = init_state(spark, model.config)
-    frontier = prefill(tokens, model, state, layers_per_job)
+    state = init_state(spark, model, layers_per_job)
+    frontier = prefill(tokens, model, state)
     for step in range(max_new):
-        frontier = decode_step(
-            frontier, model, params, state, seed, forced=forced, layers_per_job=layers_per_job
-        )
+        frontier = decode_step(frontier, model, params, state, seed, max_pos, forced)
         if frontier.isEmpty():
             break
         if (step + 1) % compact_every == 0:
