@@ -89,6 +89,17 @@ def with_block(df: DataFrame, config: ModelConfig) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col("pos") / config.rope_positions).cast("int"))
 
 
+def by_sequence(df: DataFrame, config: ModelConfig, key: str = "seq_id") -> DataFrame:
+    """Partition rows by sequence and block.
+
+    The number of partitions is the session's and not left to the optimizer,
+    since the work per row is far larger than its bytes suggest.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df if "_block" in df.columns else with_block(df, config)
+    return rows.repartition(partitions, key, "_block")
+
+
 def _sequences(df: DataFrame, columns: Sequence[str], key: str = "seq_id") -> DataFrame:
     """One row per sequence and block; a block has at most `rope_positions` positions."""
     return df.groupBy(key, "_block").agg(F.collect_list(F.struct(*columns)).alias("_rows"))
@@ -190,9 +201,8 @@ def attend(
 
     `df` has (key, pos, q, k, v) and any other columns, which are kept except q.
     `cache` holds (key, pos, k, v) of earlier positions. A sequence is brought
-    together up to the model's context; positions outside the rotary table have
-    no encoding, so they get o = 0 and lose k and v. Rows that carry their
-    `_block` already, as between layers, are not shuffled again.
+    together up to the model's context, in the one shuffle of a layer; positions
+    outside the rotary table have no encoding, so they get o = 0 and lose k and v.
     """
     carried = [c for c in df.columns if c not in (key, "pos", "_block", "q", "k", "v")]
     rows = df if "_block" in df.columns else with_block(df, config)
@@ -202,7 +212,9 @@ def attend(
     if cache is not None:
         old = with_block(cache.select(key, "pos", "k", "v"), config).where(inside)
         rows = rows.unionByName(old, allowMissingColumns=True)
-    packed = _sequences(rows, ["pos", "q", "k", "v", "_new", *carried], key)
+    packed = _sequences(
+        by_sequence(rows, config, key), ["pos", "q", "k", "v", "_new", *carried], key
+    )
     kernel = attention_kernel(
         config.n_kv_heads, config.head_dim, config.score_scale, config.exp_clamp
     )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from relinfer.config import SamplingParams
 from relinfer.functions import vector as V
-from relinfer.operators.layers import attend, embed, with_block
+from relinfer.operators.layers import attend, by_sequence, embed, with_block
 from relinfer.operators.sampling import gumbel_vec, penalise_vec, survivors_vec
 from relinfer.operators.skew import with_group_value
 from relinfer.operators.tensor import linear_column, linear_join, linears, to_rows, transpose_matrix
@@ -70,21 +70,11 @@ def _groups(model: Model, layers_per_job: int) -> list[range]:
     return [range(i, min(i + layers_per_job, n)) for i in range(0, n, layers_per_job)]
 
 
-def _by_sequence(df: DataFrame, model: Model) -> DataFrame:
-    """Partition rows by sequence, the layout that all layers keep.
-
-    The number of partitions is the session's, since the work per row is far
-    larger than its bytes suggest.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return with_block(df, model.config).repartition(partitions, "seq_id", "_block")
-
-
 def layers(df: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> DataFrame:
     """All layers, without keeping keys and values."""
     groups = _groups(model, layers_per_job)
     if "_block" not in df.columns:
-        df = _by_sequence(df, model)
+        df = with_block(df, model.config)
     for group in groups:
         for layer in group:
             df = _layer(df, model, layer).drop("k", "v")
@@ -95,7 +85,7 @@ def layers(df: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) ->
 
 def embedded(tokens: DataFrame, model: Model) -> DataFrame:
     """Token rows with their embedding x, partitioned while they are still small."""
-    rows = _by_sequence(tokens, model)
+    rows = by_sequence(tokens, model.config)
     return embed(rows, model.rows("emb"), model.config.matrix_bytes("emb"))
 
 
@@ -200,7 +190,7 @@ def _stored_layers(df: DataFrame, model: Model, state: State) -> DataFrame:
     """All layers over new rows (seq_id, pos, token, last, recent, x), into the state."""
     for number, group in enumerate(state.groups):
         if "_block" not in df.columns:
-            df = _by_sequence(df, model)
+            df = by_sequence(df, model.config)
         for layer in group:
             df = _layer(df, model, layer, state.cache(layer)).withColumnsRenamed(
                 {"k": f"k{layer}", "v": f"v{layer}"}
