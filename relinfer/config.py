@@ -8,10 +8,6 @@ from dataclasses import dataclass, replace
 # configuration or from a limit, stays below this; otherwise it is joined.
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
-# Matrices up to this many elements are inlined as a literal and multiplied
-# with array functions; larger ones go through the Arrow kernel.
-INLINE_MATRIX_ELEMENTS = 1024
-
 
 @dataclass(frozen=True)
 class ModelConfig:
@@ -99,9 +95,8 @@ class SamplingParams:
         return replace(self, top_k=1)
 
 
-# The dimensions that the two published models state; head and
-# feed-forward sizes of other models are read off their weight shapes.
-SMOLLM2_135M = ModelConfig(
+# The dimensions of the larger of the two published models.
+MODEL_135M = ModelConfig(
     hidden=576, n_layers=30, head_dim=64, n_heads=9, n_kv_heads=3,
     ffn_dim=1536, vocab_size=49152, rope_positions=8192,
 )

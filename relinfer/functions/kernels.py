@@ -56,21 +56,29 @@ def matmul_kernel(weights):
     return _once(matmul)
 
 
-def _attend_one(pos, q, kpos, k, v, n_kv, head_dim, scale, clamp, chunk=256):
+def _attend_one(pos, q, kpos, k, v, n_kv, head_dim, scale, clamp, chunk=128):
     """Causal grouped-query attention of the queries of one sequence."""
+    order = np.argsort(kpos, kind="stable")
+    kpos, k, v = kpos[order], k[order], v[order]
+    turns = np.argsort(pos, kind="stable")
     out = np.zeros_like(q)
     group = q.shape[1] // (n_kv * head_dim)
     for start in range(0, len(q), chunk):
-        rows = slice(start, start + chunk)
-        hidden = kpos[None, :] > pos[rows, None]
+        rows = turns[start:start + chunk]
+        seen = np.searchsorted(kpos, pos[rows[-1]], side="right")
+        hidden = kpos[None, :seen] > pos[rows, None]
+        queries, mixed = q[rows], np.empty((len(rows), q.shape[1]))
         for h in range(n_kv * group):
             own = slice(h * head_dim, (h + 1) * head_dim)
             kv = slice(h // group * head_dim, (h // group + 1) * head_dim)
-            s = q[rows, own] @ k[:, kv].T * scale
-            s[hidden] = -np.inf
-            e = np.exp(np.clip(s - s.max(axis=1, keepdims=True), -clamp, clamp))
+            e = queries[:, own] @ k[:seen, kv].T
+            e *= scale
+            e[hidden] = -np.inf
+            e -= e.max(axis=1, keepdims=True)
+            np.exp(np.clip(e, -clamp, clamp, out=e), out=e)
             e[hidden] = 0.0
-            out[rows, own] = (e / e.sum(axis=1, keepdims=True)) @ v[:, kv]
+            mixed[:, own] = e @ v[:seen, kv] / e.sum(axis=1, keepdims=True)
+        out[rows] = mixed
     return out
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relinfer.config import INLINE_MATRIX_ELEMENTS, MAX_BROADCAST_BYTES
+from relinfer.config import MAX_BROADCAST_BYTES
 from relinfer.functions import vector as V
 from relinfer.functions.kernels import matmul_kernel
 from relinfer.operators.skew import as_list
@@ -107,18 +107,19 @@ def as_matrix(matrix: Matrix | np.ndarray) -> Matrix:
 
 
 def linear(
-    df: DataFrame, matrix: Matrix | np.ndarray, x: str, out: str = "y", engine: str = "auto"
+    df: DataFrame, matrix: Matrix | np.ndarray, x: str, out: str = "y", engine: str = "arrow"
 ) -> DataFrame:
     """y_o = sum_i W[o,i] x_i for a matrix of shape (out, in); a narrow operation.
 
-    engine 'inline' multiplies with array functions and a literal matrix,
-    'arrow' in the kernel with a broadcast matrix; 'auto' chooses by size.
+    engine 'arrow' multiplies batches in the kernel with a broadcast matrix;
+    'inline' uses array functions and a literal matrix and needs no Python
+    worker, but is several times slower already at 12 x 48.
     """
     return linears(df, {out: matrix}, x, engine)
 
 
 def linears(
-    df: DataFrame, matrices: dict[str, Matrix | np.ndarray], x: str, engine: str = "auto"
+    df: DataFrame, matrices: dict[str, Matrix | np.ndarray], x: str, engine: str = "arrow"
 ) -> DataFrame:
     """Several linear maps of the same vector in one pass."""
     return df.withColumns(
@@ -127,11 +128,9 @@ def linears(
 
 
 def linear_column(
-    df: DataFrame, matrix: Matrix | np.ndarray, x: str, engine: str = "auto"
+    df: DataFrame, matrix: Matrix | np.ndarray, x: str, engine: str = "arrow"
 ) -> Column:
     matrix = as_matrix(matrix)
-    if engine == "auto":
-        engine = "inline" if matrix.values.size <= INLINE_MATRIX_ELEMENTS else "arrow"
     if engine == "inline":
         return matrix.column(
             x,
@@ -141,14 +140,14 @@ def linear_column(
             ),
         )
     if engine != "arrow":
-        raise ValueError("engine must be 'auto', 'inline' or 'arrow'")
+        raise ValueError("engine must be 'arrow' or 'inline'")
     # Naming x twice also keeps the optimizer from moving the expression behind
     # x into the UDF call, where Spark cannot plan nested lambdas.
     return matrix.kernel(df)(F.col(x), F.size(F.col(x)))
 
 
 def linear_t(
-    df: DataFrame, matrix_t: Matrix | np.ndarray, x: str, out: str = "y", engine: str = "auto"
+    df: DataFrame, matrix_t: Matrix | np.ndarray, x: str, out: str = "y", engine: str = "arrow"
 ) -> DataFrame:
     """y = sum_i x_i W_t[i,:] for an input-major matrix of shape (in, out)."""
     return linear(df, as_matrix(matrix_t).T, x, out, engine)
@@ -156,7 +155,7 @@ def linear_t(
 
 def linear_rows(
     df: DataFrame, matrix: Matrix | np.ndarray, x: str, index: str = "token", value: str = "val",
-    engine: str = "auto",
+    engine: str = "arrow",
 ) -> DataFrame:
     """Linear map with one output row per output unit (language-model head)."""
     rest = [c for c in df.columns if c != x]

@@ -90,12 +90,32 @@ def save_weights(weights: DataFrame, path: str) -> None:
     weights.repartition("tensor", "layer").write.partitionBy("tensor", "layer").parquet(path)
 
 
-def load_weights(spark: SparkSession, path: str, config: ModelConfig) -> Model:
-    """Read a weight table, widen it to double and check it against the configuration."""
+def infer_config(weights: DataFrame, head_dim: int = 64, **constants) -> ModelConfig:
+    """Model dimensions read off the shapes of a weight table."""
+    shapes = {
+        r.tensor: r for r in weights.groupBy("tensor").agg(
+            (F.max("row") + 1).alias("rows"), F.max(F.size("w")).alias("width"),
+            (F.max("layer") + 1).alias("layers"),
+        ).collect()
+    }
+    return ModelConfig(
+        hidden=shapes["emb"].width, n_layers=shapes["q"].layers, head_dim=head_dim,
+        n_heads=shapes["q"].rows // head_dim, n_kv_heads=shapes["k"].rows // head_dim,
+        ffn_dim=shapes["gate"].rows, vocab_size=shapes["emb"].rows, **constants,
+    )
+
+
+def load_weights(spark: SparkSession, path: str, config: ModelConfig | None = None) -> Model:
+    """Read a weight table, widen it to double and check it.
+
+    Without a configuration the dimensions are read off the shapes; the
+    constants are then the defaults.
+    """
     weights = spark.read.parquet(path).select(
         F.col("tensor").cast("string").alias("tensor"), F.col("layer").cast("int").alias("layer"),
         F.col("row").cast("int").alias("row"), F.col("w").cast("array<double>").alias("w"),
     )
+    config = config or infer_config(weights)
     check_weights(weights, config)
     return Model(config, weights)
 

@@ -9,7 +9,9 @@ from relinfer.functions import vector as V
 from relinfer.operators import layers as L
 from relinfer.operators import tensor as X
 from relinfer.plans import model as M
-from relinfer.sources.weights import Model, check_weights, load_weights, rope_table, save_weights
+from relinfer.sources.weights import (
+    Model, check_weights, infer_config, load_weights, rope_table, save_weights,
+)
 from tests import reference as R
 from tests.conftest import SMALL, plan
 
@@ -123,6 +125,7 @@ def test_weights_round_trip(spark, model, tmp_path):
     loaded = load_weights(spark, path, SMALL)
     assert np.allclose(loaded.matrix("k", 1).values, model.matrix("k", 1).values, atol=1e-6)
     assert "PartitionFilters: [isnotnull(tensor" in plan(loaded.rows("q", 1))
+    assert infer_config(loaded.weights, head_dim=8) == SMALL
     with pytest.raises(ValueError, match="expected shape"):
         check_weights(model.weights.where("not (tensor = 'q' and row = 3)"), SMALL)
 
