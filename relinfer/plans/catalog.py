@@ -292,6 +292,16 @@ def top_p_hot(spark, folder):
     return out.select("event_type", "token", F.round("prob", 9).alias("prob"))
 
 
+def nucleus_lines(spark, folder):
+    """Nucleus over three groups that hold all order lines."""
+    lines = read(spark, folder, "lineitem").select(
+        "l_returnflag", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("token"),
+        (F.col("l_extendedprice") / 20000.0).alias("t_val"),
+    )
+    out = S.top_p_filter(S.softmax(lines, "l_returnflag", "t_val"), "l_returnflag", PARAMS.top_p)
+    return out.select("l_returnflag", "token", F.round("prob", 9).alias("prob"))
+
+
 def uniform_draw(spark, folder):
     return read(spark, folder, "events").select(
         "event_id", F.round(V.uniform(SEED, "event_id", "event_type"), 6).alias("u")
@@ -480,7 +490,7 @@ QUERIES = {
         linear_joined, rms_norm, scale_by, residual_add, swiglu, split_heads, head_index,
         transpose_matrix, vec_weighted_sum, label_affinity, rope_lookup, rope_apply, rope_joined,
         attn_scores, attn_weights, causal_attention, gqa_attention, kv_append, softmax_grouped,
-        softmax_hot, temperature, with_params, min_p, top_k, top_p, top_p_hot, uniform_draw,
+        softmax_hot, temperature, with_params, min_p, top_k, top_p, top_p_hot, nucleus_lines, uniform_draw,
         gumbel_sample, filter_logits, vocab_build, load_vocab, encode, decode_text, chat_render,
         chat_tokens, prompt_lengths, repetition_penalty, repetition_penalty_at, stop_rules,
         next_token, choose_token, embed, embed_joined, block_forward, model_logits,

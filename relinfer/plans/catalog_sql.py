@@ -271,6 +271,12 @@ SAMPLING = {
         [EV, ("p", softmax("ev", "event_type", "t_val")), ("m", nucleus("p", "event_type"))],
         f"SELECT event_type, token, {PROB9} FROM m",
     ),
+    "nucleus_lines": query(
+        [("ln", "SELECT l_returnflag, l_orderkey * 8 + l_linenumber AS token, l_extendedprice / 20000.0::DOUBLE AS t_val"
+                " FROM lineitem"),
+         ("p", softmax("ln", "l_returnflag", "t_val")), ("m", nucleus("p", "l_returnflag"))],
+        f"SELECT l_returnflag, token, {PROB9} FROM m",
+    ),
     "uniform_draw": f"SELECT event_id, {rnd(uniform('event_id', 'event_type'))} AS u FROM events",
     "gumbel_sample": query([EV], draw("ev", ["user_id"])),
     "filter_logits": query([X, LOGITS, *chain("lg")], f"SELECT seq_id, token, {PROB9} FROM tp"),

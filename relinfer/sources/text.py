@@ -125,18 +125,24 @@ def chat_segments(
     return segments.unionByName(added)
 
 
+def _parts(key: str, order: str, size: int | None) -> list:
+    """Grouping of one value per key, or of numbered parts of bounded size."""
+    return [key] if size is None else [key, F.floor(F.col(order) / size).alias("part")]
+
+
 def render_chat(
     conv: DataFrame, system_prompt: str | None = SYSTEM_PROMPT, open_assistant: bool = True,
-    key: str = "conv_id",
+    key: str = "conv_id", part_turns: int | None = None,
 ) -> DataFrame:
     """One prompt string per conversation.
 
-    The result is one value per conversation and so must fit in one; use
-    `encode_chat` for tokens, which never joins a conversation's text.
+    As one value it must fit in one task; with `part_turns` the prompt comes in
+    numbered parts of that many turns, so that a conversation of any length
+    stays distributed. `encode_chat` gives tokens without joining any text.
     """
     segments = chat_segments(conv, system_prompt, open_assistant, key)
     ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return segments.groupBy(key).agg(
+    return segments.groupBy(*_parts(key, "turn", part_turns)).agg(
         F.array_join(F.transform(ordered, lambda s: s.getField("text")), "").alias("prompt")
     )
 
@@ -178,13 +184,14 @@ def make_prompts(tokens: DataFrame, max_new: int) -> DataFrame:
 def decode(
     tokens: DataFrame, vocab: DataFrame, prompts: DataFrame | None = None,
     vocab_size: int | None = None, sep: str = "", strip_stop: bool = False,
-    stop: Sequence[int] = (0, 2),
+    stop: Sequence[int] = (0, 2), part_tokens: int | None = None,
 ) -> DataFrame:
     """Tokens to text, in order of position.
 
     With `prompts` (seq_id, prompt_len) only generated tokens are kept. Ids that
     the vocabulary lacks are dropped. The stop token is part of the text unless
-    `strip_stop`. The text of a sequence is one value and so must fit in one.
+    `strip_stop`. As one value the text must fit in one task, which generated
+    tokens always do; with `part_tokens` it comes in numbered parts.
     """
     rows = tokens
     if prompts is not None:
@@ -198,6 +205,6 @@ def decode(
         rows.select("seq_id", "pos", "token"), vocab.select("token", "text"), "token", "inner", bound
     )
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return named.groupBy("seq_id").agg(
+    return named.groupBy(*_parts("seq_id", "pos", part_tokens)).agg(
         F.array_join(F.transform(ordered, lambda s: s.getField("text")), sep).alias("text")
     )

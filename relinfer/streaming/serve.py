@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from relinfer.config import SamplingParams
 from relinfer.plans.model import generate
+from relinfer.session import cut
 from relinfer.sources.text import decode, encode, make_prompts
 from relinfer.sources.weights import Model
 
@@ -17,7 +18,7 @@ def answer_prompts(
 ) -> DataFrame:
     """Prompts (seq_id, text) to generated text (seq_id, text)."""
     size = model.config.vocab_size
-    tokens = encode(prompts, vocab, vocab_size=size)
+    tokens = cut(encode(prompts, vocab, vocab_size=size))
     log = generate(tokens, model, params, max_new, seed)
     return decode(log, vocab, make_prompts(tokens, max_new), vocab_size=size)
 

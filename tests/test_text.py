@@ -34,6 +34,17 @@ def test_chat_template(conv):
     assert closed[2] == "<|im_start|>user\nWhat?<|im_end|>\n"
 
 
+def test_parts_make_up_the_whole(spark, conv, vocab):
+    whole = by_key(T.render_chat(conv), "conv_id", "prompt")
+    parts = T.render_chat(conv, part_turns=2).orderBy("conv_id", "part").collect()
+    assert len(parts) > len(whole)
+    assert whole == {k: "".join(r.prompt for r in parts if r.conv_id == k) for k in whole}
+    tokens = T.encode_chat(conv, vocab)
+    texts = by_key(T.decode(tokens, vocab), "seq_id", "text")
+    pieces = T.decode(tokens, vocab, part_tokens=4).orderBy("seq_id", "part").collect()
+    assert texts == {k: "".join(r.text for r in pieces if r.seq_id == k) for k in texts}
+
+
 def test_vocabulary_order_and_limit(spark):
     docs = spark.createDataFrame([("b a b c",), ("a b d",)], ["text"])
     full = T.build_vocab(docs, 10, specials=["<x>"]).orderBy("token").collect()
