@@ -46,11 +46,13 @@ def sum_sq(a: Column | str) -> Column:
     return F.aggregate(col(a), F.lit(0.0), lambda acc, v: acc + v * v)
 
 
+def _limited_exp(v: Column, clamp: float) -> Column:
+    return F.exp(F.greatest(F.least(v, F.lit(float(clamp))), F.lit(-float(clamp))))
+
+
 def clamped_exp(v: Column | str, clamp: float = 50.0) -> Column:
     """exp of the value limited to [-clamp, clamp]; null stays null."""
-    v = col(v)
-    limited = F.greatest(F.least(v, F.lit(float(clamp))), F.lit(-float(clamp)))
-    return F.when(v.isNotNull(), F.exp(limited))
+    return F.when(col(v).isNotNull(), _limited_exp(col(v), clamp))
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
@@ -90,7 +92,7 @@ def add_vec(x: Column | str, delta: Column | str) -> Column:
 def swiglu_vec(gate: Column | str, up: Column | str, clamp: float = 50.0) -> Column:
     """silu(gate_i) * up_i with silu(g) = g / (1 + exp(-g))."""
     return F.zip_with(
-        col(gate), col(up), lambda g, u: g / (F.lit(1.0) + clamped_exp(-g, clamp)) * u
+        col(gate), col(up), lambda g, u: g / (F.lit(1.0) + _limited_exp(-g, clamp)) * u
     )
 
 
@@ -113,6 +115,11 @@ def rope_frequencies(head_dim: int, theta: float) -> list[float]:
     return [theta ** (-(d / half)) for d in range(half)]
 
 
+def _tiled(head: Column, heads: Column) -> Column:
+    """The same vector for every head."""
+    return F.flatten(F.array_repeat(head, heads))
+
+
 def rope_vec(
     vec: Column | str, pos: Column | str, head_dim: int, theta: float = 100000.0
 ) -> Column:
@@ -125,13 +132,17 @@ def rope_vec(
     freq = vec_lit(rope_frequencies(head_dim, theta))
 
     def rotate(v, c, s):
-        def component(value, i):
-            j = i % half
-            first = value * F.get(c, j) - F.get(v, i + half) * F.get(s, j)
-            second = F.get(v, i - half) * F.get(s, j) + value * F.get(c, j)
-            return F.when(i % head_dim < half, first).otherwise(second)
+        heads = (F.size(v) / head_dim).cast("int")
+
+        def swapped(h):
+            first = F.slice(v, h * head_dim + 1, F.lit(half))
+            return F.concat(F.slice(v, h * head_dim + half + 1, F.lit(half)), first)
 
-        return F.transform(v, component)
+        partner = F.flatten(F.transform(F.sequence(F.lit(0), heads - 1), swapped))
+        signed = F.concat(F.transform(s, lambda t: -t), s)
+        straight = F.zip_with(v, _tiled(F.concat(c, c), heads), lambda a, b: a * b)
+        crossed = F.zip_with(partner, _tiled(signed, heads), lambda a, b: a * b)
+        return F.zip_with(straight, crossed, lambda a, b: a + b)
 
     return let(
         col(pos).cast("double"),
