@@ -93,9 +93,13 @@ def by_sequence(df: DataFrame, config: ModelConfig, key: str = "seq_id") -> Data
     """Partition rows by sequence and block.
 
     The number of partitions is the session's and not left to the optimizer,
-    since the work per row is far larger than its bytes suggest.
+    since the work per row is far larger than its bytes suggest. A local session,
+    whose cores are known and few, gets at most four per core.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    context = df.sparkSession.sparkContext
+    if context.master.startswith("local"):
+        partitions = min(partitions, 4 * context.defaultParallelism)
     rows = df if "_block" in df.columns else with_block(df, config)
     return rows.repartition(partitions, key, "_block")
 
