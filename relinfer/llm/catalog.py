@@ -7,11 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relinfer.llm.common import table
+from relinfer.llm.contamination import CONTAMINATION_SQL, contamination
+from relinfer.llm.digest import compare_with_next
 from relinfer.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's digest next to those of its edited text and of the next document."""
+    return compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every document stand in the benchmark, and whether it is contaminated."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), drop=("text",))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the later occurrences of repeated three-line windows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -19,9 +33,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_digest": op4_digest,
+    "op8_decontamination": op8_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op8_decontamination": CONTAMINATION_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
 }
