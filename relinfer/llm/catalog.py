@@ -5,20 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from relinfer.llm.common import table
 from relinfer.llm.contamination import CONTAMINATION_SQL, contamination
 from relinfer.llm.digest import compare_with_next
+from relinfer.llm.language import held_out, identify, train
 from relinfer.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
+from relinfer.llm.pieces import SPACE, decode, encode
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids, decoded again; round_trip tells whether the text came back."""
+    text = F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(text, 256).alias("sha"))
+    coded = decode(encode(docs, drop=("text",)), out_col="decoded_sha256", digest=True)
+    return coded.select(
+        "doc_id", "n_tokens", "ids", "decoded_sha256", (F.col("decoded_sha256") == F.col("sha")).alias("round_trip")
+    )
+
+
 def op4_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's digest next to those of its edited text and of the next document."""
     return compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the labels of three quarters of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id").alias("held_out"))
+    classifier = train(docs.where("NOT held_out").drop("held_out"))
+    return identify(docs.drop("lang"), classifier, drop=("text",))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of every document stand in the benchmark, and whether it is contaminated."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,7 +53,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_pieces": op3_pieces,
     "op4_digest": op4_digest,
+    "op7_language": op7_language,
     "op8_decontamination": op8_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
