@@ -13,6 +13,7 @@ from relinfer.llm.digest import compare_with_next
 from relinfer.llm.language import held_out, identify, train
 from relinfer.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from relinfer.llm.pieces import SPACE, decode, encode
+from relinfer.llm.secrets import scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, with weak parts where complementary ones stand near."""
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the later occurrences of repeated three-line windows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op4_digest": op4_digest,
     "op7_language": op7_language,
     "op8_decontamination": op8_decontamination,
+    "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
 }
 
