@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from relinfer.llm.common import table
 from relinfer.llm.contamination import CONTAMINATION_SQL, contamination
+from relinfer.llm.ctw import score_texts
 from relinfer.llm.digest import compare_with_next
 from relinfer.llm.language import held_out, identify, train
+from relinfer.llm.licenses import scan_licenses
 from relinfer.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from relinfer.llm.pieces import SPACE, decode, encode
 from relinfer.llm.secrets import scan_secrets
@@ -33,6 +35,17 @@ def op4_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability by words and by a weighted context tree."""
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("text", "licenses")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from the labels of three quarters of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id").alias("held_out"))
@@ -62,6 +75,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_pieces": op3_pieces,
     "op4_digest": op4_digest,
+    "op5_ctw": op5_ctw,
+    "op6_licenses": op6_licenses,
     "op7_language": op7_language,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
