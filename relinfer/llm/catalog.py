@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relinfer.llm.chosen_path import near_duplicates
 from relinfer.llm.common import table
 from relinfer.llm.contamination import CONTAMINATION_SQL, contamination
 from relinfer.llm.ctw import score_texts
@@ -20,6 +21,11 @@ from relinfer.llm.secrets import scan_secrets
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates and its number of links."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids, decoded again; round_trip tells whether the text came back."""
     text = F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
@@ -73,6 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_chosen_path": op2_chosen_path,
     "op3_pieces": op3_pieces,
     "op4_digest": op4_digest,
     "op5_ctw": op5_ctw,
