@@ -26,7 +26,7 @@ from relinfer.llm.common import add_columns, text_strings
 MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 # Words whose paths a task remembers; the store is emptied when full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 # Longer words aren't remembered.
 CACHE_CHARS = 48
 # Further cost of a byte piece over the dearest piece, as of an unknown character.
@@ -258,9 +258,9 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mo
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         column = batch.column(ids_col)
-        flat = np.asarray(column.flatten()).tolist()
+        flat = np.asarray(column.flatten())
         ends = np.cumsum([n or 0 for n in column.value_lengths().to_pylist()]).tolist()
-        texts = [decode_ids(machine.value, flat[a:b]) for a, b in zip([0, *ends], ends)]
+        texts = [decode_ids(machine.value, flat[a:b].tolist()) for a, b in zip([0, *ends], ends)]
         if digest:
             return [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())]
         return [pa.array(texts, pa.string())]
