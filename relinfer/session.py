@@ -51,6 +51,12 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"relinfer-{name}-{uuid.uuid4().hex}")
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder, wherever that folder is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a DataFrame in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)
