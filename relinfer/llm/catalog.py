@@ -16,11 +16,17 @@ from relinfer.llm.language import held_out, identify, train
 from relinfer.llm.licenses import scan_licenses
 from relinfer.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from relinfer.llm.pieces import SPACE, decode, encode
+from relinfer.llm.pii import find_pii
 from relinfer.llm.secrets import scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
+
+
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near duplicates and its number of links."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -79,6 +85,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op2_chosen_path": op2_chosen_path,
     "op3_pieces": op3_pieces,
     "op4_digest": op4_digest,

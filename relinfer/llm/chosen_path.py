@@ -296,29 +296,14 @@ def _token_columns(batch: pa.RecordBatch) -> list[pa.Array]:
     ]
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    similarity: float = SIMILARITY, recall: float = RECALL,
-) -> DataFrame:
-    """(id, class_id, n_links): classes of documents whose sets of five-word shingles are near.
-
-    Two documents are linked if the Jaccard similarity of their sets is at least
-    `similarity`; a class is a connected component, named by its least id. n_links counts
-    the other documents that a document is linked with. Texts of fewer than five words
-    have one shingle, of all their words. Null and empty texts and texts without words have none
-    and are linked with nothing: their class is their own id. A document is a row:
-    rows with equal ids count each. Null ids are ignored as class names. Other columns
-    aren't returned; an empty table gives an empty table.
-
-    Documents with equal sets are one set from the first step on; they are counted, not
-    paired. Sets in one component of sketch-similar sets are compared in blocks, so
-    that a group of any size is spread over tasks and only one row a set and pair of blocks comes out.
-    """
+def classify(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float) -> DataFrame:
+    """(id, tk, class_id, n_links, stays): a row for each document; tk is its text's hash."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("tk"))
     keyed = cut(add_columns(rows, "key binary, size int, sketch binary, brief binary", _set_columns, drop=("text",)))
+    place = F.struct(F.col("id").isNull().alias("blank"), "id", "tk")
     sets = cut(
         keyed.where("key IS NOT NULL").groupBy("key").agg(
-            F.min(F.struct("id", "tk")).alias("first"), F.min("id").alias("least"), F.count("*").alias("copies"),
+            F.min(place).alias("first"), F.count("*").alias("copies"),
             F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"),
         )
     )
@@ -338,18 +323,55 @@ def near_duplicates(
     linked = cut(_verify(spread, similarity))
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
     classes = components(linked.select(F.col("root").alias("a"), F.col("key").alias("b")))
-    named = classes.withColumnRenamed("node", "key").join(sets.select("key", "least"), "key")
-    names = named.groupBy("root").agg(F.min("least").alias("class_id"))
+    named = cut(classes.withColumnRenamed("node", "key").join(sets.select("key", "first"), "key"))
+    heads = named.groupBy("root").agg(F.min("first").alias("head"))
     result = (
-        sets.select("key", "least", "copies")
-        .join(named.select("key", "root").join(names, "root").select("key", "class_id"), "key", "left")
+        sets.select("key", "first", "copies")
+        .join(named.select("key", "root").join(heads, "root").select("key", "head"), "key", "left")
         .join(links, "key", "left")
         .select(
-            "key", F.coalesce("class_id", "least").alias("class_id"),
+            "key", F.coalesce("head", "first").alias("head"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
-    return keyed.select("id", "key").join(result, "key", "left").select(
-        F.col("id").alias(id_col), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    alone = F.col("key").isNull()
+    return keyed.select("id", "tk", "key").join(result, "key", "left").select(
+        "id", "tk", F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), (alone | (place == F.col("head"))).alias("stays"),
     )
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    similarity: float = SIMILARITY, recall: float = RECALL,
+) -> DataFrame:
+    """(id, class_id, n_links): classes of documents whose sets of five-word shingles are near.
+
+    Two documents are linked if the Jaccard similarity of their sets is at least
+    `similarity`; a class is a connected component, named by its least id. n_links counts
+    the other documents that a document is linked with. Texts of fewer than five words
+    have one shingle, of all their words. Null and empty texts and texts without words have none
+    and are linked with nothing: their class is their own id. A document is a row:
+    rows with equal ids count each. A null id names a class only if no member has another.
+    Other columns aren't returned; an empty table gives an empty table.
+
+    Documents with equal sets are one set from the first step on; they are counted, not
+    paired. Sets in one component of sketch-similar sets are compared in blocks, so
+    that a group of any size is spread over tasks and only one row a set and pair of blocks comes out.
+    """
+    return classify(docs, id_col, text_col, similarity, recall).select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    similarity: float = SIMILARITY, recall: float = RECALL,
+) -> DataFrame:
+    """docs with the first document (by id, then text) of each class of near_duplicates.
+
+    Rows equal in id and text are one document and stay or go together. All columns are kept.
+    """
+    gone = classify(docs, id_col, text_col, similarity, recall).where("NOT stays").select(
+        F.col("id").alias("_id"), F.col("tk").alias("_tk")
+    ).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_tk"))
+    return docs.join(gone, same, "left_anti")
