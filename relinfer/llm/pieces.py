@@ -25,7 +25,7 @@ from relinfer.llm.common import add_columns, text_strings
 # Place of the piece model unless a caller names another; read on the driver only.
 MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-# Words whose paths a task remembers; the store is emptied when full.
+# Words whose paths a task remembers in each of two stores, a newer and an older one.
 CACHE_WORDS = 150_000
 # Longer words aren't remembered.
 CACHE_CHARS = 48
@@ -40,10 +40,10 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 @dataclass
 class Transducer:
-    """`arcs`: cost and id of each piece; `open`: proper prefixes of pieces (the trie's inner states)."""
+    """`arcs`: cost and id of each piece; `states`: cost, id (-1: no piece) and whether it goes on, of each prefix."""
 
     arcs: dict[str, tuple[float, int]]
-    open: set[str]
+    states: dict[str, tuple[float, int, bool]]
     byte_ids: list[int]
     byte_cost: float
     texts: list[bytes]
@@ -115,18 +115,27 @@ def compile_transducer(data: bytes) -> Transducer:
         texts[i] = bytes([value])
     dearest = max(c for c, _ in arcs.values())
     name = hashlib.sha256(data).hexdigest()
-    machine = Transducer(arcs, set(), byte_ids, dearest + BYTE_PENALTY, texts, False, name)
-    machine.open = {p[:k] for p in arcs for k in range(1, len(p))}
+    machine = Transducer(arcs, _states(arcs), byte_ids, dearest + BYTE_PENALTY, texts, False, name)
     spaced = [p for p in arcs if SPACE in p[1:]]
     for p in sorted(spaced, key=len):
-        cost, i = arcs.pop(p)
-        if _cost(machine, shortest_path(machine, p)) >= cost:
-            arcs[p] = cost, i
-    machine.open = {p[:k] for p in arcs for k in range(1, len(p))}
+        cost, i = arcs[p]
+        more = machine.states[p][2]
+        machine.states[p] = 0.0, -1, more
+        if _cost(machine, shortest_path(machine, p)) < cost:
+            del arcs[p]
+        else:
+            machine.states[p] = cost, i, more
+    machine.states = _states(arcs)
     machine.per_word = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in arcs)
     return machine
 
 
+def _states(arcs: dict[str, tuple[float, int]]) -> dict[str, tuple[float, int, bool]]:
+    """The trie of the pieces, its states named by their strings."""
+    inner = {p[:k] for p in arcs for k in range(1, len(p))}
+    return {p: (*arcs.get(p, (0.0, -1)), p in inner) for p in inner | arcs.keys()}
+
+
 def _cost(machine: Transducer, ids: list[int]) -> float:
     back = {i: c for c, i in machine.arcs.values()}
     return sum(back.get(i, machine.byte_cost) for i in ids)
@@ -135,37 +144,36 @@ def _cost(machine: Transducer, ids: list[int]) -> float:
 def shortest_path(machine: Transducer, text: str) -> list[int]:
     """Ids on the path of least cost through the lattice of a normalised text.
 
-    Of paths of equal cost, the one whose last piece is longest is taken, and so on
+    Of paths of equal cost to a place, the one whose last piece is longest is taken, and so on
     towards the front.
     """
-    arcs, open_ = machine.arcs, machine.open
+    state, byte_cost = machine.states.get, machine.byte_cost
     n = len(text)
-    best = [0.0] + [float("inf")] * n
-    came: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+    best = [0.0] + [math.inf] * n
+    came, by = [0] * (n + 1), [-1] * (n + 1)
     for i in range(n):
         here = best[i]
         j = i + 1
-        while True:
-            part = text[i:j]
-            arc = arcs.get(part)
-            if arc is not None:
-                cost = here + arc[0]
+        at = state(text[i:j])
+        if at is None or at[1] < 0:
+            cost = here + byte_cost * len(text[i].encode())
+            if cost < best[j]:
+                best[j], came[j], by[j] = cost, i, -1
+        while at is not None:
+            cost, piece, more = at
+            if piece >= 0:
+                cost += here
                 if cost < best[j]:
-                    best[j] = cost
-                    came[j] = i, arc[1]
-            if j == n or part not in open_:
+                    best[j], came[j], by[j] = cost, i, piece
+            if not more or j == n:
                 break
             j += 1
-        if text[i] not in arcs:
-            cost = here + machine.byte_cost * len(text[i].encode())
-            if cost < best[i + 1]:
-                best[i + 1] = cost
-                came[i + 1] = i, -1
+            at = state(text[i:j])
     out = []
     while n:
-        i, piece = came[n]
-        if piece >= 0:
-            out.append(piece)
+        i = came[n]
+        if by[n] >= 0:
+            out.append(by[n])
         else:
             out += [machine.byte_ids[b] for b in reversed(text[i:n].encode())]
         n = i
@@ -178,16 +186,18 @@ class Encoder:
     def __init__(self, machine: Transducer):
         self.machine = machine
         self.known: dict[str, array] = {}
+        self.older: dict[str, array] = {}
 
     def _path(self, part: str) -> array:
         """Path of a part of a normalised text in front of and behind which lattices fall apart."""
-        ids = self.known.get(part)
+        ids = self.older.get(part)
         if ids is None:
             ids = array("i", shortest_path(self.machine, part.replace(" ", SPACE)))
-            if len(part) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[part] = ids
+        if len(part) <= CACHE_CHARS:
+            if len(self.known) >= CACHE_WORDS:
+                # Words that come again move on to the new store.
+                self.known, self.older = {}, self.known
+            self.known[part] = ids
         return ids
 
     def encode(self, text: str, out: array) -> None:
@@ -198,10 +208,8 @@ class Encoder:
         if not self.machine.per_word:
             out.extend(array("i", shortest_path(self.machine, text.replace(" ", SPACE))))
             return
-        get = self.known.get
         for part in PARTS.findall(text):
-            ids = get(part)
-            out.extend(self._path(part) if ids is None else ids)
+            out.extend(self.known.get(part) or self._path(part))
 
 
 # Encoders of this worker by model, so that tasks share what is remembered.
