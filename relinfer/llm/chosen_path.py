@@ -31,6 +31,8 @@ COORDINATES = 128
 SAMPLED = 1 / 0.7
 # Buckets up to this size are compared; larger ones are split, at most MAX_DEPTH times in a row.
 SMALL = 64
+# A bucket that holds this share of its parent's members isn't split any further.
+DENSE = 0.7
 MAX_DEPTH = 4
 # Sets, and shingles in them, that a task compares with as many others at once.
 BLOCK = 256
@@ -98,7 +100,7 @@ def runs_for(similarity: float, recall: float, depth: int = MAX_DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
 
 
-def _children(keys: np.ndarray, sketches: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _children(sketches: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, path) of each child bucket: the coordinates a bucket samples depend on its path alone."""
     coordinate = np.arange(COORDINATES, dtype=np.uint64)
     draw = mix64(paths[:, None] + mix64(coordinate + np.uint64(1)))
@@ -111,51 +113,62 @@ def _matrix(column: pa.Array, width: int, dtype: type) -> np.ndarray:
 
 
 def _split(rows: DataFrame, roots: list[int] | None) -> DataFrame:
-    """(key, path): children of the buckets of (key, sketch[, path]); of the roots if there is no path."""
+    """(rid, path, m): children of the buckets of (rid, sketch[, path, n]); of the roots if there is no path.
+
+    m is the size of the bucket that was split, null for the roots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sketches = _matrix(batch.column("sketch"), COORDINATES, np.uint32)
-            which = np.arange(len(sketches))
             paths = None if roots is not None else batch.column("path").to_numpy().view(np.uint64)
+            sizes = pa.nulls(len(sketches), pa.int64()) if roots is not None else batch.column("n")
             for root in [None] if roots is None else roots:
                 at = paths if root is None else np.full(len(sketches), root, np.uint64)
-                row, path = _children(which, sketches, at)
+                row, path = _children(sketches, at)
                 if len(row):
+                    at = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("key").take(pa.array(row)), pa.array(path.view(np.int64))], ["key", "path"]
+                        [batch.column("rid").take(at), pa.array(path.view(np.int64)), sizes.take(at)], ["rid", "path", "m"]
                     )
 
-    return rows.mapInArrow(run, "key binary, path bigint")
+    return rows.mapInArrow(run, "rid bigint, path bigint, m bigint")
 
 
 def _shared(split: DataFrame) -> DataFrame:
-    """(key, path, n): members of the buckets with two members or more, cut."""
+    """(rid, path, m, n): members of the buckets with two members or more, cut."""
     n = split.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
     return cut(split.join(n, "path"))
 
 
 def leaf_buckets(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """(key, path, n): the buckets to compare, of all runs; large ones only at the greatest depth."""
+    """(rid, path, n): the buckets to compare, of all runs.
+
+    A bucket is compared when it is small, when it kept most of the members of the bucket
+    it comes from (its sets are near each other, splitting leads nowhere), or at the
+    greatest depth.
+    """
     roots = [int(x) for x in mix64(np.arange(1, runs_for(similarity, recall) + 1, dtype=np.uint64) * M2)]
-    sketches = sets.select("key", "sketch")
+    sketches = sets.select("rid", "sketch")
+    ready = (F.col("n") <= SMALL) | F.coalesce(F.col("n") >= DENSE * F.col("m"), F.lit(False))
+    names = ("rid", "path", "n")
     open_ = _shared(_split(sketches, roots))
-    leaves = open_.where(F.col("n") <= SMALL)
+    leaves = open_.where(ready).select(*names)
     for _ in range(MAX_DEPTH - 1):
-        big = open_.where(F.col("n") > SMALL)
+        big = open_.where(~ready)
         if big.isEmpty():
             return leaves
-        open_ = _shared(_split(big.select("key", "path").join(sketches, "key"), None))
-        leaves = leaves.union(open_.where(F.col("n") <= SMALL))
-    return leaves.union(open_.where(F.col("n") > SMALL))
+        open_ = _shared(_split(big.select(*names).join(sketches, "rid"), None))
+        leaves = leaves.union(open_.where(ready).select(*names))
+    return leaves.union(open_.where(~ready).select(*names))
 
 
 def _block_pairs(members: DataFrame, group: str, blocks: F.Column) -> DataFrame:
     """A row for each pair of blocks of its group that a member is in: columns block, x, y."""
     spread = members.withColumn("_m", blocks.cast("int"))
-    own = F.pmod(F.xxhash64("key", group), F.col("_m")).cast("int")
+    own = F.pmod(F.xxhash64("rid", group), F.col("_m")).cast("int")
     return (
         spread.withColumn("block", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
         .withColumn("x", F.least("block", "_o")).withColumn("y", F.greatest("block", "_o")).drop("_m", "_o")
@@ -197,15 +210,24 @@ def _to_compare(block: np.ndarray, x: int, y: int) -> np.ndarray:
 
 
 def _candidate_edges(leaves: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): sets that pass by their sketches, as a spanning forest of each bucket's pairs."""
+    """(a, b): sets that pass by their sketches, as a spanning forest of each bucket's pairs.
+
+    A byte of each coordinate is enough to compare. Trees are stars around the least id, so
+    that the buckets of a class mostly name one centre.
+    """
     least = math.floor(COORDINATES * (similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / COORDINATES)))
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def shorten(batch: pa.RecordBatch) -> list[pa.Array]:
+        brief = _matrix(batch.column("sketch"), COORDINATES, np.uint32).astype(np.uint8)
+        return [pa.array([x.tobytes() for x in brief], pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        found, held = [np.empty((2, 0), np.int64)], 0
         for t in _groups(batches, ("path", "x", "y")):
             if t.num_rows < 2:
                 continue
+            t = t.sort_by("rid")
             size, brief = t["size"].to_numpy(), _matrix(t["brief"], COORDINATES, np.uint8)
             pairs = _to_compare(t["block"].to_numpy(), t["x"][0].as_py(), t["y"][0].as_py())
             pairs &= np.minimum(size[:, None], size) >= similarity * np.maximum(size[:, None], size) - 1e-9
@@ -215,35 +237,40 @@ def _candidate_edges(leaves: DataFrame, sets: DataFrame, similarity: float) -> D
                 near = (brief[p] == brief[q]).sum(1) >= least
                 pairs[p, q] = pairs[q, p] = near
             root = _roots(pairs, len(size))
-            key = t["key"].to_pylist()
-            for k in np.flatnonzero(root != np.arange(len(size))).tolist():
-                a.append(key[root[k]])
-                b.append(key[k])
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
-
-    members = leaves.join(sets.select("key", "size", "brief"), "key")
-    spread = _block_pairs(members, "path", F.ceil(F.col("n") / BLOCK))
+            leaf = np.flatnonzero(root != np.arange(len(size)))
+            if len(leaf):
+                rid = t["rid"].to_numpy()
+                found.append(np.stack([rid[root[leaf]], rid[leaf]]))
+                held += len(leaf)
+            if held > 50_000:
+                # Buckets of other runs find the same edges again.
+                a, b = np.unique(np.concatenate(found, 1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+                found, held = [np.empty((2, 0), np.int64)], 0
+        a, b = np.unique(np.concatenate(found, 1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    briefs = add_columns(sets.select("rid", "size", "sketch"), "brief binary", shorten, drop=("sketch",))
+    spread = _block_pairs(leaves.join(briefs, "rid"), "path", F.ceil(F.col("n") / BLOCK))
     return (
-        spread.select("path", "x", "y", "block", "key", "size", "brief").repartition("path", "x", "y")
-        .sortWithinPartitions("path", "x", "y").mapInArrow(run, "a binary, b binary")
+        spread.select("path", "x", "y", "block", "rid", "size", "brief").repartition("path", "x", "y")
+        .sortWithinPartitions("path", "x", "y").mapInArrow(run, "a bigint, b bigint")
     )
 
 
 def _verify(members: DataFrame, similarity: float) -> DataFrame:
-    """(key, root, links) of (group, key, copies, size, tokens, block, x, y): exact similarities within groups.
+    """(rid, root, links) of (group, rid, copies, size, tokens, block, x, y): exact similarities within groups.
 
-    links adds up the copies of linked sets; root is a set that the key is linked with, directly or not.
+    links adds up the copies of linked sets; root is a set that this one is linked with, directly or not.
     """
-    schema = pa.schema([("key", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
+    schema = pa.schema([("rid", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ("group", "x", "y")):
             n = t.num_rows
             if n < 2:
                 continue
+            t = t.sort_by("rid")
             size, copies = t["size"].to_numpy().astype(np.int64), t["copies"].to_numpy()
             tokens = np.concatenate([np.frombuffer(v, np.uint64) for v in t["tokens"].to_pylist()])
             row = np.repeat(np.arange(n), size)
@@ -264,28 +291,25 @@ def _verify(members: DataFrame, similarity: float) -> DataFrame:
             pairs &= (1 + similarity) * both >= similarity * (size[:, None] + size) - 1e-9
             links, root = pairs @ copies, _roots(pairs, n)
             linked = np.flatnonzero(links)
-            key = t["key"].to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                pa.array([key[k] for k in linked], pa.binary()), pa.array([key[root[k]] for k in linked], pa.binary()),
-                pa.array(links[linked], pa.int64()),
-            ], schema=schema)
+            rid = t["rid"].to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rid[linked]), pa.array(rid[root[linked]]), pa.array(links[linked], pa.int64())], schema=schema
+            )
 
     return (
         members.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
-        .mapInArrow(run, "key binary, root binary, links bigint")
+        .mapInArrow(run, "rid bigint, root bigint, links bigint")
     )
 
 
 def _set_columns(batch: pa.RecordBatch) -> list[pa.Array]:
-    keys, sizes, sketches, briefs = [], [], [], []
+    keys, sizes, sketches = [], [], []
     for text in text_bytes(batch, "text"):
         s = shingles(text)
         keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
         sizes.append(len(s))
-        k = sketch(s) if len(s) else None
-        sketches.append(None if k is None else k.tobytes())
-        briefs.append(None if k is None else k.astype(np.uint8).tobytes())
-    return [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(briefs, pa.binary())]
+        sketches.append(sketch(s).tobytes() if len(s) else None)
+    return [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())]
 
 
 def _token_columns(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -299,16 +323,19 @@ def _token_columns(batch: pa.RecordBatch) -> list[pa.Array]:
 def classify(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float) -> DataFrame:
     """(id, tk, class_id, n_links, stays): a row for each document; tk is its text's hash."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("tk"))
-    keyed = cut(add_columns(rows, "key binary, size int, sketch binary, brief binary", _set_columns, drop=("text",)))
+    keyed = cut(add_columns(rows, "key binary, size int, sketch binary", _set_columns, drop=("text",)))
     place = F.struct(F.col("id").isNull().alias("blank"), "id", "tk")
+    # The number of a set is written with it, and so stays the same.
     sets = cut(
         keyed.where("key IS NOT NULL").groupBy("key").agg(
             F.min(place).alias("first"), F.count("*").alias("copies"),
-            F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"),
-        )
+            F.first("size").alias("size"), F.first("sketch").alias("sketch"),
+        ).withColumn("rid", F.monotonically_increasing_id())
     )
     near = components(_candidate_edges(leaf_buckets(sets, similarity, recall), sets, similarity))
-    members = cut(near.select(F.col("node").alias("key"), "root").join(sets.select("key", "first", "copies", "size"), "key"))
+    members = cut(
+        near.select(F.col("node").alias("rid"), "root").join(sets.select("rid", "key", "first", "copies", "size"), "rid")
+    )
     totals = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("size").alias("_s"))
     texts = rows.join(
         members.select(F.col("first.id").alias("_id"), F.col("first.tk").alias("_tk")),
@@ -318,21 +345,18 @@ def classify(docs: DataFrame, id_col: str, text_col: str, similarity: float, rec
     grouped = members.join(totals, "root").join(tokens, "key")
     blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES))
     spread = _block_pairs(grouped, "root", blocks).select(
-        F.xxhash64("root").alias("group"), "x", "y", "block", "key", "copies", "size", "tokens"
+        F.col("root").alias("group"), "x", "y", "block", "rid", "copies", "size", "tokens"
     )
     linked = cut(_verify(spread, similarity))
-    links = linked.groupBy("key").agg(F.sum("links").alias("links"))
-    classes = components(linked.select(F.col("root").alias("a"), F.col("key").alias("b")))
-    named = cut(classes.withColumnRenamed("node", "key").join(sets.select("key", "first"), "key"))
+    links = linked.groupBy("rid").agg(F.sum("links").alias("links"))
+    classes = components(linked.select(F.col("root").alias("a"), F.col("rid").alias("b")))
+    named = classes.withColumnRenamed("node", "rid").join(members.select("rid", "key", "first"), "rid").join(links, "rid")
+    named = cut(named.drop("rid"))
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
-    result = (
-        sets.select("key", "first", "copies")
-        .join(named.select("key", "root").join(heads, "root").select("key", "head"), "key", "left")
-        .join(links, "key", "left")
-        .select(
-            "key", F.coalesce("head", "first").alias("head"),
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        )
+    near = named.join(heads, "root").select("key", "head", "links")
+    result = sets.select("key", "first", "copies").join(near, "key", "left").select(
+        "key", F.coalesce("head", "first").alias("head"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     alone = F.col("key").isNull()
     return keyed.select("id", "tk", "key").join(result, "key", "left").select(

@@ -10,9 +10,11 @@ from relinfer.session import cut
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
     """Whether each right end has one left end, and no left end is a right end."""
-    doubled = edges.groupBy("b").count().where("count > 1").select("b")
-    both = edges.select(F.col("a").alias("b")).join(edges.select("b"), "b", "left_semi")
-    return doubled.unionByName(both).isEmpty()
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("right"), F.lit(0).alias("left")).union(
+        edges.select("a", F.lit(0), F.lit(1))
+    )
+    seen = ends.groupBy("node").agg(F.sum("right").alias("right"), F.max("left").alias("left"))
+    return seen.where((F.col("right") > 1) | (F.col("right") * F.col("left") > 0)).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,10 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     while not _is_forest_of_stars(e):
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        e = cut(small.union(least.select(F.col("m").alias("a"), "b")).distinct())
+        # The row that holds the minimum itself stands for the edge to it.
+        small = large.join(least, "b").select(
+            F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")
+        )
+        e = cut(small.distinct())
     return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
         e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     )
