@@ -229,15 +229,19 @@ def _candidate_edges(leaves: DataFrame, sets: DataFrame, similarity: float) -> D
                 continue
             t = t.sort_by("rid")
             size, brief = t["size"].to_numpy(), _matrix(t["brief"], COORDINATES, np.uint8)
-            pairs = _to_compare(t["block"].to_numpy(), t["x"][0].as_py(), t["y"][0].as_py())
-            pairs &= np.minimum(size[:, None], size) >= similarity * np.maximum(size[:, None], size) - 1e-9
+            pairs = np.minimum(size[:, None], size) >= similarity * np.maximum(size[:, None], size) - 1e-9
+            np.fill_diagonal(pairs, False)
             i, j = np.nonzero(np.triu(pairs))
             for at in range(0, len(i), 1 << 16):
                 p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
                 near = (brief[p] == brief[q]).sum(1) >= least
                 pairs[p, q] = pairs[q, p] = near
-            root = _roots(pairs, len(size))
-            leaf = np.flatnonzero(root != np.arange(len(size)))
+            root, own = _roots(pairs, len(size)), np.arange(len(size))
+            if t["x"][0].as_py() != t["y"][0].as_py():
+                # Each block's own trees come out where it meets itself: here, only what joins them.
+                block = t["block"].to_numpy()
+                own = _roots(pairs & (block[:, None] == block), len(size))
+            leaf = np.flatnonzero((root != np.arange(len(size))) & (own == np.arange(len(size))))
             if len(leaf):
                 rid = t["rid"].to_numpy()
                 found.append(np.stack([rid[root[leaf]], rid[leaf]]))
