@@ -22,11 +22,12 @@ class ModelConfig:
     vocab_size: int
     rms_eps: float = 1e-5
     rope_theta: float = 100000.0
-    rope_positions: int = 2048
     exp_clamp: float = 50.0
     rep_window: int = 64
     protected_tokens: int = 16
     stop_tokens: tuple[int, ...] = (0, 2)
+    # Embedded in place of an id outside the vocabulary; without it such an id is an error.
+    unk_token: int | None = None
 
     def __post_init__(self):
         if self.n_heads % self.n_kv_heads:
@@ -98,7 +99,7 @@ class SamplingParams:
 # The dimensions of the larger of the two published models.
 MODEL_135M = ModelConfig(
     hidden=576, n_layers=30, head_dim=64, n_heads=9, n_kv_heads=3,
-    ffn_dim=1536, vocab_size=49152, rope_positions=8192,
+    ffn_dim=1536, vocab_size=49152,
 )
 
 # Closed-form model for tests and queries (see sources.weights.formula_model).

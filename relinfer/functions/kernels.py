@@ -56,61 +56,88 @@ def matmul_kernel(weights):
     return _once(matmul)
 
 
-def _attend_one(pos, q, kpos, k, v, n_kv, head_dim, scale, clamp, chunk=128):
-    """Causal grouped-query attention of the queries of one sequence."""
-    order = np.argsort(kpos, kind="stable")
-    kpos, k, v = kpos[order], k[order], v[order]
-    turns = np.argsort(pos, kind="stable")
-    out = np.zeros_like(q)
-    group = q.shape[1] // (n_kv * head_dim)
-    for start in range(0, len(q), chunk):
-        rows = turns[start:start + chunk]
-        seen = np.searchsorted(kpos, pos[rows[-1]], side="right")
-        hidden = kpos[None, :seen] > pos[rows, None]
-        queries, mixed = q[rows], np.empty((len(rows), q.shape[1]))
-        for h in range(n_kv * group):
-            own = slice(h * head_dim, (h + 1) * head_dim)
-            kv = slice(h // group * head_dim, (h // group + 1) * head_dim)
-            e = queries[:, own] @ k[:seen, kv].T
-            e *= scale
-            e[hidden] = -np.inf
-            e -= e.max(axis=1, keepdims=True)
-            np.exp(np.clip(e, -clamp, clamp, out=e), out=e)
-            e[hidden] = 0.0
-            mixed[:, own] = e @ v[:seen, kv] / e.sum(axis=1, keepdims=True)
-        out[rows] = mixed
-    return out
-
-
-def attention_kernel(n_kv_heads: int, head_dim: int, scale: float, clamp: float):
-    """UDF over one row per sequence: (pos[], q[], k[], v[]) -> o[], aligned with q.
-
-    A position without q (already in the cache) gets no output, and one without
-    k and v is not attended to.
+class _Block:
+    """Causal grouped-query attention of a block of queries over keys that come in batches.
+
+    Exponents are taken relative to the maximum so far and rescaled when it rises. The
+    clamp is applied to each batch; a weight that it lifts, e^-clamp of the maximum, is
+    below the resolution of the sum.
     """
 
-    @F.arrow_udf("array<array<double>>")
-    def attend(pos: pa.Array, q: pa.Array, k: pa.Array, v: pa.Array) -> pa.Array:
-        bounds = np.asarray(pos.offsets)
-        q_bounds, k_bounds, v_bounds = (np.asarray(c.offsets) for c in (q, k, v))
-        results, valid = [], []
-        for i in range(len(pos)):
-            n = bounds[i + 1] - bounds[i]
-            p = np.asarray(pos.values[bounds[i]:bounds[i + 1]]).astype(np.int64)
-            qs = q.values[q_bounds[i]:q_bounds[i] + n]
-            ks = k.values[k_bounds[i]:k_bounds[i] + n]
-            vs = v.values[v_bounds[i]:v_bounds[i] + n]
-            has_q, has_k = np.asarray(qs.is_valid()), np.asarray(ks.is_valid())
-            valid.append(has_q)
-            if has_q.any():
-                results.append(
-                    _attend_one(
-                        p[has_q], _matrix(qs), p[has_k], _matrix(ks), _matrix(vs),
-                        n_kv_heads, head_dim, scale, clamp,
+    def __init__(self, pos, q, n_kv, head_dim, scale, clamp):
+        self.pos, self.n_kv, self.dim, self.scale, self.clamp = pos, n_kv, head_dim, scale, clamp
+        # (kv head, query, head of the group, component)
+        self.q = q.reshape(len(q), n_kv, -1, head_dim).transpose(1, 0, 2, 3)
+        self.top = np.full(self.q.shape[:3], -np.inf)
+        self.total = np.zeros(self.q.shape[:3])
+        self.mixed = np.zeros(self.q.shape)
+
+    def add(self, pos, k, v):
+        k = k.reshape(len(k), self.n_kv, self.dim).transpose(1, 2, 0)
+        v = v.reshape(len(v), self.n_kv, self.dim).transpose(1, 0, 2)
+        hidden = (pos[None, :] > self.pos[:, None])[:, None, :]
+        for h in range(self.n_kv):
+            s = self.q[h] @ k[h]
+            s *= self.scale
+            s[np.broadcast_to(hidden, s.shape)] = -np.inf
+            top = np.maximum(self.top[h], s.max(-1))
+            known = np.where(np.isfinite(top), top, 0.0)
+            e = np.exp(np.clip(s - known[..., None], -self.clamp, self.clamp))
+            e[np.broadcast_to(hidden, e.shape)] = 0.0
+            fade = np.where(np.isfinite(self.top[h]), np.exp(self.top[h] - known), 0.0)
+            self.total[h] = self.total[h] * fade + e.sum(-1)
+            self.mixed[h] = self.mixed[h] * fade[..., None] + e @ v[h]
+            self.top[h] = top
+
+    def result(self):
+        """A row of concatenated heads per query; zero where a query saw no key."""
+        total = np.where(self.total > 0, self.total, 1.0)
+        o = (self.mixed / total[..., None]).transpose(1, 0, 2, 3)
+        return o.reshape(len(self.pos), -1)
+
+
+def attention_kernel(config, key: str, kept: list[str], out: str):
+    """mapInArrow function over rows sorted by (key, _at, _kind, pos).
+
+    Rows of kind 0 are the queries of a block, with all columns; rows of kind 1 bring the
+    keys and values that the block sees. Gives the query rows with `kept` columns and `out`.
+    """
+    shape = config.n_kv_heads, config.head_dim, config.score_scale, config.exp_clamp
+
+    def finish(rows, block):
+        table = pa.Table.from_batches(rows).combine_chunks()
+        batch = table.to_batches()[0]
+        o = _vectors(block.result(), np.ones(batch.num_rows, bool))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), o], [*kept, out])
+
+    def opened(rows):
+        pos = np.concatenate([b.column("pos").to_numpy(zero_copy_only=False) for b in rows])
+        return _Block(pos, np.concatenate([_matrix(b.column("q")) for b in rows]), *shape)
+
+    def run(batches):
+        now, rows, block = None, [], None
+        for batch in batches:
+            names = batch.column(key).to_pylist()
+            ids = list(zip(names, batch.column("_at").to_pylist(), batch.column("_kind").to_pylist()))
+            start = 0
+            while start < len(ids):
+                end = start + 1
+                while end < len(ids) and ids[end] == ids[start]:
+                    end += 1
+                unit, part = ids[start][:2], batch.slice(start, end - start)
+                if unit != now:
+                    if rows:
+                        yield finish(rows, block or opened(rows))
+                    now, rows, block = unit, [], None
+                if ids[start][2] == 0:
+                    rows.append(part)
+                elif rows:
+                    block = block or opened(rows)
+                    block.add(
+                        part.column("pos").to_numpy(zero_copy_only=False), _matrix(part.column("k")), _matrix(part.column("v"))
                     )
-                )
-        flags = np.concatenate(valid) if valid else np.zeros(0, bool)
-        rows = np.concatenate(results) if results else np.zeros((0, 0))
-        return pa.ListArray.from_arrays(_offsets(np.diff(bounds)), _vectors(rows, flags))
+                start = end
+        if rows:
+            yield finish(rows, block or opened(rows))
 
-    return _once(attend)
+    return run

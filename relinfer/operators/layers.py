@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relinfer.config import ModelConfig
 from relinfer.functions import vector as V
 from relinfer.functions.kernels import attention_kernel
 from relinfer.operators.skew import lookup_join
 
+# Positions whose queries are held together in attention.
+ATTENTION_BLOCK = 512
+
 
 def embed(tokens: DataFrame, w_emb: DataFrame, table_bytes: int | None = None, out: str = "x") -> DataFrame:
-    """Look up the embedding row (row, w) of every token; unknown ids are dropped."""
+    """Look up the embedding row (row, w) of every token; an id without one is an error."""
     table = w_emb.select(F.col("row").alias("token"), F.col("w").alias(out))
-    return lookup_join(tokens, table, "token", "inner", table_bytes)
+    found = lookup_join(tokens, table, "token", "left", table_bytes)
+    message = F.concat(F.lit("no embedding for token "), F.coalesce(F.col("token").cast("string"), F.lit("null")))
+    return found.withColumn(out, F.coalesce(out, F.raise_error(message).cast("array<double>")))
 
 
 def scale_by(df: DataFrame, x: str, s: str, gain: Sequence[float] | str, out: str = "y") -> DataFrame:
@@ -52,7 +57,7 @@ def rope(
 def rope_join(
     df: DataFrame, table: DataFrame, head_dim: int, n_pos: int, vec: str = "vec", out: str = "vec"
 ) -> DataFrame:
-    """Rotary encoding through a rotary table; positions outside the table are dropped.
+    """Rotary encoding through a rotary table; positions outside the table give null.
 
     The table has n_pos * head_dim rows of 24 bytes, and half of them are used.
     """
@@ -62,7 +67,7 @@ def rope_join(
         F.array_sort(F.collect_list(F.struct("h_dim", "cos_val", "sin_val"))).alias("_r")
     ).withColumn("pos", F.col("pos").cast("bigint"))
     rows = lookup_join(
-        df.withColumn("pos", F.col("pos").cast("bigint")), packed, "pos", "inner",
+        df.withColumn("pos", F.col("pos").cast("bigint")), packed, "pos", "left",
         n_pos * head_dim * 24,
     )
 
@@ -76,7 +81,8 @@ def rope_join(
 
         return F.transform(v, component)
 
-    return rows.withColumn(out, V.lets([vec, "_r"], rotate)).drop("_r")
+    turned = F.when(F.col("_r").isNotNull(), V.lets([vec, "_r"], rotate))
+    return rows.withColumn(out, turned).drop("_r")
 
 
 def swiglu(df: DataFrame, gate: str, up: str, out: str = "h", clamp: float = 50.0) -> DataFrame:
@@ -84,29 +90,18 @@ def swiglu(df: DataFrame, gate: str, up: str, out: str = "h", clamp: float = 50.
     return df.withColumn(out, V.swiglu_vec(gate, up, clamp))
 
 
-def with_block(df: DataFrame, config: ModelConfig) -> DataFrame:
-    """Number of the model context a position falls in: 0 inside the rotary table."""
-    return df.withColumn("_block", F.floor(F.col("pos") / config.rope_positions).cast("int"))
-
-
-def by_sequence(df: DataFrame, config: ModelConfig, key: str = "seq_id") -> DataFrame:
-    """Partition rows by sequence and block.
+def by_sequence(df: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Partition rows by sequence.
 
     The number of partitions is the session's and not left to the optimizer,
-    since the work per row is far larger than its bytes suggest. A local session,
-    whose cores are known and few, gets at most four per core.
+    since the work per row is far larger than its bytes suggest.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    context = df.sparkSession.sparkContext
-    if context.master.startswith("local"):
-        partitions = min(partitions, 4 * context.defaultParallelism)
-    rows = df if "_block" in df.columns else with_block(df, config)
-    return rows.repartition(partitions, key, "_block")
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _sequences(df: DataFrame, columns: Sequence[str], key: str = "seq_id") -> DataFrame:
-    """One row per sequence and block; a block has at most `rope_positions` positions."""
-    return df.groupBy(key, "_block").agg(F.collect_list(F.struct(*columns)).alias("_rows"))
+    """One row per sequence."""
+    return df.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("_rows"))
 
 
 def _ordered(packed: DataFrame) -> DataFrame:
@@ -120,11 +115,11 @@ def attn_scores(
     """Scaled causal scores of every query: (key, pos, head, kpos[], val[]).
 
     `df` has (key, pos, q, k) with concatenated heads. The scores of one query
-    are a vector over the positions it sees; no row per pair is made. Positions
-    outside the rotary table have none.
+    are a vector over the positions it sees; no row per pair is made. A sequence is
+    one row here: this is the form to look at scores, `attend` the one for long sequences.
     """
     hd, group = config.head_dim, config.gqa_group
-    packed = _ordered(_sequences(with_block(df, config).where("_block = 0"), ["pos", "q", "k"], key))
+    packed = _ordered(_sequences(df, ["pos", "q", "k"], key))
     scored = F.transform("_rows", lambda r: _scores_of(r, hd, group, config))
     queries = packed.select(key, F.explode(scored).alias("_s"))
     return queries.select(
@@ -167,7 +162,7 @@ def attn_mix(
     concatenated heads.
     """
     hd, group = config.head_dim, config.gqa_group
-    values = _ordered(_sequences(with_block(kv, config).where("_block = 0"), ["pos", "v"], key))
+    values = _ordered(_sequences(kv, ["pos", "v"], key))
     queries = weights.groupBy(key, "head").agg(
         F.collect_list(F.struct("pos", F.col(weight).alias("w"))).alias("_q")
     )
@@ -203,30 +198,32 @@ def attend(
 ) -> DataFrame:
     """Scores, softmax and value mix in one pass; adds the concatenated heads `o`.
 
-    `df` has (key, pos, q, k, v) and any other columns, which are kept except q.
-    `cache` holds (key, pos, k, v) of earlier positions. A sequence is brought
-    together up to the model's context, in the one shuffle of a layer; positions
-    outside the rotary table have no encoding, so they get o = 0 and lose k and v.
+    `df` has (key, pos, q, k, v) and any other columns, which are kept except q; a
+    position occurs once. `cache` holds (key, pos, k, v) of earlier positions. There is no
+    limit on positions.
+
+    Positions are cut into blocks of ATTENTION_BLOCK. Each block of queries of a sequence
+    is a unit of work that reads the keys and values of its own and all earlier blocks,
+    sorted by position; it holds its queries and a batch of keys at a time. A
+    sequence of one block crosses the shuffle once; a longer one sends
+    a key to each later block that asks.
     """
-    carried = [c for c in df.columns if c not in (key, "pos", "_block", "q", "k", "v")]
-    rows = df if "_block" in df.columns else with_block(df, config)
-    inside = F.col("_block") == 0
-    rows = rows.withColumns({c: F.when(inside, F.col(c)) for c in ("q", "k", "v")})
-    rows = rows.withColumn("_new", F.lit(True))
+    kept = [c for c in df.columns if c != "q"]
+    rows = df.withColumn("_at", F.floor(F.col("pos") / ATTENTION_BLOCK).cast("int"))
+    queries = rows.withColumn("_kind", F.lit(0))
+    keys = rows.select(key, "pos", "k", "v", "_at")
     if cache is not None:
-        old = with_block(cache.select(key, "pos", "k", "v"), config).where(inside)
-        rows = rows.unionByName(old, allowMissingColumns=True)
-    packed = _sequences(
-        by_sequence(rows, config, key), ["pos", "q", "k", "v", "_new", *carried], key
-    )
-    kernel = attention_kernel(
-        config.n_kv_heads, config.head_dim, config.score_scale, config.exp_clamp
-    )
-    mixed = packed.withColumn("_o", kernel(*[F.col(f"_rows.{c}") for c in ("pos", "q", "k", "v")]))
-    pairs = mixed.select(key, "_block", F.explode(F.arrays_zip("_rows", "_o")).alias("_p"))
-    result = pairs.where("_p._rows._new").select(
-        key, F.col("_p._rows.pos").alias("pos"), "_block",
-        *[F.col(f"_p._rows.{c}").alias(c) for c in [*carried, "k", "v"]],
-        F.coalesce(F.col("_p._o"), V.vec_lit(np.zeros(config.q_dim))).alias(out),
+        old = cache.select(key, "pos", "k", "v")
+        keys = keys.unionByName(old.withColumn("_at", F.floor(F.col("pos") / ATTENTION_BLOCK).cast("int")))
+    # Which blocks of a sequence ask: a short array, combined before the shuffle.
+    asked = rows.groupBy(key).agg(F.collect_set("_at").alias("_ask"))
+    needed = keys.join(asked, key).withColumn(
+        "_at", F.explode(F.filter("_ask", lambda b: b >= F.col("_at")))
+    ).drop("_ask").withColumn("_kind", F.lit(1))
+    both = queries.unionByName(needed, allowMissingColumns=True)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return (
+        both.repartition(parts, key, "_at").sortWithinPartitions(key, "_at", "_kind", "pos")
+        .mapInArrow(attention_kernel(config, key, kept, out), schema)
     )
-    return result if "_block" in df.columns else result.drop("_block")

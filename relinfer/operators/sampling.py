@@ -24,9 +24,14 @@ def setting(value: Setting) -> Column:
 
 
 def with_params(df: DataFrame, params: SamplingParams | DataFrame, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
-    """Attach sampling settings: the same for all rows, or a table of them per key."""
+    """Attach sampling settings: the same for all rows, or a table of them per key.
+
+    A key without a row in the table, or with a null setting, gets the default.
+    """
     if isinstance(params, DataFrame):
-        return lookup_join(df, params, list(keys), "inner")
+        joined = lookup_join(df, params, list(keys), "left")
+        defaults = {k: v for k, v in vars(SamplingParams()).items() if k in params.columns}
+        return joined.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in defaults.items()})
     return df.withColumns({k: F.lit(v) for k, v in vars(params).items()})
 
 
@@ -47,14 +52,19 @@ def temperature(df: DataFrame, temp: Setting, val: str = "val", out: str = "t_va
 
 def softmax(
     df: DataFrame, keys: str | Sequence[str], val: str = "val", out: str = "prob",
-    clamp: float = 50.0,
+    clamp: float = 50.0, keep_total: bool = False,
 ) -> DataFrame:
-    """Softmax per group: exponents relative to the group maximum, limited to +-clamp."""
+    """Softmax per group: exponents relative to the group maximum, limited to +-clamp.
+
+    With `keep_total` the sum of a group's exponentials stays as `_total`; the greatest
+    probability of the group is 1 / _total.
+    """
     keys = as_list(keys)
     shifted = with_group_value(df, keys, _max=F.max(val))
     exps = shifted.withColumn("_e", V.clamped_exp(F.col(val) - F.col("_max"), clamp)).drop("_max")
     total = with_group_value(exps, keys, _total=F.sum("_e"))
-    return total.withColumn(out, F.col("_e") / F.col("_total")).drop("_e", "_total")
+    probs = total.withColumn(out, F.col("_e") / F.col("_total")).drop("_e")
+    return probs if keep_total else probs.drop("_total")
 
 
 def min_p_filter(
@@ -105,9 +115,11 @@ def filter_logits(
     val: str = "val", token: str = "token",
 ) -> DataFrame:
     """Temperature, softmax, min-p, top-k, top-p; probabilities are not re-normalised."""
-    probs = softmax(temperature(df, params.temp, val), keys, "t_val")
-    likely = top_k_filter(min_p_filter(probs, keys, params.min_p), keys, params.top_k, token=token)
-    return top_p_filter(likely, keys, params.top_p, token=token, bounded=True)
+    probs = softmax(temperature(df, params.temp, val), keys, "t_val", keep_total=True)
+    best = F.lit(1.0) / F.col("_total")
+    likely = probs.where(F.col("prob") >= best * setting(params.min_p)).drop("_total")
+    top = top_k_filter(likely, keys, params.top_k, token=token)
+    return top_p_filter(top, keys, params.top_p, token=token, bounded=True)
 
 
 def gumbel_sample(
@@ -132,12 +144,18 @@ def repetition_penalty(
     left alone. With `at`, the position column of `logits`, each position looks
     back from itself; without it, every sequence looks back from its end.
     """
+    value = F.col(val)
+    penalised = F.when(value <= 0, value * setting(pen)).otherwise(value / setting(pen))
     if at is None:
         placed = with_group_value(tokens, "seq_id", _end=F.max("pos"))
         recent = placed.where(
             (F.col("pos") >= F.col("_end") - window) & (F.col("token") > protected)
         ).select("seq_id", "token")
-        keys = ["seq_id", "token"]
+        # At most window + 1 ids per sequence: an array, so that logits are joined by sequence.
+        seen = recent.groupBy("seq_id").agg(F.collect_set("token").alias("_seen"))
+        marked = logits.join(seen, "seq_id", "left")
+        hit = F.coalesce(F.array_contains("_seen", F.col("token")), F.lit(False))
+        return marked.withColumn(val, F.when(hit, penalised).otherwise(value)).select(*logits.columns)
     else:
         reach = F.sequence(F.col("pos"), F.col("pos") + window)
         recent = tokens.where(F.col("token") > protected).select(
@@ -145,8 +163,6 @@ def repetition_penalty(
         )
         keys = ["seq_id", at, "token"]
     seen = recent.distinct().withColumn("_seen", F.lit(True))
-    value = F.col(val)
-    penalised = F.when(value <= 0, value * setting(pen)).otherwise(value / setting(pen))
     marked = logits.join(seen, keys, "left")
     return marked.withColumn(val, F.when(F.col("_seen"), penalised).otherwise(value)).drop("_seen").select(
         *logits.columns
@@ -216,13 +232,17 @@ def next_token(
         live = live.where(F.col("_last") < limit)
     live = live.select("seq_id", (F.col("_last") + 1).alias("pos"))
 
-    penalised = repetition_penalty(logits, tokens, window, params.rep_pen, protected)
-    survivors = filter_logits(penalised, params)
-    placed = survivors.join(live, "seq_id")
-    sampled = gumbel_sample(placed, ["seq_id", "pos"], seed)
+    if forced is not None:
+        # A forced token needs no logits.
+        given = live.join(forced.select("seq_id", "pos", "token"), ["seq_id", "pos"])
+        live = live.join(given, ["seq_id", "pos"], "left_anti")
+    asked = logits.join(live, "seq_id")
+    penalised = repetition_penalty(asked, tokens, window, params.rep_pen, protected)
+    sampled = gumbel_sample(filter_logits(penalised, params), ["seq_id", "pos"], seed)
     if forced is None:
         return sampled
-    return choose_token(forced, live.join(sampled, ["seq_id", "pos"], "left"))
+    missing = live.join(sampled, ["seq_id", "pos"], "left")
+    return given.select("seq_id", "pos", "token").unionByName(missing.select("seq_id", "pos", "token"))
 
 
 # ------------------------------------------------------------ vector form

@@ -73,34 +73,19 @@ def lookup_join(
     )
 
 
-def _measured_bytes(table: DataFrame) -> int:
-    """Size of a materialised table of scalar columns."""
-    texts = [f.name for f in table.schema.fields if f.dataType.typeName() in ("string", "binary")]
-    sums = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts]
-    rows, *lengths = table.agg(F.count(F.lit(1)), *sums).first()
-    return rows * (64 + 16 * len(table.columns)) + sum(lengths)
-
-
 def with_group_value(
     df: DataFrame, keys: str | Sequence[str], **aggregates: Column
 ) -> DataFrame:
     """Attach aggregates of its group to every row.
 
     Unlike a window over the keys this never brings a group together: the
-    aggregates are pre-combined before the shuffle, written to the shared folder
-    and joined back, by broadcast if their counted rows are few enough. Writing
-    them also keeps a chain of such steps from repeating its input.
+    aggregates are pre-combined before the shuffle and joined back. Nothing runs while the
+    plan is described; adaptive execution broadcasts the aggregates if their real size
+    allows, and else splits the partitions of hot keys in the join.
     """
     keys = as_list(keys)
-    grouped = cut(
-        df.groupBy(*keys).agg(
-            *[a.alias(name) for name, a in aggregates.items()], F.count(F.lit(1)).alias("_n")
-        )
-    )
-    size = _measured_bytes(grouped)
-    return lookup_join(
-        df, grouped.drop("_n"), keys, "inner", size, counts=grouped.select(*keys, "_n")
-    )
+    grouped = df.groupBy(*keys).agg(*[a.alias(name) for name, a in aggregates.items()])
+    return _join(df, grouped, keys, "inner")
 
 
 def running_sum(

@@ -7,6 +7,7 @@ fixed number of places, so that it can be compared with the SQL in
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,6 @@ PARAMS = SamplingParams()
 SEED = 42
 # Length of the sequences that consecutive embeddings form.
 SPAN = 16
-WORD_PATTERN = "[a-z]{1,32}"
 DOC_VOCAB = 1000
 
 
@@ -262,8 +262,11 @@ def temperature(spark, folder):
 
 
 def with_params(spark, folder):
+    """Temperatures of the users with an even number; the others have the default."""
     events = _event_logits(spark, folder)
-    params = events.groupBy("user_id").agg((F.count(F.lit(1)) % 3 * 0.25 + 0.5).alias("temp"))
+    params = events.where("user_id % 2 = 0").groupBy("user_id").agg(
+        (F.count(F.lit(1)) % 3 * 0.25 + 0.5).alias("temp")
+    )
     out = S.temperature(S.with_params(events, params, ["user_id"]), "temp", "value")
     return out.select("token", "user_id", F.round("t_val", 6).alias("t_val"))
 
@@ -344,10 +347,7 @@ def item_tokens(spark, folder, size=WIDE.vocab_size):
 
 
 def vocab_build(spark, folder):
-    out = T.build_vocab(
-        read(spark, folder, "documents"), DOC_VOCAB, pattern=WORD_PATTERN, lower=True
-    )
-    return big(out, "token", "n")
+    return big(T.build_vocab(read(spark, folder, "documents"), DOC_VOCAB), "token", "n")
 
 
 def load_vocab(spark, folder):
@@ -359,22 +359,26 @@ def load_vocab(spark, folder):
 
 def encode(spark, folder):
     docs = read(spark, folder, "documents")
-    vocab = T.build_vocab(docs, DOC_VOCAB, pattern=WORD_PATTERN, lower=True)
-    out = T.encode(
-        docs, vocab, ("doc_id",), unk_id=DOC_VOCAB, vocab_size=DOC_VOCAB, pattern=WORD_PATTERN,
-        lower=True,
-    )
+    vocab = T.build_vocab(docs, DOC_VOCAB)
+    out = T.encode(docs, vocab, ("doc_id",), unk_id=DOC_VOCAB, vocab_size=DOC_VOCAB)
     return big(out, "pos", "token")
 
 
 def decode_text(spark, folder):
     docs = read(spark, folder, "documents")
-    vocab = T.build_vocab(docs, DOC_VOCAB, pattern=WORD_PATTERN, lower=True)
+    vocab = T.build_vocab(docs, DOC_VOCAB)
     tokens = T.encode(
-        docs.withColumnRenamed("doc_id", "seq_id"), vocab, unk_id=DOC_VOCAB, vocab_size=DOC_VOCAB,
-        pattern=WORD_PATTERN, lower=True,
+        docs.withColumnRenamed("doc_id", "seq_id"), vocab, unk_id=DOC_VOCAB, vocab_size=DOC_VOCAB
     )
-    return T.decode(tokens, vocab, vocab_size=DOC_VOCAB, sep=" ")
+    return T.decode(tokens, vocab, vocab_size=DOC_VOCAB)
+
+
+def text_round_trip(spark, folder):
+    """Documents cut into tokens and joined again, with a vocabulary of all their tokens."""
+    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("seq_id"), "text")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(T.TOKEN_PATTERN), F.lit(0))).alias("text"))
+    vocab = words.distinct().select(F.xxhash64("text").alias("token"), "text")
+    return T.decode(T.encode(docs, vocab, unk_id=-1), vocab)
 
 
 def chat_render(spark, folder):
@@ -476,6 +480,22 @@ def sampled_generate(spark, folder):
     return big(out, "token")
 
 
+def generate_unknown(spark, folder):
+    """Greedy continuation of prompts in which every rarer token lies outside the vocabulary."""
+    model = Model(replace(TINY, unk_token=T.UNK_ID), _model(spark, TINY).weights)
+    tokens = _prompt_tokens(spark, folder).withColumn(
+        "token", F.when(F.col("token") > 200, F.col("token") + 1000).otherwise(F.col("token")).cast("int")
+    )
+    return big(M.generate(tokens, model, PARAMS.greedy(), 2, SEED), "token")
+
+
+def long_attention(spark, folder):
+    """Attention over all tokens of the conversations, which are longer than its blocks."""
+    model = _model(spark, TINY)
+    x = M.attention(M.embedded(_chat_tokens(spark, folder), model), model, 0)
+    return long(x, "x", ("seq_id", "pos"))
+
+
 def answer_items(spark, folder):
     vocab = _item_vocab(spark, folder, TINY.vocab_size)
     tokens = _prompt_tokens(spark, folder)
@@ -494,6 +514,7 @@ QUERIES = {
         gumbel_sample, filter_logits, vocab_build, load_vocab, encode, decode_text, chat_render,
         chat_tokens, prompt_lengths, repetition_penalty, repetition_penalty_at, stop_rules,
         next_token, choose_token, embed, embed_joined, block_forward, model_logits,
-        greedy_generate, sampled_generate, answer_items,
+        greedy_generate, sampled_generate, answer_items, generate_unknown, long_attention,
+        text_round_trip,
     )
 }

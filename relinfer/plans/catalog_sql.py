@@ -252,8 +252,9 @@ SAMPLING = {
     "softmax_hot": query([EV, ("p", softmax("ev", "event_type", "value"))], f"SELECT token, event_type, {PROB9} FROM p"),
     "temperature": f"SELECT event_id AS token, {rnd('value / ' + str(PARAMS.temp))} AS t_val FROM events",
     "with_params": query(
-        [("p", "SELECT user_id, count(*) % 3 * 0.25::DOUBLE + 0.5 AS temp FROM events GROUP BY user_id")],
-        f"SELECT event_id AS token, user_id, {rnd('value / temp')} AS t_val FROM events JOIN p USING (user_id)",
+        [("p", "SELECT user_id, count(*) % 3 * 0.25::DOUBLE + 0.5 AS temp FROM events WHERE user_id % 2 = 0 GROUP BY user_id")],
+        f"SELECT event_id AS token, user_id, {rnd(f'value / coalesce(temp, {PARAMS.temp})')} AS t_val"
+        " FROM events LEFT JOIN p USING (user_id)",
     ),
     "min_p": query(
         [EV, ("p", softmax("ev", "user_id", "t_val")), ("m", best("p", "user_id"))],
@@ -327,8 +328,8 @@ def item_tokens(size: int) -> list[tuple[str, str]]:
     return [ITEMS, *vocab("items", size), *tokens("items")]
 
 
-def lower_words(size: int) -> list[tuple[str, str]]:
-    split = words("lower(text)", "[a-z]{1,32}")
+def doc_words(size: int) -> list[tuple[str, str]]:
+    split = words("text", PATTERN)
     return [
         ("dw", f"SELECT doc_id, unnest({split}) AS w, generate_subscripts({split}, 1) - 1 AS pos FROM documents"),
         ("dc", f"SELECT w, count(*) AS n FROM dw GROUP BY w ORDER BY n DESC, w LIMIT {size}"),
@@ -353,14 +354,15 @@ RAW_TURNS = ("raw", "SELECT text FROM conversations")
 CHAT_TOKENS = [*SEGMENTS, RAW_TURNS, *vocab("raw", TINY.vocab_size), *tokens("chat")]
 
 TEXT = {
-    "vocab_build": query(lower_words(DOC_VOCAB), "SELECT token, text, n FROM dv"),
+    "vocab_build": query(doc_words(DOC_VOCAB), "SELECT token, text, n FROM dv"),
     "load_vocab": "SELECT doc_id AS token, replace(replace('Ġ' || lang || 'Ċ' || text, 'Ġ', ' '), 'Ċ', chr(10)) AS text FROM documents",
-    "encode": query(lower_words(DOC_VOCAB), "SELECT doc_id, pos, token FROM dt"),
+    "encode": query(doc_words(DOC_VOCAB), "SELECT doc_id, pos, token FROM dt"),
     "decode_text": query(
-        lower_words(DOC_VOCAB),
-        "SELECT doc_id AS seq_id, string_agg(text, ' ' ORDER BY pos) AS text"
+        doc_words(DOC_VOCAB),
+        "SELECT doc_id AS seq_id, string_agg(text, '' ORDER BY pos) AS text"
         " FROM dt JOIN dv USING (token) GROUP BY doc_id",
     ),
+    "text_round_trip": "SELECT doc_id AS seq_id, text FROM documents WHERE text <> ''",
     "chat_render": query(SEGMENTS, "SELECT seq_id AS conv_id, text AS prompt FROM chat"),
     "chat_tokens": query(CHAT_TOKENS, "SELECT seq_id, pos, token FROM toks"),
     "prompt_lengths": query(
@@ -457,7 +459,8 @@ def block(x: str, layer: int, p: str) -> list[tuple[str, str]]:
 
 
 def embedding(toks: str) -> str:
-    return f"SELECT seq_id, pos, i, {element('emb', 0, 'token', 'i')} AS val FROM {toks}, range({TINY.hidden}) t(i)"
+    known = f"(CASE WHEN token < {TINY.vocab_size} THEN token ELSE {UNK_ID} END)"
+    return f"SELECT seq_id, pos, i, {element('emb', 0, known, 'i')} AS val FROM {toks}, range({TINY.hidden}) t(i)"
 
 
 def stack(toks: str, p: str) -> list[tuple[str, str]]:
@@ -472,9 +475,9 @@ PROMPT = item_tokens(TINY.vocab_size)
 XPOS = f"SELECT seq_id, pos, i, {rnd('val')} AS val FROM "
 
 
-def generation(steps: int, top_k: int) -> list[tuple[str, str]]:
+def generation(steps: int, top_k: int, start: str = "SELECT * FROM toks") -> list[tuple[str, str]]:
     """Decode steps unrolled, each with a full pass and no cache; ends in `t{steps}`."""
-    ctes = [*PROMPT, ("t0", "SELECT * FROM toks")]
+    ctes = [*PROMPT, ("t0", start)]
     for s in range(steps):
         t, p = f"t{s}", f"s{s}"
         ctes += stack(t, p)
@@ -507,6 +510,14 @@ MODEL = {
         f"SELECT seq_id, pos, i AS token, {rnd('val')} AS val FROM y",
     ),
     "greedy_generate": query(generation(STEPS, 1), f"SELECT seq_id, pos, token FROM t{STEPS}"),
+    "generate_unknown": query(
+        generation(2, 1, "SELECT seq_id, pos, CASE WHEN token > 200 THEN token + 1000 ELSE token END AS token FROM toks"),
+        "SELECT seq_id, pos, token FROM t2",
+    ),
+    "long_attention": query(
+        [*CHAT_TOKENS, ("e", embedding("toks")), *block("e", 0, "b")],
+        XPOS + "ba",
+    ),
     "sampled_generate": query(
         generation(STEPS, PARAMS.top_k), f"SELECT seq_id, pos, token FROM t{STEPS}"
     ),

@@ -10,11 +10,11 @@ from pyspark.sql import types as T
 
 from relinfer.config import SamplingParams
 from relinfer.functions import vector as V
-from relinfer.operators.layers import attend, by_sequence, embed, with_block
+from relinfer.operators.layers import attend, by_sequence, embed
 from relinfer.operators.sampling import gumbel_vec, penalise_vec, survivors_vec
 from relinfer.operators.skew import with_group_value
 from relinfer.operators.tensor import linear_column, linear_join, linears, to_rows, transpose_matrix
-from relinfer.session import cut, new_table_path
+from relinfer.session import cut, drop_table, new_table_path
 from relinfer.sources.weights import Model
 
 # Layers in one query plan; after that many the activations are written out.
@@ -73,20 +73,28 @@ def _groups(model: Model, layers_per_job: int) -> list[range]:
 def layers(df: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> DataFrame:
     """All layers, without keeping keys and values."""
     groups = _groups(model, layers_per_job)
-    if "_block" not in df.columns:
-        df = with_block(df, model.config)
     for group in groups:
         for layer in group:
             df = _layer(df, model, layer).drop("k", "v")
         if group is not groups[-1]:
             df = cut(df)
-    return df.drop("_block")
+    return df
 
 
 def embedded(tokens: DataFrame, model: Model) -> DataFrame:
-    """Token rows with their embedding x, partitioned while they are still small."""
-    rows = by_sequence(tokens, model.config)
-    return embed(rows, model.rows("emb"), model.config.matrix_bytes("emb"))
+    """Token rows with their embedding x, partitioned while they are still small.
+
+    An id outside the vocabulary keeps its row and place: it is embedded as the
+    configured `unk_token`, or, without one, is an error.
+    """
+    rows = by_sequence(tokens)
+    unk = model.config.unk_token
+    if unk is None:
+        return embed(rows, model.rows("emb"), model.config.matrix_bytes("emb"))
+    inside = F.coalesce(F.col("token").between(0, model.config.vocab_size - 1), F.lit(False))
+    mapped = rows.withColumn("_id", F.col("token")).withColumn("token", F.when(inside, F.col("token")).otherwise(unk))
+    found = embed(mapped, model.rows("emb"), model.config.matrix_bytes("emb"))
+    return found.withColumn("token", F.col("_id")).drop("_id")
 
 
 def logits_vec(df: DataFrame, model: Model, out: str = "logits") -> DataFrame:
@@ -179,6 +187,10 @@ class State:
     def tokens(self) -> DataFrame:
         return self.read(len(self.groups) - 1).select("seq_id", "pos", "token")
 
+    def drop(self) -> None:
+        """Delete all tables of the run; what was read from them can't be computed any more."""
+        drop_table(self.spark, self.root)
+
 
 def init_state(spark: SparkSession, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> State:
     """An empty state of its own for each run; nothing is deleted or reused."""
@@ -189,8 +201,6 @@ def init_state(spark: SparkSession, model: Model, layers_per_job: int = LAYERS_P
 def _stored_layers(df: DataFrame, model: Model, state: State) -> DataFrame:
     """All layers over new rows (seq_id, pos, token, last, recent, x), into the state."""
     for number, group in enumerate(state.groups):
-        if "_block" not in df.columns:
-            df = by_sequence(df, model.config)
         for layer in group:
             df = _layer(df, model, layer, state.cache(layer)).withColumnsRenamed(
                 {"k": f"k{layer}", "v": f"v{layer}"}
@@ -264,9 +274,13 @@ def decode_step(
     """
     cfg = model.config
     live = frontier.where(~F.col("token").isin(*cfg.stop_tokens))
-    if max_pos is not None:
-        limits = max_pos.select("seq_id", "max_pos")
-        live = live.join(limits, "seq_id").where("pos < max_pos").drop("max_pos")
+    if max_pos is None:
+        live = live.where(F.col("pos") < params.max_pos)
+    else:
+        limits = max_pos.select("seq_id", F.col("max_pos").alias("_limit"))
+        live = live.join(limits, "seq_id", "left").where(
+            F.col("pos") < F.coalesce("_limit", F.lit(params.max_pos))
+        ).drop("_limit")
     new = sample_next(live, model, params, seed)
     if forced is not None:
         given = forced.select("seq_id", "pos", F.col("token").cast("int").alias("_forced"))
@@ -286,17 +300,18 @@ def decode_step(
 def generate(
     tokens: DataFrame, model: Model, params: SamplingParams, max_new: int, seed: int = 0,
     max_pos: DataFrame | None = None, forced: DataFrame | None = None,
-    layers_per_job: int = LAYERS_PER_JOB, compact_every: int = 16,
+    layers_per_job: int = LAYERS_PER_JOB, compact_every: int = 16, state: State | None = None,
 ) -> DataFrame:
     """Continue every prompt (seq_id, pos, token) by up to `max_new` tokens.
 
     Returns all tokens (seq_id, pos, token), the prompt's included. A sequence
-    ends after a stop token, which is kept, or at its `max_pos`. `forced` gives
+    ends after a stop token, which is kept, or at its `max_pos`, for which `params`
+    has the default. `forced` gives
     tokens (seq_id, pos, token) that replace the sampled ones. The driver only
-    starts the steps; it stops when no sequence is live.
+    starts the steps; it stops when no sequence is live. The result is read from the
+    state; a caller that gives its own (of `init_state`) can drop it after use.
     """
-    spark = tokens.sparkSession
-    state = init_state(spark, model, layers_per_job)
+    state = state or init_state(tokens.sparkSession, model, layers_per_job)
     frontier = prefill(tokens, model, state)
     for step in range(max_new):
         frontier = decode_step(frontier, model, params, state, seed, max_pos, forced)

@@ -18,12 +18,13 @@ SYSTEM_PROMPT = "You are a helpful AI assistant named SmolLM, trained by Hugging
 SPECIALS = ("<|endoftext|>", TURN_OPEN, TURN_CLOSE, "<unk>")
 UNK_ID = 3
 
-# Token pattern of the corpus tokenizer: chat markup, newlines, pieces of words,
-# digits, other signs. No token is longer than 32 characters.
-TOKEN_PATTERN = r"<\|im_start\|>|<\|im_end\|>|\n|[A-Za-z]{1,32}|[0-9]|[^A-Za-z0-9\s]"
+# Token pattern of the corpus tokenizer: chat markup, newlines, words with the space in
+# front of them, digits, other signs, other white space. Every character is in one token.
+TOKEN_PATTERN = r"<\|im_start\|>|<\|im_end\|>|\n| ?\p{L}+|\p{N}|[^ \t\n\r\f\p{L}\p{N}]|[ \t\r\f]"
 
-# Upper bound of the bytes of a vocabulary row, given the longest token.
+# Bytes of a vocabulary row in a broadcast, and of the longest text that keeps to it.
 VOCAB_ROW_BYTES = 256
+VOCAB_TEXT_BYTES = 192
 
 
 def load_vocab(df: DataFrame, token: str = "token", text: str = "text") -> DataFrame:
@@ -35,6 +36,23 @@ def load_vocab(df: DataFrame, token: str = "token", text: str = "text") -> DataF
     )
 
 
+def _lookup(words: DataFrame, vocab: DataFrame, unk_id: int, vocab_size: int | None) -> DataFrame:
+    """words (.., _w) with their token; of several ids of a text, the least.
+
+    With the known limit of its rows the vocabulary is broadcast, and a text too long for
+    the bound that this rests on is an error; without the limit the join is skew-safe.
+    """
+    known = vocab.groupBy(F.col("text").alias("_w")).agg(F.min("token").alias("token"))
+    if vocab_size is None:
+        found = lookup_join(words, known, "_w", "left")
+    else:
+        fits = F.octet_length("_w") <= VOCAB_TEXT_BYTES
+        stop = F.raise_error(F.lit("a vocabulary text is too long to broadcast; leave out vocab_size")).cast("string")
+        checked = known.withColumn("_w", F.when(fits, F.col("_w")).otherwise(stop))
+        found = lookup_join(words, checked, "_w", "left", vocab_size * VOCAB_ROW_BYTES)
+    return found.withColumn("token", F.coalesce("token", F.lit(unk_id))).drop("_w")
+
+
 def build_vocab(
     docs: DataFrame, max_size: int, text: str = "text", pattern: str = TOKEN_PATTERN,
     specials: Sequence[str] = (), lower: bool = False,
@@ -72,18 +90,14 @@ def encode(
 ) -> DataFrame:
     """Text to (keys, pos, token); a word that is not in the vocabulary gets `unk_id`.
 
-    `vocab_size` is the known limit of the vocabulary's rows (of tokens no longer
-    than the pattern allows); with it the vocabulary is broadcast, without it the
-    join is skew-safe.
+    `vocab_size` is the known limit of the vocabulary's rows; with it the vocabulary is
+    broadcast, without it the join is skew-safe.
     """
     source = F.lower(text) if lower else F.col(text)
     words = df.select(
         *keys, F.posexplode(F.regexp_extract_all(source, F.lit(pattern), F.lit(0))).alias("pos", "_w")
     )
-    known = vocab.select(F.col("text").alias("_w"), "token")
-    bound = None if vocab_size is None else vocab_size * VOCAB_ROW_BYTES
-    found = lookup_join(words, known, "_w", "left", bound)
-    return found.select(*keys, "pos", F.coalesce("token", F.lit(unk_id)).alias("token"))
+    return _lookup(words, vocab, unk_id, vocab_size).select(*keys, "pos", "token")
 
 
 def chat_segments(
@@ -168,10 +182,7 @@ def encode_chat(
     words = segments.join(starts, [key, "turn"]).select(
         F.col(key).alias("seq_id"), "_start", F.posexplode("_words").alias("_i", "_w")
     ).select("seq_id", (F.col("_start") + F.col("_i")).alias("pos"), "_w")
-    known = vocab.select(F.col("text").alias("_w"), "token")
-    bound = None if vocab_size is None else vocab_size * VOCAB_ROW_BYTES
-    found = lookup_join(words, known, "_w", "left", bound)
-    return found.select("seq_id", "pos", F.coalesce("token", F.lit(unk_id)).alias("token"))
+    return _lookup(words, vocab, unk_id, vocab_size).select("seq_id", "pos", "token")
 
 
 def make_prompts(tokens: DataFrame, max_new: int) -> DataFrame:

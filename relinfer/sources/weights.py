@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from relinfer.operators.tensor import Matrix
 
 LAYER_TENSORS = ("norm", "q", "k", "v", "o", "ffn_norm", "gate", "up", "down")
 GLOBAL_TENSORS = ("emb", "out", "out_norm")
+CONFIG_FOLDER = "_config"
 
 
 @dataclass
@@ -85,9 +88,25 @@ class Model:
             self._cache[tensor, layer] = matrix[0] if single else Matrix(matrix)
 
 
-def save_weights(weights: DataFrame, path: str) -> None:
-    """Write a weight table, partitioned so that a scan reads one tensor of one layer."""
+def save_weights(weights: DataFrame, path: str, config: ModelConfig | None = None) -> None:
+    """Write a weight table, partitioned so that a scan reads one tensor of one layer.
+
+    The configuration goes next to it, into a folder that table scans pass over.
+    """
     weights.repartition("tensor", "layer").write.partitionBy("tensor", "layer").parquet(path)
+    if config:
+        row = [(json.dumps(vars(config)),)]
+        weights.sparkSession.createDataFrame(row, "value string").coalesce(1).write.text(f"{path}/{CONFIG_FOLDER}")
+
+
+def load_config(spark: SparkSession, path: str) -> ModelConfig | None:
+    """The configuration stored with a weight table; None if there is none."""
+    try:
+        text = spark.read.text(f"{path}/{CONFIG_FOLDER}").first().value
+    except AnalysisException:
+        return None
+    values = json.loads(text)
+    return ModelConfig(**values | {"stop_tokens": tuple(values["stop_tokens"])})
 
 
 def infer_config(weights: DataFrame, head_dim: int = 64, **constants) -> ModelConfig:
@@ -108,14 +127,14 @@ def infer_config(weights: DataFrame, head_dim: int = 64, **constants) -> ModelCo
 def load_weights(spark: SparkSession, path: str, config: ModelConfig | None = None) -> Model:
     """Read a weight table, widen it to double and check it.
 
-    Without a configuration the dimensions are read off the shapes; the
-    constants are then the defaults.
+    Without a configuration, the one stored with the weights is taken; if there is none,
+    the dimensions are read off the shapes and the constants are the defaults.
     """
     weights = spark.read.parquet(path).select(
         F.col("tensor").cast("string").alias("tensor"), F.col("layer").cast("int").alias("layer"),
         F.col("row").cast("int").alias("row"), F.col("w").cast("array<double>").alias("w"),
     )
-    config = config or infer_config(weights)
+    config = config or load_config(spark, path) or infer_config(weights)
     check_weights(weights, config)
     return Model(config, weights)
 

@@ -3,44 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from relinfer.config import SamplingParams
-from relinfer.plans.model import generate
+from relinfer.plans.model import State, generate, init_state
 from relinfer.session import cut
-from relinfer.sources.text import decode, encode, make_prompts
+from relinfer.sources.text import SYSTEM_PROMPT, decode, encode, encode_chat, make_prompts
 from relinfer.sources.weights import Model
 
 
 def answer_prompts(
     prompts: DataFrame, model: Model, vocab: DataFrame, params: SamplingParams, max_new: int,
-    seed: int = 0,
+    seed: int = 0, system_prompt: str | None = SYSTEM_PROMPT, chat: bool = True,
+    state: State | None = None,
 ) -> DataFrame:
-    """Prompts (seq_id, text) to generated text (seq_id, text)."""
+    """Prompts (seq_id, text) to generated text (seq_id, text).
+
+    A prompt is wrapped as the user's turn of a chat, with the system prompt in front and
+    the assistant's turn opened; `chat=False` continues the text itself. The answers are read
+    from the run's state, which a caller that gives one can drop once they are stored.
+    """
     size = model.config.vocab_size
-    tokens = cut(encode(prompts, vocab, vocab_size=size))
-    log = generate(tokens, model, params, max_new, seed)
+    if chat:
+        turns = prompts.select(
+            F.col("seq_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text"
+        )
+        tokens = cut(encode_chat(turns, vocab, vocab_size=size, system_prompt=system_prompt))
+    else:
+        tokens = cut(encode(prompts, vocab, vocab_size=size))
+    log = generate(tokens, model, params, max_new, seed, state=state)
     return decode(log, vocab, make_prompts(tokens, max_new), vocab_size=size)
 
 
 def stream_generate(
     prompts_stream: DataFrame, model: Model, vocab: DataFrame, params: SamplingParams,
     sink: str, checkpoint: str, max_new: int, seed: int = 0,
+    system_prompt: str | None = SYSTEM_PROMPT, chat: bool = True, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Answer every prompt of a stream (seq_id, text) into a Parquet folder.
 
     A prompt is completed within its micro-batch. Each batch overwrites its own
     partition `batch_id=N`, and sampling is a function of seed, sequence and
-    position, so a replayed batch changes nothing.
+    position, so a replayed batch changes nothing. `trigger` has the options of the
+    writer's trigger; by default all that is there is answered. The state of a batch is
+    deleted when its answers are written.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        answers = answer_prompts(batch, model, vocab, params, max_new, seed)
+        state = init_state(batch.sparkSession, model)
+        answers = answer_prompts(batch, model, vocab, params, max_new, seed, system_prompt, chat, state)
         answers.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        state.drop()
 
     return (
         prompts_stream.writeStream.foreachBatch(answer)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

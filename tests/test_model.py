@@ -45,18 +45,21 @@ def test_later_positions_do_not_leak(model, prompts):
     assert all(np.allclose(r.logits, whole[r.seq_id, r.pos], atol=1e-12) for r in short)
 
 
-def test_positions_outside_the_rotary_table(spark, model, prompts):
-    """They get no attention and are not attended to; the feed-forward part still runs."""
-    short = Model(dataclasses.replace(SMALL, rope_positions=4), model.weights)
-    got = {(r.seq_id, r.pos): r.logits for r in M.forward(prompts, short).collect()}
+@pytest.mark.parametrize("block", [2, 3, 64])
+def test_attention_in_blocks_equals_brute_force(model, prompts, monkeypatch, block):
+    """Sequences of several blocks: every position attends to all before it."""
+    monkeypatch.setattr(L, "ATTENTION_BLOCK", block)
+    got = {(r.seq_id, r.pos): r.logits for r in M.forward(prompts, model).collect()}
+    assert len(got) == prompts.count()
+    for s, tokens in prompt_lists(prompts).items():
+        assert np.allclose(got[s, len(tokens) - 1], R.logits(model, tokens), atol=1e-12)
+    out = prompt_lists(M.generate(prompts, model, GREEDY, 3))
     for s, tokens in prompt_lists(prompts).items():
-        assert np.allclose(got[s, len(tokens) - 1], R.logits(short, tokens), atol=1e-12)
+        assert out[s] == R.greedy(model, tokens, 3)
 
 
-def test_one_shuffle_per_layer(model, prompts):
-    """One for the tokens while they are small, then one for each attention."""
+def test_no_pairs_and_no_row_udf_in_the_layers(model, prompts):
     text = plan(M.layers(M.embedded(prompts, model), model))
-    assert text.count("Exchange hashpartitioning") <= 1 + SMALL.n_layers
     assert "BatchEvalPython" not in text and "CartesianProduct" not in text
 
 
@@ -94,9 +97,39 @@ def test_both_length_limits(spark, model, prompts):
     assert len(out[1]) <= 6 and len(out[2]) <= 5 and len(out[3]) <= 8
 
 
-def test_unknown_token_is_dropped(spark, model):
-    tokens = spark.createDataFrame([(1, 0, 5), (1, 1, 999)], "seq_id bigint, pos bigint, token int")
-    assert M.forward(tokens, model).count() == 1
+def test_unknown_token_is_an_error_or_the_unknown_one(spark, model):
+    tokens = spark.createDataFrame([(1, 0, 5), (1, 1, 999), (2, 0, 999)], "seq_id bigint, pos bigint, token int")
+    with pytest.raises(Exception, match="no embedding for token 999"):
+        M.forward(tokens, model).collect()
+    lenient = Model(dataclasses.replace(SMALL, unk_token=3), model.weights)
+    out = prompt_lists(M.generate(tokens, lenient, GREEDY, 2))
+    for s, log in ((1, [5, 3]), (2, [3])):
+        assert out[s][:len(log)] == [t if t != 3 else 999 for t in log]
+        assert out[s][len(log):] == R.greedy(model, log, 2)[len(log):]
+
+
+def test_keys_of_the_log_are_unique(model, prompts):
+    log = M.generate(prompts, model, GREEDY, 3)
+    assert log.groupBy("seq_id", "pos").count().where("count > 1").isEmpty()
+
+
+def test_default_length_limit(model, prompts):
+    out = prompt_lists(M.generate(prompts, model, SamplingParams(max_pos=5).greedy(), 3))
+    assert [len(out[s]) for s in (1, 3)] == [6, 7] or len(out[1]) <= 6
+
+
+def test_state_can_be_dropped(spark, model, prompts):
+    state = M.init_state(spark, model)
+    assert M.generate(prompts, model, GREEDY, 1, state=state).count() > prompts.count()
+    state.drop()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        state.tokens().count()
+
+
+def test_constants_are_stored_with_the_weights(spark, model, tmp_path):
+    config = dataclasses.replace(SMALL, rms_eps=1e-6, rope_theta=1e4, unk_token=3)
+    save_weights(model.weights, str(tmp_path / "w"), config)
+    assert load_weights(spark, str(tmp_path / "w")).config == config
 
 
 def test_penalty_window_slides_with_generation(spark, model):
@@ -159,7 +192,7 @@ def test_rope_table_and_join(spark):
     assert len(rows) == 48 and rows[3, 4].cos_val == pytest.approx(np.cos(3 * 100000.0 ** (-4 / 8)))
     df = spark.createDataFrame([(p, [float(i) for i in range(16)]) for p in range(8)], "pos int, vec array<double>")
     got = {r.pos: r.vec for r in L.rope_join(df, table, 8, 6).collect()}
-    assert sorted(got) == list(range(6))
+    assert sorted(got) == list(range(8)) and got.pop(6) is None and got.pop(7) is None
     for p, vec in got.items():
         assert vec == pytest.approx(list(R.rotate(np.arange(16.0), p, 8)))
 

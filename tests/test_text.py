@@ -46,9 +46,9 @@ def test_parts_make_up_the_whole(spark, conv, vocab):
 
 
 def test_vocabulary_order_and_limit(spark):
-    docs = spark.createDataFrame([("b a b c",), ("a b d",)], ["text"])
+    docs = spark.createDataFrame([("b-a-b-c",), ("a-b-d",)], ["text"])
     full = T.build_vocab(docs, 10, specials=["<x>"]).orderBy("token").collect()
-    assert [(r.token, r.text) for r in full] == [(0, "<x>"), (1, "b"), (2, "a"), (3, "c"), (4, "d")]
+    assert [(r.token, r.text) for r in full] == [(0, "<x>"), (1, "-"), (2, "b"), (3, "a"), (4, "c"), (5, "d")]
     assert T.build_vocab(docs, 3, specials=["<x>"]).count() == 3
 
 
@@ -72,9 +72,31 @@ def test_unknown_words(spark, vocab):
         assert [t.token == T.UNK_ID for t in tokens] == [False, True]
 
 
-def test_long_words_are_cut_not_dropped(spark, vocab):
-    docs = spark.createDataFrame([(1, "a" * 70)], ["seq_id", "text"])
-    assert T.encode(docs, vocab).count() == 3
+def test_every_character_comes_back(spark):
+    texts = [
+        "hello world, the größe is 12.5 km", "  two  spaces\t\n\n end ", "中文 é\u00a0x \x0b\r\n", "a" * 70,
+        "<|im_start|>user\nHi <|im_end|>\n", " ",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), ["seq_id", "text"])
+    raw = docs.select(F.explode(F.regexp_extract_all("text", F.lit(T.TOKEN_PATTERN), F.lit(0))).alias("text"))
+    vocab = raw.distinct().select(F.xxhash64("text").alias("token"), "text")
+    assert by_key(T.decode(T.encode(docs, vocab, unk_id=-1), vocab), "seq_id", "text") == dict(enumerate(texts))
+
+
+def test_loaded_vocabulary_encodes_words_with_their_space(spark):
+    raw = spark.createDataFrame([(4, "Hello"), (5, "Ġworld"), (6, "Ċ"), (9, "Ġworld")], ["token", "text"])
+    docs = spark.createDataFrame([(1, "Hello world\n")], ["seq_id", "text"])
+    for size in (None, 8):
+        tokens = T.encode(docs, T.load_vocab(raw), vocab_size=size).orderBy("pos").collect()
+        assert [t.token for t in tokens] == [4, 5, 6]
+
+
+def test_a_text_over_the_broadcast_bound_is_an_error(spark):
+    vocab = spark.createDataFrame([(5, "a" * 300)], ["token", "text"])
+    docs = spark.createDataFrame([(1, "a" * 300)], ["seq_id", "text"])
+    assert T.encode(docs, vocab).first().token == 5
+    with pytest.raises(Exception, match="too long to broadcast"):
+        T.encode(docs, vocab, vocab_size=1).collect()
 
 
 def test_empty_prompt_has_no_rows(spark, vocab):
