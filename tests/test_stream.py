@@ -1,6 +1,9 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from relinfer.config import SamplingParams
+from relinfer.session import shared_dir
 from relinfer.sources import text as T
 from relinfer.sources.weights import formula_model
 from relinfer.streaming.serve import answer_prompts, stream_generate
@@ -21,8 +24,13 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path):
         query.awaitTermination()
         return sorted((r.seq_id, r.text) for r in spark.read.parquet(sink).collect())
 
+    def states():
+        return set(Path(shared_dir(spark).removeprefix("file:")).glob("relinfer-state-*"))
+
+    before = states()
     streamed = run("first")
     assert len(spark.read.parquet(sink).select("batch_id").distinct().collect()) == 2
+    assert states() == before
     batch = answer_prompts(items.where("seq_id < 8"), model, vocab, SamplingParams(), 2, seed=3)
     assert streamed == sorted((r.seq_id, r.text) for r in batch.collect())
     # A new checkpoint replays both batches into the same partitions.
