@@ -20,7 +20,7 @@ HEADLINE = (
     "score_and_sample", "dot_scores", "linear_packed", "linear_joined", "rms_norm", "swiglu",
     "vec_weighted_sum", "rope_apply", "gqa_attention", "softmax_grouped", "softmax_hot", "top_k",
     "top_p_hot", "nucleus_lines", "gumbel_sample", "filter_logits", "repetition_penalty", "next_token",
-    "vocab_build", "encode", "decode_text", "chat_render", "chat_tokens", "model_logits",
+    "vocab_build", "encode", "decode_text", "text_round_trip", "chat_render", "chat_tokens", "model_logits",
     "sampled_generate",
 )
 

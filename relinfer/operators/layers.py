@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relinfer.config import ModelConfig
 from relinfer.functions import vector as V
 from relinfer.functions.kernels import attention_kernel
-from relinfer.operators.skew import lookup_join
+from relinfer.operators.skew import lookup_join, with_group_value
 
 # Positions whose queries are held together in attention.
 ATTENTION_BLOCK = 512
@@ -192,9 +192,19 @@ def attn_mix(
     return mixed.select(key, "_m.pos", "head", f"_m.{out}")
 
 
+def block_of(pos: str | Column) -> Column:
+    """The attention block of a position."""
+    return F.floor((F.col(pos) if isinstance(pos, str) else pos) / ATTENTION_BLOCK).cast("int")
+
+
+def with_asked(df: DataFrame, key: str = "seq_id") -> DataFrame:
+    """df with `_ask`, the blocks in which its sequence has rows; short, and combined before the shuffle."""
+    return with_group_value(df, key, _ask=F.collect_set(block_of("pos")))
+
+
 def attend(
     df: DataFrame, config: ModelConfig, cache: DataFrame | None = None, key: str = "seq_id",
-    out: str = "o",
+    out: str = "o", asked: DataFrame | None = None,
 ) -> DataFrame:
     """Scores, softmax and value mix in one pass; adds the concatenated heads `o`.
 
@@ -207,20 +217,20 @@ def attend(
     sorted by position; it holds its queries and a batch of keys at a time. A
     sequence of one block crosses the shuffle once; a longer one sends
     a key to each later block that asks.
+
+    A column `_ask`, the blocks of the row's sequence in which `df` has rows, saves
+    finding them; `asked` (key, _ask) does so for the cache, of whose sequences only those that ask are read.
     """
     kept = [c for c in df.columns if c != "q"]
-    rows = df.withColumn("_at", F.floor(F.col("pos") / ATTENTION_BLOCK).cast("int"))
-    queries = rows.withColumn("_kind", F.lit(0))
-    keys = rows.select(key, "pos", "k", "v", "_at")
+    rows = (df if "_ask" in kept else with_asked(df, key)).withColumn("_at", block_of("pos"))
+    keys = rows.select(key, "pos", "k", "v", "_ask", "_at")
     if cache is not None:
-        old = cache.select(key, "pos", "k", "v")
-        keys = keys.unionByName(old.withColumn("_at", F.floor(F.col("pos") / ATTENTION_BLOCK).cast("int")))
-    # Which blocks of a sequence ask: a short array, combined before the shuffle.
-    asked = rows.groupBy(key).agg(F.collect_set("_at").alias("_ask"))
-    needed = keys.join(asked, key).withColumn(
-        "_at", F.explode(F.filter("_ask", lambda b: b >= F.col("_at")))
-    ).drop("_ask").withColumn("_kind", F.lit(1))
-    both = queries.unionByName(needed, allowMissingColumns=True)
+        asked = rows.select(key, "_ask").dropDuplicates([key]) if asked is None else asked
+        old = cache.select(key, "pos", "k", "v").join(asked.select(key, "_ask"), key)
+        keys = keys.unionByName(old.withColumn("_at", block_of("pos")))
+    later = F.filter("_ask", lambda b: b >= F.col("_at"))
+    needed = keys.withColumn("_at", F.explode(later)).drop("_ask").withColumn("_kind", F.lit(1))
+    both = rows.withColumn("_kind", F.lit(0)).unionByName(needed, allowMissingColumns=True)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.DoubleType()))])
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from relinfer.config import SamplingParams
 from relinfer.functions import vector as V
-from relinfer.operators.layers import attend, by_sequence, embed
+from relinfer.operators.layers import attend, block_of, by_sequence, embed, with_asked
 from relinfer.operators.sampling import gumbel_vec, penalise_vec, survivors_vec
 from relinfer.operators.skew import with_group_value
 from relinfer.operators.tensor import linear_column, linear_join, linears, to_rows, transpose_matrix
@@ -28,7 +28,9 @@ def _normed(df: DataFrame, model: Model, tensor: str, layer: int = 0) -> DataFra
     return df.withColumn("x_norm", model.column((tensor, layer), build))
 
 
-def attention(df: DataFrame, model: Model, layer: int, cache: DataFrame | None = None) -> DataFrame:
+def attention(
+    df: DataFrame, model: Model, layer: int, cache: DataFrame | None = None, asked: DataFrame | None = None
+) -> DataFrame:
     """Attention sub-layer: norm, projections, rotary encoding, attention, residual.
 
     Rows (seq_id, pos, x, ...) get the new x and the keys and values k and v.
@@ -40,7 +42,7 @@ def attention(df: DataFrame, model: Model, layer: int, cache: DataFrame | None =
         c: model.column(("rope", c), lambda: V.rope_vec(c, "pos", cfg.head_dim, cfg.rope_theta))
         for c in ("q", "k")
     }
-    df = attend(df.withColumns(turned), cfg, cache)
+    df = attend(df.withColumns(turned), cfg, cache, asked=asked)
     return _residual(df.withColumn("_d", linear_column(df, model.matrix("o", layer).T, "o")), model, "o")
 
 
@@ -61,8 +63,10 @@ def _residual(df: DataFrame, model: Model, used: str) -> DataFrame:
     return df.withColumn("x", added).drop("_d", used)
 
 
-def _layer(df: DataFrame, model: Model, layer: int, cache: DataFrame | None = None) -> DataFrame:
-    return ffn(attention(df, model, layer, cache), model, layer)
+def _layer(
+    df: DataFrame, model: Model, layer: int, cache: DataFrame | None = None, asked: DataFrame | None = None
+) -> DataFrame:
+    return ffn(attention(df, model, layer, cache, asked), model, layer)
 
 
 def _groups(model: Model, layers_per_job: int) -> list[range]:
@@ -78,7 +82,7 @@ def layers(df: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) ->
             df = _layer(df, model, layer).drop("k", "v")
         if group is not groups[-1]:
             df = cut(df)
-    return df
+    return df.drop("_ask")
 
 
 def embedded(tokens: DataFrame, model: Model) -> DataFrame:
@@ -115,7 +119,7 @@ def logits_vec(df: DataFrame, model: Model, out: str = "logits") -> DataFrame:
 
 def forward(tokens: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> DataFrame:
     """Logit vector of every position: (seq_id, pos, token, logits)."""
-    return logits_vec(layers(embedded(tokens, model), model, layers_per_job), model)
+    return logits_vec(layers(embedded(with_asked(tokens), model), model, layers_per_job), model)
 
 
 # ------------------------------------------------------------------ state
@@ -126,6 +130,7 @@ ROW = (
     T.StructField("seq_id", T.LongType()), T.StructField("pos", T.LongType()),
     T.StructField("token", T.IntegerType()), T.StructField("last", T.BooleanType()),
     T.StructField("recent", T.ArrayType(T.IntegerType())), T.StructField("x", VECTOR),
+    T.StructField("_ask", T.ArrayType(T.IntegerType())),
 )
 
 
@@ -198,11 +203,11 @@ def init_state(spark: SparkSession, model: Model, layers_per_job: int = LAYERS_P
     return State(spark, groups, new_table_path(spark, "state"), [[] for _ in groups])
 
 
-def _stored_layers(df: DataFrame, model: Model, state: State) -> DataFrame:
-    """All layers over new rows (seq_id, pos, token, last, recent, x), into the state."""
+def _stored_layers(df: DataFrame, model: Model, state: State, asked: DataFrame | None = None) -> DataFrame:
+    """All layers over new rows (seq_id, pos, token, last, recent, x, _ask), into the state."""
     for number, group in enumerate(state.groups):
         for layer in group:
-            df = _layer(df, model, layer, state.cache(layer)).withColumnsRenamed(
+            df = _layer(df, model, layer, state.cache(layer), asked).withColumnsRenamed(
                 {"k": f"k{layer}", "v": f"v{layer}"}
             )
         if number == len(state.groups) - 1:
@@ -227,11 +232,11 @@ def prefill(tokens: DataFrame, model: Model, state: State) -> DataFrame:
     near = F.col("pos") >= F.col("_end") - model.config.rep_window
     placed = with_group_value(
         tokens.select("seq_id", F.col("pos").cast("bigint").alias("pos"), "token"), "seq_id",
-        _end=F.max("pos"),
+        _end=F.max("pos"), _ask=F.collect_set(block_of("pos")),
     )
     marked = placed.select(
         "seq_id", "pos", "token", (F.col("pos") == F.col("_end")).alias("last"),
-        F.when(near, F.array(F.col("token").cast("int"))).alias("recent"),
+        F.when(near, F.array(F.col("token").cast("int"))).alias("recent"), "_ask",
     )
     stored = _stored_layers(embedded(marked, model), model, state)
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.col("recent")[0].alias("token"))))
@@ -291,9 +296,12 @@ def decode_step(
         {
             "recent": _slide(F.col("recent"), F.col("token"), cfg.rep_window + 1),
             "last": F.lit(True),
+            "_ask": F.array(block_of("pos")),
         }
     )
-    stored = _stored_layers(embedded(new, model), model, state)
+    # Known before anything is sampled: of the cache, only live sequences are read.
+    asked = live.select("seq_id", F.array(block_of(F.col("pos") + 1)).alias("_ask"))
+    stored = _stored_layers(embedded(new, model), model, state, asked)
     return stored.select("seq_id", "pos", "token", "recent", "x")
 
 
