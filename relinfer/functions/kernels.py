@@ -56,6 +56,19 @@ def matmul_kernel(weights):
     return _once(matmul)
 
 
+def gather_kernel(table):
+    """UDF id -> row of a broadcast matrix; null for an id that it doesn't have."""
+
+    @F.arrow_udf("array<double>")
+    def gather(ids: pa.Array) -> pa.Array:
+        w = table.value
+        at = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+        valid = (at >= 0) & (at < len(w))
+        return _vectors(w[at[valid]], valid)
+
+    return _once(gather)
+
+
 class _Block:
     """Causal grouped-query attention of a block of queries over keys that come in batches.
 

@@ -20,9 +20,13 @@ ATTENTION_BLOCK = 512
 def embed(tokens: DataFrame, w_emb: DataFrame, table_bytes: int | None = None, out: str = "x") -> DataFrame:
     """Look up the embedding row (row, w) of every token; an id without one is an error."""
     table = w_emb.select(F.col("row").alias("token"), F.col("w").alias(out))
-    found = lookup_join(tokens, table, "token", "left", table_bytes)
+    return known(lookup_join(tokens, table, "token", "left", table_bytes), out)
+
+
+def known(df: DataFrame, out: str = "x") -> DataFrame:
+    """df, whose tokens all have to have a vector."""
     message = F.concat(F.lit("no embedding for token "), F.coalesce(F.col("token").cast("string"), F.lit("null")))
-    return found.withColumn(out, F.coalesce(out, F.raise_error(message).cast("array<double>")))
+    return df.withColumn(out, F.coalesce(out, F.raise_error(message).cast("array<double>")))
 
 
 def scale_by(df: DataFrame, x: str, s: str, gain: Sequence[float] | str, out: str = "y") -> DataFrame:

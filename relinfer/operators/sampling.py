@@ -15,6 +15,9 @@ from relinfer.config import SamplingParams
 from relinfer.functions import vector as V
 from relinfer.operators.skew import as_list, lookup_join, running_sum, with_group_value
 
+# The longest rank limit that Spark applies in front of a shuffle.
+RANKED = 1000
+
 Setting = float | int | str | Column
 
 
@@ -23,15 +26,34 @@ def setting(value: Setting) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(value) if not isinstance(value, Column) else value
 
 
-def with_params(df: DataFrame, params: SamplingParams | DataFrame, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
+def settings_of(params: SamplingParams | None) -> dict[str, Column]:
+    """Every setting as a column: a constant, or, without `params`, what the rows bring by its name."""
+    if params:
+        return {k: F.lit(v) for k, v in vars(params).items()}
+    own = {k: F.col(k) for k in vars(SamplingParams())}
+    return own | {k: _positive(own[k], k) for k in ("temp", "top_k", "rep_pen")}
+
+
+def _positive(value: Column, name: str) -> Column:
+    message = F.raise_error(F.lit(f"{name} must be positive"))
+    return F.when(value > 0, value).otherwise(message.cast("int" if name == "top_k" else "double"))
+
+
+def with_params(
+    df: DataFrame, params: SamplingParams | DataFrame, keys: Sequence[str] = ("seq_id",), each_once: bool = False
+) -> DataFrame:
     """Attach sampling settings: the same for all rows, or a table of them per key.
 
-    A key without a row in the table, or with a null setting, gets the default.
+    A key without a row in the table gets the defaults, and so does a setting that is null or
+    for which the table has no column. `each_once` says that a key has one row in df.
     """
     if isinstance(params, DataFrame):
-        joined = lookup_join(df, params, list(keys), "left")
-        defaults = {k: v for k, v in vars(SamplingParams()).items() if k in params.columns}
-        return joined.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in defaults.items()})
+        given = params.select(*keys, *[c for c in vars(SamplingParams()) if c in params.columns])
+        joined = df.join(given, list(keys), "left") if each_once else lookup_join(df, given, list(keys), "left")
+        return joined.withColumns({
+            k: F.coalesce(F.col(k), F.lit(v)) if k in given.columns else F.lit(v)
+            for k, v in vars(SamplingParams()).items()
+        })
     return df.withColumns({k: F.lit(v) for k, v in vars(params).items()})
 
 
@@ -44,9 +66,7 @@ def temperature(df: DataFrame, temp: Setting, val: str = "val", out: str = "t_va
         raise ValueError("temp must be positive")
     checked = setting(temp)
     if not isinstance(temp, (int, float)):
-        checked = F.when(checked > 0, checked).otherwise(
-            F.raise_error(F.lit("temp must be positive")).cast("double")
-        )
+        checked = _positive(checked, "temp")
     return df.withColumn(out, F.col(val) / checked)
 
 
@@ -76,13 +96,18 @@ def min_p_filter(
 
 
 def top_k_filter(
-    df: DataFrame, keys: str | Sequence[str], k: int, prob: str = "prob", token: str = "token"
+    df: DataFrame, keys: str | Sequence[str], k: Setting, prob: str = "prob", token: str = "token"
 ) -> DataFrame:
     """Keep the k most probable rows of each group, ties by token.
 
-    The rank limit is pushed below the shuffle, so at most k rows per group
-    leave each task.
+    A constant limit up to RANKED is pushed below the shuffle, so at most k rows per group
+    leave each task. Beyond it, or with a limit per row, ranks are counted over range
+    partitions, so that a group of any size is split.
     """
+    if not isinstance(k, int) or k > RANKED:
+        order = [(F.col(prob), True), (F.col(token), False)]
+        counted = running_sum(df.withColumn("_one", F.lit(1)), keys, order, "_one", "_rn")
+        return counted.where(F.col("_rn") <= setting(k)).drop("_one", "_rn")
     ranked = Window.partitionBy(*as_list(keys)).orderBy(F.desc(prob), F.asc(token))
     return df.withColumn("_rn", F.row_number().over(ranked)).where(F.col("_rn") <= k).drop("_rn")
 
@@ -111,15 +136,24 @@ def top_p_filter(
 
 
 def filter_logits(
-    df: DataFrame, params: SamplingParams, keys: str | Sequence[str] = "seq_id",
+    df: DataFrame, params: SamplingParams | DataFrame, keys: str | Sequence[str] = "seq_id",
     val: str = "val", token: str = "token",
 ) -> DataFrame:
-    """Temperature, softmax, min-p, top-k, top-p; probabilities are not re-normalised."""
-    probs = softmax(temperature(df, params.temp, val), keys, "t_val", keep_total=True)
+    """Temperature, softmax, min-p, top-k, top-p; probabilities are not re-normalised.
+
+    `params` may be a table with a row of settings for each group.
+    """
+    by_row = isinstance(params, DataFrame)
+    if by_row:
+        df = with_params(df, params, as_list(keys))
+    temp, min_p, top_k, top_p = (k if by_row else getattr(params, k) for k in ("temp", "min_p", "top_k", "top_p"))
+    probs = softmax(temperature(df, temp, val), keys, "t_val", keep_total=True)
     best = F.lit(1.0) / F.col("_total")
-    likely = probs.where(F.col("prob") >= best * setting(params.min_p)).drop("_total")
-    top = top_k_filter(likely, keys, params.top_k, token=token)
-    return top_p_filter(top, keys, params.top_p, token=token, bounded=True)
+    likely = probs.where(F.col("prob") >= best * setting(min_p)).drop("_total")
+    top = top_k_filter(likely, keys, top_k, token=token)
+    bounded = not by_row and top_k <= RANKED
+    kept = top_p_filter(top, keys, top_p, token=token, bounded=bounded)
+    return kept.drop(*vars(SamplingParams())) if by_row else kept
 
 
 def gumbel_sample(
@@ -248,7 +282,7 @@ def next_token(
 # ------------------------------------------------------------ vector form
 
 
-def penalise_vec(logits: Column | str, recent: Column | str, pen: float, protected: int) -> Column:
+def penalise_vec(logits: Column | str, recent: Column | str, pen: float | Column, protected: int) -> Column:
     """Repetition penalty on a logit vector, given the recent token ids."""
     return V.let(
         recent,
@@ -262,12 +296,14 @@ def penalise_vec(logits: Column | str, recent: Column | str, pen: float, protect
     )
 
 
-def survivors_vec(logits: Column | str, params: SamplingParams, clamp: float = 50.0) -> Column:
+def survivors_vec(logits: Column | str, params: SamplingParams | None, clamp: float = 50.0) -> Column:
     """Candidates left by temperature, softmax, min-p, top-k and top-p.
 
     Returns an array of (token, t_val, prob) by falling probability, ties by token.
+    Without `params` the settings are columns of their names.
     """
-    scaled = F.transform(V.col(logits), lambda v: v / F.lit(params.temp))
+    own = settings_of(params)
+    scaled = F.transform(V.col(logits), lambda v: v / own["temp"])
 
     def candidates(t, p):
         rows = F.zip_with(t, p, lambda tv, pv: F.struct((-pv).alias("np"), tv.alias("t_val")))
@@ -277,9 +313,9 @@ def survivors_vec(logits: Column | str, params: SamplingParams, clamp: float = 5
                 r.getField("np").alias("np"), i.alias("token"), r.getField("t_val").alias("t_val")
             ),
         )
-        best = F.array_max(p) * F.lit(params.min_p)
+        best = F.array_max(p) * own["min_p"]
         likely = V.let(best, lambda b: F.filter(indexed, lambda r: -r.getField("np") >= b))
-        top = F.slice(F.array_sort(likely), 1, params.top_k)
+        top = F.slice(F.array_sort(likely), F.lit(1), own["top_k"].cast("int"))
         return nucleus(top)
 
     def nucleus(top):
@@ -296,7 +332,7 @@ def survivors_vec(logits: Column | str, params: SamplingParams, clamp: float = 5
             kept = acc.getField("kept")
             return F.struct(
                 cdf.alias("cdf"),
-                F.when(cdf - prob <= params.top_p, F.concat(kept, F.array(row)))
+                F.when(cdf - prob <= own["top_p"], F.concat(kept, F.array(row)))
                 .otherwise(kept).alias("kept"),
             )
 

@@ -141,9 +141,13 @@ def linear_column(
         )
     if engine != "arrow":
         raise ValueError("engine must be 'arrow' or 'inline'")
+    return apply_kernel(matrix.kernel(df), x)
+
+
+def apply_kernel(kernel, x: str) -> Column:
     # Naming x twice also keeps the optimizer from moving the expression behind
     # x into the UDF call, where Spark cannot plan nested lambdas.
-    return matrix.kernel(df)(F.col(x), F.size(F.col(x)))
+    return kernel(F.col(x), F.size(F.col(x)))
 
 
 def linear_t(

@@ -480,6 +480,39 @@ def sampled_generate(spark, folder):
     return big(out, "token")
 
 
+def blocked_logits(spark, folder):
+    """All logits by a model of which 600 bytes are broadcast at once: every matrix in blocks."""
+    tight = Model(TINY, _model(spark, TINY).weights, max_bytes=600)
+    return long(M.forward(_prompt_tokens(spark, folder), tight), "logits", ("seq_id", "pos"), "token")
+
+
+def _settings(ids):
+    """Settings for every second id; the others have the defaults."""
+    n = F.col("seq_id")
+    return ids.where(n % 2 == 0).select(
+        "seq_id", (n % 3 * 0.25 + 0.5).alias("temp"), (n % 4 * 0.125 + 0.5).alias("top_p"),
+        (n % 7 * 5 + 1).alias("top_k"), (n % 5 * 0.03125).alias("min_p"),
+        (n % 4 * 0.25 + 1).alias("rep_pen"), (n % 100 + 20).alias("max_pos"),
+    )
+
+
+def filter_with_params(spark, folder):
+    logits = _logit_rows(spark, folder)
+    out = S.filter_logits(logits, _settings(vectors(spark, folder).select("seq_id")))
+    return big(out, "token").select("seq_id", "token", F.round("prob", 9).alias("prob"))
+
+
+def generate_with_params(spark, folder):
+    """Continuations with settings of their own, of which every third has a token forced on it."""
+    tokens = _prompt_tokens(spark, folder)
+    ends = S.next_pos(tokens)
+    forced = ends.where("seq_id % 3 = 1").select(
+        "seq_id", (F.col("pos") + 1).alias("pos"), (F.col("seq_id") % 50 + 20).alias("token")
+    )
+    out = M.generate(tokens, _model(spark, TINY), _settings(ends), 3, SEED, forced=forced)
+    return big(out, "token")
+
+
 def generate_unknown(spark, folder):
     """Greedy continuation of prompts in which every rarer token lies outside the vocabulary."""
     model = Model(replace(TINY, unk_token=T.UNK_ID), _model(spark, TINY).weights)
@@ -515,6 +548,6 @@ QUERIES = {
         chat_tokens, prompt_lengths, repetition_penalty, repetition_penalty_at, stop_rules,
         next_token, choose_token, embed, embed_joined, block_forward, model_logits,
         greedy_generate, sampled_generate, answer_items, generate_unknown, long_attention,
-        text_round_trip,
+        text_round_trip, blocked_logits, filter_with_params, generate_with_params,
     )
 }

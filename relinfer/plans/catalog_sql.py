@@ -204,25 +204,34 @@ def softmax(source: str, keys: str, value: str) -> str:
     )
 
 
-def best(source: str, keys: str) -> str:
+# Sampling settings as expressions: the defaults, and those of the rows with a settings table.
+DEFAULTS = {k: str(v) for k, v in vars(PARAMS).items()}
+GIVEN = {
+    "temp": "seq_id % 3 * 0.25 + 0.5", "top_p": "seq_id % 4 * 0.125 + 0.5", "top_k": "seq_id % 7 * 5 + 1",
+    "min_p": "seq_id % 5 * 0.03125", "rep_pen": "seq_id % 4 * 0.25 + 1", "max_pos": "seq_id % 100 + 20",
+}
+BY_ROW = {k: f"(CASE WHEN seq_id % 2 = 0 THEN ({v})::DOUBLE ELSE {DEFAULTS[k]} END)" for k, v in GIVEN.items()}
+
+
+def best(source: str, keys: str, min_p: str = DEFAULTS["min_p"]) -> str:
     return (
         f"SELECT * EXCLUDE (mx) FROM (SELECT *, max(prob) OVER (PARTITION BY {keys}) AS mx"
-        f" FROM {source}) WHERE prob >= mx * {PARAMS.min_p}"
+        f" FROM {source}) WHERE prob >= mx * {min_p}"
     )
 
 
-def first_k(source: str, keys: str, k: int) -> str:
+def first_k(source: str, keys: str, k: int | str) -> str:
     return (
         f"SELECT * FROM {source} QUALIFY row_number() OVER"
         f" (PARTITION BY {keys} ORDER BY prob DESC, token) <= {k}"
     )
 
 
-def nucleus(source: str, keys: str) -> str:
+def nucleus(source: str, keys: str, top_p: str = DEFAULTS["top_p"]) -> str:
     return (
         f"SELECT * EXCLUDE (cdf) FROM (SELECT *, sum(prob) OVER (PARTITION BY {keys}"
         f" ORDER BY prob DESC, token ROWS UNBOUNDED PRECEDING) AS cdf FROM {source})"
-        f" WHERE cdf - prob <= {PARAMS.top_p}"
+        f" WHERE cdf - prob <= {top_p}"
     )
 
 
@@ -235,12 +244,12 @@ def draw(source: str, keys: list[str], value: str = "t_val") -> str:
     )
 
 
-def chain(source: str, keys: str = "seq_id", top_k: int = PARAMS.top_k) -> list[tuple[str, str]]:
+def chain(source: str, keys: str = "seq_id", p: dict[str, str] = DEFAULTS) -> list[tuple[str, str]]:
     """Temperature, softmax, min-p, top-k and top-p; ends in `tp`."""
     return [
-        ("tl", f"SELECT *, val / {PARAMS.temp} AS t_val FROM {source}"),
-        ("pr", softmax("tl", keys, "t_val")), ("mp", best("pr", keys)),
-        ("tk", first_k("mp", keys, top_k)), ("tp", nucleus("tk", keys)),
+        ("tl", f"SELECT *, val / {p['temp']} AS t_val FROM {source}"),
+        ("pr", softmax("tl", keys, "t_val")), ("mp", best("pr", keys, p["min_p"])),
+        ("tk", first_k("mp", keys, p["top_k"])), ("tp", nucleus("tk", keys, p["top_p"])),
     ]
 
 
@@ -281,6 +290,7 @@ SAMPLING = {
     "uniform_draw": f"SELECT event_id, {rnd(uniform('event_id', 'event_type'))} AS u FROM events",
     "gumbel_sample": query([EV], draw("ev", ["user_id"])),
     "filter_logits": query([X, LOGITS, *chain("lg")], f"SELECT seq_id, token, {PROB9} FROM tp"),
+    "filter_with_params": query([X, LOGITS, *chain("lg", p=BY_ROW)], f"SELECT seq_id, token, {PROB9} FROM tp"),
     "score_and_sample": query([X, LOGITS, *chain("lg")], draw("tp", ["seq_id"])),
 }
 
@@ -374,10 +384,10 @@ TEXT = {
 # ---------------------------------------------------------------- token rules
 
 
-def penalised(logits: str, seen: str, keys: str) -> str:
+def penalised(logits: str, seen: str, keys: str, pen: str = DEFAULTS["rep_pen"]) -> str:
     return (
         f"SELECT l.* EXCLUDE (val), CASE WHEN s.token IS NULL THEN val"
-        f" WHEN val <= 0 THEN val * {PARAMS.rep_pen} ELSE val / {PARAMS.rep_pen} END AS val"
+        f" WHEN val <= 0 THEN val * {pen} ELSE val / {pen} END AS val"
         f" FROM {logits} l LEFT JOIN {seen} s USING ({keys})"
     )
 
@@ -475,22 +485,29 @@ PROMPT = item_tokens(TINY.vocab_size)
 XPOS = f"SELECT seq_id, pos, i, {rnd('val')} AS val FROM "
 
 
-def generation(steps: int, top_k: int, start: str = "SELECT * FROM toks") -> list[tuple[str, str]]:
-    """Decode steps unrolled, each with a full pass and no cache; ends in `t{steps}`."""
+def generation(
+    steps: int, p_of: dict[str, str], start: str = "SELECT * FROM toks", forced: dict[int, str] = {}
+) -> list[tuple[str, str]]:
+    """Decode steps unrolled, each with a full pass and no cache; ends in `t{steps}`.
+
+    `p_of` has the settings, `forced` an expression that replaces the token of a step.
+    """
     ctes = [*PROMPT, ("t0", start)]
     for s in range(steps):
         t, p = f"t{s}", f"s{s}"
         ctes += stack(t, p)
         ctes += [
             (f"{p}log", f"SELECT seq_id, max(pos) AS last, arg_max(token, pos) AS token FROM {t} GROUP BY seq_id"),
-            (f"{p}end", f"SELECT f.* FROM {p}f f JOIN {p}log l ON f.seq_id = l.seq_id AND f.pos = l.last WHERE l.token NOT IN (0, 2)"),
+            (f"{p}end", f"SELECT * EXCLUDE (last, token) FROM {p}f JOIN {p}log USING (seq_id)"
+                      f" WHERE pos = last AND token NOT IN (0, 2) AND last < {p_of['max_pos']}"),
             (f"{p}lg", project("out", 0, TINY.vocab_size, f"{p}end").replace("o AS i", "o AS token")),
             (f"{p}seen", f"SELECT DISTINCT t.seq_id, t.token FROM {t} t JOIN {p}log l ON t.seq_id = l.seq_id"
                          " WHERE t.pos >= l.last - 64 AND t.token > 16"),
-            (f"{p}pn", f"SELECT * REPLACE (pos + 1 AS pos) FROM ({penalised(f'{p}lg', f'{p}seen', 'seq_id, token')})"),
+            (f"{p}pn", f"SELECT * REPLACE (pos + 1 AS pos) FROM ({penalised(f'{p}lg', f'{p}seen', 'seq_id, token', p_of['rep_pen'])})"),
         ]
-        ctes += [(p + n, _renamed(b, p)) for n, b in chain("pn", "seq_id", top_k)]
-        ctes += [(f"t{s + 1}", f"SELECT seq_id, pos, token FROM {t} UNION ALL ({draw(p + 'tp', ['seq_id', 'pos'])})")]
+        ctes += [(p + n, _renamed(b, p)) for n, b in chain("pn", "seq_id", p_of)]
+        ctes += [(f"t{s + 1}", f"SELECT seq_id, pos, token FROM {t} UNION ALL"
+                                 f" SELECT seq_id, pos, {forced.get(s, 'token')} FROM ({draw(p + 'tp', ['seq_id', 'pos'])})")]
     return ctes
 
 
@@ -501,6 +518,7 @@ def _renamed(body: str, prefix: str) -> str:
 
 
 STEPS = 3
+GREEDY = DEFAULTS | {"top_k": "1"}
 MODEL = {
     "embed": query([*PROMPT, ("y", embedding("toks"))], XPOS + "y"),
     "embed_joined": query([*PROMPT, ("y", embedding("toks"))], XPOS + "y"),
@@ -509,9 +527,9 @@ MODEL = {
         [*PROMPT, *stack("toks", "p"), ("y", project("out", 0, TINY.vocab_size, "pf"))],
         f"SELECT seq_id, pos, i AS token, {rnd('val')} AS val FROM y",
     ),
-    "greedy_generate": query(generation(STEPS, 1), f"SELECT seq_id, pos, token FROM t{STEPS}"),
+    "greedy_generate": query(generation(STEPS, GREEDY), f"SELECT seq_id, pos, token FROM t{STEPS}"),
     "generate_unknown": query(
-        generation(2, 1, "SELECT seq_id, pos, CASE WHEN token > 200 THEN token + 1000 ELSE token END AS token FROM toks"),
+        generation(2, GREEDY, "SELECT seq_id, pos, CASE WHEN token > 200 THEN token + 1000 ELSE token END AS token FROM toks"),
         "SELECT seq_id, pos, token FROM t2",
     ),
     "long_attention": query(
@@ -519,10 +537,14 @@ MODEL = {
         XPOS + "ba",
     ),
     "sampled_generate": query(
-        generation(STEPS, PARAMS.top_k), f"SELECT seq_id, pos, token FROM t{STEPS}"
+        generation(STEPS, DEFAULTS), f"SELECT seq_id, pos, token FROM t{STEPS}"
+    ),
+    "generate_with_params": query(
+        generation(STEPS, BY_ROW, forced={1: "CASE WHEN seq_id % 3 = 1 THEN seq_id % 50 + 20 ELSE token END"}),
+        f"SELECT seq_id, pos, token FROM t{STEPS}",
     ),
     "answer_items": query(
-        generation(STEPS, PARAMS.top_k),
+        generation(STEPS, DEFAULTS),
         f"SELECT g.seq_id, string_agg(v.text, '' ORDER BY g.pos) AS text FROM t{STEPS} g"
         " JOIN vocab v ON v.token = g.token"
         " JOIN (SELECT seq_id, count(*) AS n FROM toks GROUP BY seq_id) c ON c.seq_id = g.seq_id"
@@ -530,4 +552,6 @@ MODEL = {
     ),
 }
 
+MODEL["blocked_logits"] = MODEL["model_logits"]
+
 SQL = {**ALGEBRA, **ATTENTION, **SAMPLING, **TEXT, **RULES, **MODEL}

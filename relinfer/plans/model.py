@@ -10,10 +10,9 @@ from pyspark.sql import types as T
 
 from relinfer.config import SamplingParams
 from relinfer.functions import vector as V
-from relinfer.operators.layers import attend, block_of, by_sequence, embed, with_asked
-from relinfer.operators.sampling import gumbel_vec, penalise_vec, survivors_vec
+from relinfer.operators.layers import attend, block_of, by_sequence, embed, known, with_asked
+from relinfer.operators.sampling import gumbel_vec, penalise_vec, settings_of, survivors_vec, with_params
 from relinfer.operators.skew import with_group_value
-from relinfer.operators.tensor import linear_column, linear_join, linears, to_rows, transpose_matrix
 from relinfer.session import cut, drop_table, new_table_path
 from relinfer.sources.weights import Model
 
@@ -37,25 +36,25 @@ def attention(
     """
     cfg = model.config
     df = _normed(df, model, "norm", layer)
-    df = linears(df, {t: model.matrix(t, layer) for t in ("q", "k", "v")}, "x_norm").drop("x_norm")
+    df = df.withColumns({t: model.product(t, "x_norm", layer) for t in ("q", "k", "v")}).drop("x_norm")
     turned = {
         c: model.column(("rope", c), lambda: V.rope_vec(c, "pos", cfg.head_dim, cfg.rope_theta))
         for c in ("q", "k")
     }
     df = attend(df.withColumns(turned), cfg, cache, asked=asked)
-    return _residual(df.withColumn("_d", linear_column(df, model.matrix("o", layer).T, "o")), model, "o")
+    return _residual(df.withColumn("_d", model.product("o", "o", layer)), model, "o")
 
 
 def ffn(df: DataFrame, model: Model, layer: int) -> DataFrame:
     """Feed-forward sub-layer: norm, gate and up, gated activation, down, residual."""
     cfg = model.config
     df = _normed(df, model, "ffn_norm", layer)
-    df = linears(
-        df, {"_g": model.matrix("gate", layer), "_u": model.matrix("up", layer)}, "x_norm"
+    df = df.withColumns(
+        {"_g": model.product("gate", "x_norm", layer), "_u": model.product("up", "x_norm", layer)}
     )
     gated = model.column(("swiglu",), lambda: V.swiglu_vec("_g", "_u", cfg.exp_clamp))
     df = df.withColumn("_h", gated).drop("x_norm", "_g", "_u")
-    return _residual(df.withColumn("_d", linear_column(df, model.matrix("down", layer).T, "_h")), model, "_h")
+    return _residual(df.withColumn("_d", model.product("down", "_h", layer)), model, "_h")
 
 
 def _residual(df: DataFrame, model: Model, used: str) -> DataFrame:
@@ -94,27 +93,22 @@ def embedded(tokens: DataFrame, model: Model) -> DataFrame:
     rows = by_sequence(tokens)
     unk = model.config.unk_token
     if unk is None:
-        return embed(rows, model.rows("emb"), model.config.matrix_bytes("emb"))
+        return _looked_up(rows, model)
     inside = F.coalesce(F.col("token").between(0, model.config.vocab_size - 1), F.lit(False))
     mapped = rows.withColumn("_id", F.col("token")).withColumn("token", F.when(inside, F.col("token")).otherwise(unk))
-    found = embed(mapped, model.rows("emb"), model.config.matrix_bytes("emb"))
-    return found.withColumn("token", F.col("_id")).drop("_id")
+    return _looked_up(mapped, model).withColumn("token", F.col("_id")).drop("_id")
+
+
+def _looked_up(df: DataFrame, model: Model) -> DataFrame:
+    if model.fits("emb"):
+        return known(df.withColumn("x", model.lookup("emb", F.col("token"))))
+    return embed(df, model.rows("emb"))
 
 
 def logits_vec(df: DataFrame, model: Model, out: str = "logits") -> DataFrame:
     """Final norm and language-model head; x becomes a vector of logits."""
     normed = _normed(df, model, "out_norm").drop("x")
-    if model.fits("out"):
-        return normed.withColumn(
-            out, linear_column(normed, model.matrix("out"), "x_norm")
-        ).drop("x_norm")
-    by_input = transpose_matrix(
-        model.rows("out").withColumn("_m", F.lit(0)), "_m", "row", "w"
-    ).drop("_m")
-    kept = cut(normed)
-    long = linear_join(kept, by_input, ["seq_id", "pos"], "x_norm", index="token")
-    vectors = to_rows(long, ["seq_id", "pos"], "token", "val", out)
-    return kept.drop("x_norm").join(vectors, ["seq_id", "pos"])
+    return normed.withColumn(out, model.product("out", "x_norm")).drop("x_norm")
 
 
 def forward(tokens: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> DataFrame:
@@ -247,13 +241,14 @@ def prefill(tokens: DataFrame, model: Model, state: State) -> DataFrame:
 
 
 def sample_next(
-    frontier: DataFrame, model: Model, params: SamplingParams, seed: int
+    frontier: DataFrame, model: Model, params: SamplingParams | None, seed: int
 ) -> DataFrame:
-    """The next token of every frontier row; narrow."""
+    """The next token of every frontier row; narrow. Without `params` rows bring their settings."""
     cfg = model.config
 
     def build():
-        penalised = penalise_vec("logits", "recent", params.rep_pen, cfg.protected_tokens)
+        pen = settings_of(params)["rep_pen"]
+        penalised = penalise_vec("logits", "recent", pen, cfg.protected_tokens)
         return survivors_vec(penalised, params, cfg.exp_clamp)
 
     survivors = model.column(("survivors", params), build)
@@ -261,7 +256,7 @@ def sample_next(
     following = logits_vec(frontier, model).withColumns(
         {"pos": F.col("pos") + 1, "_survivors": survivors}
     )
-    return following.withColumn("token", chosen).drop("logits", "_survivors")
+    return following.withColumn("token", chosen).drop("logits", "_survivors", *vars(SamplingParams()))
 
 
 def _slide(recent: Column, token: Column, size: int) -> Column:
@@ -270,7 +265,7 @@ def _slide(recent: Column, token: Column, size: int) -> Column:
 
 
 def decode_step(
-    frontier: DataFrame, model: Model, params: SamplingParams, state: State, seed: int,
+    frontier: DataFrame, model: Model, params: SamplingParams | DataFrame, state: State, seed: int,
     max_pos: DataFrame | None = None, forced: DataFrame | None = None,
 ) -> DataFrame:
     """One token for every live sequence: sample, embed, all layers, append to the state.
@@ -279,13 +274,14 @@ def decode_step(
     """
     cfg = model.config
     live = frontier.where(~F.col("token").isin(*cfg.stop_tokens))
+    if isinstance(params, DataFrame):
+        live, params = with_params(live, params, each_once=True), None
+    limit = settings_of(params)["max_pos"]
     if max_pos is None:
-        live = live.where(F.col("pos") < params.max_pos)
+        live = live.where(F.col("pos") < limit)
     else:
         limits = max_pos.select("seq_id", F.col("max_pos").alias("_limit"))
-        live = live.join(limits, "seq_id", "left").where(
-            F.col("pos") < F.coalesce("_limit", F.lit(params.max_pos))
-        ).drop("_limit")
+        live = live.join(limits, "seq_id", "left").where(F.col("pos") < F.coalesce("_limit", limit)).drop("_limit")
     new = sample_next(live, model, params, seed)
     if forced is not None:
         given = forced.select("seq_id", "pos", F.col("token").cast("int").alias("_forced"))
@@ -306,7 +302,7 @@ def decode_step(
 
 
 def generate(
-    tokens: DataFrame, model: Model, params: SamplingParams, max_new: int, seed: int = 0,
+    tokens: DataFrame, model: Model, params: SamplingParams | DataFrame, max_new: int, seed: int = 0,
     max_pos: DataFrame | None = None, forced: DataFrame | None = None,
     layers_per_job: int = LAYERS_PER_JOB, compact_every: int = 16, state: State | None = None,
 ) -> DataFrame:
@@ -314,7 +310,8 @@ def generate(
 
     Returns all tokens (seq_id, pos, token), the prompt's included. A sequence
     ends after a stop token, which is kept, or at its `max_pos`, for which `params`
-    has the default. `forced` gives
+    has the default. `params` may be a table with a row (seq_id, temp, top_p, ...) for
+    each sequence; what it lacks has the default. `forced` gives
     tokens (seq_id, pos, token) that replace the sampled ones. The driver only
     starts the steps; it stops when no sequence is live. The result is read from the
     state; a caller that gives its own (of `init_state`) can drop it after use.

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relinfer.config import MAX_BROADCAST_BYTES, ModelConfig
-from relinfer.operators.tensor import Matrix
+from relinfer.functions.kernels import gather_kernel, matmul_kernel
+from relinfer.operators.tensor import Matrix, apply_kernel
 
 LAYER_TENSORS = ("norm", "q", "k", "v", "o", "ffn_norm", "gate", "up", "down")
 GLOBAL_TENSORS = ("emb", "out", "out_norm")
+INPUT_MAJOR = ("o", "down")
 CONFIG_FOLDER = "_config"
 
 
@@ -28,7 +32,10 @@ class Model:
 
     config: ModelConfig
     weights: DataFrame
+    # What is fetched and broadcast at once.
+    max_bytes: int = MAX_BROADCAST_BYTES
     _cache: dict = field(default_factory=dict, repr=False)
+    _kernels: dict = field(default_factory=dict, repr=False)
     _columns: dict = field(default_factory=dict, repr=False)
 
     def rows(self, tensor: str, layer: int = 0) -> DataFrame:
@@ -39,7 +46,7 @@ class Model:
 
     def fits(self, tensor: str) -> bool:
         """Whether the tensor is below the broadcast bound, by its configured shape."""
-        return self.config.matrix_bytes(tensor) <= MAX_BROADCAST_BYTES
+        return self.config.matrix_bytes(tensor) <= self.max_bytes
 
     def matrix(self, tensor: str, layer: int = 0) -> Matrix | np.ndarray:
         """One tensor as a local matrix, to be broadcast; only below the bound.
@@ -51,11 +58,59 @@ class Model:
             if not self.fits(tensor):
                 raise ValueError(f"{tensor} exceeds the broadcast bound; use rows()")
             group = [tensor]
-            if tensor in LAYER_TENSORS and self._layer_bytes() <= MAX_BROADCAST_BYTES:
+            if tensor in LAYER_TENSORS and self._layer_bytes() <= self.max_bytes:
                 group = list(LAYER_TENSORS)
             self._fetch(group, layer)
         return self._cache[key]
 
+    def product(self, tensor: str, x: str, layer: int = 0) -> Column:
+        """The linear map of a tensor of any size on column x; narrow.
+
+        A tensor above the bound is cut into blocks of outputs below it, each fetched and
+        broadcast on its own. Their results stand one after the other, so sums, their order
+        and nulls are those of a single product. The driver keeps no values of a
+        tensor that is broadcast.
+        """
+        key = (tensor, layer)
+        if key not in self._kernels:
+            send = self.weights.sparkSession.sparkContext.broadcast
+            self._kernels[key] = [matmul_kernel(send(block)) for block in self._blocks(tensor, layer)]
+        parts = [apply_kernel(kernel, x) for kernel in self._kernels[key]]
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    def lookup(self, tensor: str, row: Column) -> Column:
+        """The row of a tensor below the bound, which is broadcast once; null if there is none."""
+        key = (tensor, "rows")
+        if key not in self._kernels:
+            values = self.matrix(tensor).values
+            self._kernels[key] = gather_kernel(self.weights.sparkSession.sparkContext.broadcast(values))
+            del self._cache[tensor, 0]
+        return self._kernels[key](row)
+
+    def _blocks(self, tensor: str, layer: int) -> Iterator[np.ndarray]:
+        """The tensor as output-major blocks below the bound."""
+        if self.fits(tensor):
+            values = self.matrix(tensor, layer).values
+            del self._cache[tensor, layer]
+            yield np.ascontiguousarray(values.T) if tensor in INPUT_MAJOR else values
+            return
+        rows, width = self.config.matrix_shapes()[tensor]
+        n_out, n_in = (width, rows) if tensor in INPUT_MAJOR else (rows, width)
+        step = max(1, self.max_bytes // (8 * n_in))
+        for first in range(0, n_out, step):
+            n = min(step, n_out - first)
+            part = self.rows(tensor, layer)
+            if tensor in INPUT_MAJOR:
+                part = part.select("row", F.slice("w", first + 1, n).alias("w"))
+            else:
+                part = part.where(F.col("row").between(first, first + n - 1))
+            order, flat = _row_values(part.toArrow())
+            block = flat[np.argsort(order)]
+            block = np.ascontiguousarray(block.T) if tensor in INPUT_MAJOR else block
+            if block.shape != (n, n_in):
+                raise ValueError(f"{tensor}, layer {layer}: expected shape {(rows, width)}")
+            yield block
+
     def column(self, key: tuple, build) -> Column:
         """A column expression that layers and steps share, built once.
 
@@ -75,9 +130,7 @@ class Model:
             .select("tensor", "row", "w").toArrow()
         )
         names = np.asarray(table.column("tensor").to_pylist())
-        order = table.column("row").to_numpy()
-        vectors = table.column("w").combine_chunks()
-        flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
+        order, flat = _row_values(table)
         shapes = self.config.matrix_shapes()
         for tensor in tensors:
             own = np.flatnonzero(names == tensor)
@@ -88,6 +141,12 @@ class Model:
             self._cache[tensor, layer] = matrix[0] if single else Matrix(matrix)
 
 
+def _row_values(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and vectors of a fetched table."""
+    flat = table.column("w").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return table.column("row").to_numpy(), flat.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0))
+
+
 def save_weights(weights: DataFrame, path: str, config: ModelConfig | None = None) -> None:
     """Write a weight table, partitioned so that a scan reads one tensor of one layer.
 
@@ -189,7 +248,7 @@ def formula_model(spark: SparkSession, config: ModelConfig) -> Model:
 
     def element(i):
         gain = F.col("tensor").isin(*GAIN_KINDS)
-        input_major = F.col("tensor").isin("o", "down")
+        input_major = F.col("tensor").isin(*INPUT_MAJOR)
         return (
             F.when(gain, formula_gain(kind, layer, i))
             .when(input_major, formula_element(kind, layer, i, row))

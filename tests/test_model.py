@@ -8,6 +8,7 @@ from relinfer.config import SamplingParams
 from relinfer.functions import vector as V
 from relinfer.operators import layers as L
 from relinfer.operators import tensor as X
+from relinfer.operators.sampling import survivors_vec
 from relinfer.plans import model as M
 from relinfer.sources.weights import (
     Model, check_weights, infer_config, load_weights, rope_table, save_weights,
@@ -142,13 +143,45 @@ def test_penalty_window_slides_with_generation(spark, model):
     assert step.recent == [23, step.token]
 
 
-def test_head_beyond_the_broadcast_bound(spark, model, prompts, monkeypatch):
+@pytest.mark.parametrize("bound", [100, 400, 1500])
+def test_tensors_beyond_the_broadcast_bound(model, prompts, bound):
+    """Blocks of one output, of several, and a mix of whole tensors and blocks."""
     expected = {(r.seq_id, r.pos): r.logits for r in M.forward(prompts, model).collect()}
-    tight = Model(SMALL, model.weights)
-    monkeypatch.setattr(Model, "fits", lambda self, tensor: tensor != "out")
+    tight = Model(SMALL, model.weights, max_bytes=bound)
     got = {(r.seq_id, r.pos): r.logits for r in M.forward(prompts, tight).collect()}
     assert got.keys() == expected.keys()
     assert all(np.allclose(got[k], expected[k], atol=1e-12) for k in got)
+    assert not [k for k, v in tight._cache.items() if np.ndim(v) != 1]
+
+
+def test_blocks_keep_rows_without_a_vector(spark, model):
+    for tensor in ("q", "down"):
+        x = [0.5] * (16 if tensor == "down" else 12)
+        df = spark.createDataFrame([(1, x), (2, None)], "id int, x array<double>")
+        whole, blocks = (
+            {r.id: r.y for r in df.withColumn("y", m.product(tensor, "x", 1)).collect()}
+            for m in (Model(SMALL, model.weights), Model(SMALL, model.weights, max_bytes=300))
+        )
+        assert np.allclose(whole[1], blocks[1], atol=1e-12) and whole[2] is None and blocks[2] is None
+
+
+def test_settings_of_each_sequence(spark, model, prompts):
+    """A table of settings does for each sequence what they do for all; nulls and missing ones are defaults."""
+    table = spark.createDataFrame(
+        [(1, 2.0, 1, 5), (2, None, 3, None)], "seq_id bigint, temp double, top_k int, max_pos bigint"
+    )
+    out = prompt_lists(M.generate(prompts, model, table, 1, seed=5))
+    alone = {1: SamplingParams(temp=2.0, top_k=1, max_pos=5), 2: SamplingParams(top_k=3)}
+    for s, params in alone.items():
+        assert out[s] == prompt_lists(M.generate(prompts.where(f"seq_id = {s}"), model, params, 1, seed=5))[s]
+    assert len(out[3]) == 8
+
+
+def test_settings_of_a_row_are_checked(spark):
+    row = "array(1D, 2D) logits, 0D temp, 1D top_p, 2 top_k, 0D min_p, 1D rep_pen, 9 max_pos"
+    df = spark.sql(f"SELECT {row}")
+    with pytest.raises(Exception, match="temp must be positive"):
+        df.select(survivors_vec("logits", None)).collect()
 
 
 def test_weights_round_trip(spark, model, tmp_path):

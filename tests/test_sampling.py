@@ -185,3 +185,19 @@ def test_next_token_respects_stop_limit_and_forcing(spark):
     forced = spark.createDataFrame([(4, 1, 5), (4, 7, 1)], "seq_id int, pos int, token int")
     out = S.next_token(log, scores, P.greedy(), 0, max_pos=limit, forced=forced).collect()
     assert {(r.seq_id, r.pos, r.token) for r in out} == {(1, 1, 3), (4, 1, 5)}
+
+
+def test_top_k_beyond_the_pushed_limit_and_by_row(spark, monkeypatch):
+    rows = [(g, t, ((t * 37 + g) % 50) / 50) for g in (1, 2) for t in range(50)]
+    df = spark.createDataFrame(rows, "seq_id int, token int, prob double").withColumn("k", F.col("seq_id") * 7)
+    expected = {g: sorted(t for _, t, _ in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))[:7 * g]) for g in (1, 2)}
+
+    def kept(out):
+        found = {}
+        for r in out.collect():
+            found.setdefault(r.seq_id, []).append(r.token)
+        return {g: sorted(t) for g, t in found.items()}
+
+    assert kept(S.top_k_filter(df, "seq_id", "k")) == expected
+    monkeypatch.setattr(S, "RANKED", 5)
+    assert kept(S.top_k_filter(df.where("seq_id = 1"), "seq_id", 7)) == {1: expected[1]}
