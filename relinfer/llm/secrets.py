@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from relinfer.llm.spans import SPAN, by_place, find_spans, of_kind, spell
 
-KINDS = ["assign", "access", "hex", "ident", "bare", "endpoint"]
-ASSIGN, ACCESS, HEX, IDENT, BARE, ENDPOINT = range(6)
+KINDS = ["assign", "access", "hex", "ident", "bare", "endpoint", "named"]
+ASSIGN, ACCESS, HEX, IDENT, BARE, ENDPOINT, NAMED = range(7)
 
 # Patterns of the strong kinds and the least lengths of what they find.
 KEYWORD = "(?i:password|passwd|secret|token|api_?key)"
@@ -21,11 +21,15 @@ ACCESS_PATTERN = "AKIA[A-Z0-9]+"
 HEX_PATTERN = "(?<![0-9a-f])[0-9a-f]{32,}+"
 MIN_VALUE, MIN_ACCESS = 8, 16
 
-# Weak parts: identifiers, values that look like a key, endpoints.
+# Weak parts: identifiers, values that look like a key, endpoints, assignments whose name only
+# begins or ends like that of a secret (secret_access_key, account_key), with letters and digits.
 IDENT_GATE = "(?i:client|account|access|user|tenant|app)_?(?i:key_?)?(?i:id|name)"
 IDENT_PATTERN = rf"""\b{IDENT_GATE}["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{{4,64}}"""
-BARE_PATTERN = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=.-])"
+# The sign of an assignment may stand right in front of a key, but not behind it: there it is padding.
+BARE_PATTERN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=.-])"
 ENDPOINT_PATTERN = r"""\b(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,200}|\b(?i:host|endpoint|server|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,100}"""
+NAMED_GATE = rf"(?:{KEYWORD}[_-][A-Za-z0-9_-]{{1,40}}|(?i:[_-]key|(?:access|account|private|secret|shared)key))"
+NAMED_PATTERN = rf"""{NAMED_GATE}["']?\x20*[:=]\x20*["']?(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{{{MIN_VALUE},}}"""
 # Parts that many code points apart, or fewer, belong to one scope.
 SCOPE = 240
 
@@ -37,7 +41,7 @@ def _gated(gate: Column, text: Column, pattern: str, kind: int, group: int = 0)
 
 def _sweep(spans: Column) -> Column:
     """For spans in order: each with the greatest end so far of identifiers, secrets and strong spans."""
-    kinds = {"ids": (ACCESS, IDENT), "keys": (ASSIGN, HEX, BARE), "strong": (ASSIGN, ACCESS, HEX)}
+    kinds = {"ids": (ACCESS, IDENT), "keys": (ASSIGN, HEX, BARE, NAMED), "strong": (ASSIGN, ACCESS, HEX)}
     mark = "bigint"
     begin = F.struct(
         *(F.lit(None).cast(mark).alias(k) for k in kinds),
@@ -72,7 +76,7 @@ def _near(x: Column, side: str) -> Column:
 def linked_parts(spans: Column) -> Column:
     """The weak spans to report: an interval join of parts in scopes, as two sweeps.
 
-    An identifier needs a secret in its scope, a bare key an identifier, an endpoint both.
+    An identifier needs a secret in its scope, a bare or named key an identifier, an endpoint both.
     Weak spans inside a strong one are left out.
     """
     def marks(swept: Column, side: str) -> Column:
@@ -95,7 +99,7 @@ def linked_parts(spans: Column) -> Column:
 
     def wanted(a: Column, b: Column) -> Column:
         ids, keys = a["ids"] | b["ids"], a["keys"] | b["keys"]
-        need = F.when(a["kind"] == IDENT, keys).when(a["kind"] == BARE, ids).otherwise(ids & keys)
+        need = F.when(a["kind"] == IDENT, keys).when(a["kind"].isin(BARE, NAMED), ids).otherwise(ids & keys)
         span = F.struct(a["kind"].alias("kind"), a["start"].alias("start"), a["end"].alias("end"), F.lit(None).cast("string").alias("value"))
         return F.when(need & ~a["inside"] & ~b["inside"], span)
 
@@ -115,6 +119,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     gated = rows.select(
         "_row", text.rlike(KEYWORD).alias("_assign"), text.contains("AKIA").alias("_access"),
         text.rlike(HEX_PATTERN).alias("_hex"), text.rlike(IDENT_GATE).alias("_ident"),
+        text.rlike(NAMED_GATE).alias("_named"),
     )
     based = gated.select(
         "*", by_place(F.concat(
@@ -129,7 +134,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "_row", "_base", by_place(F.concat(
             "_base",
             _gated(F.col("_ident"), text, IDENT_PATTERN, IDENT), _gated(idents, text, BARE_PATTERN, BARE),
-            _gated(idents, text, ENDPOINT_PATTERN, ENDPOINT),
+            _gated(idents, text, ENDPOINT_PATTERN, ENDPOINT), _gated(idents & F.col("_named"), text, NAMED_PATTERN, NAMED),
         )).alias("_parts"),
     )
     weak = F.when(F.size("_parts") > F.size("_base"), linked_parts(F.col("_parts")))
