@@ -14,10 +14,13 @@ from relinfer.llm.ctw import score_texts
 from relinfer.llm.digest import compare_with_next
 from relinfer.llm.language import held_out, identify, train
 from relinfer.llm.licenses import scan_licenses
+from relinfer.llm.lexical_search import LEXICAL_SEARCH_SQL, search
 from relinfer.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
+from relinfer.llm.packing import pack, tokenize
 from relinfer.llm.pieces import SPACE, decode, encode
 from relinfer.llm.pii import find_pii
 from relinfer.llm.secrets import scan_secrets
+from relinfer.llm.vector_codes import VECTOR_CODES_SQL, compress
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +87,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code, its error and that of its label."""
+    return compress(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of at most 2048."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(tokenize(docs, drop=("text",)), digest=True).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_chosen_path": op2_chosen_path,
@@ -95,9 +116,14 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_packing": op12_packing,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 SQL: dict[str, str] = {
     "op8_decontamination": CONTAMINATION_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
+    "op11_vector_codes": VECTOR_CODES_SQL,
+    "op13_lexical_search": LEXICAL_SEARCH_SQL,
 }
