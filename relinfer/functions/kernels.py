@@ -10,6 +10,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -89,14 +90,17 @@ class _Block:
         k = k.reshape(len(k), self.n_kv, self.dim).transpose(1, 2, 0)
         v = v.reshape(len(v), self.n_kv, self.dim).transpose(1, 0, 2)
         hidden = (pos[None, :] > self.pos[:, None])[:, None, :]
+        masked = bool(hidden.any())
         for h in range(self.n_kv):
             s = self.q[h] @ k[h]
             s *= self.scale
-            s[np.broadcast_to(hidden, s.shape)] = -np.inf
+            if masked:
+                s[np.broadcast_to(hidden, s.shape)] = -np.inf
             top = np.maximum(self.top[h], s.max(-1))
             known = np.where(np.isfinite(top), top, 0.0)
             e = np.exp(np.clip(s - known[..., None], -self.clamp, self.clamp))
-            e[np.broadcast_to(hidden, e.shape)] = 0.0
+            if masked:
+                e[np.broadcast_to(hidden, e.shape)] = 0.0
             fade = np.where(np.isfinite(self.top[h]), np.exp(self.top[h] - known), 0.0)
             self.total[h] = self.total[h] * fade + e.sum(-1)
             self.mixed[h] = self.mixed[h] * fade[..., None] + e @ v[h]
@@ -109,48 +113,67 @@ class _Block:
         return o.reshape(len(self.pos), -1)
 
 
-def attention_kernel(config, key: str, kept: list[str], out: str):
-    """mapInArrow function over rows sorted by (key, _at, _kind, pos).
+class _Tile:
+    """The queries of a unit of work in blocks; their own keys first, then others batch by batch."""
 
-    Rows of kind 0 are the queries of a block, with all columns; rows of kind 1 bring the
-    keys and values that the block sees. Gives the query rows with `kept` columns and `out`.
-    """
-    shape = config.n_kv_heads, config.head_dim, config.score_scale, config.exp_clamp
+    def __init__(self, rows, shape, size):
+        self.rows = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        pos = self.rows.column("pos").to_numpy(zero_copy_only=False)
+        q, k, v = (_matrix(self.rows.column(c)) for c in "qkv")
+        parts = [slice(a, a + size) for a in range(0, len(pos), size)]
+        self.blocks = [_Block(pos[p], q[p], *shape) for p in parts]
+        for n, block in enumerate(self.blocks):
+            for p in parts[: n + 1]:
+                block.add(pos[p], k[p], v[p])
+
+    def add(self, batch):
+        pos = batch.column("pos").to_numpy(zero_copy_only=False)
+        k, v = _matrix(batch.column("k")), _matrix(batch.column("v"))
+        for block in self.blocks:
+            block.add(pos, k, v)
+
+    def result(self, kept, out):
+        o = np.concatenate([b.result() for b in self.blocks])
+        o = _vectors(o, np.ones(self.rows.num_rows, bool))
+        return pa.RecordBatch.from_arrays([*(self.rows.column(c) for c in kept), o], [*kept, out])
+
+
+def _runs(batch, names):
+    """Ends of the runs of rows that are equal in the columns, nulls being equal."""
+    differ = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for name in names:
+        a, b = batch.column(name)[:-1], batch.column(name)[1:]
+        differ |= np.asarray(pc.not_equal(a, b).fill_null(False)) | np.asarray(pc.xor(a.is_null(), b.is_null()))
+    return [*(np.flatnonzero(differ) + 1).tolist(), batch.num_rows]
 
-    def finish(rows, block):
-        table = pa.Table.from_batches(rows).combine_chunks()
-        batch = table.to_batches()[0]
-        o = _vectors(block.result(), np.ones(batch.num_rows, bool))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), o], [*kept, out])
 
-    def opened(rows):
-        pos = np.concatenate([b.column("pos").to_numpy(zero_copy_only=False) for b in rows])
-        return _Block(pos, np.concatenate([_matrix(b.column("q")) for b in rows]), *shape)
+def attention_kernel(config, units: list[str], kept: list[str], out: str, size: int):
+    """mapInArrow function over rows sorted by (units, _kind, pos).
+
+    Rows of kind 0 are the queries of a unit, with all columns and with their own keys and values; rows of
+    kind 1 bring those of other positions. Gives the query rows with `kept` columns and `out`. A unit
+    without queries gives nothing.
+    """
+    shape = config.n_kv_heads, config.head_dim, config.score_scale, config.exp_clamp
 
     def run(batches):
-        now, rows, block = None, [], None
+        now, rows, tile = None, [], None
         for batch in batches:
-            names = batch.column(key).to_pylist()
-            ids = list(zip(names, batch.column("_at").to_pylist(), batch.column("_kind").to_pylist()))
             start = 0
-            while start < len(ids):
-                end = start + 1
-                while end < len(ids) and ids[end] == ids[start]:
-                    end += 1
-                unit, part = ids[start][:2], batch.slice(start, end - start)
+            for end in _runs(batch, [*units, "_kind"]) if batch.num_rows else []:
+                part = batch.slice(start, end - start)
+                start = end
+                unit = tuple(part.column(c)[0].as_py() for c in units)
                 if unit != now:
                     if rows:
-                        yield finish(rows, block or opened(rows))
-                    now, rows, block = unit, [], None
-                if ids[start][2] == 0:
+                        yield (tile or _Tile(rows, shape, size)).result(kept, out)
+                    now, rows, tile = unit, [], None
+                if part.column("_kind")[0].as_py() == 0:
                     rows.append(part)
                 elif rows:
-                    block = block or opened(rows)
-                    block.add(
-                        part.column("pos").to_numpy(zero_copy_only=False), _matrix(part.column("k")), _matrix(part.column("v"))
-                    )
-                start = end
+                    tile = tile or _Tile(rows, shape, size)
+                    tile.add(part)
         if rows:
-            yield finish(rows, block or opened(rows))
+            yield (tile or _Tile(rows, shape, size)).result(kept, out)
 
     return run

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,8 +13,10 @@ from relinfer.functions import vector as V
 from relinfer.functions.kernels import attention_kernel
 from relinfer.operators.skew import lookup_join, with_group_value
 
-# Positions whose queries are held together in attention.
+# Positions whose queries meet a batch of keys at once in attention.
 ATTENTION_BLOCK = 512
+# Bytes of the queries that a task holds at a time.
+TILE_BYTES = 32 * 1024 * 1024
 
 
 def embed(tokens: DataFrame, w_emb: DataFrame, table_bytes: int | None = None, out: str = "x") -> DataFrame:
@@ -196,19 +198,34 @@ def attn_mix(
     return mixed.select(key, "_m.pos", "head", f"_m.{out}")
 
 
-def block_of(pos: str | Column) -> Column:
-    """The attention block of a position."""
-    return F.floor((F.col(pos) if isinstance(pos, str) else pos) / ATTENTION_BLOCK).cast("int")
+def tile_rows(config: ModelConfig) -> int:
+    """Positions of an attention tile: as many blocks as TILE_BYTES of queries hold."""
+    return ATTENTION_BLOCK * max(1, TILE_BYTES // (8 * config.q_dim * ATTENTION_BLOCK))
 
 
-def with_asked(df: DataFrame, key: str = "seq_id") -> DataFrame:
-    """df with `_ask`, the blocks in which its sequence has rows; short, and combined before the shuffle."""
-    return with_group_value(df, key, _ask=F.collect_set(block_of("pos")))
+def tile_of(pos: str | Column, config: ModelConfig) -> Column:
+    """The attention tile of a position."""
+    return F.floor((F.col(pos) if isinstance(pos, str) else pos) / tile_rows(config)).cast("int")
+
+
+def with_asked(df: DataFrame, config: ModelConfig, key: str = "seq_id") -> DataFrame:
+    """df with `_ask`, the tiles in which its sequence has rows; short, and combined before the shuffle."""
+    return with_group_value(df, key, _ask=F.collect_set(tile_of("pos", config)))
+
+
+def by_tile(df: DataFrame, tile: str | Column, key: str = "seq_id") -> DataFrame:
+    """Partition rows by tile; those of first tiles lie as by_sequence puts their sequence.
+
+    So a long sequence is spread, and a table bucketed by sequence takes the rows of short
+    ones as they lie.
+    """
+    tile = F.col(tile) if isinstance(tile, str) else tile
+    home = F.when(tile == 0, F.col(key)).otherwise(F.xxhash64(key, tile).cast(df.schema[key].dataType))
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), home)
 
 
 def attend(
-    df: DataFrame, config: ModelConfig, cache: DataFrame | None = None, key: str = "seq_id",
-    out: str = "o", asked: DataFrame | None = None,
+    df: DataFrame, config: ModelConfig, cache: DataFrame | None = None, key: str = "seq_id", out: str = "o",
 ) -> DataFrame:
     """Scores, softmax and value mix in one pass; adds the concatenated heads `o`.
 
@@ -216,28 +233,53 @@ def attend(
     position occurs once. `cache` holds (key, pos, k, v) of earlier positions. There is no
     limit on positions.
 
-    Positions are cut into blocks of ATTENTION_BLOCK. Each block of queries of a sequence
-    is a unit of work that reads the keys and values of its own and all earlier blocks,
-    sorted by position; it holds its queries and a batch of keys at a time. A
-    sequence of one block crosses the shuffle once; a longer one sends
-    a key to each later block that asks.
+    Positions are cut into tiles, and tiles into blocks of ATTENTION_BLOCK. The queries of a
+    tile of a sequence are a unit of work, held by a task in blocks. Their own keys are theirs already; a key
+    is sent once to each later tile that asks, and meets all blocks of it. So a sequence of one tile
+    crosses the shuffle once, and one of n tiles sends a key to less than n of them.
 
-    A column `_ask`, the blocks of the row's sequence in which `df` has rows, saves
-    finding them; `asked` (key, _ask) does so for the cache, of whose sequences only those that ask are read.
+    A column `_ask`, the tiles of the row's sequence in which `df` has rows, saves finding them.
     """
     kept = [c for c in df.columns if c != "q"]
-    rows = (df if "_ask" in kept else with_asked(df, key)).withColumn("_at", block_of("pos"))
-    keys = rows.select(key, "pos", "k", "v", "_ask", "_at")
+    rows = df if "_ask" in kept else with_asked(df, config, key)
+    spread = _spread(rows, config)
+    own = [F.when(F.col("_kind") == 0, F.col(c)).alias(c) for c in rows.columns if c not in (key, "pos", "k", "v")]
+    both = spread.select(key, "pos", "k", "v", *own, "_tile", "_kind")
     if cache is not None:
-        asked = rows.select(key, "_ask").dropDuplicates([key]) if asked is None else asked
-        old = cache.select(key, "pos", "k", "v").join(asked.select(key, "_ask"), key)
-        keys = keys.unionByName(old.withColumn("_at", block_of("pos")))
-    later = F.filter("_ask", lambda b: b >= F.col("_at"))
-    needed = keys.withColumn("_at", F.explode(later)).drop("_ask").withColumn("_kind", F.lit(1))
-    both = rows.withColumn("_kind", F.lit(0)).unionByName(needed, allowMissingColumns=True)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        asked = rows.select(key, "_ask").dropDuplicates([key])
+        old = _spread(cache.select(key, "pos", "k", "v").join(asked, key), config).drop("_ask").withColumn("_kind", F.lit(1))
+        both = both.unionByName(old, allowMissingColumns=True)
+    units = [key, "_tile"]
+    return _attended(by_tile(both, "_tile", key).sortWithinPartitions(*units, "_kind", "pos"), df, config, units, kept, out)
+
+
+def _spread(rows: DataFrame, config: ModelConfig) -> DataFrame:
+    """A row for its own and each later tile that asks, in which it is of kind 1."""
+    own = tile_of("pos", config)
+    later = F.filter("_ask", lambda t: t >= own)
+    return rows.withColumn("_tile", F.explode(later)).withColumn("_kind", (F.col("_tile") != own).cast("int"))
+
+
+def _attended(ready: DataFrame, df: DataFrame, config: ModelConfig, units: list[str], kept: list[str], out: str) -> DataFrame:
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return (
-        both.repartition(parts, key, "_at").sortWithinPartitions(key, "_at", "_kind", "pos")
-        .mapInArrow(attention_kernel(config, key, kept, out), schema)
-    )
+    return ready.mapInArrow(attention_kernel(config, units, kept, out, ATTENTION_BLOCK), schema)
+
+
+def attend_step(
+    df: DataFrame, config: ModelConfig, cache: DataFrame, live: DataFrame, parts: int, key: str = "seq_id", out: str = "o",
+) -> DataFrame:
+    """`attend` of the few new positions of a decode step over a stored cache.
+
+    The cache lies in `parts` buckets by key: its rows are filtered to the `live` keys, sorted and read where they
+    are, and only the new rows are sent to them. (Were it to lie otherwise, the window would have it
+    shuffled.) The new rows of a sequence are held together.
+    """
+    kept = [c for c in df.columns if c != "q"]
+    new = df.withColumn("_kind", F.lit(0)).repartition(parts, key)
+    asked = live.select(key).repartition(parts, key).hint("shuffle_hash")
+    old = cache.select(key, "pos", "k", "v").join(asked, key, "left_semi").withColumn("_kind", F.lit(1))
+    both = new.unionByName(old.select(*[
+        F.col(c) if c in old.columns else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns
+    ]))
+    ordered = both.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy("_kind", "pos")))
+    return _attended(ordered, df, config, [key], kept, out)

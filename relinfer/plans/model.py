@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 
 from relinfer.config import SamplingParams
 from relinfer.functions import vector as V
-from relinfer.operators.layers import attend, block_of, by_sequence, embed, known, with_asked
+from relinfer.operators.layers import attend, attend_step, by_tile, embed, known, tile_of, with_asked
 from relinfer.operators.sampling import gumbel_vec, penalise_vec, settings_of, survivors_vec, with_params
 from relinfer.operators.skew import with_group_value
 from relinfer.session import cut, drop_table, new_table_path
@@ -27,12 +29,11 @@ def _normed(df: DataFrame, model: Model, tensor: str, layer: int = 0) -> DataFra
     return df.withColumn("x_norm", model.column((tensor, layer), build))
 
 
-def attention(
-    df: DataFrame, model: Model, layer: int, cache: DataFrame | None = None, asked: DataFrame | None = None
-) -> DataFrame:
+def attention(df: DataFrame, model: Model, layer: int, attending=attend) -> DataFrame:
     """Attention sub-layer: norm, projections, rotary encoding, attention, residual.
 
-    Rows (seq_id, pos, x, ...) get the new x and the keys and values k and v.
+    Rows (seq_id, pos, x, ...) get the new x and the keys and values k and v. `attending` adds `o` to rows with
+    q, k and v.
     """
     cfg = model.config
     df = _normed(df, model, "norm", layer)
@@ -41,7 +42,7 @@ def attention(
         c: model.column(("rope", c), lambda: V.rope_vec(c, "pos", cfg.head_dim, cfg.rope_theta))
         for c in ("q", "k")
     }
-    df = attend(df.withColumns(turned), cfg, cache, asked=asked)
+    df = attending(df.withColumns(turned), cfg)
     return _residual(df.withColumn("_d", model.product("o", "o", layer)), model, "o")
 
 
@@ -62,10 +63,8 @@ def _residual(df: DataFrame, model: Model, used: str) -> DataFrame:
     return df.withColumn("x", added).drop("_d", used)
 
 
-def _layer(
-    df: DataFrame, model: Model, layer: int, cache: DataFrame | None = None, asked: DataFrame | None = None
-) -> DataFrame:
-    return ffn(attention(df, model, layer, cache, asked), model, layer)
+def _layer(df: DataFrame, model: Model, layer: int, attending=attend) -> DataFrame:
+    return ffn(attention(df, model, layer, attending), model, layer)
 
 
 def _groups(model: Model, layers_per_job: int) -> list[range]:
@@ -90,7 +89,7 @@ def embedded(tokens: DataFrame, model: Model) -> DataFrame:
     An id outside the vocabulary keeps its row and place: it is embedded as the
     configured `unk_token`, or, without one, is an error.
     """
-    rows = by_sequence(tokens)
+    rows = by_tile(tokens, tile_of("pos", model.config))
     unk = model.config.unk_token
     if unk is None:
         return _looked_up(rows, model)
@@ -113,7 +112,7 @@ def logits_vec(df: DataFrame, model: Model, out: str = "logits") -> DataFrame:
 
 def forward(tokens: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> DataFrame:
     """Logit vector of every position: (seq_id, pos, token, logits)."""
-    return logits_vec(layers(embedded(with_asked(tokens), model), model, layers_per_job), model)
+    return logits_vec(layers(embedded(with_asked(tokens, model.config), model), model, layers_per_job), model)
 
 
 # ------------------------------------------------------------------ state
@@ -132,53 +131,75 @@ ROW = (
 class State:
     """Append-only state of a run: tokens, activations, keys and values.
 
-    Layers are run in groups, and each group has its tables in the shared
-    folder, one per step: the rows that leave the group, with the keys and
-    values of its layers. A lost executor costs nothing that was finished, and
-    reading a layer's keys and values reads only their columns.
+    Layers are run in groups, and each group has a table in the shared folder, bucketed by
+    sequence and partitioned by segment: the rows that leave the group in a step, with the keys and
+    values of its layers. A bucket of all segments is read where the new rows of its
+    sequences are, so that stored keys never cross a shuffle, and a layer reads only its columns.
+
+    A step writes its segment of every group and then commits it. What isn't committed
+    is never read, and a step that is repeated overwrites its segment; so no row is doubled. A lost executor costs
+    nothing that was finished.
     """
 
     spark: SparkSession
     groups: list[range]
     root: str
-    segments: list[list[str]]
+    buckets: int
+    segments: list[int] = field(default_factory=list)
+    segment: int = 0
     merged: int = 0
-    written: int = 0
 
     def _schema(self, group: int) -> T.StructType:
         kv = [T.StructField(f"{c}{n}", VECTOR) for n in self.groups[group] for c in "kv"]
         return T.StructType([*ROW, *kv])
 
-    def read(self, group: int, *segments: str) -> DataFrame:
-        paths = segments or self.segments[group]
-        return self.spark.read.schema(self._schema(group)).parquet(*paths)
+    def table(self, group: int) -> str:
+        """Name of a group's table in the session's catalog."""
+        return f"{os.path.basename(self.root).replace('-', '_')}_{group:03d}"
+
+    def create(self) -> None:
+        for group in range(len(self.groups)):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._schema(group))
+            self.spark.sql(
+                f"CREATE TABLE {self.table(group)} ({columns}, segment INT) USING parquet "
+                f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY (segment) CLUSTERED BY (seq_id) INTO {self.buckets} BUCKETS LOCATION '{self.root}/group-{group:03d}'"
+            )
+
+    def read(self, group: int, segments: list[int] | None = None) -> DataFrame:
+        """Rows of the committed or the given segments."""
+        wanted = self.segments if segments is None else segments
+        return self.spark.table(self.table(group)).where(F.col("segment").isin(wanted)).drop("segment")
 
     def append(self, group: int, rows: DataFrame) -> DataFrame:
-        """Write the rows of a step and return them as stored, without keys and values."""
-        path = f"{self.root}/group-{group:03d}/step-{self.written:06d}"
-        self.written += 1
-        rows.select(
-            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema(group).fields]
-        ).write.parquet(path)
-        self.segments[group].append(path)
-        return self.read(group, path).select(*[f.name for f in ROW])
-
-    def compact(self) -> None:
-        """Merge the small tables of the steps since the last merge, but the newest."""
+        """Write the rows of the step's segment and return them as stored, without keys and values."""
+        self._write(group, rows)
+        return self.read(group, [self.segment]).select(*[f.name for f in ROW])
+
+    def _write(self, group: int, rows: DataFrame) -> None:
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema(group).fields]
+        rows.select(*columns, F.lit(self.segment).alias("segment")).write.insertInto(self.table(group), overwrite=True)
+
+    def commit(self) -> None:
+        """The segment of all groups becomes part of the state; the next step gets a new one."""
+        self.segments.append(self.segment)
+        self.segment += 1
+
+    def _compact(self) -> None:
+        """Merge the small segments of the steps since the last merge, but the newest."""
         first = 1 + self.merged
-        for group, segments in enumerate(self.segments):
-            old = segments[first:-1]
-            if len(old) > 1:
-                path = f"{self.root}/group-{group:03d}/merged-{self.written:06d}"
-                self.read(group, *old).write.parquet(path)
-                segments[first:-1] = [path]
+        old = self.segments[first:-1]
+        if len(old) > 1:
+            for group in range(len(self.groups)):
+                self._write(group, self.read(group, old))
+            self.segments[first:-1] = [self.segment]
+            self.segment += 1
         self.merged += 1
 
     def cache(self, layer: int) -> DataFrame | None:
         """Keys and values (seq_id, pos, k, v) of one layer; none before the first step."""
-        group = next(g for g, members in enumerate(self.groups) if layer in members)
-        if not self.segments[group]:
+        if not self.segments:
             return None
+        group = next(g for g, members in enumerate(self.groups) if layer in members)
         return self.read(group).select(
             "seq_id", "pos", F.col(f"k{layer}").alias("k"), F.col(f"v{layer}").alias("v")
         )
@@ -188,26 +209,35 @@ class State:
 
     def drop(self) -> None:
         """Delete all tables of the run; what was read from them can't be computed any more."""
+        for group in range(len(self.groups)):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table(group)}")
         drop_table(self.spark, self.root)
 
 
 def init_state(spark: SparkSession, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> State:
     """An empty state of its own for each run; nothing is deleted or reused."""
-    groups = _groups(model, layers_per_job)
-    return State(spark, groups, new_table_path(spark, "state"), [[] for _ in groups])
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    state = State(spark, _groups(model, layers_per_job), new_table_path(spark, "state"), buckets)
+    state.create()
+    return state
 
 
-def _stored_layers(df: DataFrame, model: Model, state: State, asked: DataFrame | None = None) -> DataFrame:
-    """All layers over new rows (seq_id, pos, token, last, recent, x, _ask), into the state."""
+def _stored_layers(df: DataFrame, model: Model, state: State, live: DataFrame | None = None) -> DataFrame:
+    """All layers over new rows (seq_id, pos, token, last, recent, x, _ask), into the state.
+
+    With `live` sequences the rows are a step that looks back on the state, else they are prompts.
+    """
     for number, group in enumerate(state.groups):
         for layer in group:
-            df = _layer(df, model, layer, state.cache(layer), asked).withColumnsRenamed(
-                {"k": f"k{layer}", "v": f"v{layer}"}
-            )
+            attending = attend
+            if live is not None:
+                attending = partial(attend_step, cache=state.cache(layer), live=live, parts=state.buckets)
+            df = _layer(df, model, layer, attending).withColumnsRenamed({"k": f"k{layer}", "v": f"v{layer}"})
         if number == len(state.groups) - 1:
             # Only the last position of a sequence is ever scored.
             df = df.withColumn("x", F.when(F.col("last"), F.col("x")))
         df = state.append(number, df)
+    state.commit()
     return df
 
 
@@ -226,7 +256,7 @@ def prefill(tokens: DataFrame, model: Model, state: State) -> DataFrame:
     near = F.col("pos") >= F.col("_end") - model.config.rep_window
     placed = with_group_value(
         tokens.select("seq_id", F.col("pos").cast("bigint").alias("pos"), "token"), "seq_id",
-        _end=F.max("pos"), _ask=F.collect_set(block_of("pos")),
+        _end=F.max("pos"), _ask=F.collect_set(tile_of("pos", model.config)),
     )
     marked = placed.select(
         "seq_id", "pos", "token", (F.col("pos") == F.col("_end")).alias("last"),
@@ -292,12 +322,11 @@ def decode_step(
         {
             "recent": _slide(F.col("recent"), F.col("token"), cfg.rep_window + 1),
             "last": F.lit(True),
-            "_ask": F.array(block_of("pos")),
+            "_ask": F.array().cast("array<int>"),
         }
     )
     # Known before anything is sampled: of the cache, only live sequences are read.
-    asked = live.select("seq_id", F.array(block_of(F.col("pos") + 1)).alias("_ask"))
-    stored = _stored_layers(embedded(new, model), model, state, asked)
+    stored = _stored_layers(embedded(new, model), model, state, live.select("seq_id"))
     return stored.select("seq_id", "pos", "token", "recent", "x")
 
 
@@ -323,5 +352,5 @@ def generate(
         if frontier.isEmpty():
             break
         if (step + 1) % compact_every == 0:
-            state.compact()
+            state._compact()
     return state.tokens()

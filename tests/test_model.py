@@ -123,7 +123,7 @@ def test_state_can_be_dropped(spark, model, prompts):
     state = M.init_state(spark, model)
     assert M.generate(prompts, model, GREEDY, 1, state=state).count() > prompts.count()
     state.drop()
-    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND|PATH_NOT_FOUND|does not exist"):
         state.tokens().count()
 
 
