@@ -10,32 +10,28 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import string
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from relinfer.llm.common import add_columns, text_strings
+from relinfer.llm.common import add_columns
 
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 64
 END_ID = 1
 # Examples that wait in a task to be chosen from.
 WINDOW = 512
-# A task forgets the ids of words when it knows more than this; longer words aren't remembered.
-CACHE_WORDS = 300_000
-CACHE_CHARS = 64
-# Characters of text that are tokenized together.
-GROUP_CHARS = 1 << 21
+# Bytes of texts that are tokenized together.
+GROUP_BYTES = 1 << 24
 # Sequences of a task are numbered from its partition's number times this.
 SEQUENCES = 1 << 33
 
@@ -64,15 +60,15 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 # Latin letters that are whole by themselves and have one lower-case letter. A word of them, in lower
 # case, stays as it is until its letters are merged.
-PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
+PLAIN = "^[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+"
 
 
 class WordTokenizer:
     """Ids of texts by a word tokenizer that lower-cases, drops white space and cuts by PRE_TOKENS.
 
     Texts are cut at spaces and newlines; other white space is left to the tokenizer. Signs behind a plain
-    word are words of their own. New words of many texts are encoded together: plain ones as one
-    list by the merges alone, the others one by one by the whole tokenizer. Short words are remembered.
+    word are words of their own. Each different word of a group of texts is encoded once: plain ones as one
+    list by the merges alone, the others one by one by the whole tokenizer.
     """
 
     def __init__(self, model: str):
@@ -92,39 +88,47 @@ class WordTokenizer:
         vocabulary = self.merges.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        split = {w: _split(w) for w in set(chain.from_iterable(parts))}
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new = list({p for both in split.values() for p in both} - known.keys())
-        self._learn(new)
-        ids = {word: known[core] + known[tail] for word, (core, tail) in split.items()}
-        for part in new:
-            if len(part) > CACHE_CHARS:
-                del known[part]
-        return [np.frombuffer(b"".join(map(ids.__getitem__, p)), np.uint32) for p in parts]
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        if plain:
-            joined = self.merges.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0]
-            flat = np.array(joined.ids, np.uint32)
-            ends = (np.flatnonzero(self.ends[flat]) + 1) * flat.itemsize
-            flat = flat.tobytes()
-            self.known.update(zip(plain, [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]))
-        other = [w for w in words if w not in self.known]
-        for word, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.known[word] = array("I", found.ids).tobytes()
-
-
-def _split(word: str) -> tuple[str, str]:
-    """A plain word in lower case and the signs behind it; any other word as it is."""
-    core = word.rstrip(string.punctuation)
-    return (core.lower(), word[len(core) :]) if PLAIN.fullmatch(core) else (word, "")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        part, parts = self._parts(words.dictionary)
+        flat, sizes = self._learn(parts)
+        starts = np.cumsum(sizes) - sizes
+        chosen = part[words.indices.to_numpy()].ravel()
+        lengths = sizes[chosen]
+        ends = np.cumsum(lengths)
+        # Of each token, its place among the ids of its part.
+        place = np.repeat(starts[chosen] - ends + lengths, lengths)
+        place += np.arange(len(place))
+        last = 2 * np.cumsum(lists.value_lengths().to_numpy()) - 1
+        counts = np.diff(np.concatenate([[0], ends[last]]))
+        return flat[place], counts
+
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Numbers of the two parts of each word: a plain word in lower case and the signs behind it, or all and nothing."""
+        core = pc.utf8_rtrim(words, characters=string.punctuation)
+        plain = pc.match_substring_regex(core, PLAIN + "$")
+        first = pc.if_else(plain, pc.utf8_lower(core), words)
+        second = pc.if_else(plain, pc.replace_substring_regex(words, PLAIN, ""), "")
+        both = pa.concat_arrays([first, second]).dictionary_encode()
+        return both.indices.to_numpy().reshape(2, -1).T, both.dictionary
+
+    def _learn(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts one after the other, and how many each has."""
+        plain = pc.match_substring_regex(parts, PLAIN + "$").to_numpy(zero_copy_only=False)
+        joined = " ".join(parts.filter(pa.array(plain)).to_pylist())
+        found = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        other = [x.ids for x in self.tokenizer.encode_batch_fast(parts.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        sizes = np.zeros(len(parts), np.int64)
+        sizes[plain] = np.diff(np.concatenate([[0], np.flatnonzero(self.ends[found]) + 1]))
+        sizes[~plain] = [len(x) for x in other]
+        flat = np.zeros(sizes.sum(), np.uint32)
+        of_plain = np.repeat(plain, sizes)
+        flat[of_plain] = found
+        flat[~of_plain] = np.fromiter(chain.from_iterable(other), np.uint32)
+        return flat, sizes
 
 
 def tokenize(
@@ -138,27 +142,29 @@ def tokenize(
     """
     with open(model_path or tokenizer_path(), encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    end = [] if end_id is None else [end_id]
-    # One for each task: what it remembers goes with it.
+    # One for each task.
     made: list[WordTokenizer] = []
 
+    def groups(texts: pa.Array) -> Iterator[pa.Array]:
+        """The texts in order, some GROUP_BYTES or one text at a time."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
+        start = 0
+        while start < len(texts):
+            before = size[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(size, before + GROUP_BYTES, "right")))
+            yield texts.slice(start, end - start)
+            start = end
+
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         if not made:
             made.append(WordTokenizer(model.value))
-        ids, group, chars = [], [], 0
-        texts = text_strings(batch, text_col)
-        for k, text in enumerate(texts):
-            group.append(text)
-            chars += len(text)
-            if chars >= GROUP_CHARS or k == len(texts) - 1:
-                for found in made[0].encode(group):
-                    ids += found, end
-                group, chars = [], 0
-        step = 2
-        sizes = [len(a) + len(end) for a in ids[::step]]
-        flat = np.concatenate([np.asarray(a, np.uint32) for a in ids]).astype(np.int32)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        found = [made[0].encode(g) for g in groups(batch.column(text_col).cast(pa.string()).fill_null(""))]
+        flat, counts = (np.concatenate(x) for x in zip(*found))
+        if end_id is not None:
+            flat = np.insert(flat, np.cumsum(counts), end_id)
+            counts = counts + 1
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))]
 
     return add_columns(docs, "ids array<int>", fn, drop=drop)
 

@@ -332,7 +332,7 @@ def compress(
     ids come after all others; of equal ids the smaller vector comes first, and rows that are equal in all
     are rows of their own. Fewer vectors than entries: fewer entries. Ties go to the lower entry. Null
     labels have one sum together. Other columns are not carried. No vectors: an empty result. Vectors of different
-    lengths, lengths that are no multiple of `parts` and integers beyond MAX_INTEGER are errors.
+    lengths, lengths that are no multiple of `parts`, integers beyond MAX_INTEGER and sums beyond 64 bits are errors.
 
     The blocks are a table in the shared folder, read once a round; the driver gets entries * width
     sums, whatever the number of vectors.
