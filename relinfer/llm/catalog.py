@@ -17,7 +17,7 @@ from relinfer.llm.licenses import scan_licenses
 from relinfer.llm.lexical_search import LEXICAL_SEARCH_SQL, search
 from relinfer.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from relinfer.llm.packing import pack, tokenize
-from relinfer.llm.pieces import SPACE, decode, encode
+from relinfer.llm.pieces import decode, encode
 from relinfer.llm.pii import find_pii
 from relinfer.llm.secrets import scan_secrets
 from relinfer.llm.vector_codes import VECTOR_CODES_SQL, compress
@@ -37,7 +37,7 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids, decoded again; round_trip tells whether the text came back."""
-    text = F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
+    text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(text, 256).alias("sha"))
     coded = decode(encode(docs, drop=("text",)), out_col="decoded_sha256", digest=True)
     return coded.select(

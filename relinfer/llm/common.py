@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -37,6 +39,25 @@ def text_strings(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def byte_groups(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Texts without null in order, some `most` bytes or one text at a time."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy())
+    start = 0
+    while start < len(texts):
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + most, "right")))
+        yield texts.slice(start, end - start)
+        start = end
+
+
+def chosen_lists(flat: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen of lists that stand one after the other in `flat`, one after the other."""
+    starts, lengths = np.cumsum(sizes) - sizes, sizes[chosen]
+    place = np.repeat(starts[chosen] - np.cumsum(lengths) + lengths, lengths)
+    place += np.arange(len(place))
+    return flat[place]
+
+
 def add_columns(
     df: DataFrame,
     columns: str,

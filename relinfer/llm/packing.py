@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from relinfer.llm.common import add_columns
+from relinfer.llm.common import add_columns, byte_groups, chosen_lists
 
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 64
@@ -95,16 +95,10 @@ class WordTokenizer:
         words = lists.flatten().dictionary_encode()
         part, parts = self._parts(words.dictionary)
         flat, sizes = self._learn(parts)
-        starts = np.cumsum(sizes) - sizes
         chosen = part[words.indices.to_numpy()].ravel()
-        lengths = sizes[chosen]
-        ends = np.cumsum(lengths)
-        # Of each token, its place among the ids of its part.
-        place = np.repeat(starts[chosen] - ends + lengths, lengths)
-        place += np.arange(len(place))
+        ends = np.cumsum(sizes[chosen])
         last = 2 * np.cumsum(lists.value_lengths().to_numpy()) - 1
-        counts = np.diff(np.concatenate([[0], ends[last]]))
-        return flat[place], counts
+        return chosen_lists(flat, sizes, chosen), np.diff(np.concatenate([[0], ends[last]]))
 
     def _parts(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """Numbers of the two parts of each word: a plain word in lower case and the signs behind it, or all and nothing."""
@@ -145,20 +139,10 @@ def tokenize(
     # One for each task.
     made: list[WordTokenizer] = []
 
-    def groups(texts: pa.Array) -> Iterator[pa.Array]:
-        """The texts in order, some GROUP_BYTES or one text at a time."""
-        size = np.cumsum(pc.binary_length(texts).to_numpy())
-        start = 0
-        while start < len(texts):
-            before = size[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(size, before + GROUP_BYTES, "right")))
-            yield texts.slice(start, end - start)
-            start = end
-
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         if not made:
             made.append(WordTokenizer(model.value))
-        found = [made[0].encode(g) for g in groups(batch.column(text_col).cast(pa.string()).fill_null(""))]
+        found = [made[0].encode(g) for g in byte_groups(batch.column(text_col).fill_null(""), GROUP_BYTES)]
         flat, counts = (np.concatenate(x) for x in zip(*found))
         if end_id is not None:
             flat = np.insert(flat, np.cumsum(counts), end_id)

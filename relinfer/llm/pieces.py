@@ -4,7 +4,8 @@ The transducer is the composition of three: the normaliser (a dummy space in fro
 written as U+2581), the pieces (a trie whose final states return to the start and
 carry the piece's cost), and byte fallback (a path of byte pieces for every character).
 Composed with an input, it is a lattice over the input's positions; the encoding is its
-path of least total cost (tropical semiring), by one sweep from left to right.
+path of least total cost (tropical semiring), by one sweep from left to right. The lattices of
+all different words of some texts are swept together, over the trie as arrays.
 """
 
 from __future__ import annotations
@@ -13,42 +14,118 @@ import hashlib
 import math
 import os
 import re
-from array import array
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from relinfer.llm.common import add_columns, text_strings
+from relinfer.llm.common import add_columns, byte_groups, chosen_lists
 
 # Place of the piece model unless a caller names another; read on the driver only.
 MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-# Words whose paths a task remembers in each of two stores, a newer and an older one.
-CACHE_WORDS = 150_000
-# Longer words aren't remembered.
-CACHE_CHARS = 48
+# Bytes of texts whose words are encoded together.
+GROUP_BYTES = 1 << 23
+# Longer words are swept one by one.
+LONG = 64
 # Further cost of a byte piece over the dearest piece, as of an unknown character.
 BYTE_PENALTY = 10.0
 
-# A word with the spaces in front of it; newlines stand alone.
+# A word with the spaces in front of it; newlines stand alone. Between words, a sign that texts seldom hold.
 PARTS = re.compile("\n| +[^ \n]*|[^ \n]+")
+BETWEEN = "\x1f"
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
+@dataclass
+class Trie:
+    """The pieces' trie. State 0 is none; `root` has the state of each class of first characters.
+
+    A space has the class of U+2581; that sign itself and characters of no piece have class 0, which leads nowhere.
+    """
+
+    classes: np.ndarray
+    n_classes: int
+    root: np.ndarray
+    cost: np.ndarray
+    piece: np.ndarray
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def build(cls, arcs: dict[str, tuple[float, int]]) -> Trie:
+        letters = sorted({c for p in arcs for c in p})
+        class_of = {c: k for k, c in enumerate(letters, 1)}
+        classes = np.zeros(0x110000, np.int32)
+        classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        classes[ord(" ")], classes[ord(SPACE)] = class_of.get(SPACE, 0), 0
+        n, number = len(letters) + 1, {}
+        for p in sorted(arcs, key=len):
+            for k in range(1, len(p) + 1):
+                number.setdefault(p[:k], len(number) + 1)
+        cost, piece = np.full(len(number) + 1, np.inf), np.full(len(number) + 1, -1, np.int32)
+        for p, (c, i) in arcs.items():
+            cost[number[p]], piece[number[p]] = c, i
+        root = np.zeros(n, np.int32)
+        inner = [(number[p[:-1]] * n + class_of[p[-1]], s) for p, s in number.items() if len(p) > 1]
+        for p, s in number.items():
+            if len(p) == 1:
+                root[class_of[p]] = s
+        keys, values = _hash_table(*np.array(inner, np.int64).reshape(-1, 2).T)
+        return cls(classes, n, root, cost, piece, keys, values.astype(np.int32))
+
+    def follow(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The states that lead on from `state` with classes `char`; 0 where none does."""
+        key = state.astype(np.int64) * self.n_classes + char
+        at = _slot(key, len(self.keys))
+        held = self.keys[at]
+        out = np.where(held == key, self.values[at], 0)
+        again = np.flatnonzero((held != key) & (held >= 0))
+        while len(again):
+            at[again] = (at[again] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[again]]
+            hit = held == key[again]
+            out[again[hit]] = self.values[at[again[hit]]]
+            again = again[~hit & (held >= 0)]
+        return out
+
+
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
+
+
+def _hash_table(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Open addressing with a fourth of the places taken at most; free places have the key -1."""
+    size = 1 << max(4, (4 * len(key)).bit_length())
+    keys, values = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    slot, todo = _slot(key, size), np.arange(len(key))
+    while len(todo):
+        _, first = np.unique(slot[todo], return_index=True)
+        mine = todo[first][keys[slot[todo[first]]] < 0]
+        keys[slot[mine]], values[slot[mine]] = key[mine], value[mine]
+        todo = np.setdiff1d(todo, mine)
+        slot[todo] = (slot[todo] + 1) & (size - 1)
+    return keys, values
+
+
 @dataclass
 class Transducer:
-    """`arcs`: cost and id of each piece; `states`: cost, id (-1: no piece) and whether it goes on, of each prefix."""
+    """`arcs`: cost and id of each piece; `trie`: the same as arrays, which are all that encoding needs."""
 
     arcs: dict[str, tuple[float, int]]
-    states: dict[str, tuple[float, int, bool]]
     byte_ids: list[int]
     byte_cost: float
     texts: list[bytes]
-    per_word: bool  # no piece goes on from another sign into a space, or holds a newline
-    name: str
+    per_word: bool = False  # no piece goes on from another sign into a space, or holds a newline
+    trie: Trie | None = None
+
+    def __getstate__(self):
+        return vars(self) | {"arcs": {}}
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -113,21 +190,18 @@ def compile_transducer(data: bytes) -> Transducer:
     texts = [p.replace(SPACE, " ").encode() if k == NORMAL else b"" for p, _, k in pieces]
     for value, i in enumerate(byte_ids):
         texts[i] = bytes([value])
-    dearest = max(c for c, _ in arcs.values())
-    name = hashlib.sha256(data).hexdigest()
-    machine = Transducer(arcs, _states(arcs), byte_ids, dearest + BYTE_PENALTY, texts, False, name)
-    spaced = [p for p in arcs if SPACE in p[1:]]
-    for p in sorted(spaced, key=len):
+    byte_cost = max(c for c, _ in arcs.values()) + BYTE_PENALTY
+    states = _states(arcs)
+    for p in sorted((p for p in arcs if SPACE in p[1:]), key=len):
         cost, i = arcs[p]
-        more = machine.states[p][2]
-        machine.states[p] = 0.0, -1, more
-        if _cost(machine, shortest_path(machine, p)) < cost:
+        more = states[p][2]
+        states[p] = 0.0, -1, more
+        if least_cost(states, byte_cost, p) < cost:
             del arcs[p]
         else:
-            machine.states[p] = cost, i, more
-    machine.states = _states(arcs)
-    machine.per_word = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in arcs)
-    return machine
+            states[p] = cost, i, more
+    per_word = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in arcs)
+    return Transducer(arcs, byte_ids, byte_cost, texts, per_word, Trie.build(arcs))
 
 
 def _states(arcs: dict[str, tuple[float, int]]) -> dict[str, tuple[float, int, bool]]:
@@ -136,91 +210,161 @@ def _states(arcs: dict[str, tuple[float, int]]) -> dict[str, tuple[float, int, b
     return {p: (*arcs.get(p, (0.0, -1)), p in inner) for p in inner | arcs.keys()}
 
 
-def _cost(machine: Transducer, ids: list[int]) -> float:
-    back = {i: c for c, i in machine.arcs.values()}
-    return sum(back.get(i, machine.byte_cost) for i in ids)
-
-
-def shortest_path(machine: Transducer, text: str) -> list[int]:
-    """Ids on the path of least cost through the lattice of a normalised text.
-
-    Of paths of equal cost to a place, the one whose last piece is longest is taken, and so on
-    towards the front.
-    """
-    state, byte_cost = machine.states.get, machine.byte_cost
+def least_cost(states: dict[str, tuple[float, int, bool]], byte_cost: float, text: str) -> float:
+    """Cost of the cheapest path through the lattice of a short normalised text."""
     n = len(text)
     best = [0.0] + [math.inf] * n
-    came, by = [0] * (n + 1), [-1] * (n + 1)
     for i in range(n):
-        here = best[i]
-        j = i + 1
-        at = state(text[i:j])
+        at = states.get(text[i])
         if at is None or at[1] < 0:
-            cost = here + byte_cost * len(text[i].encode())
-            if cost < best[j]:
-                best[j], came[j], by[j] = cost, i, -1
+            best[i + 1] = min(best[i + 1], best[i] + byte_cost * len(text[i].encode()))
+        j = i + 1
         while at is not None:
-            cost, piece, more = at
-            if piece >= 0:
-                cost += here
-                if cost < best[j]:
-                    best[j], came[j], by[j] = cost, i, piece
-            if not more or j == n:
-                break
+            best[j] = min(best[j], best[i] + at[0]) if at[1] >= 0 else best[j]
             j += 1
-            at = state(text[i:j])
-    out = []
-    while n:
-        i = came[n]
-        if by[n] >= 0:
-            out.append(by[n])
-        else:
-            out += [machine.byte_ids[b] for b in reversed(text[i:n].encode())]
-        n = i
-    return out[::-1]
-
-
-class Encoder:
-    """Encodes texts; remembers the paths of words."""
-
-    def __init__(self, machine: Transducer):
-        self.machine = machine
-        self.known: dict[str, array] = {}
-        self.older: dict[str, array] = {}
-
-    def _path(self, part: str) -> array:
-        """Path of a part of a normalised text in front of and behind which lattices fall apart."""
-        ids = self.older.get(part)
-        if ids is None:
-            ids = array("i", shortest_path(self.machine, part.replace(" ", SPACE)))
-        if len(part) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_WORDS:
-                # Words that come again move on to the new store.
-                self.known, self.older = {}, self.known
-            self.known[part] = ids
-        return ids
-
-    def encode(self, text: str, out: array) -> None:
-        """Append the ids of a text; an empty text has none."""
-        if not text:
-            return
-        text = " " + text.replace(SPACE, " ")
-        if not self.machine.per_word:
-            out.extend(array("i", shortest_path(self.machine, text.replace(" ", SPACE))))
-            return
-        for part in PARTS.findall(text):
-            out.extend(self.known.get(part) or self._path(part))
-
-
-# Encoders of this worker by model, so that tasks share what is remembered.
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(machine: Transducer) -> Encoder:
-    if machine.name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[machine.name] = Encoder(machine)
-    return _ENCODERS[machine.name]
+            at = states.get(text[i:j]) if j <= n else None
+    return best[n]
+
+
+class Lattices:
+    """The lattices of words, swept together.
+
+    `text` holds the characters of all words, longest word first. A node is a place in a word, from in front of its
+    first character to behind its last one. `came` and `by` have the length and the id (-1: bytes) of the
+    last step of the best path to a node. Of paths of equal cost, the one whose last piece is longest is taken, and
+    so on towards the front.
+    """
+
+    def __init__(self, machine: Transducer, text: np.ndarray, length: np.ndarray):
+        self.machine, self.trie, self.text, self.length = machine, machine.trie, text, length
+        self.start = np.cumsum(length) - length
+        self.node = self.start + np.arange(len(length))
+        self.chars = self.trie.classes[self.text]
+        # A character's bytes in UTF-8.
+        self.size = 1 + (self.text > 0x7F) + (self.text > 0x7FF) + (self.text > 0xFFFF)
+        n = len(text) + len(length)
+        self.best = np.full(n, np.inf)
+        self.best[self.node] = 0.0
+        self.came, self.by = np.zeros(n, np.int32), np.full(n, -1, np.int32)
+
+    def sweep(self) -> None:
+        """All words, place by place."""
+        for place in range(int(self.length[0]) if len(self.length) else 0):
+            n = int(np.searchsorted(-self.length, -place))
+            here = self.best[self.node[:n] + place]
+            at = self.start[:n] + place
+            state = self.trie.root[self.chars[at]]
+            live = np.flatnonzero(self.trie.piece[state] < 0)
+            self._step(live, here[live] + self.machine.byte_cost * self.size[at[live]], place, 1, np.full(len(live), -1, np.int32))
+            live, step = np.flatnonzero(state), 1
+            state = state[live]
+            while len(live):
+                self._step(live, here[live] + self.trie.cost[state], place, step, self.trie.piece[state])
+                on = self.length[live] > place + step
+                live, state = live[on], state[on]
+                state = self.trie.follow(state, self.chars[self.start[live] + place + step])
+                on = state > 0
+                live, state, step = live[on], state[on], step + 1
+
+    def _step(self, live: np.ndarray, cost: np.ndarray, place: int, step: int, piece: np.ndarray) -> None:
+        to = self.node[live] + place + step
+        less = cost < self.best[to]
+        to = to[less]
+        self.best[to], self.came[to], self.by[to] = cost[less], step, piece[less]
+
+    def sweep_one(self) -> None:
+        """A single long word: all places walk down the trie together, then the arcs are taken in order."""
+        n = len(self.text)
+        state = self.trie.root[self.chars]
+        bare = np.flatnonzero(self.trie.piece[state] < 0)
+        arcs = [(bare, np.ones(len(bare), np.int64), self.machine.byte_cost * self.size[bare], np.full(len(bare), -1))]
+        live, step = np.flatnonzero(state), 1
+        state = state[live]
+        while len(live):
+            ends = self.trie.piece[state] >= 0
+            arcs.append((live[ends], np.full(ends.sum(), step), self.trie.cost[state[ends]], self.trie.piece[state[ends]]))
+            on = live + step < n
+            live, state = live[on], state[on]
+            state = self.trie.follow(state, self.chars[live + step])
+            on = state > 0
+            live, state, step = live[on], state[on], step + 1
+        start, step, cost, piece = (np.concatenate(x) for x in zip(*arcs))
+        order = np.lexsort((step, start))
+        best, came, by = [0.0] + [math.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        for i, k, c, p in zip(*(x[order].tolist() for x in (start, step, cost, piece))):
+            c += best[i]
+            if c < best[i + k]:
+                best[i + k], came[i + k], by[i + k] = c, k, p
+        self.best, self.came, self.by = np.array(best), np.array(came, np.int32), np.array(by, np.int32)
+
+    def paths(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has."""
+        at, word = self.node + self.length, np.arange(len(self.length))
+        nodes, words = [at[:0]], [word[:0]]
+        while True:
+            going = at > self.node[word]
+            at, word = at[going], word[going]
+            if not len(at):
+                break
+            nodes.append(at)
+            words.append(word)
+            at = at - self.came[at]
+        nodes, words = np.concatenate(nodes), np.concatenate(words)
+        order = np.argsort(nodes)
+        nodes, words = nodes[order], words[order]
+        ids = self.by[nodes].copy()
+        sizes = np.ones(len(ids), np.int64)
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):
+            codes = self.text[nodes[bare] - 1 - words[bare]]
+            sizes[bare] = self.size[nodes[bare] - 1 - words[bare]]
+            flat = np.frombuffer(codes.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+            of_bytes = np.repeat(ids < 0, sizes)
+            ids = np.repeat(ids, sizes)
+            ids[of_bytes] = np.array(self.machine.byte_ids, np.int32)[flat]
+        return ids, np.bincount(words, sizes, len(self.length)).astype(np.int64)
+
+
+def encode_words(machine: Transducer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words, in which spaces are spaces, one after the other, and how many each has."""
+    length = pc.utf8_length(words).to_numpy().astype(np.int64)
+    order = np.argsort(-length, kind="stable")
+    length = length[order]
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.take(pa.array(order))), "")[0].as_py()
+    text = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    n_long = int(np.searchsorted(-length, -LONG))
+    ends, found = np.cumsum(length), []
+    for k in range(n_long):
+        lattice = Lattices(machine, text[ends[k] - length[k] : ends[k]], length[k : k + 1])
+        lattice.sweep_one()
+        found.append(lattice.paths())
+    lattices = Lattices(machine, text[ends[n_long - 1] if n_long else 0 :], length[n_long:])
+    lattices.sweep()
+    found.append(lattices.paths())
+    ids, sizes = (np.concatenate(x) for x in zip(*found))
+    back = np.empty(len(words), np.int64)
+    back[order] = np.arange(len(words))
+    return chosen_lists(ids, sizes, back), sizes[back]
+
+
+def encode_texts(machine: Transducer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts without null one after the other, and how many each has. Empty texts have none."""
+    begun = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+    if not machine.per_word:
+        lists = [[t] if t else [] for t in begun.to_pylist()]
+    elif pc.any(pc.match_substring(begun, BETWEEN)).as_py():
+        lists = [PARTS.findall(t) for t in begun.to_pylist()]
+    else:
+        parted = pc.replace_substring(begun, "\n", f"{BETWEEN}\n{BETWEEN}")
+        lists = pc.split_pattern(pc.replace_substring_regex(parted, "( +)", BETWEEN + r"\1"), BETWEEN)
+    if isinstance(lists, list):
+        lists = pa.array(lists, pa.list_(pa.string()))
+    words = lists.flatten().dictionary_encode()
+    ids, sizes = encode_words(machine, words.dictionary)
+    chosen = words.indices.to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes[chosen])])
+    last = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    return chosen_lists(ids, sizes, chosen), np.diff(ends[last])
 
 
 def decode_ids(machine: Transducer, ids: list[int]) -> str:
@@ -233,29 +377,31 @@ def decode_ids(machine: Transducer, ids: list[int]) -> str:
     return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def _compiled(data: bytes) -> Transducer:
+    return compile_transducer(data)
+
+
 def _broadcast(docs: DataFrame, model_path: str):
     """The compiled model: as large as the vocabulary, whatever the documents are."""
     with open(model_path, "rb") as f:
-        machine = compile_transducer(f.read())
-    return docs.sparkSession.sparkContext.broadcast(machine)
+        return docs.sparkSession.sparkContext.broadcast(_compiled(f.read()))
 
 
 def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with ids (array<int>) and n_tokens (long).
 
-    Null and empty texts have no ids. A U+2581 in a text counts as a space. Columns of
-    these names are replaced, others carried. A narrow pass: the model is broadcast,
-    each task remembers at most CACHE_WORDS words.
+    Null and empty texts have no ids. A U+2581 in a text is spelled in bytes, so that it comes back.
+    Columns of these names are replaced, others carried. A narrow pass: the model is broadcast, and a
+    task holds the different words of GROUP_BYTES of texts, or of one longer text.
     """
     machine = _broadcast(docs, model_path)
+
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
-        encoder = _encoder(machine.value)
-        flat, ends = array("i"), [0]
-        for text in text_strings(batch, text_col):
-            encoder.encode(text, flat)
-            ends.append(len(flat))
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
-        return [ids, pa.array(np.diff(ends), pa.int64())]
+        found = [encode_texts(machine.value, g) for g in byte_groups(batch.column(text_col).fill_null(""), GROUP_BYTES)]
+        flat, counts = (np.concatenate(x) for x in zip(*found))
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))), pa.array(counts, pa.int64())]
 
     return add_columns(docs, "ids array<int>, n_tokens bigint", fn, drop=drop)
 

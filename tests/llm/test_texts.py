@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from relinfer.llm import catalog, ctw, digest, language, pieces
@@ -163,17 +164,30 @@ def brute_path(machine, text):
     return best[0]
 
 
-@pytest.mark.parametrize("text", [
+PIECE_TEXTS = [
     "hello world", "  two  spaces ", "a\nb\n\n c", "größe 中文 \U0001f600", "\t", " ", "x" * 500, "   \n   ", "\r\n",
-])
-def test_paths_are_cheapest_and_come_back(machine, text):
-    from array import array
-
-    out = array("i")
-    pieces.Encoder(machine).encode(text, out)
-    normal = (" " + text).replace(" ", pieces.SPACE)
-    assert pieces._cost(machine, list(out)) == pytest.approx(brute_path(machine, normal))
-    assert pieces.decode_ids(machine, list(out)) == text
+    "▁ a▁b ▁▁", "a\x1fb \x1f c", "", "中文" * 200 + "é\U0001f600 " + "word" * 40, " " * 200 + "z",
+]
+
+
+def test_paths_are_cheapest_and_come_back(machine):
+    ids, counts = pieces.encode_texts(machine, pa.array(PIECE_TEXTS))
+    back = {i: c for c, i in machine.arcs.values()}
+    for text, end, n in zip(PIECE_TEXTS, np.cumsum(counts), counts):
+        own = ids[end - n : end].tolist()
+        # The sign itself is no space: a sign of no piece stands in its place.
+        normal = (" " + text).replace(pieces.SPACE, "\uE000").replace(" ", pieces.SPACE) if text else ""
+        assert sum(back.get(i, machine.byte_cost) for i in own) == pytest.approx(brute_path(machine, normal))
+        assert pieces.decode_ids(machine, own) == text
+        alone, _ = pieces.encode_texts(machine, pa.array([text]))
+        assert alone.tolist() == own
+
+
+def test_long_words_take_the_same_paths(machine, monkeypatch):
+    words = pa.array([" heonti$$$", "größe", " 中a中", " " * 9, "xyzzy" * 12])
+    short = [x.tolist() for x in pieces.encode_words(machine, words)]
+    monkeypatch.setattr(pieces, "LONG", 0)
+    assert short == [x.tolist() for x in pieces.encode_words(machine, words)]
 
 
 def test_round_trip(spark, texts):
