@@ -26,12 +26,12 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(_doc, lines): the line numbers (from 0) to remove from each document that has any.
+    """(_doc, _removed): the line numbers (from 0) to remove from each document that has any.
 
-    A window is removed if an equal one stands earlier (by document id, then line).
-    Covered lines of all such windows of a document are merged. Lines that also lie
-    in the first occurrence of a repeated window stay, so that one copy of every
-    repeated window survives, also where occurrences overlap.
+    A window that stands earlier too (by document id, then line) is a later occurrence; the lines
+    that later occurrences cover are merged and removed, whatever else covers them. Only where an occurrence
+    overlaps the first one of the same window, as in a run of equal lines, the lines of the first one stay.
+    Every line that is removed has an equal one at an earlier place, so that no line is lost altogether.
     """
     windows = _windows(docs, size)
     first = (
@@ -39,12 +39,14 @@ def repeated_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         .agg(F.min(F.struct("_doc", "_pos")).alias("_first"), F.count("*").alias("_n"))
         .where("_n > 1").drop("_n")
     )
-    marked = windows.join(first, ["_h", "_g"]).select(
-        "_doc", (F.struct("_doc", "_pos") != F.col("_first")).alias("_later"),
-        F.explode(F.sequence("_pos", F.col("_pos") + size - 1)).alias("_line"),
+    overlaps = F.col("_doc").eqNullSafe(F.col("_first._doc"))
+    start = F.when(overlaps, F.greatest("_pos", F.col("_first._pos") + size)).otherwise(F.col("_pos"))
+    later = (
+        windows.join(first, ["_h", "_g"]).where(F.struct("_doc", "_pos") != F.col("_first"))
+        .select("_doc", start.alias("_start"), (F.col("_pos") + size - 1).alias("_end")).where("_start <= _end")
     )
-    covered = marked.groupBy("_doc", "_line").agg(F.bool_and("_later").alias("_gone"))
-    return covered.where("_gone").groupBy("_doc").agg(F.collect_list("_line").alias("_removed"))
+    covered = later.select("_doc", F.explode(F.sequence("_start", "_end")).alias("_line"))
+    return covered.groupBy("_doc").agg(F.collect_set("_line").alias("_removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -87,12 +89,12 @@ WITH lines AS (
   FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM lines)
   WHERE trim(l[i] || l[i + 1] || l[i + 2], ' ') <> ''
 ), marked AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) > 1 AS later,
-    count(*) OVER (PARTITION BY w) AS n
-  FROM windows
+  SELECT doc_id, pos, first_value(doc_id) OVER same AS first_doc, first_value(pos) OVER same AS first_pos
+  FROM windows WINDOW same AS (PARTITION BY w ORDER BY doc_id, pos)
 ), covered AS (
-  SELECT doc_id, line FROM (SELECT doc_id, later, unnest(range(pos, pos + 3)) AS line FROM marked WHERE n > 1)
-  GROUP BY doc_id, line HAVING bool_and(later)
+  SELECT DISTINCT doc_id, line FROM (
+    SELECT *, unnest(range(pos, pos + 3)) AS line FROM marked WHERE doc_id <> first_doc OR pos <> first_pos)
+  WHERE doc_id <> first_doc OR line >= first_pos + 3
 ), removed AS (SELECT doc_id, list(line) AS gone FROM covered GROUP BY doc_id)
 SELECT d.doc_id,
   CASE WHEN gone IS NULL THEN text ELSE array_to_string(

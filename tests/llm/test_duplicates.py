@@ -154,18 +154,25 @@ def brute_lines(rows):
             if "".join(w).strip(" "):
                 first.setdefault(w, (i, p))
                 windows.append((w, i, p))
-    times = {}
-    for w, _, _ in windows:
-        times[w] = times.get(w, 0) + 1
+    gone = {i: set() for i, _ in rows}
+    for w, i, p in windows:
+        at, place = first[w]
+        gone[i] |= {k for k in range(p, p + 3) if (i, p) != (at, place) and (i != at or k >= place + 3)}
     for i, text in rows:
-        gone, keep = set(), set()
-        for w, j, p in windows:
-            if i == j and times[w] > 1:
-                (keep if first[w] == (i, p) else gone).update(range(p, p + 3))
-        out[i] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone - keep)
+        out[i] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i])
     return out
 
 
+def test_copied_passages_go_also_where_a_copy_follows(spark):
+    """A later copy of a document does not shield what that document has taken from another."""
+    passage = ["p1", "p2", "p3", "p4"]
+    rows = [(1, ["a1", "a2", *passage, "z1", "z2"]), (2, ["A", "B", *passage, "C", "D"]), (3, ["A", "B", *passage, "C", "D"])]
+    rows += [(4, ["z", "z", "z", "z", "z"])]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    left = {r.doc_id: r.text.split("\n") for r in dedup_lines(docs).collect()}
+    assert left == {1: rows[0][1], 2: ["A", "B", "C", "D"], 3: [""], 4: ["z", "z", "z"]}
+
+
 def test_lines_equal_brute_force(spark):
     rnd = random.Random(6)
     rows = [(i, "\n".join(rnd.choice(["a", "b", "c", ""]) for _ in range(rnd.randint(1, 9)))) for i in range(60)]
