@@ -50,13 +50,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 FACTORS = (mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_WORD_HASHES: dict[bytes, int] = {}
+# Words whose hashes are remembered within an Arrow batch.
+CACHE_WORDS = 100_000
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+def shingles(text: bytes, words: int = WORDS, known: dict[bytes, int] | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `words` words; of all words if there are fewer."""
-    known = _WORD_HASHES
-    if len(known) > 400_000:
+    known = {} if known is None else known
+    if len(known) > CACHE_WORDS:
         known.clear()
     found = byte_words(text)
     if not found:
@@ -307,9 +308,9 @@ def _verify(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def _set_columns(batch: pa.RecordBatch) -> list[pa.Array]:
-    keys, sizes, sketches = [], [], []
+    keys, sizes, sketches, known = [], [], [], {}
     for text in text_bytes(batch, "text"):
-        s = shingles(text)
+        s = shingles(text, known=known)
         keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
         sizes.append(len(s))
         sketches.append(sketch(s).tobytes() if len(s) else None)
@@ -317,7 +318,8 @@ def _set_columns(batch: pa.RecordBatch) -> list[pa.Array]:
 
 
 def _token_columns(batch: pa.RecordBatch) -> list[pa.Array]:
-    found = [shingles(t) for t in text_bytes(batch, "text")]
+    known: dict[bytes, int] = {}
+    found = [shingles(t, known=known) for t in text_bytes(batch, "text")]
     return [
         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary()),
         pa.array([s.tobytes() for s in found], pa.binary()),

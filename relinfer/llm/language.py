@@ -6,7 +6,6 @@ import re
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,14 +168,15 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     ]
     parts = spark.createDataFrame(sides, "lang string, level string, a string, b string, y double")
 
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["lang", "at", "rank"])
-        x = np.stack([np.frombuffer(v, np.float32) for v in group["x"]])
-        return pd.DataFrame([(*key, train_svm(x, group["y"].to_numpy()).tobytes())], columns=["level", "a", "b", "w"])
+    def fit(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.sort_by([("lang", "ascending"), ("at", "ascending"), ("rank", "ascending")])
+        x = np.stack([np.frombuffer(v, np.float32) for v in group["x"].to_pylist()])
+        w = pa.array([train_svm(x, group["y"].to_numpy()).tobytes()], pa.binary())
+        return pa.table([*(pa.array([k.as_py()]) for k in key), w], ["level", "a", "b", "w"])
 
     fitted = (
         sample.join(F.broadcast(parts), "lang").groupBy("level", "a", "b")
-        .applyInPandas(fit, "level string, a string, b string, w binary").collect()
+        .applyInArrow(fit, "level string, a string, b string, w binary").collect()
     )
     return Classifier(langs, family_of, {(r["level"], r["a"], r["b"]): np.frombuffer(r["w"], np.float32) for r in fitted})
 
