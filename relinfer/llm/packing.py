@@ -30,8 +30,9 @@ MAX_SEGMENTS = 64
 END_ID = 1
 # Examples that wait in a task to be chosen from.
 WINDOW = 512
-# Bytes of texts that are tokenized together.
-GROUP_BYTES = 1 << 24
+# Bytes of texts that are tokenized together, and new plain words that are merged at once.
+GROUP_BYTES = 1 << 22
+MERGED_WORDS = 8192
 # Sequences of a task are numbered from its partition's number times this.
 SEQUENCES = 1 << 33
 
@@ -112,8 +113,11 @@ class WordTokenizer:
     def _learn(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts one after the other, and how many each has."""
         plain = pc.match_substring_regex(parts, PLAIN + "$").to_numpy(zero_copy_only=False)
-        joined = " ".join(parts.filter(pa.array(plain)).to_pylist())
-        found = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        words = parts.filter(pa.array(plain))
+        joined = (" ".join(words.slice(k, MERGED_WORDS).to_pylist()) for k in range(0, max(1, len(words)), MERGED_WORDS))
+        found = np.concatenate([
+            np.array(self.merges.encode_batch_fast([j], add_special_tokens=False)[0].ids, np.uint32) for j in joined
+        ])
         other = [x.ids for x in self.tokenizer.encode_batch_fast(parts.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
         sizes = np.zeros(len(parts), np.int64)
         sizes[plain] = np.diff(np.concatenate([[0], np.flatnonzero(self.ends[found]) + 1]))
@@ -142,13 +146,16 @@ def tokenize(
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         if not made:
             made.append(WordTokenizer(model.value))
-        found = [made[0].encode(g) for g in byte_groups(batch.column(text_col).fill_null(""), GROUP_BYTES)]
-        flat, counts = (np.concatenate(x) for x in zip(*found))
-        if end_id is not None:
-            flat = np.insert(flat, np.cumsum(counts), end_id)
-            counts = counts + 1
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))]
+        lists = []
+        for group in byte_groups(batch.column(text_col).fill_null(""), GROUP_BYTES):
+            flat, counts = made[0].encode(group)
+            flat = flat.astype(np.int32)
+            if end_id is not None:
+                flat = np.insert(flat, np.cumsum(counts), end_id)
+                counts = counts + 1
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+        return [pa.concat_arrays(lists)]
 
     return add_columns(docs, "ids array<int>", fn, drop=drop)
 

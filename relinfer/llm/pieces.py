@@ -28,7 +28,7 @@ from relinfer.llm.common import add_columns, byte_groups, chosen_lists
 MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 # Bytes of texts whose words are encoded together.
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 22
 # Longer words are swept one by one.
 LONG = 64
 # Further cost of a byte piece over the dearest piece, as of an unknown character.
@@ -241,7 +241,7 @@ class Lattices:
         self.node = self.start + np.arange(len(length))
         self.chars = self.trie.classes[self.text]
         # A character's bytes in UTF-8.
-        self.size = 1 + (self.text > 0x7F) + (self.text > 0x7FF) + (self.text > 0xFFFF)
+        self.size = np.int8(1) + (self.text > 0x7F) + (self.text > 0x7FF) + (self.text > 0xFFFF)
         n = len(text) + len(length)
         self.best = np.full(n, np.inf)
         self.best[self.node] = 0.0
@@ -398,10 +398,13 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH
     machine = _broadcast(docs, model_path)
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
-        found = [encode_texts(machine.value, g) for g in byte_groups(batch.column(text_col).fill_null(""), GROUP_BYTES)]
-        flat, counts = (np.concatenate(x) for x in zip(*found))
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))), pa.array(counts, pa.int64())]
+        lists = []
+        for group in byte_groups(batch.column(text_col).fill_null(""), GROUP_BYTES):
+            ids, counts = encode_texts(machine.value, group)
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))))
+        ids = pa.concat_arrays(lists)
+        return [ids, ids.value_lengths().cast(pa.int64())]
 
     return add_columns(docs, "ids array<int>, n_tokens bigint", fn, drop=drop)
 
