@@ -177,3 +177,113 @@ def attention_kernel(config, units: list[str], kept: list[str], out: str, size:
             yield (tile or _Tile(rows, shape, size)).result(kept, out)
 
     return run
+
+
+def _pairs(batches, units):
+    """(rows of kind 0 of a unit, some of its rows of kind 1), of rows sorted by (units, _kind, ..)."""
+    now, held, block = None, [], None
+    for batch in batches:
+        start = 0
+        for end in _runs(batch, [*units, "_kind"]) if batch.num_rows else []:
+            part = batch.slice(start, end - start)
+            start = end
+            unit = tuple(part.column(c)[0].as_py() for c in units)
+            if unit != now:
+                now, held, block = unit, [], None
+            if part.column("_kind")[0].as_py() == 0:
+                held.append(part)
+            elif held:
+                block = block or pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield block, part
+
+
+def _places(batch):
+    return batch.column("pos").to_numpy(zero_copy_only=False)
+
+
+def _block_scores(config, keys, queries):
+    """Scaled scores (query, head, key) of a pair of blocks, and how many of the sorted keys a query sees."""
+    k = _matrix(keys.column("k")).reshape(keys.num_rows, config.n_kv_heads, config.head_dim).transpose(1, 2, 0)
+    q = _matrix(queries.column("q")).reshape(queries.num_rows, config.n_kv_heads, -1, config.head_dim).transpose(1, 0, 2, 3)
+    s = (q @ k[:, None]) * config.score_scale
+    seen = np.searchsorted(_places(keys), _places(queries), "right")
+    return s.transpose(1, 0, 2, 3).reshape(queries.num_rows, config.n_heads, -1), seen
+
+
+def _by_head(queries, key, n_heads):
+    """The columns (key, pos, head) of a row for each head of each query."""
+    at = np.repeat(np.arange(queries.num_rows), n_heads)
+    head = np.tile(np.arange(n_heads, dtype=np.int32), queries.num_rows)
+    return [queries.column(key).take(pa.array(at)), queries.column("pos").take(pa.array(at)), pa.array(head)]
+
+
+def scores_kernel(config, key: str, units: list[str]):
+    """mapInArrow function over blocks of keys and the queries that see them: a row for each query and head."""
+
+    def run(batches):
+        for keys, queries in _pairs(batches, units):
+            s, seen = _block_scores(config, keys, queries)
+            queries, s, seen = queries.filter(pa.array(seen > 0)), s[seen > 0], seen[seen > 0]
+            if not len(seen):
+                continue
+            mask = np.broadcast_to((np.arange(s.shape[2]) < seen[:, None])[:, None, :], s.shape)
+            offsets = _offsets(np.repeat(seen, config.n_heads))
+            kpos = np.broadcast_to(_places(keys), s.shape)[mask]
+            columns = [*_by_head(queries, key, config.n_heads), queries.column("_kb").take(pa.array(np.repeat(np.arange(len(seen)), config.n_heads)))]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (kpos, s[mask])]
+            yield pa.RecordBatch.from_arrays([*columns, *lists], [key, "pos", "head", "kblock", "kpos", "val"])
+
+    return run
+
+
+def partials_kernel(config, key: str, units: list[str]):
+    """mapInArrow function as scores_kernel, giving what the softmax of a block of keys comes to.
+
+    A row for each query and head: the greatest score, the sum of exponents relative to it, and the values mixed by them.
+    """
+
+    def run(batches):
+        for keys, queries in _pairs(batches, units):
+            s, seen = _block_scores(config, keys, queries)
+            queries, s, seen = queries.filter(pa.array(seen > 0)), s[seen > 0], seen[seen > 0]
+            if not len(seen):
+                continue
+            hidden = np.broadcast_to((np.arange(s.shape[2]) >= seen[:, None])[:, None, :], s.shape)
+            s[hidden] = -np.inf
+            top = s.max(-1)
+            e = np.exp(np.clip(s - top[..., None], -config.exp_clamp, config.exp_clamp))
+            e[hidden] = 0.0
+            v = _matrix(keys.column("v")).reshape(keys.num_rows, config.n_kv_heads, config.head_dim)
+            mixed = np.einsum("qhgk,khd->qhgd", e.reshape(len(seen), config.n_kv_heads, -1, e.shape[2]), v)
+            mixed = mixed.reshape(-1, config.head_dim)
+            yield pa.RecordBatch.from_arrays(
+                [*_by_head(queries, key, config.n_heads), pa.array(top.ravel()), pa.array(e.sum(-1).ravel()), _vectors(mixed, np.ones(len(mixed), bool))],
+                [key, "pos", "head", "top", "total", "mixed"],
+            )
+
+    return run
+
+
+def mix_kernel(config, key: str, units: list[str], weight: str, out: str):
+    """mapInArrow function over blocks of values and rows of weights for them: each row's weighted sum."""
+
+    def run(batches):
+        for values, rows in _pairs(batches, units):
+            v = _matrix(values.column("v")).reshape(values.num_rows, config.n_kv_heads, config.head_dim)
+            sizes = rows.column("kpos").value_lengths().to_numpy(zero_copy_only=False)
+            kpos = rows.column("kpos").flatten().to_numpy(zero_copy_only=False)
+            places = _places(values)
+            at = np.searchsorted(places, kpos)
+            if np.any(at == len(places)) or np.any(places[np.minimum(at, len(places) - 1)] != kpos):
+                raise ValueError("a weighted position has no value")
+            w = np.zeros((rows.num_rows, values.num_rows))
+            w[np.repeat(np.arange(rows.num_rows), sizes), at] = rows.column(weight).flatten().to_numpy(zero_copy_only=False)
+            own = rows.column("head").to_numpy(zero_copy_only=False) // config.gqa_group
+            mixed = np.zeros((rows.num_rows, config.head_dim))
+            for h in range(config.n_kv_heads):
+                mixed[own == h] = w[own == h] @ v[:, h]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(key), rows.column("pos"), rows.column("head"), _vectors(mixed, np.ones(len(mixed), bool))], [key, "pos", "head", out]
+            )
+
+    return run

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from relinfer.config import ModelConfig
 from relinfer.functions import vector as V
-from relinfer.functions.kernels import attention_kernel
+from relinfer.functions.kernels import attention_kernel, mix_kernel, partials_kernel, scores_kernel
 from relinfer.operators.skew import lookup_join, with_group_value
 
 # Positions whose queries meet a batch of keys at once in attention.
@@ -105,97 +105,116 @@ def by_sequence(df: DataFrame, key: str = "seq_id") -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def _sequences(df: DataFrame, columns: Sequence[str], key: str = "seq_id") -> DataFrame:
-    """One row per sequence."""
-    return df.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("_rows"))
+def _block(pos: str) -> Column:
+    return F.floor(F.col(pos) / ATTENTION_BLOCK).cast("int")
 
 
-def _ordered(packed: DataFrame) -> DataFrame:
-    """The rows of each sequence by position."""
-    return packed.withColumn("_rows", F.array_sort("_rows"))
+UNITS = ("_qb", "_kb")
 
 
-def attn_scores(
-    df: DataFrame, config: ModelConfig, key: str = "seq_id"
-) -> DataFrame:
-    """Scaled causal scores of every query: (key, pos, head, kpos[], val[]).
+def _block_pairs(keys: DataFrame, asking: DataFrame, key: str, units: list[str]) -> DataFrame:
+    """Rows of both sides in the pairs of blocks of a sequence in which they meet, partitioned by pair.
+
+    `keys` (key, pos, ..) are repeated for their own and each later block in which the sequence has queries, and come
+    first in a pair; `asking` has _qb and _kb already. A pair holds a block of keys at a time, whatever
+    the sequence's length, and its queries pass by.
+    """
+    last = asking.groupBy(key).agg(F.max("_qb").alias("_last"))
+    own = _block("pos")
+    held = keys.join(last, key).where(own <= F.col("_last")).select(
+        *keys.columns, F.explode(F.sequence(own, F.col("_last"))).alias("_qb"), own.alias("_kb"), F.lit(0).alias("_kind")
+    )
+    both = held.unionByName(asking.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(parts, *units).sortWithinPartitions(*units, "_kind", "pos")
+
+
+def _queries(df: DataFrame, key: str) -> DataFrame:
+    """The queries of df, each in its pairs with its own and all earlier blocks of keys."""
+    own = _block("pos")
+    return df.select(
+        key, "pos", "q", own.alias("_qb"), F.explode(F.sequence(F.lit(0), own)).alias("_kb")
+    )
+
 
-    `df` has (key, pos, q, k) with concatenated heads. The scores of one query
-    are a vector over the positions it sees; no row per pair is made. A sequence is
-    one row here: this is the form to look at scores, `attend` the one for long sequences.
+def attn_scores(df: DataFrame, config: ModelConfig, key: str = "seq_id") -> DataFrame:
+    """Scaled causal scores: (key, pos, head, kblock, kpos[], val[]).
+
+    `df` has (key, pos, q, k) with concatenated heads; positions start at 0 and occur once. A row has the scores of a
+    query over those keys of one block that it sees, in order; no row per pair is made, and no task
+    holds more of a sequence than a block: a theta join of query blocks with the key blocks not after them.
+    """
+    units = [key, *UNITS]
+    pairs = _block_pairs(df.select(key, "pos", "k"), _queries(df, key), key, units)
+    schema = T.StructType([
+        df.schema[key], df.schema["pos"], T.StructField("head", T.IntegerType()), T.StructField("kblock", T.IntegerType()),
+        T.StructField("kpos", T.ArrayType(df.schema["pos"].dataType)), T.StructField("val", T.ArrayType(T.DoubleType())),
+    ])
+    return pairs.mapInArrow(scores_kernel(config, key, units), schema)
+
+
+def attn_softmax(scores: DataFrame, clamp: float = 50.0, key: str = "seq_id", out: str = "prob") -> DataFrame:
+    """Softmax of each query's scores over all its blocks, as a column beside them.
+
+    The blocks of a query meet in a window: as many rows as the sequence has blocks.
     """
-    hd, group = config.head_dim, config.gqa_group
-    packed = _ordered(_sequences(df, ["pos", "q", "k"], key))
-    scored = F.transform("_rows", lambda r: _scores_of(r, hd, group, config))
-    queries = packed.select(key, F.explode(scored).alias("_s"))
-    return queries.select(
-        key, F.col("_s.pos").alias("pos"), F.posexplode("_s.heads").alias("head", "_h")
-    ).select(key, "pos", "head", F.col("_h.kpos").alias("kpos"), F.col("_h.val").alias("val"))
-
-
-def _scores_of(query, hd, group, config):
-    def head_scores(h):
-        q = F.slice(query.getField("q"), h * hd + 1, F.lit(hd))
-        kv = F.floor(h / group).cast("int") * hd + 1
-        seen = F.filter(F.col("_rows"), lambda r: r.getField("pos") <= query.getField("pos"))
-        return V.let(
-            q,
-            lambda qv: V.let(
-                seen,
-                lambda sv: F.struct(
-                    F.transform(sv, lambda r: r.getField("pos")).alias("kpos"),
-                    F.transform(
-                        sv,
-                        lambda r: V.dot(qv, F.slice(r.getField("k"), kv, F.lit(hd)))
-                        * F.lit(config.score_scale),
-                    ).alias("val"),
-                ),
-            ),
-        )
-
-    heads = F.transform(F.sequence(F.lit(0), F.lit(config.n_heads - 1)), head_scores)
-    return F.struct(query.getField("pos").alias("pos"), heads.alias("heads"))
+    each = Window.partitionBy(key, "pos", "head")
+    topped = scores.withColumn("_top", F.max(F.array_max("val")).over(each))
+    e = F.transform("val", lambda x: V.clamped_exp(x - F.col("_top"), clamp))
+    summed = topped.withColumn("_e", e).withColumn("_total", F.sum(F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)).over(each))
+    return summed.withColumn(out, F.transform("_e", lambda x: x / F.col("_total"))).drop("_top", "_e", "_total")
 
 
 def attn_mix(
-    weights: DataFrame, kv: DataFrame, config: ModelConfig, weight: str = "prob", key: str = "seq_id",
-    out: str = "o",
+    weights: DataFrame, kv: DataFrame, config: ModelConfig, weight: str = "prob", key: str = "seq_id", out: str = "o",
 ) -> DataFrame:
     """Mix values by attention weights: (key, pos, head, o).
 
-    `weights` is (key, pos, head, weight[]), a weight for every position up to
-    its own as `attn_scores` orders them; `kv` has (key, pos, v) with
-    concatenated heads.
+    `weights` is (key, pos, head, kblock, kpos[], weight[]) as of `attn_softmax`; `kv` has (key, pos, v) with
+    concatenated heads. Each block of values meets the weights for it, and the sums of a query's
+    blocks are added, combined before the shuffle.
     """
-    hd, group = config.head_dim, config.gqa_group
-    values = _ordered(_sequences(kv, ["pos", "v"], key))
-    queries = weights.groupBy(key, "head").agg(
-        F.collect_list(F.struct("pos", F.col(weight).alias("w"))).alias("_q")
-    )
-
-    def mix(q):
-        first = F.floor(F.col("head") / group).cast("int") * hd
-        seen = F.filter(F.col("_rows"), lambda r: r.getField("pos") <= q.getField("pos"))
-        return V.let(
-            seen,
-            lambda sv: F.transform(
-                F.sequence(F.lit(0), F.lit(hd - 1)),
-                lambda d: F.aggregate(
-                    F.zip_with(
-                        q.getField("w"), sv, lambda p, r: p * F.get(r.getField("v"), first + d)
-                    ),
-                    F.lit(0.0), lambda acc, t: acc + t,
-                ),
-            ),
-        )
-
-    def mixed_query(q):
-        return F.struct(q.getField("pos").alias("pos"), mix(q).alias(out))
-
-    mixed = queries.join(values.select(key, "_rows"), key).select(
-        key, "head", F.explode(F.transform("_q", mixed_query)).alias("_m")
+    units = [key, *UNITS]
+    asking = weights.select(key, "pos", "head", "kpos", weight, _block("pos").alias("_qb"), F.col("kblock").alias("_kb"))
+    pairs = _block_pairs(kv.select(key, "pos", "v"), asking, key, units)
+    schema = T.StructType([
+        weights.schema[key], weights.schema["pos"], T.StructField("head", T.IntegerType()), T.StructField(out, T.ArrayType(T.DoubleType())),
+    ])
+    parts = pairs.mapInArrow(mix_kernel(config, key, units, weight, out), schema)
+    sums = [F.sum(F.get(out, F.lit(i))) for i in range(config.head_dim)]
+    return parts.groupBy(key, "pos", "head").agg(F.array(*sums).alias(out))
+
+
+def attn_partials(df: DataFrame, config: ModelConfig, key: str = "seq_id") -> DataFrame:
+    """What the softmax over each block of keys comes to: (key, pos, head, top, total, mixed[]).
+
+    `df` has (key, pos, q, k, v). `total` and `mixed` are the sums of the exponents, and of the values times
+    them, relative to the greatest score `top` of the block; partial results of any blocks can be merged.
+    """
+    units = [key, *UNITS]
+    pairs = _block_pairs(df.select(key, "pos", "k", "v"), _queries(df, key), key, units)
+    schema = T.StructType([
+        df.schema[key], df.schema["pos"], T.StructField("head", T.IntegerType()), T.StructField("top", T.DoubleType()),
+        T.StructField("total", T.DoubleType()), T.StructField("mixed", T.ArrayType(T.DoubleType())),
+    ])
+    return pairs.mapInArrow(partials_kernel(config, key, units), schema)
+
+
+def attn_merge(partials: DataFrame, config: ModelConfig, key: str = "seq_id", out: str = "o") -> DataFrame:
+    """Partial results of a query's blocks to its mix of all values: (key, pos, head, o)."""
+    keys = [key, "pos", "head"]
+    scaled = partials.withColumn("_f", F.exp(F.col("top") - F.max("top").over(Window.partitionBy(*keys))))
+    sums = [F.sum(F.get("mixed", F.lit(i)) * F.col("_f")) for i in range(config.head_dim)]
+    merged = scaled.groupBy(*keys).agg(F.array(*sums).alias("_o"), F.sum(F.col("total") * F.col("_f")).alias("_t"))
+    return merged.select(*keys, F.transform("_o", lambda x: x / F.col("_t")).alias(out))
+
+
+def attend_blocked(df: DataFrame, config: ModelConfig, key: str = "seq_id", out: str = "o") -> DataFrame:
+    """`attend` as relational steps: partial softmax of pairs of blocks, merged, and joined back to the rows."""
+    heads = attn_merge(attn_partials(df, config, key), config, key, "_h").groupBy(key, "pos").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("head", "_h"))), lambda x: x["_h"])).alias(out)
     )
-    return mixed.select(key, "_m.pos", "head", f"_m.{out}")
+    return df.drop("q").join(heads, [key, "pos"])
 
 
 def tile_rows(config: ModelConfig) -> int:

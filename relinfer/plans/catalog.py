@@ -208,7 +208,7 @@ def attn_scores(spark, folder):
 
 
 def attn_weights(spark, folder):
-    scores = L.attn_scores(_qkv(spark, folder), WIDE).withColumn("prob", V.softmax_vec("val"))
+    scores = L.attn_softmax(L.attn_scores(_qkv(spark, folder), WIDE))
     out = scores.select("seq_id", "pos", "head", F.explode(F.arrays_zip("kpos", "prob")).alias("s"))
     return big(
         out.select("seq_id", "pos", "head", "s.kpos", F.round("s.prob", 6).alias("prob")),
@@ -219,7 +219,7 @@ def attn_weights(spark, folder):
 def causal_attention(spark, folder):
     turned = L.rope(sequences(spark, folder), "x", 64, out="q")
     qkv = turned.select("seq_id", "pos", "q", F.col("q").alias("k"), F.col("x").alias("v"))
-    weights = L.attn_scores(qkv, ONE_HEAD).withColumn("prob", V.softmax_vec("val"))
+    weights = L.attn_softmax(L.attn_scores(qkv, ONE_HEAD))
     return long(L.attn_mix(weights, qkv, ONE_HEAD), "o", ("seq_id", "pos"))
 
 
@@ -529,6 +529,33 @@ def long_attention(spark, folder):
     return long(x, "x", ("seq_id", "pos"))
 
 
+def blocked_attention(spark, folder):
+    """The same by partial softmax over pairs of blocks."""
+    model = _model(spark, TINY)
+    x = M.attention(M.embedded(_chat_tokens(spark, folder), model), model, 0, L.attend_blocked)
+    return long(x, "x", ("seq_id", "pos"))
+
+
+def chat_scores(spark, folder):
+    """Scores of all tokens of the conversations: how many, the greatest, and the greatest probability."""
+    model = _model(spark, TINY)
+    rows = M.projected(M.embedded(_chat_tokens(spark, folder), model), model, 0)
+    weights = L.attn_softmax(L.attn_scores(rows, TINY))
+    out = weights.groupBy("seq_id", "pos", "head").agg(
+        F.sum(F.size("kpos")).alias("n"), F.round(F.max(F.array_max("val")), 6).alias("top"),
+        F.round(F.max(F.array_max("prob")), 6).alias("prob"),
+    )
+    return big(out, "head")
+
+
+def chat_mix(spark, folder):
+    """Values of all tokens of the conversations, mixed by their attention weights."""
+    model = _model(spark, TINY)
+    rows = M.projected(M.embedded(_chat_tokens(spark, folder), model), model, 0)
+    mixed = L.attn_mix(L.attn_softmax(L.attn_scores(rows, TINY)), rows, TINY)
+    return big(long(mixed, "o", ("seq_id", "pos", "head")), "head")
+
+
 def answer_items(spark, folder):
     vocab = _item_vocab(spark, folder, TINY.vocab_size)
     tokens = _prompt_tokens(spark, folder)
@@ -547,7 +574,7 @@ QUERIES = {
         gumbel_sample, filter_logits, vocab_build, load_vocab, encode, decode_text, chat_render,
         chat_tokens, prompt_lengths, repetition_penalty, repetition_penalty_at, stop_rules,
         next_token, choose_token, embed, embed_joined, block_forward, model_logits,
-        greedy_generate, sampled_generate, answer_items, generate_unknown, long_attention,
+        greedy_generate, sampled_generate, answer_items, generate_unknown, long_attention, blocked_attention, chat_scores, chat_mix,
         text_round_trip, blocked_logits, filter_with_params, generate_with_params,
     )
 }

@@ -29,12 +29,8 @@ def _normed(df: DataFrame, model: Model, tensor: str, layer: int = 0) -> DataFra
     return df.withColumn("x_norm", model.column((tensor, layer), build))
 
 
-def attention(df: DataFrame, model: Model, layer: int, attending=attend) -> DataFrame:
-    """Attention sub-layer: norm, projections, rotary encoding, attention, residual.
-
-    Rows (seq_id, pos, x, ...) get the new x and the keys and values k and v. `attending` adds `o` to rows with
-    q, k and v.
-    """
+def projected(df: DataFrame, model: Model, layer: int) -> DataFrame:
+    """Norm and projections: df with q, k and v, the first two turned by their position."""
     cfg = model.config
     df = _normed(df, model, "norm", layer)
     df = df.withColumns({t: model.product(t, "x_norm", layer) for t in ("q", "k", "v")}).drop("x_norm")
@@ -42,7 +38,16 @@ def attention(df: DataFrame, model: Model, layer: int, attending=attend) -> Data
         c: model.column(("rope", c), lambda: V.rope_vec(c, "pos", cfg.head_dim, cfg.rope_theta))
         for c in ("q", "k")
     }
-    df = attending(df.withColumns(turned), cfg)
+    return df.withColumns(turned)
+
+
+def attention(df: DataFrame, model: Model, layer: int, attending=attend) -> DataFrame:
+    """Attention sub-layer: norm, projections, rotary encoding, attention, residual.
+
+    Rows (seq_id, pos, x, ...) get the new x and the keys and values k and v. `attending` adds `o` to rows with
+    q, k and v.
+    """
+    df = attending(projected(df, model, layer), model.config)
     return _residual(df.withColumn("_d", model.product("o", "o", layer)), model, "o")
 
 

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from relinfer.config import SamplingParams
-from relinfer.functions import vector as V
 from relinfer.operators import layers as L
 from relinfer.operators import tensor as X
 from relinfer.operators.sampling import survivors_vec
@@ -196,18 +195,48 @@ def test_weights_round_trip(spark, model, tmp_path):
         check_weights(model.weights.where("not (tensor = 'q' and row = 3)"), SMALL)
 
 
-def test_attention_steps_equal_the_fused_form(spark, model):
+@pytest.mark.parametrize("block", [2, 512])
+def test_attention_steps_equal_the_fused_form(spark, monkeypatch, block):
+    monkeypatch.setattr(L, "ATTENTION_BLOCK", block)
     rng = np.random.default_rng(2)
     rows = [(s, p, rng.normal(size=48).tolist(), rng.normal(size=16).tolist(), rng.normal(size=16).tolist())
-            for s in (1, 2) for p in range(5)]
+            for s, n in ((1, 5), (2, 7), (3, 1)) for p in range(n)]
     df = spark.createDataFrame(rows, "seq_id int, pos int, q array<double>, k array<double>, v array<double>")
-    weights = L.attn_scores(df, SMALL).withColumn("prob", V.softmax_vec("val"))
+    weights = L.attn_softmax(L.attn_scores(df, SMALL))
+    seen = {}
     for r in weights.collect():
-        assert r.kpos == list(range(r.pos + 1)) and sum(r.prob) == pytest.approx(1)
+        assert {k // block for k in r.kpos} == {r.kblock} and len(r.kpos) <= block
+        for k, p in zip(r.kpos, r.prob):
+            seen.setdefault((r.seq_id, r.pos, r.head), {})[k] = p
+    assert all(list(sorted(x)) == list(range(p + 1)) and sum(x.values()) == pytest.approx(1) for (_, p, _), x in seen.items())
+    assert len(seen) == 6 * len(rows)
     steps = {(r.seq_id, r.pos, r.head): r.o for r in L.attn_mix(weights, df, SMALL).collect()}
+    blocked = {(r.seq_id, r.pos): r.o for r in L.attend_blocked(df, SMALL).collect()}
     for r in L.attend(df, SMALL).collect():
         parts = np.concatenate([steps[r.seq_id, r.pos, h] for h in range(6)])
-        assert np.allclose(r.o, parts, atol=1e-12)
+        assert np.allclose(r.o, parts, atol=1e-12) and np.allclose(r.o, blocked[r.seq_id, r.pos], atol=1e-12)
+
+
+def test_partials_of_any_blocks_merge(spark):
+    """The softmax of blocks that differ by more than the clamp is that of all their keys."""
+    one = [(1, 9, 0, 100.0, 2.0, [2.0] * 8), (1, 9, 0, 98.0, 1.0, [5.0] * 8), (1, 9, 0, -900.0, 3.0, [7.0] * 8)]
+    df = spark.createDataFrame(one, "seq_id int, pos int, head int, top double, total double, mixed array<double>")
+    fade = np.exp(-2.0)
+    assert L.attn_merge(df, SMALL).first().o == pytest.approx([(2 + 5 * fade) / (2 + fade)] * 8)
+
+
+def test_weights_without_values_are_an_error(spark):
+    w = spark.createDataFrame([(1, 3, 0, 0, [0, 2], [0.5, 0.5])], "seq_id int, pos int, head int, kblock int, kpos array<int>, prob array<double>")
+    kv = spark.createDataFrame([(1, 0, [1.0] * 16)], "seq_id int, pos int, v array<double>")
+    with pytest.raises(Exception, match="has no value"):
+        L.attn_mix(w, kv, SMALL).collect()
+
+
+def test_no_task_holds_a_sequence(spark):
+    """The steps form no row of a sequence: nothing is collected but the heads of a query."""
+    df = spark.createDataFrame([], "seq_id int, pos int, q array<double>, k array<double>, v array<double>")
+    text = plan(L.attn_mix(L.attn_softmax(L.attn_scores(df, SMALL)), df, SMALL))
+    assert "collect_list" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_attention_over_a_cache(spark):
