@@ -72,7 +72,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of every document stand in the benchmark, and whether it is contaminated."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"), drop=("text",))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at"
+    )
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,54 +19,75 @@ from relinfer.llm.common import add_columns, byte_words, text_bytes, text_key
 WINDOW = 13
 # Words of benchmark items that are held at once; more are searched block by block.
 BLOCK_WORDS = 200_000
-# Longer items are cut into overlapping pieces with the same windows.
-PIECE_WORDS = 4_096
 
-RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint"
-HITS = "n_words bigint, _spans array<int>, _items array<string>, longest bigint"
+RESULT = (
+    "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest bigint, longest_at bigint"
+)
+HITS = "n_words bigint, _spans array<int>, _items array<string>, _match struct<longest: bigint, back: bigint>"
 
 
 @dataclass
 class Block:
-    """Items as word numbers: numbers from 1; `starts`, `sizes`, `items` describe the windows."""
+    """Different texts of items as word numbers from 1, each followed by a 0, and their different windows.
+
+    `starts` and `sizes` have a place and the size of each window; `places` all its places, those of window k from
+    `ends[k - 1]` to `ends[k]`. `text` has the number of the text at each place, `items` the items of each text.
+    """
 
     ids: dict[bytes, int]
     words: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
-    items: list[str | None]
+    places: np.ndarray
+    ends: np.ndarray
+    text: np.ndarray
+    items: list[list[str]]
+    window: int
+
+    def all_places(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into windows, place) of every place of each of the windows."""
+        first = np.where(windows > 0, self.ends[windows - 1], 0)
+        count = self.ends[windows] - first
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.repeat(np.arange(len(windows)), count), self.places[at]
 
 
 def _block(rows: list, window: int) -> Block:
     ids: dict[bytes, int] = {}
-    words: list[int] = []
-    starts, sizes, items = [], [], []
-    for item, piece in rows:
-        at = len(words)
-        words += [ids.setdefault(bytes(w), len(ids) + 1) for w in piece] + [0]
-        size = min(window, len(piece))
-        for k in range(len(piece) - size + 1):
-            starts.append(at + k)
-            sizes.append(size)
-            items.append(item)
-    return Block(ids, np.array(words, np.int32), np.array(starts, np.int64), np.array(sizes, np.int64), items)
-
-
-def _pieces(bench: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(item, words): each distinct item's words, long ones in pieces; items without words go."""
-    step = PIECE_WORDS - window + 1
-
-    def cut(batch: pa.RecordBatch) -> list[pa.Array]:
-        out = []
-        for text in text_bytes(batch, "_text"):
-            w = byte_words(text)
-            out.append([w[k : k + PIECE_WORDS] for k in range(0, max(1, len(w) - window + 1), step)] if w else [])
-        return [pa.array(out, pa.list_(pa.list_(pa.binary())))]
-
-    rows = bench.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("_text"))
-    return add_columns(rows, "_pieces array<array<binary>>", cut, drop=("_text",)).select(
-        "item", F.explode("_pieces").alias("words")
-    )
+    texts: dict[tuple[int, ...], set] = {}
+    for item, words in rows:
+        if words:
+            own = tuple(ids.setdefault(bytes(w), len(ids) + 1) for w in words)
+            texts.setdefault(own, set()).add(item)
+    words = np.array([n for own in texts for n in (*own, 0)], np.int32)
+    lengths = np.array([len(own) for own in texts], np.int64)
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    text = np.repeat(np.arange(len(lengths)), lengths + 1)
+    starts, sizes, places, counts = [], [], [], []
+    for size in np.unique(np.minimum(lengths, window)):
+        own = np.flatnonzero(np.minimum(lengths, window) == size)
+        number = lengths[own] - size + 1
+        at = np.repeat(begin[own] - np.cumsum(number) + number, number) + np.arange(number.sum())
+        _, first, which = np.unique(words[at[:, None] + np.arange(size)], axis=0, return_index=True, return_inverse=True)
+        which = which.ravel()
+        starts.append(at[first])
+        sizes.append(np.full(len(first), size, np.int64))
+        places.append(at[np.argsort(which, kind="stable")])
+        counts.append(np.bincount(which))
+    none = [np.empty(0, np.int64)]
+    starts, sizes, places, counts = (np.concatenate(x or none) for x in (starts, sizes, places, counts))
+    items = [sorted(i for i in found if i is not None) for found in texts.values()]
+    return Block(ids, words, starts, sizes, places, np.cumsum(counts).astype(np.int64), text, items, window)
+
+
+def _items(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item, words) of each distinct item."""
+
+    def words(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([byte_words(t) for t in text_bytes(batch, "_text")], pa.list_(pa.binary()))]
+
+    rows = bench.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("_text")).distinct()
+    return add_columns(rows, "words array<binary>", words, drop=("_text",))
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
@@ -144,23 +165,55 @@ def find_windows(flat: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(at), np.concatenate(size), np.concatenate(window)
 
 
-def longest_runs(at: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Per occurrence: the length of the verbatim match that it belongs to.
-
-    Occurrences whose window and place both go on by one belong to the same match.
-    """
-    if not len(at):
-        return np.empty(0, np.int64)
-    order = np.lexsort((at, at - start))
-    a, diagonal = at[order], (at - start)[order]
-    new = np.concatenate([[True], (np.diff(a) != 1) | (np.diff(diagonal) != 0)])
-    run = np.cumsum(new) - 1
-    out = np.empty(len(at), np.int64)
-    out[order] = np.bincount(run)[run] - 1 + size[order]
-    return out
-
-
-def _scan(texts: list[bytes], block: Block) -> list[tuple[int, list[int], list[str], int]]:
+class Found:
+    """What the windows found in documents tell of them; equal findings are worked out once."""
+
+    def __init__(self, block: Block):
+        self.block = block
+        self._items: dict[bytes, list[str]] = {}
+        self._runs: dict[bytes, tuple[int, int]] = {}
+
+    def items(self, windows: np.ndarray) -> list[str]:
+        """The items that have any of the windows, as sorted strings."""
+        windows = np.unique(windows)
+        key = windows.tobytes()
+        if key not in self._items:
+            texts = np.unique(self.block.text[self.block.all_places(windows)[1]])
+            self._items[key] = sorted({i for t in texts for i in self.block.items[t]})
+        return self._items[key]
+
+    def longest(self, at: np.ndarray, size: np.ndarray, windows: np.ndarray) -> tuple[int, int]:
+        """(words, place of the first word) of the longest stretch that stands verbatim in one item."""
+        best = (0, 0)
+        short = size < self.block.window
+        if short.any():
+            n = int(size[short].max())
+            best = n, int(at[size == n].min())
+        at, windows = at[~short], windows[~short]
+        # Windows at consecutive places.
+        cuts = np.flatnonzero(np.diff(at) != 1) + 1
+        for places, run in zip(np.split(at, cuts), np.split(windows, cuts)):
+            if len(run):
+                n, start = self._run(run)
+                best = max(best, (n + self.block.window - 1, int(places[start])), key=lambda x: (x[0], -x[1]))
+        return best
+
+    def _run(self, run: np.ndarray) -> tuple[int, int]:
+        """(windows, first one) of the longest part of a run of windows that an item has in a row."""
+        key = run.tobytes()
+        if key not in self._runs:
+            index, place = self.block.all_places(run)
+            order = np.lexsort((index, place - index))
+            index, place = index[order], place[order]
+            new = np.concatenate([[True], (np.diff(index) != 1) | (np.diff(place) != 1)])
+            first = np.flatnonzero(new)
+            length = np.diff(np.append(first, len(index)))
+            top = np.flatnonzero(length == length.max())
+            self._runs[key] = int(length.max()), int(index[first[top]].min())
+        return self._runs[key]
+
+
+def _scan(texts: list[bytes], block: Block) -> list[tuple[int, list[int], list[str], tuple[int, int]]]:
     """Per text: words, hit spans (start, end, start, ...), item ids, longest match."""
     get = block.ids.get
     flat: list[int] = []
@@ -173,15 +226,15 @@ def _scan(texts: list[bytes], block: Block) -> list[tuple[int, list[int], list[s
         flat.append(0)
         bounds.append(len(flat))
     at, size, window = find_windows(np.array(flat, np.int32), block)
-    runs = longest_runs(at, size, block.starts[window] if len(at) else at)
     by_place = np.argsort(at, kind="stable")
-    at, size, window, runs = at[by_place], size[by_place], window[by_place], runs[by_place]
+    at, size, window = at[by_place], size[by_place], window[by_place]
     cuts = np.searchsorted(at, bounds)
+    found = Found(block)
     out = []
     for k, n in enumerate(counts):
         i, j = cuts[k], cuts[k + 1]
         if i == j:
-            out.append((n, [], [], 0))
+            out.append((n, [], [], (0, 0)))
             continue
         spans: list[int] = []
         for b, w in zip((at[i:j] - bounds[k]).tolist(), size[i:j].tolist()):
@@ -189,19 +242,21 @@ def _scan(texts: list[bytes], block: Block) -> list[tuple[int, list[int], list[s
                 spans[-1] = max(spans[-1], b + w)
             else:
                 spans += [b, b + w]
-        items = {block.items[w] for w in np.unique(window[i:j])} - {None}
-        out.append((n, spans, sorted(items), int(runs[i:j].max())))
+        out.append((n, spans, found.items(window[i:j]), found.longest(at[i:j] - bounds[k], size[i:j], window[i:j])))
     return out
 
 
-def _verdict(rows: list[tuple[int, list[int], list[str], int]]) -> list[pa.Array]:
+def _verdict(rows: list[tuple[int, list[int], list[str], tuple[int, int]]]) -> list[pa.Array]:
     hit = [sum(s[1::2]) - sum(s[::2]) for _, s, _, _ in rows]
+    # Texts with equal findings share a list.
+    digests = {id(i): hashlib.sha256(",".join(i).encode()).hexdigest() for i in {id(r[2]): r[2] for r in rows}.values()}
     return [
         pa.array([n for n, _, _, _ in rows], pa.int64()), pa.array(hit, pa.int64()),
         pa.array([len(i) for _, _, i, _ in rows], pa.int64()),
-        pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i, _ in rows], pa.string()),
+        pa.array([digests[id(i)] for _, _, i, _ in rows], pa.string()),
         pa.array([h > 0 and 20 * h >= n for h, (n, _, _, _) in zip(hit, rows)], pa.bool_()),
-        pa.array([x for _, _, _, x in rows], pa.int64()),
+        pa.array([m[0] for _, _, _, m in rows], pa.int64()),
+        pa.array([m[1] if m[0] else None for _, _, _, m in rows], pa.int64()),
     ]
 
 
@@ -210,28 +265,27 @@ def contamination(
     item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
     drop: tuple[str, ...] = (),
 ) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items_sha256, contaminated and longest.
+    """docs with n_words, n_hit, n_items, items_sha256, contaminated, longest and longest_at.
 
     A document word is hit if it lies in an occurrence of a window, `window` consecutive
     words of an item or all words of a shorter one. `longest` is the length in words of
-    the longest verbatim match (0 without a hit). Null and empty texts have no words and
+    the longest verbatim match with an item (0 without a hit), and `longest_at` the number of its first word, from 0
+    (the first of equals; null without a hit). Null and empty texts have no words and
     are never contaminated; an empty benchmark hits nothing; repeated items count once;
     an item with a null id hits, but isn't counted in n_items. Columns of these names are
     replaced, others carried.
 
-    The benchmark is held in blocks of about `block_words` words. One block is a narrow
+    The benchmark is held in blocks of about `block_words` words, of whole items. One block is a narrow
     pass. With more, each block is searched in a pass of its own, and the spans, keyed by
     the text's hash, are merged by a shuffle.
     """
     spark = docs.sparkSession
-    pieces = _pieces(bench.select(item_col, item_text).distinct(), item_col, item_text, window)
-    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+    items = _items(bench, item_col, item_text)
+    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_words))
 
     def block(k: int):
-        rows = pieces if n_blocks == 1 else pieces.where(
-            F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == k
-        )
+        rows = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == k)
         return spark.sparkContext.broadcast(_block(rows.collect(), window))
 
     if n_blocks == 1:
@@ -246,10 +300,12 @@ def contamination(
         part = block(k)
 
         def fn(batch: pa.RecordBatch) -> list[pa.Array]:
-            n, spans, items, longest = zip(*_scan(text_bytes(batch, text_col), part.value))
+            n, spans, found, matches = zip(*_scan(text_bytes(batch, text_col), part.value))
+            match = pa.StructArray.from_arrays(
+                [pa.array([m[0] for m in matches], pa.int64()), pa.array([-m[1] for m in matches], pa.int64())], ["longest", "back"]
+            )
             return [
-                pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())),
-                pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64()),
+                pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), match,
             ]
 
         return add_columns(keyed.select("_key", text_col), HITS, fn, drop=(text_col,)).where("size(_spans) > 0")
@@ -259,14 +315,14 @@ def contamination(
         found = found.unionByName(spans_of(k))
     merged = found.groupBy("_key").agg(
         F.collect_set("_spans").alias("_spans"), F.collect_set("_items").alias("_items"),
-        F.max("longest").alias("longest"),
+        F.max("_match").alias("_match"),
     )
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = []
-        for n, spans, items, longest in zip(
+        for n, spans, found, match in zip(
             [len(byte_words(t)) for t in text_bytes(batch, text_col)],
-            *(batch.column(c).to_pylist() for c in ("_spans", "_items", "_longest")),
+            *(batch.column(c).to_pylist() for c in ("_spans", "_items", "_match")),
         ):
             flat: list[int] = []
             for b, e in sorted(p for s in spans or [] for p in zip(s[::2], s[1::2])):
@@ -274,11 +330,12 @@ def contamination(
                     flat[-1] = max(flat[-1], e)
                 else:
                     flat += [b, e]
-            rows.append((n, flat, sorted({i for x in items or [] for i in x}), longest or 0))
+            longest = (match["longest"], -match["back"]) if match else (0, 0)
+            rows.append((n, flat, sorted({i for x in found or [] for i in x}), longest))
         return _verdict(rows)
 
-    joined = keyed.join(merged.withColumnRenamed("longest", "_longest"), "_key", "left")
-    return add_columns(joined, RESULT, fn, drop=("_key", "_spans", "_items", "_longest", *drop))
+    joined = keyed.join(merged, "_key", "left")
+    return add_columns(joined, RESULT, fn, drop=("_key", "_spans", "_items", "_match", *drop))
 
 
 CONTAMINATION_SQL = r"""
@@ -296,6 +353,16 @@ places AS (
   SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM dw, sizes WHERE len(w) >= n
 ), hits AS (
   SELECT doc_id, p, n, item_id FROM (SELECT doc_id, n, p, w[p : p + n - 1] AS g FROM places) JOIN wins USING (n, g)
+), pairs AS (
+  SELECT DISTINCT h.doc_id, h.p, h.n, i.item_id, i.w AS text, i.i - h.p AS diagonal
+  FROM hits h JOIN dw ON dw.doc_id = h.doc_id JOIN items i ON i.item_id = h.item_id AND i.n = h.n
+  WHERE i.w[i.i : i.i + i.n - 1] = dw.w[h.p : h.p + h.n - 1]
+), matches AS (
+  SELECT doc_id, min(p) - 1 AS start, count(*) + any_value(n) - 1 AS longest FROM (
+    SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, text, n, diagonal ORDER BY p) AS island FROM pairs)
+  GROUP BY doc_id, item_id, text, n, diagonal, island
+), best AS (
+  SELECT doc_id, max(longest) AS longest, arg_min(start, (-longest, start)) AS longest_at FROM matches GROUP BY doc_id
 ), words AS (
   SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id
 ), found AS (
@@ -303,6 +370,8 @@ places AS (
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
 )
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(longest, 0)::BIGINT AS longest, longest_at::BIGINT AS longest_at
 FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN found ON dw.doc_id = found.doc_id
+LEFT JOIN best ON dw.doc_id = best.doc_id
 """

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relinfer.llm.license_rules import ROOTS, rule_rows
+from relinfer.llm.spans import scan
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What stands between words, in lower-cased text and in text as it is.
@@ -66,17 +67,17 @@ def _detections(norm: Column) -> Column:
         whole = F.regexp_extract_all(norm, rule["regex"], F.lit(0))
         pairs = F.arrays_zip(F.slice(parts, F.lit(1), F.size(whole)).alias("part"), whole.alias("whole"))
 
-        def step(state: Column, x: Column) -> Column:
-            start = state["at"] + F.length(x["part"])
-            end = start + F.length(x["whole"])
-            found = F.struct(
-                start.alias("start"), (-end).alias("back"), rule["priority"].alias("priority"),
+        def ended(at: Column, x: Column) -> Column:
+            return at + F.length(x["part"]) + F.length(x["whole"])
+
+        def found(at: Column, x: Column) -> Column:
+            start = at + F.length(x["part"])
+            return F.struct(
+                start.alias("start"), (-ended(at, x)).alias("back"), rule["priority"].alias("priority"),
                 rule["number"].alias("number"), rule["label"].alias("label"), rule["confidence"].alias("confidence"),
             )
-            return F.struct(end.alias("at"), F.array_append(state["out"], found).alias("out"))
 
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("out"))
-        return F.aggregate(pairs, begin, step, lambda s: s["out"])
+        return scan(pairs, F.lit(0), ended, found, FOUND)
 
     held = F.filter(rules, lambda r: F.contains(norm, r["key"]))
     return F.array_sort(F.flatten(F.transform(held, matches)))
@@ -89,23 +90,23 @@ def _resolve(found: Column) -> Column:
     priority, then the later rule). Of two that overlap in part, the one of better
     priority stays, of equal ones the earlier.
     """
-    nothing = F.lit(None).cast(FOUND)
-    begin = F.struct(F.array().cast(f"array<{FOUND}>").alias("out"), nothing.alias("last"))
-
-    def step(state: Column, x: Column) -> Column:
-        last = state["last"]
-        first = last.isNull()
+    def tests(last: Column, x: Column) -> tuple[Column, Column]:
+        """Whether x stands apart from the last one that was kept, and whether it replaces it."""
         contained = x["back"] >= last["back"]
         overlap = x["start"] < -last["back"]
-        replace = overlap & ~contained & (x["priority"] < last["priority"])
-        apart = first | (~overlap & ~contained)
-        out = F.when(apart & ~first, F.array_append(state["out"], last)).otherwise(state["out"])
-        return F.struct(out.alias("out"), F.when(apart | replace, x).otherwise(last).alias("last"))
+        return last.isNull() | (~overlap & ~contained), overlap & ~contained & (x["priority"] < last["priority"])
 
-    def finish(state: Column) -> Column:
-        return F.when(state["last"].isNull(), state["out"]).otherwise(F.array_append(state["out"], state["last"]))
+    def advance(last: Column, x: Column) -> Column:
+        apart, replaces = tests(last, x)
+        return F.when(x.isNotNull() & (apart | replaces), x).otherwise(last)
 
-    return F.aggregate(found, begin, step, finish)
+    def settled(last: Column, x: Column) -> Column:
+        """The last one, once the next stands apart from it or there is none."""
+        return F.when(x.isNull() | tests(last, x)[0], last)
+
+    nothing = F.lit(None).cast(FOUND)
+    kept = scan(F.array_append(found, nothing), nothing, advance, settled, FOUND)
+    return F.filter(kept, lambda x: x.isNotNull())
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -36,7 +36,6 @@ ADDED_PATTERNS = {
     "phone_local": re.compile(r"(?<![\w+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"),
     "person_id": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    "person": re.compile(r"\b[A-ZÀ-Þ][a-zß-ÿ]{1,20}(?: [A-ZÀ-Þ]\.)? [A-ZÀ-Þ][a-zß-ÿ]{1,20}\b"),
     "handle": re.compile(r"(?<![\w.@/])@[A-Za-z_][A-Za-z0-9_]{2,29}\b(?![.@])"),
 }
 # Gazetteers, and words in front of a span that speak for it or against it.
@@ -56,6 +55,11 @@ CUES = {
     "person": frozenset("name contact signed author regards by from dear named called".split()) | HONORIFICS,
     "handle": frozenset("twitter follow instagram user handle mention contact via dm".split()),
 }
+# A name, in front of which cues are stepped over though they begin with a capital.
+NAME = r"[A-ZÀ-Þ][a-zß-ÿ]++"
+ADDED_PATTERNS["person"] = re.compile(
+    rf"\b(?!(?:{'|'.join(sorted(w.capitalize() for w in CUES['person']))})\b){NAME}(?: [A-ZÀ-Þ]\.)? {NAME}\b"
+)
 AGAINST = frozenset("order invoice isbn issn version ref part serial item page figure table section chapter code sku".split())
 CONTEXT_CHARS = 40
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relinfer.llm.spans import SPAN, by_place, find_spans, of_kind, spell
+from relinfer.llm.spans import SPAN, by_place, find_spans, of_kind, scan, spell
 
 KINDS = ["assign", "access", "hex", "ident", "bare", "endpoint", "named"]
 ASSIGN, ACCESS, HEX, IDENT, BARE, ENDPOINT, NAMED = range(7)
@@ -21,14 +21,14 @@ ACCESS_PATTERN = "AKIA[A-Z0-9]+"
 HEX_PATTERN = "(?<![0-9a-f])[0-9a-f]{32,}+"
 MIN_VALUE, MIN_ACCESS = 8, 16
 
-# Weak parts: identifiers, values that look like a key, endpoints, assignments whose name only
+# Weak parts: identifiers, values of 40 signs or more that look like a key, endpoints, assignments whose name only
 # begins or ends like that of a secret (secret_access_key, account_key), with letters and digits.
 IDENT_GATE = "(?i:client|account|access|user|tenant|app)_?(?i:key_?)?(?i:id|name)"
-IDENT_PATTERN = rf"""\b{IDENT_GATE}["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{{4,64}}"""
+IDENT_PATTERN = rf"""\b{IDENT_GATE}["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{{4,}}+"""
 # The sign of an assignment may stand right in front of a key, but not behind it: there it is padding.
-BARE_PATTERN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=.-])"
-ENDPOINT_PATTERN = r"""\b(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,200}|\b(?i:host|endpoint|server|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,100}"""
-NAMED_GATE = rf"(?:{KEYWORD}[_-][A-Za-z0-9_-]{{1,40}}|(?i:[_-]key|(?:access|account|private|secret|shared)key))"
+BARE_PATTERN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{40,}+(?![A-Za-z0-9+/_=.-])"
+ENDPOINT_PATTERN = r"""\b(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}+|\b(?i:host|endpoint|server|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}+"""
+NAMED_GATE = rf"(?:{KEYWORD}[_-][A-Za-z0-9_-]++|(?i:[_-]key|(?:access|account|private|secret|shared)key))"
 NAMED_PATTERN = rf"""{NAMED_GATE}["']?\x20*[:=]\x20*["']?(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{{{MIN_VALUE},}}"""
 # Parts that many code points apart, or fewer, belong to one scope.
 SCOPE = 240
@@ -42,20 +42,15 @@ def _gated(gate: Column, text: Column, pattern: str, kind: int, group: int = 0)
 def _sweep(spans: Column) -> Column:
     """For spans in order: each with the greatest end so far of identifiers, secrets and strong spans."""
     kinds = {"ids": (ACCESS, IDENT), "keys": (ASSIGN, HEX, BARE, NAMED), "strong": (ASSIGN, ACCESS, HEX)}
-    mark = "bigint"
-    begin = F.struct(
-        *(F.lit(None).cast(mark).alias(k) for k in kinds),
-        F.array().cast(f"array<struct<span: {SPAN}, ids: bigint, keys: bigint, strong: bigint>>").alias("out"),
-    )
 
-    def step(state: Column, x: Column) -> Column:
-        seen = F.struct(x.alias("span"), *(state[k].alias(k) for k in kinds))
-        return F.struct(
-            *(F.greatest(state[k], F.when(x["kind"].isin(*of), x["end"])).alias(k) for k, of in kinds.items()),
-            F.array_append(state["out"], seen).alias("out"),
-        )
+    def advance(state: Column, x: Column) -> Column:
+        return F.struct(*(F.greatest(state[k], F.when(x["kind"].isin(*of), x["end"])).alias(k) for k, of in kinds.items()))
+
+    def seen(state: Column, x: Column) -> Column:
+        return F.struct(x.alias("span"), *(state[k].alias(k) for k in kinds))
 
-    return F.aggregate(spans, begin, step, lambda s: s["out"])
+    begin = F.struct(*(F.lit(None).cast("bigint").alias(k) for k in kinds))
+    return scan(spans, begin, advance, seen, f"struct<span: {SPAN}, ids: bigint, keys: bigint, strong: bigint>")
 
 
 def _mirrored(spans: Column) -> Column:
