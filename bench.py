@@ -1,7 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints one JSON line. Each query is written to the no-op sink, so that all of
-its rows and columns are computed and none are brought to the driver.
+its rows and columns are computed and none are brought to the driver. After the queries come
+prompts and decode steps of a model of the published depth and width, for one sequence and for 200.
 """
 
 from __future__ import annotations
@@ -13,8 +14,13 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from relinfer.config import ModelConfig, SamplingParams  # noqa: E402
 from relinfer.plans import catalog  # noqa: E402
-from relinfer.session import local_session  # noqa: E402
+from relinfer.plans.model import decode_step, init_state, prefill  # noqa: E402
+from relinfer.session import drop_table, local_session, new_table_path  # noqa: E402
+from relinfer.sources.weights import formula_model, load_weights, save_weights  # noqa: E402
 
 HEADLINE = (
     "score_and_sample", "dot_scores", "linear_packed", "linear_joined", "rms_norm", "swiglu",
@@ -25,6 +31,40 @@ HEADLINE = (
 )
 
 
+# Depth, width, heads and vocabulary of the smaller published model; its other sizes are not published.
+DEEP = ModelConfig(
+    hidden=60, n_layers=30, head_dim=64, n_heads=3, n_kv_heads=1, ffn_dim=576, vocab_size=49152
+)
+PROMPT, STEPS = 30, 3
+
+
+def deep(spark, folder: str) -> dict[str, float]:
+    """Seconds of a prompt of 30 tokens and of a decode step (the mean of those after the first)."""
+    path = new_table_path(spark, "bench-weights")
+    save_weights(formula_model(spark, DEEP).weights, path, DEEP)
+    model, out = load_weights(spark, path), {}
+    for n in (1, 200):
+        items = spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").limit(n)
+        tokens = items.select(
+            F.col("item_id").alias("seq_id"), F.explode(F.sequence(F.lit(0), F.lit(PROMPT - 1))).alias("pos"), "text"
+        ).select("seq_id", "pos", F.pmod(F.xxhash64("text", "pos"), F.lit(40000)).cast("int").alias("token"))
+        tokens = tokens.withColumn("token", F.col("token") + 17)
+        state = init_state(spark, model)
+        start = time.perf_counter()
+        frontier = prefill(tokens, model, state)
+        frontier.write.format("noop").mode("overwrite").save()
+        out[f"deep_prefill_{n}"] = round(time.perf_counter() - start, 3)
+        took = []
+        for _ in range(STEPS):
+            start = time.perf_counter()
+            frontier = decode_step(frontier, model, SamplingParams(), state, 1)
+            took.append(time.perf_counter() - start)
+        out[f"deep_step_{n}"] = round(sum(took[1:]) / len(took[1:]), 3)
+        state.drop()
+    drop_table(spark, path)
+    return out
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -37,6 +77,9 @@ def main() -> None:
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - start, 3)
         print(f"{name}: {timings[name]} s", file=sys.stderr)
+    depth = deep(spark, folder)
+    for name, seconds in depth.items():
+        print(f"{name}: {seconds} s", file=sys.stderr)
     prompts = spark.read.parquet(f"{folder}/benchmark.parquet").count()
     extra = {
         "generated_tokens_per_sec": round(prompts * 3 / timings["sampled_generate"], 2),
@@ -46,7 +89,7 @@ def main() -> None:
     }
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(timings.values()), 3), "unit": "sec",
-        "queries": timings, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), **extra,
+        "queries": timings | depth, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), **extra,
     }))
 
 

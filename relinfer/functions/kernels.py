@@ -287,3 +287,26 @@ def mix_kernel(config, key: str, units: list[str], weight: str, out: str):
             )
 
     return run
+
+
+def shard_kernel(units: list[str], kept: list[str], out: str, input_major: bool):
+    """mapInArrow function over a shard of a matrix, as rows (row, w), and the vectors x that meet it.
+
+    Output-major rows give an output each, in order; input-major ones are added up as outer products.
+    """
+
+    def run(batches):
+        now, matrix = None, None
+        for shard, rows in _pairs(batches, units):
+            if shard is not now:
+                order = np.argsort(shard.column("row").to_numpy(zero_copy_only=False))
+                matrix = _matrix(shard.column("w"))[order]
+                now, matrix = shard, np.ascontiguousarray(matrix if input_major else matrix.T)
+            x = rows.column("_x")
+            valid = np.asarray(x.is_valid())
+            if np.any(np.asarray(x.value_lengths())[valid] != len(matrix)):
+                raise ValueError(f"the matrix takes vectors of length {len(matrix)}")
+            y = _matrix(x) @ matrix if valid.any() else np.zeros((0, matrix.shape[1]))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), _vectors(y, valid)], [*kept, out])
+
+    return run

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relinfer.config import MAX_BROADCAST_BYTES
-from relinfer.session import cut
 
 # A key outside the HOT_KEYS most frequent ones holds less than 1/HOT_KEYS of
 # the rows; the hot ones form a table of at most HOT_KEYS rows.
 HOT_KEYS = 1000
 SALTS = 1024
+# Of so many rows one bounds the pieces of a running sum, and pieces of a group at most.
+SAMPLED_ROWS = 4096
+PIECES = 256
 
 
 def as_list(keys: str | Sequence[str]) -> list[str]:
@@ -88,6 +90,17 @@ def with_group_value(
     return _join(df, grouped, keys, "inner")
 
 
+def _not_after(bound: Column, row: list[Column], descending: list[bool]) -> Column:
+    """Whether a bound stands in front of a row or at its place; nulls are first when ascending, else last."""
+    result = F.lit(True)
+    for i in reversed(range(len(row))):
+        b, r = bound[f"_o{i}"], row[i]
+        less = (b > r) if descending[i] else (b < r)
+        null_first = (b.isNotNull() & r.isNull()) if descending[i] else (b.isNull() & r.isNotNull())
+        result = F.coalesce(less, F.lit(False)) | null_first | (b.eqNullSafe(r) & result)
+    return result
+
+
 def running_sum(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -97,34 +110,46 @@ def running_sum(
 ) -> DataFrame:
     """Running sum (ROWS UNBOUNDED PRECEDING) of `value` per key, at any group size.
 
-    `order` lists (expression, descending) pairs; ties are ordered arbitrarily.
-    The rows are range-partitioned by key and order, which splits a large group
-    over many partitions. Each (key, partition) piece sums on its own, and the
-    sums of the pieces before it are added. Partition numbers are fixed by
-    writing the ordered rows to the shared folder.
+    `order` lists (expression, descending) pairs; ties are ordered by a hash of the whole row. Nothing runs while
+    the plan is described.
+
+    A row in SAMPLED_ROWS, by that hash, is a bound of pieces (at most PIECES of a group), so that only groups of
+    more rows than that are cut, and pieces depend on what the rows hold alone, not on where they lie. The rows
+    are partitioned by group and piece; each piece sums on its own, and the sums of the pieces before it are
+    added. Rows that are equal in all columns stay in one piece.
     """
     keys = as_list(keys)
     columns = df.columns
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    tied = tied.withColumns({f"_o{i}": o for i, (o, _) in enumerate(order)})
-    sort = [
-        F.col(f"_o{i}").desc() if descending else F.col(f"_o{i}").asc()
-        for i, (_, descending) in enumerate(order)
-    ]
-    ranged = tied.repartitionByRange(*keys, *sort, F.col("_tie"))
-    pieces = cut(ranged.withColumn("_piece", F.spark_partition_id()))
+    descending = [d for _, d in order] + [False]
+    last = len(order)
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in columns))
+    tied = df.withColumns({f"_o{i}": o for i, (o, _) in enumerate(order)} | {f"_o{last}": tie})
+    names = [f"_o{i}" for i in range(last + 1)]
+
+    mixed = F.xxhash64(F.lit(SAMPLED_ROWS), f"_o{last}")
+    slots = tied.where(F.pmod(mixed, F.lit(SAMPLED_ROWS)) == 0).withColumn(
+        "_slot", F.pmod(F.shiftright(mixed, 20), F.lit(PIECES))
+    )
+    chosen = slots.groupBy(*keys, "_slot").agg(F.min(F.struct(f"_o{last}", *names[:-1])).alias("_bound"))
+    bounds = chosen.groupBy(*keys).agg(F.collect_list("_bound").alias("_bounds"))
+    row = [F.col(n) for n in names]
+    before = F.filter("_bounds", lambda b: _not_after(b, row, descending))
+    placed = _join(tied, bounds, keys, "left").withColumn(
+        "_piece", F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(before))
+    ).drop("_bounds")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = placed.repartition(parts, *keys, "_piece")
 
     totals = pieces.groupBy(*keys, "_piece").agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_piece", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
+        *keys, "_piece", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
     )
+    sort = [F.col(n).desc() if d else F.col(n).asc() for n, d in zip(names, descending)]
     within = (
-        Window.partitionBy(*keys, "_piece")
-        .orderBy(*sort, "_tie")
+        Window.partitionBy(*keys, "_piece").orderBy(*sort)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     summed = pieces.withColumn("_sum", F.sum(value).over(within))
     joined = _join(summed, offsets, [*keys, "_piece"], "inner")
     return joined.select(*columns, (F.col("_offset") + F.col("_sum")).alias(out))
-

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relinfer.config import MAX_BROADCAST_BYTES
 from relinfer.functions import vector as V
-from relinfer.functions.kernels import matmul_kernel
+from relinfer.functions.kernels import matmul_kernel, shard_kernel
 from relinfer.operators.skew import as_list
 
 JOIN_SALTS = 16
@@ -167,6 +168,47 @@ def linear_rows(
     return mapped.select(*rest, F.posexplode("_y").alias(index, value))
 
 
+def linear_sharded(
+    df: DataFrame, weights: DataFrame, keys: str | Sequence[str], x: str, shape: tuple[int, int], out: str = "y",
+    input_major: bool = False, shard_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """df with y = W x for a matrix table (row, w) of any size and `shape` (rows, width); rows have unique `keys`.
+
+    The matrix is cut into shards of outputs below `shard_bytes`, which go from the table to the tasks: nothing of it
+    passes the driver or is broadcast. Every vector visits every shard, and its results are put one after the
+    other. Where there are fewer shards than partitions, a shard goes to several tasks, each with its share of the vectors.
+    Null vectors give null.
+    """
+    keys = as_list(keys)
+    n_out, n_in = shape[::-1] if input_major else shape
+    step = max(1, shard_bytes // (8 * n_in))
+    shards = -(-n_out // step)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, parts // shards)
+    numbers, copies = F.sequence(F.lit(0), F.lit(shards - 1)), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    if input_major:
+        sliced = weights.select("row", "w", F.explode(numbers).alias("_shard"))
+        cut = sliced.select("row", F.slice("w", F.col("_shard") * step + 1, F.lit(step)).alias("w"), "_shard")
+    else:
+        cut = weights.select("row", "w", F.floor(F.col("row") / step).cast("int").alias("_shard"))
+    rest = [c for c in df.columns if c not in keys]
+    # The other columns travel with the first shard only.
+    visits = df.select(
+        *keys, F.col(x).alias("_x"), F.struct(*rest).alias("_rest"), F.explode(numbers).alias("_shard"),
+        F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int").alias("_salt"),
+    ).withColumn("_rest", F.when(F.col("_shard") == 0, F.col("_rest"))).withColumn("_kind", F.lit(1))
+    held = cut.withColumn("_salt", copies).withColumn("_kind", F.lit(0))
+    units, kept = ["_shard", "_salt"], [*keys, "_shard", "_rest"]
+    pairs = held.unionByName(visits, allowMissingColumns=True).repartition(parts, *units).sortWithinPartitions(*units, "_kind")
+    schema = T.StructType([*(visits.schema[c] for c in kept), T.StructField("_y", T.ArrayType(T.DoubleType()))])
+    products = pairs.mapInArrow(shard_kernel(units, kept, "_y", input_major), schema)
+    ordered = F.array_sort(F.collect_list(F.struct("_shard", "_y")))
+    joined = products.groupBy(*keys).agg(
+        F.first("_rest", ignorenulls=True).alias("_rest"), F.flatten(F.transform(ordered, lambda p: p["_y"])).alias("_y")
+    )
+    return joined.select(*keys, *[F.col(f"_rest.{c}").alias(c) for c in rest if c != out], F.col("_y").alias(out))
+
+
 def linear_join(
     df: DataFrame,
     weights: DataFrame,

@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 
 from relinfer.config import TINY, ModelConfig, SamplingParams
 from relinfer.functions import vector as V
+from relinfer.operators import keyed as K
 from relinfer.operators import layers as L
 from relinfer.operators import sampling as S
 from relinfer.operators import tensor as X
 from relinfer.operators.skew import lookup_join, with_group_value
 from relinfer.plans import model as M
+from relinfer.session import new_table_path
 from relinfer.sources import text as T
 from relinfer.sources.weights import Model, formula_model, rope_table
+from relinfer.streaming.serve import Server, drain, serve_stream
 
 # A model as wide as the supplied embeddings.
 WIDE = ModelConfig(
@@ -385,6 +388,29 @@ def chat_render(spark, folder):
     return T.render_chat(read(spark, folder, "conversations"))
 
 
+def chat_parts(spark, folder):
+    """Prompts in parts of two turns, with the place of each part."""
+    return T.render_chat(read(spark, folder, "conversations"), part_turns=2)
+
+
+def decode_parts(spark, folder):
+    """Texts of the documents in parts of 100 tokens, with the place of each part."""
+    docs = read(spark, folder, "documents")
+    vocab = T.build_vocab(docs, DOC_VOCAB)
+    tokens = T.encode(
+        docs.withColumnRenamed("doc_id", "seq_id"), vocab, unk_id=DOC_VOCAB, vocab_size=DOC_VOCAB
+    )
+    return T.decode(tokens, vocab, vocab_size=DOC_VOCAB, part_tokens=100)
+
+
+def encode_long(spark, folder):
+    """Every document is a word of the vocabulary as a whole, whatever its length."""
+    docs = read(spark, folder, "documents")
+    vocab = docs.groupBy("text").agg(F.min("doc_id").cast("int").alias("token"))
+    every = T.encode(docs, vocab, ["doc_id"], unk_id=-1, vocab_size=docs.count(), pattern="(?s).+")
+    return big(every, "token").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
+
+
 def _chat_tokens(spark, folder):
     conv = read(spark, folder, "conversations")
     vocab = T.build_vocab(conv, TINY.vocab_size, specials=T.SPECIALS)
@@ -563,6 +589,32 @@ def answer_items(spark, folder):
     return T.decode(log, vocab, T.make_prompts(tokens, 3), vocab_size=TINY.vocab_size)
 
 
+def stream_answers(spark, folder):
+    """The same items as a stream: answers of a server whose sequences live through several batches."""
+    items = read(spark, folder, "benchmark").select(F.col("item_id").alias("seq_id"), "text")
+    root = new_table_path(spark, "stream")
+    items.repartitionByRange(3, "seq_id").write.parquet(f"{root}/in")
+    prompts = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    vocab = _item_vocab(spark, folder, TINY.vocab_size)
+    server = Server(spark, _model(spark, TINY), vocab, PARAMS, f"{root}/run", f"{root}/out", 3, SEED, steps=1)
+    query = serve_stream(prompts, server, f"{root}/checkpoint", chat=False)
+    query.awaitTermination()
+    drain(server, query.lastProgress.batchId + 1)
+    server.drop()
+    return spark.read.parquet(f"{root}/out").select("seq_id", "text")
+
+
+def insert_missing(spark, folder):
+    """Rows of the orders' lines, of which a part was stored before and a part comes twice."""
+    lines = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    stored = lines.where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    new = lines.withColumn("l_partkey", -F.col("l_partkey")).unionByName(lines.where("l_linenumber = 3"))
+    grown = K.insert_missing(stored, new, ["l_orderkey", "l_linenumber"])
+    return K.unique(grown, ["l_orderkey", "l_linenumber"]).groupBy("l_linenumber").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("parts")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -575,6 +627,7 @@ QUERIES = {
         chat_tokens, prompt_lengths, repetition_penalty, repetition_penalty_at, stop_rules,
         next_token, choose_token, embed, embed_joined, block_forward, model_logits,
         greedy_generate, sampled_generate, answer_items, generate_unknown, long_attention, blocked_attention, chat_scores, chat_mix,
+        stream_answers, insert_missing, chat_parts, decode_parts, encode_long,
         text_round_trip, blocked_logits, filter_with_params, generate_with_params,
     )
 }

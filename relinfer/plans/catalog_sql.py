@@ -553,6 +553,46 @@ MODEL = {
 }
 
 MODEL["blocked_logits"] = MODEL["model_logits"]
+
+def placed_parts(parts: str, key: str, text: str) -> str:
+    """Parts (key, part, text) with the code points in front of each."""
+    return (
+        f"SELECT {key}, part, coalesce(sum(length(text)) OVER (PARTITION BY {key} ORDER BY part"
+        f" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, text AS {text} FROM ({parts})"
+    )
+
+
+TEXT["chat_parts"] = query(
+    SEGMENTS,
+    placed_parts(
+        "SELECT conv_id, floor(turn / 2)::BIGINT AS part, string_agg(text, '' ORDER BY turn) AS text FROM seg GROUP BY ALL",
+        "conv_id", "prompt",
+    ),
+)
+TEXT["decode_parts"] = query(
+    doc_words(DOC_VOCAB),
+    placed_parts(
+        "SELECT doc_id AS seq_id, pos // 100 AS part, string_agg(text, '' ORDER BY pos) AS text"
+        " FROM dt JOIN dv USING (token) GROUP BY ALL", "seq_id", "text",
+    ),
+)
+TEXT["encode_long"] = (
+    "SELECT doc_id, 0::BIGINT AS pos, min(doc_id) OVER (PARTITION BY text) AS token FROM documents WHERE text <> ''"
+)
+MODEL["stream_answers"] = MODEL["answer_items"]
+MODEL["insert_missing"] = """
+WITH stored AS (
+  SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL
+), given AS (
+  SELECT l_orderkey, l_linenumber, -l_partkey AS l_partkey FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber = 3
+), missing AS (
+  SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM given
+  WHERE (l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM stored) GROUP BY ALL
+)
+SELECT l_linenumber, count(*) AS n, sum(l_partkey)::BIGINT AS parts
+FROM (SELECT * FROM stored UNION ALL SELECT * FROM missing) GROUP BY l_linenumber
+"""
 MODEL["blocked_attention"] = MODEL["long_attention"]
 CHAT_BLOCK = [*CHAT_TOKENS, ("e", embedding("toks")), *block("e", 0, "b")]
 MODEL["chat_scores"] = query(

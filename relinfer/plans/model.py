@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -33,7 +35,7 @@ def projected(df: DataFrame, model: Model, layer: int) -> DataFrame:
     """Norm and projections: df with q, k and v, the first two turned by their position."""
     cfg = model.config
     df = _normed(df, model, "norm", layer)
-    df = df.withColumns({t: model.product(t, "x_norm", layer) for t in ("q", "k", "v")}).drop("x_norm")
+    df = model.multiply(df, {t: t for t in ("q", "k", "v")}, "x_norm", layer).drop("x_norm")
     turned = {
         c: model.column(("rope", c), lambda: V.rope_vec(c, "pos", cfg.head_dim, cfg.rope_theta))
         for c in ("q", "k")
@@ -48,19 +50,17 @@ def attention(df: DataFrame, model: Model, layer: int, attending=attend) -> Data
     q, k and v.
     """
     df = attending(projected(df, model, layer), model.config)
-    return _residual(df.withColumn("_d", model.product("o", "o", layer)), model, "o")
+    return _residual(model.multiply(df, {"_d": "o"}, "o", layer), model, "o")
 
 
 def ffn(df: DataFrame, model: Model, layer: int) -> DataFrame:
     """Feed-forward sub-layer: norm, gate and up, gated activation, down, residual."""
     cfg = model.config
     df = _normed(df, model, "ffn_norm", layer)
-    df = df.withColumns(
-        {"_g": model.product("gate", "x_norm", layer), "_u": model.product("up", "x_norm", layer)}
-    )
+    df = model.multiply(df, {"_g": "gate", "_u": "up"}, "x_norm", layer)
     gated = model.column(("swiglu",), lambda: V.swiglu_vec("_g", "_u", cfg.exp_clamp))
     df = df.withColumn("_h", gated).drop("x_norm", "_g", "_u")
-    return _residual(df.withColumn("_d", model.product("down", "_h", layer)), model, "_h")
+    return _residual(model.multiply(df, {"_d": "down"}, "_h", layer), model, "_h")
 
 
 def _residual(df: DataFrame, model: Model, used: str) -> DataFrame:
@@ -85,6 +85,7 @@ def layers(df: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) ->
             df = _layer(df, model, layer).drop("k", "v")
         if group is not groups[-1]:
             df = cut(df)
+            model.release(group)
     return df.drop("_ask")
 
 
@@ -112,7 +113,7 @@ def _looked_up(df: DataFrame, model: Model) -> DataFrame:
 def logits_vec(df: DataFrame, model: Model, out: str = "logits") -> DataFrame:
     """Final norm and language-model head; x becomes a vector of logits."""
     normed = _normed(df, model, "out_norm").drop("x")
-    return normed.withColumn(out, model.product("out", "x_norm")).drop("x_norm")
+    return model.multiply(normed, {out: "out"}, "x_norm").drop("x_norm")
 
 
 def forward(tokens: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> DataFrame:
@@ -160,15 +161,20 @@ class State:
 
     def table(self, group: int) -> str:
         """Name of a group's table in the session's catalog."""
-        return f"{os.path.basename(self.root).replace('-', '_')}_{group:03d}"
+        name = re.sub(r"\W", "_", os.path.basename(self.root))
+        return f"{name}_{hashlib.sha256(self.root.encode()).hexdigest()[:16]}_{group:03d}"
 
     def create(self) -> None:
+        """Register the tables; those of a state that is resumed by another session bring their segments."""
         for group in range(len(self.groups)):
+            if self.spark.catalog.tableExists(self.table(group)):
+                continue
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._schema(group))
             self.spark.sql(
                 f"CREATE TABLE {self.table(group)} ({columns}, segment INT) USING parquet "
                 f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY (segment) CLUSTERED BY (seq_id) INTO {self.buckets} BUCKETS LOCATION '{self.root}/group-{group:03d}'"
             )
+            self.spark.catalog.recoverPartitions(self.table(group))
 
     def read(self, group: int, segments: list[int] | None = None) -> DataFrame:
         """Rows of the committed or the given segments."""
@@ -200,6 +206,23 @@ class State:
             self.segment += 1
         self.merged += 1
 
+    def retain(self, live: DataFrame) -> None:
+        """Merge all segments but the newest, keeping the sequences that are `live` only."""
+        old = self.segments[:-1]
+        if old:
+            for group in range(len(self.groups)):
+                self._write(group, self.read(group, old).join(live.select("seq_id"), "seq_id", "left_semi"))
+            self.segments[:-1] = [self.segment]
+            self.segment += 1
+        self.merged = 0
+
+    def forget(self, segments: list[int]) -> None:
+        """Delete segments that nothing reads any more."""
+        for group in range(len(self.groups)):
+            for number in segments:
+                self.spark.sql(f"ALTER TABLE {self.table(group)} DROP IF EXISTS PARTITION (segment = {number})")
+                drop_table(self.spark, f"{self.root}/group-{group:03d}/segment={number}")
+
     def cache(self, layer: int) -> DataFrame | None:
         """Keys and values (seq_id, pos, k, v) of one layer; none before the first step."""
         if not self.segments:
@@ -219,10 +242,16 @@ class State:
         drop_table(self.spark, self.root)
 
 
-def init_state(spark: SparkSession, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> State:
-    """An empty state of its own for each run; nothing is deleted or reused."""
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    state = State(spark, _groups(model, layers_per_job), new_table_path(spark, "state"), buckets)
+def init_state(
+    spark: SparkSession, model: Model, layers_per_job: int = LAYERS_PER_JOB, path: str | None = None,
+    buckets: int | None = None,
+) -> State:
+    """An empty state of its own for each run; nothing is deleted or reused.
+
+    With the `path` (in a folder that all executors share) of a state that is there, that one's tables.
+    """
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    state = State(spark, _groups(model, layers_per_job), path or new_table_path(spark, "state"), buckets)
     state.create()
     return state
 
@@ -242,6 +271,7 @@ def _stored_layers(df: DataFrame, model: Model, state: State, live: DataFrame |
             # Only the last position of a sequence is ever scored.
             df = df.withColumn("x", F.when(F.col("last"), F.col("x")))
         df = state.append(number, df)
+        model.release(group)
     state.commit()
     return df
 

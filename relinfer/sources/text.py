@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relinfer.operators.skew import lookup_join, running_sum
@@ -22,11 +22,15 @@ UNK_ID = 3
 # front of them, digits, other signs, other white space. Every character is in one token.
 TOKEN_PATTERN = r"<\|im_start\|>|<\|im_end\|>|\n| ?\p{L}+|\p{N}|[^ \t\n\r\f\p{L}\p{N}]|[ \t\r\f]"
 
-# Bytes of a vocabulary row in a broadcast, and of the longest text that keeps to it.
+# Bytes of a vocabulary row in a broadcast, and of the longest text that is a key itself.
 VOCAB_ROW_BYTES = 256
 VOCAB_TEXT_BYTES = 192
 
 
+# Turns and tokens whose texts are joined at once.
+PART_TURNS, PART_TOKENS = 64, 4096
+
+
 def load_vocab(df: DataFrame, token: str = "token", text: str = "text") -> DataFrame:
     """Vocabulary rows with the two byte markers mapped to space and newline."""
     spaced = F.replace(F.col(text), F.lit("Ġ"), F.lit(" "))
@@ -36,21 +40,23 @@ def load_vocab(df: DataFrame, token: str = "token", text: str = "text") -> DataF
     )
 
 
+def _key(text: str) -> list[Column]:
+    """A text as a key of bounded size: itself, or if it is long, its SHA-256."""
+    long = F.octet_length(text) > VOCAB_TEXT_BYTES
+    return [long.alias("_long"), F.when(long, F.sha2(text, 256)).otherwise(F.col(text)).alias("_w")]
+
+
 def _lookup(words: DataFrame, vocab: DataFrame, unk_id: int, vocab_size: int | None) -> DataFrame:
     """words (.., _w) with their token; of several ids of a text, the least.
 
-    With the known limit of its rows the vocabulary is broadcast, and a text too long for
-    the bound that this rests on is an error; without the limit the join is skew-safe.
+    Long texts are looked up by their hash, so that a vocabulary of a known limit of rows is broadcast,
+    whatever its texts are; without the limit the join is skew-safe.
     """
-    known = vocab.groupBy(F.col("text").alias("_w")).agg(F.min("token").alias("token"))
-    if vocab_size is None:
-        found = lookup_join(words, known, "_w", "left")
-    else:
-        fits = F.octet_length("_w") <= VOCAB_TEXT_BYTES
-        stop = F.raise_error(F.lit("a vocabulary text is too long to broadcast; leave out vocab_size")).cast("string")
-        checked = known.withColumn("_w", F.when(fits, F.col("_w")).otherwise(stop))
-        found = lookup_join(words, checked, "_w", "left", vocab_size * VOCAB_ROW_BYTES)
-    return found.withColumn("token", F.coalesce("token", F.lit(unk_id))).drop("_w")
+    rest = [c for c in words.columns if c != "_w"]
+    known = vocab.select(*_key("text"), "token").groupBy("_long", "_w").agg(F.min("token").alias("token"))
+    bound = None if vocab_size is None else vocab_size * VOCAB_ROW_BYTES
+    found = lookup_join(words.select(*rest, *_key("_w")), known, ["_long", "_w"], "left", bound)
+    return found.withColumn("token", F.coalesce("token", F.lit(unk_id))).drop("_long", "_w")
 
 
 def build_vocab(
@@ -139,26 +145,41 @@ def chat_segments(
     return segments.unionByName(added)
 
 
-def _parts(key: str, order: str, size: int | None) -> list:
-    """Grouping of one value per key, or of numbered parts of bounded size."""
-    return [key] if size is None else [key, F.floor(F.col(order) / size).alias("part")]
+def concat_ordered(
+    df: DataFrame, key: str, order: str, part: int, text: str = "text", sep: str = "", whole: bool = True,
+) -> DataFrame:
+    """Texts of a key joined by a unique integer `order`: (key, text), or (key, part, start, text).
+
+    A part has the rows of `part` consecutive numbers, so that no list is longer than that and a large group is
+    spread; a whole text is made of its parts. Of parts, `start` is the code points in front of it, separators included.
+    """
+    parts = df.groupBy(key, F.floor(F.col(order) / part).alias("part")).agg(
+        _listed(order, text, sep).alias("text")
+    )
+    if whole:
+        return parts.groupBy(key).agg(_listed("part", "text", sep).alias("text"))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + len(sep)).over(before), F.lit(0))
+    return parts.select(key, "part", start.cast("bigint").alias("start"), "text")
+
+
+def _listed(order: str, text: str, sep: str) -> Column:
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("_text"))))
+    return F.array_join(F.transform(ordered, lambda s: s.getField("_text")), sep)
 
 
 def render_chat(
     conv: DataFrame, system_prompt: str | None = SYSTEM_PROMPT, open_assistant: bool = True,
     key: str = "conv_id", part_turns: int | None = None,
 ) -> DataFrame:
-    """One prompt string per conversation.
+    """One prompt string per conversation, put together from parts of PART_TURNS turns.
 
-    As one value it must fit in one task; with `part_turns` the prompt comes in
-    numbered parts of that many turns, so that a conversation of any length
-    stays distributed. `encode_chat` gives tokens without joining any text.
+    With `part_turns` the prompt comes in numbered parts (key, part, start, prompt) of that many turns, so that a
+    conversation of any length stays distributed. `encode_chat` gives tokens without joining any text.
     """
     segments = chat_segments(conv, system_prompt, open_assistant, key)
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return segments.groupBy(*_parts(key, "turn", part_turns)).agg(
-        F.array_join(F.transform(ordered, lambda s: s.getField("text")), "").alias("prompt")
-    )
+    joined = concat_ordered(segments, key, "turn", part_turns or PART_TURNS, whole=part_turns is None)
+    return joined.withColumnRenamed("text", "prompt")
 
 
 def encode_chat(
@@ -201,8 +222,8 @@ def decode(
 
     With `prompts` (seq_id, prompt_len) only generated tokens are kept. Ids that
     the vocabulary lacks are dropped. The stop token is part of the text unless
-    `strip_stop`. As one value the text must fit in one task, which generated
-    tokens always do; with `part_tokens` it comes in numbered parts.
+    `strip_stop`. A text is put together from parts of PART_TOKENS positions; with `part_tokens` it
+    comes in numbered parts (seq_id, part, start, text) of that many.
     """
     rows = tokens
     if prompts is not None:
@@ -215,7 +236,4 @@ def decode(
     named = lookup_join(
         rows.select("seq_id", "pos", "token"), vocab.select("token", "text"), "token", "inner", bound
     )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return named.groupBy(*_parts("seq_id", "pos", part_tokens)).agg(
-        F.array_join(F.transform(ordered, lambda s: s.getField("text")), sep).alias("text")
-    )
+    return concat_ordered(named, "seq_id", "pos", part_tokens or PART_TOKENS, sep=sep, whole=part_tokens is None)

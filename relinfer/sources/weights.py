@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from relinfer.config import MAX_BROADCAST_BYTES, ModelConfig
 from relinfer.functions.kernels import gather_kernel, matmul_kernel
-from relinfer.operators.tensor import Matrix, apply_kernel
+from relinfer.operators.tensor import Matrix, apply_kernel, linear_sharded
 
 LAYER_TENSORS = ("norm", "q", "k", "v", "o", "ffn_norm", "gate", "up", "down")
 GLOBAL_TENSORS = ("emb", "out", "out_norm")
@@ -37,6 +37,7 @@ class Model:
     _cache: dict = field(default_factory=dict, repr=False)
     _kernels: dict = field(default_factory=dict, repr=False)
     _columns: dict = field(default_factory=dict, repr=False)
+    _sent: dict = field(default_factory=dict, repr=False)
 
     def rows(self, tensor: str, layer: int = 0) -> DataFrame:
         """The row vectors (row, w) of one tensor."""
@@ -63,20 +64,46 @@ class Model:
             self._fetch(group, layer)
         return self._cache[key]
 
+    def multiply(self, df: DataFrame, tensors: dict[str, str], x: str, layer: int = 0) -> DataFrame:
+        """df with the linear maps {column: tensor} of column x, for tensors of any size.
+
+        Tensors below the bound are broadcast, and the map is narrow. Others are read by the tasks, shard by
+        shard; rows must have unique (seq_id, pos) then.
+        """
+        small = {out: t for out, t in tensors.items() if self.fits(t)}
+        df = df.withColumns({out: self.product(t, x, layer) for out, t in small.items()}) if small else df
+        for out, tensor in tensors.items():
+            if out not in small:
+                df = linear_sharded(
+                    df, self.rows(tensor, layer), ("seq_id", "pos"), x, self.config.matrix_shapes()[tensor], out,
+                    tensor in INPUT_MAJOR, self.max_bytes,
+                )
+        return df
+
     def product(self, tensor: str, x: str, layer: int = 0) -> Column:
-        """The linear map of a tensor of any size on column x; narrow.
+        """The linear map of a tensor below the bound on column x; narrow.
 
-        A tensor above the bound is cut into blocks of outputs below it, each fetched and
-        broadcast on its own. Their results stand one after the other, so sums, their order
-        and nulls are those of a single product. The driver keeps no values of a
-        tensor that is broadcast.
+        The driver keeps no values of a tensor that is broadcast.
         """
         key = (tensor, layer)
         if key not in self._kernels:
-            send = self.weights.sparkSession.sparkContext.broadcast
-            self._kernels[key] = [matmul_kernel(send(block)) for block in self._blocks(tensor, layer)]
-        parts = [apply_kernel(kernel, x) for kernel in self._kernels[key]]
-        return parts[0] if len(parts) == 1 else F.concat(*parts)
+            values = self.matrix(tensor, layer).values
+            del self._cache[tensor, layer]
+            values = np.ascontiguousarray(values.T) if tensor in INPUT_MAJOR else values
+            sent = self.weights.sparkSession.sparkContext.broadcast(values)
+            self._sent.setdefault(layer, []).append(sent)
+            self._kernels[key] = matmul_kernel(sent)
+        return apply_kernel(self._kernels[key], x)
+
+    def release(self, layers: Iterable[int]) -> None:
+        """Free the executors of the layers' matrices, if the model as a whole exceeds the bound.
+
+        They are sent again when they are used again.
+        """
+        if self.config.n_layers * self._layer_bytes() > self.max_bytes:
+            for layer in layers:
+                for sent in self._sent.get(layer, []):
+                    sent.unpersist()
 
     def lookup(self, tensor: str, row: Column) -> Column:
         """The row of a tensor below the bound, which is broadcast once; null if there is none."""
@@ -87,30 +114,6 @@ class Model:
             del self._cache[tensor, 0]
         return self._kernels[key](row)
 
-    def _blocks(self, tensor: str, layer: int) -> Iterator[np.ndarray]:
-        """The tensor as output-major blocks below the bound."""
-        if self.fits(tensor):
-            values = self.matrix(tensor, layer).values
-            del self._cache[tensor, layer]
-            yield np.ascontiguousarray(values.T) if tensor in INPUT_MAJOR else values
-            return
-        rows, width = self.config.matrix_shapes()[tensor]
-        n_out, n_in = (width, rows) if tensor in INPUT_MAJOR else (rows, width)
-        step = max(1, self.max_bytes // (8 * n_in))
-        for first in range(0, n_out, step):
-            n = min(step, n_out - first)
-            part = self.rows(tensor, layer)
-            if tensor in INPUT_MAJOR:
-                part = part.select("row", F.slice("w", first + 1, n).alias("w"))
-            else:
-                part = part.where(F.col("row").between(first, first + n - 1))
-            order, flat = _row_values(part.toArrow())
-            block = flat[np.argsort(order)]
-            block = np.ascontiguousarray(block.T) if tensor in INPUT_MAJOR else block
-            if block.shape != (n, n_in):
-                raise ValueError(f"{tensor}, layer {layer}: expected shape {(rows, width)}")
-            yield block
-
     def column(self, key: tuple, build) -> Column:
         """A column expression that layers and steps share, built once.
 

@@ -156,14 +156,25 @@ def test_tensors_beyond_the_broadcast_bound(model, prompts, bound):
 def test_blocks_keep_rows_without_a_vector(spark, model):
     for tensor in ("q", "down"):
         x = [0.5] * (16 if tensor == "down" else 12)
-        df = spark.createDataFrame([(1, x), (2, None)], "id int, x array<double>")
+        df = spark.createDataFrame([(1, 0, x, "a"), (2, 0, None, None)], "seq_id int, pos int, x array<double>, y string")
         whole, blocks = (
-            {r.id: r.y for r in df.withColumn("y", m.product(tensor, "x", 1)).collect()}
+            {r.seq_id: r.y for r in m.multiply(df, {"y": tensor}, "x", 1).collect()}
             for m in (Model(SMALL, model.weights), Model(SMALL, model.weights, max_bytes=300))
         )
         assert np.allclose(whole[1], blocks[1], atol=1e-12) and whole[2] is None and blocks[2] is None
 
 
+def test_shards_pass_neither_the_driver_nor_a_broadcast(model, prompts, monkeypatch):
+    """A model of which nothing fits but single rows runs without a fetch of a matrix."""
+    tight = Model(SMALL, model.weights, max_bytes=96)
+    fetched = []
+    fetch = Model._fetch
+    monkeypatch.setattr(Model, "_fetch", lambda self, tensors, layer: (fetched.extend(tensors), fetch(self, tensors, layer)))
+    out = M.forward(prompts, tight)
+    assert out.count() == prompts.count() and set(fetched) <= {"norm", "ffn_norm", "out_norm"}
+    assert not tight._kernels and not tight._sent
+
+
 def test_settings_of_each_sequence(spark, model, prompts):
     """A table of settings does for each sequence what they do for all; nulls and missing ones are defaults."""
     table = spark.createDataFrame(

@@ -1,12 +1,14 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relinfer.config import SamplingParams
 from relinfer.operators import sampling as S
 from relinfer.operators import skew
+from relinfer.plans import catalog
 from tests import reference as R
-from tests.conftest import plan
+from tests.conftest import FOLDER, plan
 
 P = SamplingParams()
 
@@ -103,15 +105,41 @@ def test_top_p_at_any_group_size(spark, logits):
     assert {g for g, _ in S.top_p_filter(probs, "seq_id", 0.0).select("seq_id", "token").collect()} == {1, 2, 3}
 
 
-def test_running_sum_splits_a_hot_key(spark):
+def test_running_sum_splits_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SAMPLED_ROWS", 64)
     df = spark.range(20000).select(F.lit(1).alias("k"), F.col("id"), F.lit(1.0).alias("v")).repartition(8)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = skew.running_sum(df, "k", [(F.col("id"), True)], "v", "s")
+    assert out.where(F.col("s") != 20000 - F.col("id")).count() == 0
+    assert out.count() == 20000
+    text = plan(out)
+    assert "REPARTITION_BY_NUM" in text and "_piece" in text
+
+
+@pytest.mark.parametrize("descending", [(True, False), (False, True)])
+def test_running_sum_equals_a_window(spark, monkeypatch, descending):
+    """Nulls, ties and null keys are placed as a window places them."""
+    monkeypatch.setattr(skew, "SAMPLED_ROWS", 4)
+    rows = [(None if k % 7 == 0 else k % 3, None if k % 5 == 0 else float(k % 11), k, k % 13) for k in range(600)]
+    df = spark.createDataFrame(rows, "k int, a double, b int, v int")
+    down_a, down_b = descending
+    out = skew.running_sum(df, "k", [(F.col("a"), down_a), (F.col("b"), down_b)], "v", "s")
+    over = Window.partitionBy("k").orderBy(
+        F.col("a").desc() if down_a else F.col("a"), F.col("b").desc() if down_b else F.col("b")
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.withColumn("s", F.sum("v").over(over))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_running_sums_run_nothing_while_described(spark):
+    """Queries that rest on running sums start no job before an action."""
+    context = spark.sparkContext
+    context.setJobGroup("described", "plans only")
     try:
-        out = skew.running_sum(df, "k", [(F.col("id"), True)], "v", "s")
-        assert out.where(F.col("s") != 20000 - F.col("id")).count() == 0
-        assert out.count() == 20000
+        for name in ("top_p_hot", "nucleus_lines", "chat_tokens", "filter_with_params"):
+            catalog.QUERIES[name](spark, FOLDER)
+        assert not context.statusTracker().getJobIdsForGroup("described")
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_top_k_is_limited_before_the_shuffle(spark, logits):

@@ -91,12 +91,11 @@ def test_loaded_vocabulary_encodes_words_with_their_space(spark):
         assert [t.token for t in tokens] == [4, 5, 6]
 
 
-def test_a_text_over_the_broadcast_bound_is_an_error(spark):
-    vocab = spark.createDataFrame([(5, "a" * 300)], ["token", "text"])
-    docs = spark.createDataFrame([(1, "a" * 300)], ["seq_id", "text"])
-    assert T.encode(docs, vocab).first().token == 5
-    with pytest.raises(Exception, match="too long to broadcast"):
-        T.encode(docs, vocab, vocab_size=1).collect()
+def test_long_texts_of_a_vocabulary_encode(spark):
+    vocab = spark.createDataFrame([(5, "a" * 300), (6, "a" * 301), (7, "b")], ["token", "text"])
+    docs = spark.createDataFrame([(1, "a" * 300), (2, "a" * 301), (3, "a" * 302), (4, "b")], ["seq_id", "text"])
+    for size in (None, 3):
+        assert by_key(T.encode(docs, vocab, vocab_size=size), "seq_id", "token") == {1: 5, 2: 6, 3: T.UNK_ID, 4: 7}
 
 
 def test_empty_prompt_has_no_rows(spark, vocab):
