@@ -17,7 +17,7 @@ from relinfer.functions import vector as V
 from relinfer.operators.layers import attend, attend_step, by_tile, embed, known, tile_of, with_asked
 from relinfer.operators.sampling import gumbel_vec, penalise_vec, settings_of, survivors_vec, with_params
 from relinfer.operators.skew import with_group_value
-from relinfer.session import cut, drop_table, new_table_path
+from relinfer.session import cut, drop_table, has_table, new_table_path
 from relinfer.sources.weights import Model
 
 # Layers in one query plan; after that many the activations are written out.
@@ -169,12 +169,14 @@ class State:
         for group in range(len(self.groups)):
             if self.spark.catalog.tableExists(self.table(group)):
                 continue
+            path = f"{self.root}/group-{group:03d}"
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._schema(group))
             self.spark.sql(
                 f"CREATE TABLE {self.table(group)} ({columns}, segment INT) USING parquet "
-                f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY (segment) CLUSTERED BY (seq_id) INTO {self.buckets} BUCKETS LOCATION '{self.root}/group-{group:03d}'"
+                f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY (segment) CLUSTERED BY (seq_id) INTO {self.buckets} BUCKETS LOCATION '{path}'"
             )
-            self.spark.catalog.recoverPartitions(self.table(group))
+            if has_table(self.spark, path):
+                self.spark.catalog.recoverPartitions(self.table(group))
 
     def read(self, group: int, segments: list[int] | None = None) -> DataFrame:
         """Rows of the committed or the given segments."""

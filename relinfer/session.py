@@ -57,6 +57,12 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def has_table(spark: SparkSession, path: str) -> bool:
+    """Whether a table of the shared folder is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a DataFrame in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)

@@ -114,6 +114,12 @@ class Server:
         schema = "seq_id bigint, prompt_len bigint, max_pos bigint, batch int"
         return self.spark.read.schema(schema).parquet(f"{self.root}/prompts").where(F.col("batch") <= number)
 
+    def _open(self, frontier: DataFrame, limits: DataFrame) -> DataFrame:
+        """The sequences of a frontier that may go on."""
+        placed = frontier.join(limits.select("seq_id", "max_pos"), "seq_id")
+        is_open = ~F.col("token").isin(*self.model.config.stop_tokens) & (F.col("pos") < F.col("max_pos"))
+        return placed.where(is_open).select(frontier.columns)
+
     def batch(self, tokens: DataFrame | None, number: int, steps: int | None = None) -> int:
         """Take in prompts (seq_id, pos, token), make `steps` tokens of each live sequence, write the answers that ended.
 
@@ -124,7 +130,9 @@ class Server:
         last = len(state.groups) - 1
         frontier = None
         if before and before["frontier"] is not None:
-            frontier = state.read(last, [before["frontier"]]).where("last").select("seq_id", "pos", "token", "x", "recent")
+            stored = state.read(last, [before["frontier"]]).where("last").select("seq_id", "pos", "token", "x", "recent")
+            # Not those whose answer the batch before has written.
+            frontier = self._open(stored, self._prompts(number - 1))
         lengths = None
         if tokens is not None and not tokens.isEmpty():
             end = F.least(F.col("prompt_len") + self.max_new - 1, F.lit(self.params.max_pos))
@@ -147,10 +155,7 @@ class Server:
             frontier, at = moved, state.segments[-1]
         going = begun.limit(0)
         if frontier is not None:
-            open_ = frontier.join(limits, "seq_id").where(
-                ~F.col("token").isin(*self.model.config.stop_tokens) & (F.col("pos") < F.col("max_pos"))
-            )
-            going = open_.select("seq_id")
+            going = self._open(frontier, limits).select("seq_id")
         ended = begun.join(going, "seq_id", "left_anti").select("seq_id")
         log = state.tokens().join(ended, "seq_id", "left_semi")
         size = self.model.config.vocab_size

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from relinfer.config import SamplingParams
 from relinfer.operators import sampling as S
 from relinfer.operators import skew
-from relinfer.plans import catalog
+from relinfer.sources import text as T
 from tests import reference as R
 from tests.conftest import FOLDER, plan
 
@@ -130,13 +130,16 @@ def test_running_sum_equals_a_window(spark, monkeypatch, descending):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-def test_running_sums_run_nothing_while_described(spark):
-    """Queries that rest on running sums start no job before an action."""
+def test_running_sums_run_nothing_while_described(spark, logits):
+    """What rests on running sums starts no job before an action."""
+    conv = spark.read.parquet(f"{FOLDER}/conversations.parquet")
     context = spark.sparkContext
     context.setJobGroup("described", "plans only")
     try:
-        for name in ("top_p_hot", "nucleus_lines", "chat_tokens", "filter_with_params"):
-            catalog.QUERIES[name](spark, FOLDER)
+        probs = S.softmax(logits, "seq_id")
+        S.top_p_filter(probs, "seq_id", 0.9)
+        skew.running_sum(probs, "seq_id", [(F.col("prob"), True)], "prob", "s")
+        T.encode_chat(conv, T.build_vocab(conv, 64, specials=T.SPECIALS), vocab_size=64)
         assert not context.statusTracker().getJobIdsForGroup("described")
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
