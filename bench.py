@@ -14,13 +14,15 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from relinfer.config import ModelConfig, SamplingParams  # noqa: E402
 from relinfer.plans import catalog  # noqa: E402
 from relinfer.plans.model import decode_step, init_state, prefill  # noqa: E402
 from relinfer.session import drop_table, local_session, new_table_path  # noqa: E402
-from relinfer.sources.weights import formula_model, load_weights, save_weights  # noqa: E402
+from relinfer.sources.weights import LAYER_TENSORS, load_weights  # noqa: E402
 
 HEADLINE = (
     "score_and_sample", "dot_scores", "linear_packed", "linear_joined", "rms_norm", "swiglu",
@@ -38,18 +40,40 @@ DEEP = ModelConfig(
 PROMPT, STEPS = 30, 3
 
 
-def deep(spark, folder: str) -> dict[str, float]:
+def write_weights(spark, path: str) -> None:
+    """Weights of DEEP, drawn where they are written, a task for each tensor of a layer."""
+    tensors = [
+        (tensor, layer, rows, width) for tensor, (rows, width) in DEEP.matrix_shapes().items()
+        for layer in range(DEEP.n_layers if tensor in LAYER_TENSORS else 1)
+    ]
+
+    def drawn(batches):
+        for batch in batches:
+            for tensor, layer, rows, width in zip(*(c.to_pylist() for c in batch.columns)):
+                rng = np.random.default_rng([layer, rows, width, sum(map(ord, tensor))])
+                w = rng.normal(1.0 if rows == 1 else 0.0, width**-0.5, rows * width)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([tensor] * rows), pa.array(np.full(rows, layer, np.int32)), pa.array(np.arange(rows, dtype=np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, rows * width + 1, width, dtype=np.int32)), pa.array(w.astype(np.float32))),
+                ], ["tensor", "layer", "row", "w"])
+
+    grid = spark.createDataFrame(tensors, "tensor string, layer int, n int, width int").repartition(len(tensors), "tensor", "layer")
+    rows = grid.mapInArrow(drawn, "tensor string, layer int, row int, w array<float>")
+    rows.write.partitionBy("tensor", "layer").parquet(path)
+
+
+def deep(spark, folder: str, sizes: tuple[int, ...] = (1, 200)) -> dict[str, float]:
     """Seconds of a prompt of 30 tokens and of a decode step (the mean of those after the first)."""
     path = new_table_path(spark, "bench-weights")
-    save_weights(formula_model(spark, DEEP).weights, path, DEEP)
-    model, out = load_weights(spark, path), {}
-    for n in (1, 200):
+    write_weights(spark, path)
+    model, out = load_weights(spark, path, DEEP), {}
+    for n in sizes:
         items = spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").limit(n)
         tokens = items.select(
             F.col("item_id").alias("seq_id"), F.explode(F.sequence(F.lit(0), F.lit(PROMPT - 1))).alias("pos"), "text"
         ).select("seq_id", "pos", F.pmod(F.xxhash64("text", "pos"), F.lit(40000)).cast("int").alias("token"))
         tokens = tokens.withColumn("token", F.col("token") + 17)
-        state = init_state(spark, model)
+        state = init_state(spark, model, buckets=min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         start = time.perf_counter()
         frontier = prefill(tokens, model, state)
         frontier.write.format("noop").mode("overwrite").save()

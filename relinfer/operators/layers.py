@@ -232,15 +232,15 @@ def with_asked(df: DataFrame, config: ModelConfig, key: str = "seq_id") -> DataF
     return with_group_value(df, key, _ask=F.collect_set(tile_of("pos", config)))
 
 
-def by_tile(df: DataFrame, tile: str | Column, key: str = "seq_id") -> DataFrame:
-    """Partition rows by tile; those of first tiles lie as by_sequence puts their sequence.
+def by_tile(df: DataFrame, tile: str | Column, key: str = "seq_id", parts: int | None = None) -> DataFrame:
+    """Partition rows by tile, into the session's number of partitions or `parts`; those of first tiles lie as by_sequence puts their sequence.
 
     So a long sequence is spread, and a table bucketed by sequence takes the rows of short
     ones as they lie.
     """
     tile = F.col(tile) if isinstance(tile, str) else tile
     home = F.when(tile == 0, F.col(key)).otherwise(F.xxhash64(key, tile).cast(df.schema[key].dataType))
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), home)
+    return df.repartition(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), home)
 
 
 def attend(
@@ -293,12 +293,14 @@ def attend_step(
     are, and only the new rows are sent to them. (Were it to lie otherwise, the window would have it
     shuffled.) The new rows of a sequence are held together.
     """
-    kept = [c for c in df.columns if c != "q"]
-    new = df.withColumn("_kind", F.lit(0)).repartition(parts, key)
+    # Strings: a decode loop describes this for every layer of every step.
+    fields = df.schema.fields
+    kept = [f.name for f in fields if f.name != "q"]
+    read = {key, "pos", "k", "v"}
+    new = df.selectExpr(*(f"`{f.name}`" for f in fields), "0 AS _kind").repartition(parts, key)
     asked = live.select(key).repartition(parts, key).hint("shuffle_hash")
-    old = cache.select(key, "pos", "k", "v").join(asked, key, "left_semi").withColumn("_kind", F.lit(1))
-    both = new.unionByName(old.select(*[
-        F.col(c) if c in old.columns else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns
-    ]))
-    ordered = both.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy("_kind", "pos")))
+    old = cache.join(asked, key, "left_semi").selectExpr(*(
+        f"`{f.name}`" if f.name in read else f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in fields
+    ), "1 AS _kind")
+    ordered = new.union(old).selectExpr("*", f"row_number() OVER (PARTITION BY `{key}` ORDER BY _kind, pos) AS _at")
     return _attended(ordered, df, config, [key], kept, out)

@@ -89,13 +89,13 @@ def layers(df: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) ->
     return df.drop("_ask")
 
 
-def embedded(tokens: DataFrame, model: Model) -> DataFrame:
+def embedded(tokens: DataFrame, model: Model, parts: int | None = None) -> DataFrame:
     """Token rows with their embedding x, partitioned while they are still small.
 
     An id outside the vocabulary keeps its row and place: it is embedded as the
     configured `unk_token`, or, without one, is an error.
     """
-    rows = by_tile(tokens, tile_of("pos", model.config))
+    rows = by_tile(tokens, tile_of("pos", model.config), parts=parts)
     unk = model.config.unk_token
     if unk is None:
         return _looked_up(rows, model)
@@ -159,6 +159,9 @@ class State:
         kv = [T.StructField(f"{c}{n}", VECTOR) for n in self.groups[group] for c in "kv"]
         return T.StructType([*ROW, *kv])
 
+    def _names(self, group: int) -> list[str]:
+        return [f.name for f in self._schema(group).fields]
+
     def table(self, group: int) -> str:
         """Name of a group's table in the session's catalog."""
         name = re.sub(r"\W", "_", os.path.basename(self.root))
@@ -181,7 +184,8 @@ class State:
     def read(self, group: int, segments: list[int] | None = None) -> DataFrame:
         """Rows of the committed or the given segments."""
         wanted = self.segments if segments is None else segments
-        return self.spark.table(self.table(group)).where(F.col("segment").isin(wanted)).drop("segment")
+        listed = ", ".join(map(str, wanted)) or "NULL"
+        return self.spark.table(self.table(group)).where(f"segment IN ({listed})").select(self._names(group))
 
     def append(self, group: int, rows: DataFrame) -> DataFrame:
         """Write the rows of the step's segment and return them as stored, without keys and values."""
@@ -189,8 +193,8 @@ class State:
         return self.read(group, [self.segment]).select(*[f.name for f in ROW])
 
     def _write(self, group: int, rows: DataFrame) -> None:
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema(group).fields]
-        rows.select(*columns, F.lit(self.segment).alias("segment")).write.insertInto(self.table(group), overwrite=True)
+        columns = [f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in self._schema(group).fields]
+        rows.selectExpr(*columns, f"{self.segment} AS segment").write.insertInto(self.table(group), overwrite=True)
 
     def commit(self) -> None:
         """The segment of all groups becomes part of the state; the next step gets a new one."""
@@ -230,9 +234,7 @@ class State:
         if not self.segments:
             return None
         group = next(g for g, members in enumerate(self.groups) if layer in members)
-        return self.read(group).select(
-            "seq_id", "pos", F.col(f"k{layer}").alias("k"), F.col(f"v{layer}").alias("v")
-        )
+        return self.read(group).selectExpr("seq_id", "pos", f"k{layer} AS k", f"v{layer} AS v")
 
     def tokens(self) -> DataFrame:
         return self.read(len(self.groups) - 1).select("seq_id", "pos", "token")
@@ -363,7 +365,7 @@ def decode_step(
         }
     )
     # Known before anything is sampled: of the cache, only live sequences are read.
-    stored = _stored_layers(embedded(new, model), model, state, live.select("seq_id"))
+    stored = _stored_layers(embedded(new, model, state.buckets), model, state, live.select("seq_id"))
     return stored.select("seq_id", "pos", "token", "recent", "x")
 
 
@@ -382,7 +384,11 @@ def generate(
     starts the steps; it stops when no sequence is live. The result is read from the
     state; a caller that gives its own (of `init_state`) can drop it after use.
     """
-    state = state or init_state(tokens.sparkSession, model, layers_per_job)
+    if state is None:
+        # Not more buckets than sequences: a bucket is a task of every layer.
+        parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sequences = tokens.select("seq_id").distinct().limit(parts).count()
+        state = init_state(tokens.sparkSession, model, layers_per_job, buckets=max(1, sequences))
     frontier = prefill(tokens, model, state)
     for step in range(max_new):
         frontier = decode_step(frontier, model, params, state, seed, max_pos, forced)
