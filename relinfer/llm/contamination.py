@@ -256,7 +256,7 @@ def _verdict(rows: list[tuple[int, list[int], list[str], tuple[int, int]]]) -> l
         pa.array([digests[id(i)] for _, _, i, _ in rows], pa.string()),
         pa.array([h > 0 and 20 * h >= n for h, (n, _, _, _) in zip(hit, rows)], pa.bool_()),
         pa.array([m[0] for _, _, _, m in rows], pa.int64()),
-        pa.array([m[1] if m[0] else None for _, _, _, m in rows], pa.int64()),
+        pa.array([m[1] if m[0] else -1 for _, _, _, m in rows], pa.int64()),
     ]
 
 
@@ -270,7 +270,7 @@ def contamination(
     A document word is hit if it lies in an occurrence of a window, `window` consecutive
     words of an item or all words of a shorter one. `longest` is the length in words of
     the longest verbatim match with an item (0 without a hit), and `longest_at` the number of its first word, from 0
-    (the first of equals; null without a hit). Null and empty texts have no words and
+    (the first of equals; -1 without a hit). Null and empty texts have no words and
     are never contaminated; an empty benchmark hits nothing; repeated items count once;
     an item with a null id hits, but isn't counted in n_items. Columns of these names are
     replaced, others carried.
@@ -371,7 +371,7 @@ places AS (
 )
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
-  coalesce(longest, 0)::BIGINT AS longest, longest_at::BIGINT AS longest_at
+  coalesce(longest, 0)::BIGINT AS longest, coalesce(longest_at, -1)::BIGINT AS longest_at
 FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN found ON dw.doc_id = found.doc_id
 LEFT JOIN best ON dw.doc_id = best.doc_id
 """

@@ -88,7 +88,7 @@ def test_longest_matches_and_their_places(spark):
     for block_words in (ct.BLOCK_WORDS, 30):
         for r in ct.contamination(docs, bench, block_words=block_words).collect():
             n, at = brute_longest(r.text, items)
-            assert (r.longest, r.longest_at) == (n, at if n else None)
+            assert (r.longest, r.longest_at) == (n, at if n else -1)
 
 
 def test_equal_items_cost_once(spark):
