@@ -593,10 +593,10 @@ def stream_answers(spark, folder):
     """The same items as a stream: answers of a server whose sequences live through several batches."""
     items = read(spark, folder, "benchmark").select(F.col("item_id").alias("seq_id"), "text")
     root = new_table_path(spark, "stream")
-    items.repartitionByRange(3, "seq_id").write.parquet(f"{root}/in")
+    items.repartitionByRange(2, "seq_id").write.parquet(f"{root}/in")
     prompts = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     vocab = _item_vocab(spark, folder, TINY.vocab_size)
-    server = Server(spark, _model(spark, TINY), vocab, PARAMS, f"{root}/run", f"{root}/out", 3, SEED, steps=1)
+    server = Server(spark, _model(spark, TINY), vocab, PARAMS, f"{root}/run", f"{root}/out", 3, SEED, steps=2, buckets=2)
     query = serve_stream(prompts, server, f"{root}/checkpoint", chat=False)
     query.awaitTermination()
     drain(server, query.lastProgress.batchId + 1)

@@ -96,6 +96,8 @@ class Server:
     steps: int = 8
     # Segments from which on the state is merged; sequences that have ended leave it then.
     compact_every: int = 64
+    # Buckets of a new state; the session's number of partitions if there is none.
+    buckets: int | None = None
 
     def _manifest(self, number: int) -> dict | None:
         try:
@@ -104,7 +106,7 @@ class Server:
             return None
 
     def _state(self, before: dict | None) -> State:
-        state = init_state(self.spark, self.model, path=f"{self.root}/state", buckets=before and before["buckets"])
+        state = init_state(self.spark, self.model, path=f"{self.root}/state", buckets=before["buckets"] if before else self.buckets)
         if before:
             state.segments, state.segment, state.merged = before["segments"], before["segment"], before["merged"]
         return state
