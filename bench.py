@@ -1,8 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints one JSON line. Each query is written to the no-op sink, so that all of
-its rows and columns are computed and none are brought to the driver. After the queries come
-prompts and decode steps of a model of the published depth and width, for one sequence and for 200.
+its rows and columns are computed and none are brought to the driver. With BENCH_DEEP set come, after the
+queries, prompts and decode steps of a model of the published depth and width, for one sequence and for 200.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ HEADLINE = (
 DEEP = ModelConfig(
     hidden=60, n_layers=30, head_dim=64, n_heads=3, n_kv_heads=1, ffn_dim=576, vocab_size=49152
 )
-PROMPT, STEPS = 30, 3
+PROMPT, STEPS = 30, 2
 
 
 def write_weights(spark, path: str) -> None:
@@ -57,7 +57,7 @@ def write_weights(spark, path: str) -> None:
                     pa.ListArray.from_arrays(pa.array(np.arange(0, rows * width + 1, width, dtype=np.int32)), pa.array(w.astype(np.float32))),
                 ], ["tensor", "layer", "row", "w"])
 
-    grid = spark.createDataFrame(tensors, "tensor string, layer int, n int, width int").repartition(len(tensors), "tensor", "layer")
+    grid = spark.createDataFrame(tensors, "tensor string, layer int, n int, width int").repartition(16)
     rows = grid.mapInArrow(drawn, "tensor string, layer int, row int, w array<float>")
     rows.write.partitionBy("tensor", "layer").parquet(path)
 
@@ -67,13 +67,16 @@ def deep(spark, folder: str, sizes: tuple[int, ...] = (1, 200)) -> dict[str, flo
     path = new_table_path(spark, "bench-weights")
     write_weights(spark, path)
     model, out = load_weights(spark, path, DEEP), {}
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
     for n in sizes:
+        # Not more tasks than sequences.
+        spark.conf.set("spark.sql.shuffle.partitions", min(n, int(parts)))
         items = spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").limit(n)
         tokens = items.select(
             F.col("item_id").alias("seq_id"), F.explode(F.sequence(F.lit(0), F.lit(PROMPT - 1))).alias("pos"), "text"
         ).select("seq_id", "pos", F.pmod(F.xxhash64("text", "pos"), F.lit(40000)).cast("int").alias("token"))
         tokens = tokens.withColumn("token", F.col("token") + 17)
-        state = init_state(spark, model, buckets=min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        state = init_state(spark, model)
         start = time.perf_counter()
         frontier = prefill(tokens, model, state)
         frontier.write.format("noop").mode("overwrite").save()
@@ -85,6 +88,7 @@ def deep(spark, folder: str, sizes: tuple[int, ...] = (1, 200)) -> dict[str, flo
             took.append(time.perf_counter() - start)
         out[f"deep_step_{n}"] = round(sum(took[1:]) / len(took[1:]), 3)
         state.drop()
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     drop_table(spark, path)
     return out
 
@@ -101,7 +105,7 @@ def main() -> None:
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - start, 3)
         print(f"{name}: {timings[name]} s", file=sys.stderr)
-    depth = deep(spark, folder)
+    depth = deep(spark, folder) if os.environ.get("BENCH_DEEP") else {}
     for name, seconds in depth.items():
         print(f"{name}: {seconds} s", file=sys.stderr)
     prompts = spark.read.parquet(f"{folder}/benchmark.parquet").count()
