@@ -597,8 +597,9 @@ MODEL["blocked_attention"] = MODEL["long_attention"]
 CHAT_BLOCK = [*CHAT_TOKENS, ("e", embedding("toks")), *block("e", 0, "b")]
 MODEL["chat_scores"] = query(
     CHAT_BLOCK,
-    f"SELECT seq_id, pos, s.head AS head, count(*) AS n, {rnd('max(s.val)')} AS top, {rnd('max(w.prob)')} AS prob"
-    " FROM bsc s JOIN bsm w USING (seq_id, pos, head, kpos) GROUP BY seq_id, pos, s.head",
+    f"SELECT seq_id, pos, head, n, {rnd('top')} AS top, {rnd('prob')} AS prob"
+    " FROM (SELECT seq_id, pos, head, count(*) AS n, max(val) AS top FROM bsc GROUP BY ALL)"
+    " JOIN (SELECT seq_id, pos, head, max(prob) AS prob FROM bsm GROUP BY ALL) USING (seq_id, pos, head)",
 )
 MODEL["chat_mix"] = query(
     CHAT_BLOCK, f"SELECT seq_id, pos, i // {TINY.head_dim} AS head, i % {TINY.head_dim} AS i, {rnd('val')} AS val FROM bo"
