@@ -201,65 +201,334 @@ def _places(batch):
     return batch.column("pos").to_numpy(zero_copy_only=False)
 
 
-def _block_scores(config, keys, queries):
-    """Scaled scores (query, head, key) of a pair of blocks, and how many of the sorted keys a query sees."""
-    k = _matrix(keys.column("k")).reshape(keys.num_rows, config.n_kv_heads, config.head_dim).transpose(1, 2, 0)
-    q = _matrix(queries.column("q")).reshape(queries.num_rows, config.n_kv_heads, -1, config.head_dim).transpose(1, 0, 2, 3)
-    s = (q @ k[:, None]) * config.score_scale
-    seen = np.searchsorted(_places(keys), _places(queries), "right")
-    return s.transpose(1, 0, 2, 3).reshape(queries.num_rows, config.n_heads, -1), seen
+# Scores that a batch holds.
+BATCH_SCORES = 512 * 1024
 
 
-def _by_head(queries, key, n_heads):
-    """The columns (key, pos, head) of a row for each head of each query."""
-    at = np.repeat(np.arange(queries.num_rows), n_heads)
-    head = np.tile(np.arange(n_heads, dtype=np.int32), queries.num_rows)
-    return [queries.column(key).take(pa.array(at)), queries.column("pos").take(pa.array(at)), pa.array(head)]
-
+def _tiles(batches, units):
+    """(rows of kind 0 of a unit as one batch, (kind, batch) of its other rows), of rows sorted by (units, _kind, pos)."""
+    now, held, later = None, [], []
+    for batch in batches:
+        start = 0
+        for end in _runs(batch, [*units, "_kind"]) if batch.num_rows else []:
+            part = batch.slice(start, end - start)
+            start = end
+            unit = tuple(part.column(c)[0].as_py() for c in units)
+            kind = part.column("_kind")[0].as_py()
+            if unit != now:
+                if held and not later:
+                    yield _one(held), None
+                now, held, later = unit, [], []
+            if kind == 0:
+                held.append(part)
+            elif held:
+                later = later or [_one(held)]
+                yield later[0], (kind, part)
+    if held and not later:
+        yield _one(held), None
+
+
+def _one(batches):
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+class _ScoreTile:
+    """The queries of a tile, which meet blocks of keys: its own, and those of earlier tiles, which come in batches."""
+
+    def __init__(self, rows, config, block):
+        self.rows, self.config, self.block = rows, config, block
+        self.pos = _places(rows)
+        self.q = _matrix(rows.column("q")).reshape(len(self.pos), config.n_kv_heads, -1, config.head_dim).transpose(1, 0, 2, 3)
+        # Queries of a block, few enough for a batch; rows of equal places lie together.
+        starts = self._starts(self.pos)
+        step = max(1, BATCH_SCORES // (config.n_heads * block))
+        self.parts = [slice(i, min(i + step, b)) for a, b in zip(starts, [*starts[1:], len(self.pos)]) for i in range(a, b, step)]
+        shape = (len(self.pos), config.n_heads)
+        self.top, self.total = np.full(shape, -np.inf), np.zeros(shape)
+
+    def _starts(self, pos):
+        return [0, *(np.flatnonzero(np.diff(pos // self.block)) + 1).tolist()] if len(pos) else []
+
+    def key_blocks(self, batch):
+        """(places, keys, batch) of each block of a batch of keys."""
+        pos = _places(batch)
+        starts = self._starts(pos)
+        for a, b in zip(starts, [*starts[1:], len(pos)]):
+            part = batch.slice(a, b - a)
+            k = _matrix(part.column("k")).reshape(b - a, self.config.n_kv_heads, self.config.head_dim).transpose(1, 2, 0)
+            yield pos[a:b], k, part
+
+    def meetings(self, batch):
+        """(queries, block of keys, scaled scores (query, head, key), keys that a query sees) of all that meet."""
+        for places, k, part in [*self.key_blocks(batch)]:
+            for own in self.parts:
+                seen = np.searchsorted(places, self.pos[own], "right")
+                skip = int(np.searchsorted(seen, 1))
+                own, seen = slice(own.start + skip, own.stop), seen[skip:]
+                if len(seen):
+                    s = (self.q[:, own] @ k[:, None]) * self.config.score_scale
+                    s = s.transpose(1, 0, 2, 3).reshape(len(seen), self.config.n_heads, -1)
+                    yield own, part, s, seen
+
+    def normalise(self, batch):
+        """Take a batch of keys into the greatest score and the sum of exponents of every query."""
+        for own, _, s, seen in self.meetings(batch):
+            top, total, e = _block_softmax(s, seen, self.config)
+            high = np.maximum(self.top[own], top)
+            old = np.where(np.isfinite(self.top[own]), np.exp(self.top[own] - high), 0.0)
+            self.total[own] = self.total[own] * old + total * np.exp(top - high)
+            self.top[own] = high
+
+    def finish(self):
+        """Rows of equal places are one query, as they are in a grouping."""
+        if np.any(self.pos[1:] == self.pos[:-1]):
+            starts = np.flatnonzero(np.r_[True, self.pos[1:] != self.pos[:-1]])
+            sizes = np.diff(np.r_[starts, len(self.pos)])
+            top = np.repeat(np.maximum.reduceat(self.top, starts), sizes, axis=0)
+            total = np.add.reduceat(self.total * np.exp(self.top - top), starts)
+            self.top, self.total = top, np.repeat(total, sizes, axis=0)
+
+    def by_head(self, own, key):
+        """The columns (key, pos, head) of a row for each head of some queries."""
+        n, heads = own.stop - own.start, self.config.n_heads
+        at = pa.array(np.repeat(np.arange(own.start, own.stop), heads))
+        head = np.tile(np.arange(heads, dtype=np.int32), n)
+        return [self.rows.column(key).take(at), self.rows.column("pos").take(at), pa.array(head)]
+
+
+def _block_softmax(s, seen, config):
+    """Greatest score, sum of exponents relative to it, and the exponents; 0 for keys that aren't seen."""
+    hidden = None
+    if seen[0] < s.shape[2]:
+        hidden = np.broadcast_to((np.arange(s.shape[2]) >= seen[:, None])[:, None, :], s.shape)
+        s = np.where(hidden, -np.inf, s)
+    top = s.max(-1)
+    e = np.exp(np.maximum(s - top[..., None], -config.exp_clamp))
+    if hidden is not None:
+        e[hidden] = 0.0
+    return top, e.sum(-1), e
+
+
+def _first(value, n, kind):
+    """A list in the first of n rows, null in the others."""
+    offsets = np.full(n + 1, len(value), np.int32)
+    offsets[0] = 0
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(value, kind), mask=pa.array(np.arange(n) > 0))
+
+
+def scores_kernel(config, key: str, units: list[str], block: int, values: bool):
+    """mapInArrow function over rows in tiles: a row of scores for each query, head and block of keys.
+
+    The keys of earlier tiles come twice, as kind 1 and as kind 2: the first time for the greatest score and the sum of
+    exponents, which every row has. With `values`, the first row of a run of queries that meet the same block brings
+    the places and the values of that block.
+    """
 
-def scores_kernel(config, key: str, units: list[str]):
-    """mapInArrow function over blocks of keys and the queries that see them: a row for each query and head."""
+    def rows_of(tile, batch, unit):
+        for own, part, s, seen in tile.meetings(batch):
+            places, heads = _places(part), config.n_heads
+            n = len(seen) * heads
+            mask = np.broadcast_to((np.arange(s.shape[2]) < seen[:, None])[:, None, :], s.shape)
+            offsets = _offsets(np.repeat(seen, heads))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.broadcast_to(places, s.shape)[mask], s[mask])]
+            columns = [*tile.by_head(own, key), pa.array(np.full(n, places[0] // block, np.int32)), *lists]
+            names = [key, "pos", "head", "kblock", "kpos", "val", "_tile", "_top", "_total"]
+            columns += [pa.array(np.full(n, unit, np.int32)), pa.array(tile.top[own].ravel()), pa.array(tile.total[own].ravel())]
+            if values:
+                names += ["_places", "_values"]
+                columns += [_first(places.astype(np.int64), n, pa.int64()), _first(_matrix(part.column("v")).ravel(), n, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
-        for keys, queries in _pairs(batches, units):
-            s, seen = _block_scores(config, keys, queries)
-            queries, s, seen = queries.filter(pa.array(seen > 0)), s[seen > 0], seen[seen > 0]
-            if not len(seen):
+        tile, twice = None, 0
+        for rows, more in _tiles(batches, units):
+            if tile is None or rows is not tile.rows:
+                if twice:
+                    raise ValueError("keys of earlier tiles have to come twice")
+                tile, unit, ready = _ScoreTile(rows, config, block), rows.column(units[1])[0].as_py(), False
+                tile.normalise(rows)
+            if more is not None and more[0] == 1:
+                twice += more[1].num_rows
+                tile.normalise(more[1])
                 continue
-            mask = np.broadcast_to((np.arange(s.shape[2]) < seen[:, None])[:, None, :], s.shape)
-            offsets = _offsets(np.repeat(seen, config.n_heads))
-            kpos = np.broadcast_to(_places(keys), s.shape)[mask]
-            columns = [*_by_head(queries, key, config.n_heads), queries.column("_kb").take(pa.array(np.repeat(np.arange(len(seen)), config.n_heads)))]
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (kpos, s[mask])]
-            yield pa.RecordBatch.from_arrays([*columns, *lists], [key, "pos", "head", "kblock", "kpos", "val"])
+            if not ready:
+                tile.finish()
+                yield from rows_of(tile, rows, unit)
+                ready = True
+            if more is not None:
+                twice -= more[1].num_rows
+                yield from rows_of(tile, more[1], unit)
+        if twice:
+            raise ValueError("keys of earlier tiles have to come twice")
 
     return run
 
 
-def partials_kernel(config, key: str, units: list[str]):
-    """mapInArrow function as scores_kernel, giving what the softmax of a block of keys comes to.
+def softmax_kernel(clamp: float):
+    """UDF (scores, greatest score, sum of exponents) -> probabilities."""
 
-    A row for each query and head: the greatest score, the sum of exponents relative to it, and the values mixed by them.
+    @F.arrow_udf("array<double>")
+    def softmax(val: pa.Array, top: pa.Array, total: pa.Array) -> pa.Array:
+        sizes = val.value_lengths().to_numpy(zero_copy_only=False)
+        e = val.flatten().to_numpy(zero_copy_only=False) - np.repeat(top.to_numpy(zero_copy_only=False), sizes)
+        np.clip(e, -clamp, clamp, out=e)
+        np.exp(e, out=e)
+        e /= np.repeat(total.to_numpy(zero_copy_only=False), sizes)
+        return pa.ListArray.from_arrays(_offsets(sizes), pa.array(e))
+
+    return _once(softmax)
+
+
+class _Merged:
+    """Sums (of columns of `values`) by place and head of a unit, relative to the greatest `top` of each."""
+
+    # Rows that are held before equal ones are added up.
+    ROWS = 1 << 18
+
+    def __init__(self):
+        self.parts, self.held, self.kept = [], 0, 0
+
+    def add(self, pos, head, top, values):
+        self.parts.append((pos, head, top, values))
+        self.held += len(pos)
+        if self.held > self.kept + self.ROWS:
+            self.parts = [self.merged()]
+            self.held = self.kept = len(self.parts[0][0])
+
+    def merged(self):
+        pos, head, top, values = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((head, pos))
+        pos, head, top, values = pos[order], head[order], top[order], values[order]
+        starts = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (head[1:] != head[:-1])])
+        high = np.maximum.reduceat(top, starts)
+        fade = np.exp(top - np.repeat(high, np.diff(np.r_[starts, len(pos)])))
+        return pos[starts], head[starts], high, np.add.reduceat(values * fade[:, None], starts)
+
+
+def partials_kernel(config, key: str, units: list[str], block: int, kept: list[str]):
+    """mapInArrow function over rows in tiles, giving what the softmax of each block of keys comes to.
+
+    A row for each query, head and block: the greatest score, the sum of exponents relative to it, and the values mixed
+    by them. The first row of a query in its own block brings its `kept` columns.
     """
 
     def run(batches):
-        for keys, queries in _pairs(batches, units):
-            s, seen = _block_scores(config, keys, queries)
-            queries, s, seen = queries.filter(pa.array(seen > 0)), s[seen > 0], seen[seen > 0]
-            if not len(seen):
-                continue
-            hidden = np.broadcast_to((np.arange(s.shape[2]) >= seen[:, None])[:, None, :], s.shape)
-            s[hidden] = -np.inf
-            top = s.max(-1)
-            e = np.exp(np.clip(s - top[..., None], -config.exp_clamp, config.exp_clamp))
-            e[hidden] = 0.0
-            v = _matrix(keys.column("v")).reshape(keys.num_rows, config.n_kv_heads, config.head_dim)
-            mixed = np.einsum("qhgk,khd->qhgd", e.reshape(len(seen), config.n_kv_heads, -1, e.shape[2]), v)
-            mixed = mixed.reshape(-1, config.head_dim)
-            yield pa.RecordBatch.from_arrays(
-                [*_by_head(queries, key, config.n_heads), pa.array(top.ravel()), pa.array(e.sum(-1).ravel()), _vectors(mixed, np.ones(len(mixed), bool))],
-                [key, "pos", "head", "top", "total", "mixed"],
-            )
+        tile = None
+        for rows, more in _tiles(batches, units):
+            met = [] if more is None or more[0] != 1 else [more[1]]
+            if tile is None or rows is not tile.rows:
+                tile, unit = _ScoreTile(rows, config, block), rows.column(units[1])[0].as_py()
+                met = [rows, *met]
+            for batch in met:
+                for own, part, s, seen in tile.meetings(batch):
+                    top, total, e = _block_softmax(s, seen, config)
+                    v = _matrix(part.column("v")).reshape(part.num_rows, config.n_kv_heads, config.head_dim)
+                    e = e.reshape(len(seen), config.n_kv_heads, -1, e.shape[2]).transpose(1, 0, 2, 3)
+                    mixed = (e @ v.transpose(1, 0, 2)[:, None]).transpose(1, 0, 2, 3).reshape(-1, config.head_dim)
+                    at = np.repeat(np.arange(own.start, own.stop), config.n_heads)
+                    first = (np.arange(len(at)) % config.n_heads == 0) & (batch is rows) & (tile.pos[at] // block == _places(part)[0] // block)
+                    at = pa.array(at, mask=~first)
+                    n = len(mixed)
+                    yield pa.RecordBatch.from_arrays(
+                        [*tile.by_head(own, key), pa.array(top.ravel()), pa.array(total.ravel()), _vectors(mixed, np.ones(n, bool)),
+                         pa.array(np.full(n, unit, np.int32)), pa.array(first), *(rows.column(c).take(at) for c in kept)],
+                        [key, "pos", "head", "top", "total", "mixed", "_tile", "_own", *(f"_kept_{c}" for c in kept)],
+                    )
+
+    return run
+
+
+def _units(batches, units):
+    """(unit, rows) of each run of a unit."""
+    for batch in batches:
+        start = 0
+        for end in _runs(batch, units) if batch.num_rows else []:
+            part = batch.slice(start, end - start)
+            start = end
+            yield tuple(part.column(c)[0].as_py() for c in units), part
+
+
+def _heads_of(key, unit, merged, out, key_type, pos_type):
+    pos, head, o = merged
+    return pa.RecordBatch.from_arrays(
+        [pa.array([unit]).cast(key_type).take(pa.array(np.zeros(len(pos), np.int64))), pa.array(pos).cast(pos_type), pa.array(head), _vectors(o, np.ones(len(o), bool))],
+        [key, "pos", "head", out],
+    )
+
+
+def merge_kernel(config, key: str, units: list[str], kept: list[str], out: str):
+    """mapInArrow function over partial results as partials_kernel leaves them: a row (kept columns, out) for each query."""
+
+    def result(found, rows):
+        rows = _one(rows)
+        pos, _, _, values = found.merged()
+        o = (values[:, :-1] / values[:, -1:]).reshape(-1, config.q_dim)
+        at = np.searchsorted(pos[:: config.n_heads], _places(rows))
+        columns = [rows.column(f"_kept_{c}") for c in kept]
+        return pa.RecordBatch.from_arrays([*columns, _vectors(o[at], np.ones(len(at), bool))], [*kept, out])
+
+    def run(batches):
+        now, found, rows = None, None, []
+        for unit, part in _units(batches, units):
+            if unit != now:
+                if rows:
+                    yield result(found, rows)
+                now, found, rows = unit, _Merged(), []
+            values = np.concatenate([_matrix(part.column("mixed")), part.column("total").to_numpy()[:, None]], 1)
+            found.add(_places(part), part.column("head").to_numpy(), part.column("top").to_numpy(), values)
+            own = part.filter(part.column("_own"))
+            if own.num_rows:
+                rows.append(own)
+        if rows:
+            yield result(found, rows)
+
+    return run
+
+
+def mix_tiles_kernel(config, key: str, units: list[str], weight: str, out: str, block: int):
+    """mapInArrow function over weights as scores_kernel leaves their rows, with the values beside them."""
+
+    def mixed(part, places, v):
+        sizes = part.column(weight).value_lengths().to_numpy(zero_copy_only=False)
+        theirs = np.all(part.column("kblock").to_numpy() == places[0] // block)
+        if not theirs or not np.array_equal(np.searchsorted(places, _places(part), "right"), sizes):
+            raise ValueError("a weighted position has no value")
+        # Of equal places the last weight and the first value count, as in mix_kernel.
+        at = np.searchsorted(places, places)
+        w = np.zeros((part.num_rows, len(places)))
+        row = np.repeat(np.arange(part.num_rows), sizes)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        w[row, at[column]] = part.column(weight).flatten().to_numpy(zero_copy_only=False)
+        own = part.column("head").to_numpy() // config.gqa_group
+        o = np.zeros((part.num_rows, config.head_dim))
+        for h in range(config.n_kv_heads):
+            o[own == h] = w[own == h] @ v[:, h]
+        return o
+
+    def result(now, found, types):
+        pos, head, _, o = found.merged()
+        return _heads_of(key, now[0], (pos, head, o), out, *types)
+
+    def run(batches):
+        now, found, types, places, v = None, None, None, None, None
+        for unit, part in _units(batches, units):
+            if unit != now:
+                if found:
+                    yield result(now, found, types)
+                now, found, types, places = unit, _Merged(), (part.column(key).type, part.column("pos").type), None
+            starts = np.flatnonzero(np.asarray(part.column("_places").is_valid())).tolist()
+            for a, b in zip([0, *starts], [*starts, part.num_rows]):
+                if a == b:
+                    continue
+                if part.column("_places")[a].is_valid:
+                    places = part.column("_places")[a].values.to_numpy(zero_copy_only=False)
+                    v = part.column("_values")[a].values.to_numpy(zero_copy_only=False).reshape(len(places), config.n_kv_heads, config.head_dim)
+                if places is None:
+                    raise ValueError("a weighted position has no value")
+                run_ = part.slice(a, b - a)
+                found.add(_places(run_), run_.column("head").to_numpy(), np.zeros(b - a), mixed(run_, places, v))
+        if found:
+            yield result(now, found, types)
 
     return run
 

@@ -411,6 +411,11 @@ def encode_long(spark, folder):
     return big(every, "token").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
 
 
+def _chat_tiles(spark, folder, again=False):
+    """Tokens of the conversations, where attention takes them as they lie."""
+    return L.in_tiles(_chat_tokens(spark, folder), TINY, again=again)
+
+
 def _chat_tokens(spark, folder):
     conv = read(spark, folder, "conversations")
     vocab = T.build_vocab(conv, TINY.vocab_size, specials=T.SPECIALS)
@@ -487,7 +492,8 @@ def embed_joined(spark, folder):
 
 def block_forward(spark, folder):
     m = _model(spark, TINY)
-    x = M.ffn(M.attention(M.embedded(_prompt_tokens(spark, folder), m), m, 0), m, 0)
+    tokens = L.in_tiles(_prompt_tokens(spark, folder), TINY)
+    x = M.ffn(M.attention(M.embedded(tokens, m), m, 0), m, 0)
     return long(x, "x", ("seq_id", "pos"))
 
 
@@ -558,7 +564,7 @@ def long_attention(spark, folder):
 def blocked_attention(spark, folder):
     """The same by partial softmax over pairs of blocks."""
     model = _model(spark, TINY)
-    x = M.attention(M.embedded(_chat_tokens(spark, folder), model), model, 0, L.attend_blocked)
+    x = M.attention(M.embedded(_chat_tiles(spark, folder), model), model, 0, L.attend_blocked)
     return long(x, "x", ("seq_id", "pos"))
 
 
@@ -577,8 +583,8 @@ def chat_scores(spark, folder):
 def chat_mix(spark, folder):
     """Values of all tokens of the conversations, mixed by their attention weights."""
     model = _model(spark, TINY)
-    rows = M.projected(M.embedded(_chat_tokens(spark, folder), model), model, 0)
-    mixed = L.attn_mix(L.attn_softmax(L.attn_scores(rows, TINY)), rows, TINY)
+    rows = M.projected(M.embedded(_chat_tiles(spark, folder, again=True), model), model, 0)
+    mixed = L.attn_mix(L.attn_softmax(L.attn_scores(rows, TINY)), None, TINY)
     return big(long(mixed, "o", ("seq_id", "pos", "head")), "head")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from relinfer.config import SamplingParams
 from relinfer.functions import vector as V
-from relinfer.operators.layers import attend, attend_step, by_tile, embed, known, tile_of, with_asked
+from relinfer.operators.layers import attend, attend_step, by_tile, embed, in_tiles, known, tile_of, with_asked
 from relinfer.operators.sampling import gumbel_vec, penalise_vec, settings_of, survivors_vec, with_params
 from relinfer.operators.skew import with_group_value
 from relinfer.session import cut, drop_table, has_table, new_table_path
@@ -90,12 +90,12 @@ def layers(df: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) ->
 
 
 def embedded(tokens: DataFrame, model: Model, parts: int | None = None) -> DataFrame:
-    """Token rows with their embedding x, partitioned while they are still small.
+    """Token rows with their embedding x, partitioned while they are still small; rows `in_tiles` stay where they lie.
 
     An id outside the vocabulary keeps its row and place: it is embedded as the
     configured `unk_token`, or, without one, is an error.
     """
-    rows = by_tile(tokens, tile_of("pos", model.config), parts=parts)
+    rows = tokens if "_tile" in tokens.columns else by_tile(tokens, tile_of("pos", model.config), parts=parts)
     unk = model.config.unk_token
     if unk is None:
         return _looked_up(rows, model)
@@ -118,7 +118,8 @@ def logits_vec(df: DataFrame, model: Model, out: str = "logits") -> DataFrame:
 
 def forward(tokens: DataFrame, model: Model, layers_per_job: int = LAYERS_PER_JOB) -> DataFrame:
     """Logit vector of every position: (seq_id, pos, token, logits)."""
-    return logits_vec(layers(embedded(with_asked(tokens, model.config), model), model, layers_per_job), model)
+    placed = in_tiles(with_asked(tokens, model.config), model.config)
+    return logits_vec(layers(embedded(placed, model), model, layers_per_job), model)
 
 
 # ------------------------------------------------------------------ state
@@ -301,7 +302,7 @@ def prefill(tokens: DataFrame, model: Model, state: State) -> DataFrame:
         "seq_id", "pos", "token", (F.col("pos") == F.col("_end")).alias("last"),
         F.when(near, F.array(F.col("token").cast("int"))).alias("recent"), "_ask",
     )
-    stored = _stored_layers(embedded(marked, model), model, state)
+    stored = _stored_layers(embedded(in_tiles(marked, model.config), model), model, state)
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.col("recent")[0].alias("token"))))
     recent = stored.where(F.col("recent").isNotNull()).groupBy("seq_id").agg(
         F.transform(ordered, lambda r: r.getField("token")).alias("recent")

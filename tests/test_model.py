@@ -285,3 +285,32 @@ def test_layer_operators(spark):
     g, u = np.array([1.0, -2.0]), np.array([0.5, 3.0])
     assert L.swiglu(df, "x", "d").first().h == pytest.approx(list(g / (1 + np.exp(-g)) * u))
     assert L.rms_norm(df, [1.0, 1.0]).first().x_norm == pytest.approx(list(R.rms(g, np.ones(2))))
+
+
+def test_scores_cross_no_shuffle(spark, monkeypatch):
+    """Scores, softmax and mix of rows that lie in tiles are made where they are, also over several tiles."""
+    monkeypatch.setattr(L, "ATTENTION_BLOCK", 2)
+    monkeypatch.setattr(L, "TILE_BYTES", 1)
+    rng = np.random.default_rng(5)
+    rows = [(s, p, rng.normal(size=48).tolist(), rng.normal(size=16).tolist(), rng.normal(size=16).tolist())
+            for s, n in ((1, 5), (2, 9), (3, 1)) for p in range(n)]
+    df = spark.createDataFrame(rows, "seq_id bigint, pos bigint, q array<double>, k array<double>, v array<double>")
+    placed = L.in_tiles(df, SMALL, again=True)
+    weights = L.attn_softmax(L.attn_scores(placed, SMALL))
+    mixed = L.attn_mix(weights, None, SMALL)
+    moved = plan(mixed).count("Exchange hashpartitioning")
+    assert moved == plan(placed).count("Exchange hashpartitioning") and "Window" not in plan(mixed)
+    steps = {(r.seq_id, r.pos, r.head): r.o for r in mixed.collect()}
+    blocked = L.attend_blocked(L.in_tiles(df, SMALL), SMALL)
+    assert plan(blocked).count("Exchange hashpartitioning") == plan(L.in_tiles(df, SMALL)).count("Exchange hashpartitioning")
+    blocked = {(r.seq_id, r.pos): r.o for r in blocked.collect()}
+    lying = {(r.seq_id, r.pos): r.o for r in L.attend(L.in_tiles(df, SMALL), SMALL).collect()}
+    assert len(steps) == 6 * len(rows) and len(blocked) == len(lying) == len(rows)
+    for r in L.attend(df, SMALL).collect():
+        whole = np.concatenate([steps[r.seq_id, r.pos, h] for h in range(6)])
+        assert np.allclose(r.o, whole, atol=1e-12) and np.allclose(r.o, blocked[r.seq_id, r.pos], atol=1e-12)
+        assert np.allclose(r.o, lying[r.seq_id, r.pos], atol=1e-12)
+    with pytest.raises(Exception, match="come twice"):
+        L.attn_scores(L.in_tiles(df, SMALL), SMALL).collect()
+    with pytest.raises(Exception, match="has no value"):
+        L.attn_mix(weights.where("head > 0"), None, SMALL).collect()
