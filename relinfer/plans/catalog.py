@@ -557,7 +557,7 @@ def generate_unknown(spark, folder):
 def long_attention(spark, folder):
     """Attention over all tokens of the conversations, which are longer than its blocks."""
     model = _model(spark, TINY)
-    x = M.attention(M.embedded(_chat_tokens(spark, folder), model), model, 0)
+    x = M.attention(M.embedded(_chat_tiles(spark, folder), model), model, 0)
     return long(x, "x", ("seq_id", "pos"))
 
 
