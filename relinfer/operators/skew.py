@@ -101,6 +101,18 @@ def _not_after(bound: Column, row: list[Column], descending: list[bool]) -> Colu
     return result
 
 
+def _count_before(bounds: Column, row: list[Column], descending: list[bool]) -> Column:
+    """How many of the sorted bounds stand in front of a row or at its place, by bisection."""
+
+    def step(n: Column, size: Column) -> Column:
+        reached = n + size
+        fits = (reached <= F.size(bounds)) & _not_after(F.get(bounds, reached - 1), row, descending)
+        return F.when(fits, reached).otherwise(n)
+
+    sizes = [F.lit(1 << i) for i in reversed(range(PIECES.bit_length()))]
+    return F.aggregate(F.array(*sizes), F.lit(0), step)
+
+
 def running_sum(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -131,11 +143,13 @@ def running_sum(
         "_slot", F.pmod(F.shiftright(mixed, 20), F.lit(PIECES))
     )
     chosen = slots.groupBy(*keys, "_slot").agg(F.min(F.struct(f"_o{last}", *names[:-1])).alias("_bound"))
-    bounds = chosen.groupBy(*keys).agg(F.collect_list("_bound").alias("_bounds"))
+    in_order = lambda a, b: F.when(
+        _not_after(a, [b[n] for n in names], descending), F.when(_not_after(b, [a[n] for n in names], descending), 0).otherwise(-1)
+    ).otherwise(1)
+    bounds = chosen.groupBy(*keys).agg(F.array_sort(F.collect_list("_bound"), in_order).alias("_bounds"))
     row = [F.col(n) for n in names]
-    before = F.filter("_bounds", lambda b: _not_after(b, row, descending))
     placed = _join(tied, bounds, keys, "left").withColumn(
-        "_piece", F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(before))
+        "_piece", F.when(F.col("_bounds").isNull(), 0).otherwise(_count_before(F.col("_bounds"), row, descending))
     ).drop("_bounds")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = placed.repartition(parts, *keys, "_piece")

@@ -232,3 +232,20 @@ def test_top_k_beyond_the_pushed_limit_and_by_row(spark, monkeypatch):
     assert kept(S.top_k_filter(df, "seq_id", "k")) == expected
     monkeypatch.setattr(S, "RANKED", 5)
     assert kept(S.top_k_filter(df.where("seq_id = 1"), "seq_id", 7)) == {1: expected[1]}
+
+
+def test_bounds_are_found_by_bisection(spark):
+    """As many bounds stand in front of a row as a count of all of them says, and few of them are looked at."""
+    rows = [(i, [None, 0.5, 1.0, 2.0][i % 4], i * 7 % 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, a double, b int")
+    for down in (False, True):
+        row, order = [F.col("a"), F.col("b")], [down, False]
+        bounds = sorted({(a, b) for _, a, b in rows}, key=lambda x: (x[0] is not None, (-1 if down else 1) * (x[0] or 0), x[1]))
+        bounds = [x for x in bounds if x[0] is not None] + [x for x in bounds if x[0] is None] if down else bounds
+        listed = F.array(*(F.struct(F.lit(a).cast("double").alias("_o0"), F.lit(b).alias("_o1")) for a, b in bounds))
+        counted = df.withColumn("_b", listed).select(
+            skew._count_before(F.col("_b"), row, order).alias("n"), F.size(F.filter("_b", lambda x: skew._not_after(x, row, order))).alias("all")
+        )
+        assert all(r.n == r["all"] for r in counted.collect()) and counted.agg(F.max("n")).first()[0] == len(bounds)
+    summed = skew.running_sum(df, "b", [(F.col("id"), True)], "id", "s")
+    assert "filter(_bounds" not in summed._jdf.queryExecution().optimizedPlan().toString()
