@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relinfer.llm.common import add_columns, byte_words, text_bytes, text_key
@@ -34,6 +34,8 @@ SMALL = 64
 # A bucket that holds this share of its parent's members isn't split any further.
 DENSE = 0.7
 MAX_DEPTH = 4
+# A bucket up to this size is split to the end by one task, which holds its sketches (512 bytes a set).
+HELD = 16_384
 # Sets, and shingles in them, that a task compares with as many others at once.
 BLOCK = 256
 BLOCK_SHINGLES = 1_000_000
@@ -140,8 +142,43 @@ def _split(rows: DataFrame, roots: list[int] | None) -> DataFrame:
 
 def _shared(split: DataFrame) -> DataFrame:
     """(rid, path, m, n): members of the buckets with two members or more, cut."""
-    n = split.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    return cut(split.join(n, "path"))
+    # A window: counts joined back would have the rows split twice.
+    return cut(split.withColumn("n", F.count("*").over(Window.partitionBy("path"))).where("n > 1"))
+
+
+def _ready(sizes: np.ndarray, parents: np.ndarray) -> np.ndarray:
+    return (sizes <= SMALL) | (sizes >= DENSE * parents)
+
+
+def _split_held(rows: DataFrame, depth: int) -> DataFrame:
+    """(rid, path, n): the buckets to compare below those of (rid, path, n, sketch), split `depth` times at most.
+
+    A bucket is split where it lies, and of its children only the buckets to compare come out.
+    """
+    schema = pa.schema([("rid", pa.int64()), ("path", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ("path",)):
+            sketches, rid = _matrix(t["sketch"], COORDINATES, np.uint32), t["rid"].to_numpy()
+            at, path, parent = np.arange(t.num_rows), t["path"].to_numpy().view(np.uint64), t["n"].to_numpy()
+            for left in reversed(range(depth)):
+                row, path = _children(sketches[at], path)
+                _, bucket, sizes = np.unique(path, return_inverse=True, return_counts=True)
+                at, parent, size = at[row], parent[row], sizes[bucket]
+                done = _ready(size, parent) if left else np.ones(len(size), bool)
+                out = (size > 1) & done
+                if out.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rid[at[out]]), pa.array(path[out].view(np.int64)), pa.array(size[out], pa.int64())], schema=schema
+                    )
+                at, path, parent = at[~done], path[~done], size[~done]
+                if not len(at):
+                    break
+
+    return (
+        rows.select("rid", "path", "n", "sketch").repartition("path").sortWithinPartitions("path")
+        .mapInArrow(run, "rid bigint, path bigint, n bigint")
+    )
 
 
 def leaf_buckets(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
@@ -149,7 +186,7 @@ def leaf_buckets(sets: DataFrame, similarity: float, recall: float) -> DataFrame
 
     A bucket is compared when it is small, when it kept most of the members of the bucket
     it comes from (its sets are near each other, splitting leads nowhere), or at the
-    greatest depth.
+    greatest depth. Buckets of more than HELD members are split by a shuffle each time, others to the end by a task.
     """
     roots = [int(x) for x in mix64(np.arange(1, runs_for(similarity, recall) + 1, dtype=np.uint64) * M2)]
     sketches = sets.select("rid", "sketch")
@@ -157,11 +194,13 @@ def leaf_buckets(sets: DataFrame, similarity: float, recall: float) -> DataFrame
     names = ("rid", "path", "n")
     open_ = _shared(_split(sketches, roots))
     leaves = open_.where(ready).select(*names)
-    for _ in range(MAX_DEPTH - 1):
-        big = open_.where(~ready)
-        if big.isEmpty():
+    for depth in reversed(range(1, MAX_DEPTH)):
+        big = open_.where(~ready).select(*names)
+        leaves = leaves.union(_split_held(big.where(F.col("n") <= HELD).join(sketches, "rid"), depth))
+        huge = big.where(F.col("n") > HELD)
+        if huge.isEmpty():
             return leaves
-        open_ = _shared(_split(big.select(*names).join(sketches, "rid"), None))
+        open_ = _shared(_split(huge.join(sketches, "rid"), None))
         leaves = leaves.union(open_.where(ready).select(*names))
     return leaves.union(open_.where(~ready).select(*names))
 

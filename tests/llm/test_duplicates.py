@@ -72,6 +72,29 @@ def test_classes_of_documents(spark):
     assert got == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_buckets_are_split_where_they_lie(spark, monkeypatch):
+    """A bucket that fits a task is split there to the end; its children are those of splitting by shuffles."""
+    near, unlike = np.random.default_rng(3).integers(0, 2**32, (2, 400, cp.COORDINATES), dtype=np.uint32)
+    near[:, np.random.default_rng(4).random(cp.COORDINATES) < 0.9] = near[0, 0]
+    near[:, :40] = np.arange(400, dtype=np.uint32)[:, None] % 3
+    unlike[:, ::4] = 7
+    rows = [(k, x.tobytes()) for k, x in enumerate(np.concatenate([near, unlike]))]
+    sets = spark.createDataFrame(rows, "rid long, sketch binary").cache()
+    split, calls = cp._split, []
+    monkeypatch.setattr(cp, "_split", lambda rows, roots: calls.append(roots) or split(rows, roots))
+
+    def found():
+        return sorted(tuple(r) for r in cp.leaf_buckets(sets, 0.8, 0.99).collect())
+
+    got = found()
+    assert len(calls) == 1 and len(got) > 1000
+    for held in (0, 150):
+        monkeypatch.setattr(cp, "HELD", held)
+        assert found() == got
+    assert len(calls) > 4
+    sets.unpersist()
+
+
 def test_recall_follows_the_runs():
     assert cp.survival(0.8, 1) > cp.survival(0.8, 4) > 0.3
     assert 1 - (1 - cp.survival(0.8, 4)) ** cp.runs_for(0.8, 0.999) >= 0.999
