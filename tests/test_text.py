@@ -126,3 +126,19 @@ def test_vocabulary_counts_combine_before_the_shuffle(conv):
     from tests.conftest import plan
     text = plan(T.build_vocab(conv, 20))
     assert "partial_count" in text and "TakeOrderedAndProject" in text
+
+
+def test_given_counts_save_counting_the_words(spark):
+    docs = spark.createDataFrame([(1, "a b a\nc"), (2, "a x" * 50), (3, None), (4, "x" * 300)], "seq_id long, text string")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(T.TOKEN_PATTERN), F.lit(0))).alias("text"))
+    vocab = words.groupBy("text").agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("text").alias("token"), "text", "n")
+    vocab = spark.createDataFrame(vocab.collect(), vocab.schema)
+
+    def passes(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Generate")
+
+    tokens = T.encode(docs, vocab, unk_id=-1, counts=vocab)
+    texts = T.decode(tokens, vocab, counts=vocab)
+    assert passes(tokens) == passes(texts) == 1 < passes(T.decode(T.encode(docs, vocab, unk_id=-1), vocab))
+    assert sorted(map(tuple, tokens.collect())) == sorted(map(tuple, T.encode(docs, vocab, unk_id=-1).collect()))
+    assert {r.seq_id: r.text for r in texts.collect()} == {r.seq_id: r.text for r in docs.collect() if r.text}
