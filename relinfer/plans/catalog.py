@@ -414,13 +414,13 @@ def encode_long(spark, folder):
 
 def _chat_tiles(spark, folder, again=False):
     """Tokens of the conversations, where attention takes them as they lie."""
-    return L.in_tiles(_chat_tokens(spark, folder), TINY, again=again)
+    return _chat_tokens(spark, folder, tiles=TINY, again=again)
 
 
-def _chat_tokens(spark, folder):
+def _chat_tokens(spark, folder, **places):
     conv = read(spark, folder, "conversations")
     vocab = T.build_vocab(conv, TINY.vocab_size, specials=T.SPECIALS)
-    return T.encode_chat(conv, vocab, vocab_size=TINY.vocab_size)
+    return T.encode_chat(conv, vocab, vocab_size=TINY.vocab_size, **places)
 
 
 def chat_tokens(spark, folder):

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relinfer.config import MAX_BROADCAST_BYTES, ModelConfig
+from relinfer.operators.layers import by_sequence, by_tile, in_tiles, tile_of
 from relinfer.operators.skew import lookup_join, running_sum
 
 # Chat markup and default system prompt of the published models.
@@ -190,25 +192,65 @@ def render_chat(
 def encode_chat(
     conv: DataFrame, vocab: DataFrame, unk_id: int = UNK_ID, vocab_size: int | None = None,
     system_prompt: str | None = SYSTEM_PROMPT, open_assistant: bool = True,
-    key: str = "conv_id", pattern: str = TOKEN_PATTERN,
+    key: str = "conv_id", pattern: str = TOKEN_PATTERN, tiles: ModelConfig | None = None, again: bool = False,
 ) -> DataFrame:
     """Conversations to prompt tokens (seq_id, pos, token), turn by turn.
 
     Turns are cut into tokens on their own and placed by a running count of the
     tokens before them, so a conversation of any length stays distributed. No
     token spans two turns, since every turn starts with its own markup. (key,
-    turn) must be unique.
+    turn) must be unique. A turn is sent as its text, and cut where it is placed.
+
+    For a model `tiles` the tokens lie `in_tiles` (with `again` as there). With a broadcast vocabulary it is
+    the turns that are sent to the tiles, and they are cut there: a row for each token is never stored.
     """
-    segments = chat_segments(conv, system_prompt, open_assistant, key).select(
-        key, "turn", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("_words")
-    )
-    lengths = segments.select(key, "turn", F.size("_words").cast("bigint").alias("_len"))
+    segments = chat_segments(conv, system_prompt, open_assistant, key)
+    words = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    lengths = segments.select(key, "turn", F.size(words).cast("bigint").alias("_len"))
     ends = running_sum(lengths, key, [(F.col("turn"), False)], "_len", "_end")
-    starts = ends.select(key, "turn", (F.col("_end") - F.col("_len")).alias("_start"))
-    words = segments.join(starts, [key, "turn"]).select(
-        F.col(key).alias("seq_id"), "_start", F.posexplode("_words").alias("_i", "_w")
-    ).select("seq_id", (F.col("_start") + F.col("_i")).alias("pos"), "_w")
-    return _lookup(words, vocab, unk_id, vocab_size).select("seq_id", "pos", "token")
+    sent = tiles is not None and vocab_size is not None and vocab_size * VOCAB_ROW_BYTES <= MAX_BROADCAST_BYTES
+    if sent:
+        turns = _turns_in_tiles(segments.withColumnRenamed(key, "seq_id"), ends.withColumnRenamed(key, "seq_id"), tiles)
+    else:
+        turns = segments.join(_starts(ends, key), [key, "turn"]).withColumnRenamed(key, "seq_id")
+    placed = ["_tile"] if sent else []
+    cut = turns.select("seq_id", "_start", *placed, F.posexplode(words).alias("_i", "_w"))
+    rows = cut.select("seq_id", (F.col("_start") + F.col("_i")).alias("pos"), *placed, "_w")
+    if not sent:
+        tokens = _lookup(rows, vocab, unk_id, vocab_size).select("seq_id", "pos", "token")
+        return tokens if tiles is None else in_tiles(tokens, tiles, again=again)
+    # A turn may reach into later tiles than the one it was sent to.
+    own = tile_of("pos", tiles)
+    kinds = F.array(F.lit(1), F.lit(2)) if again else F.array(F.lit(1))
+    kind = F.explode(F.when(own == F.col("_tile"), F.array(F.lit(0))).otherwise(kinds)).alias("_kind")
+    tokens = _lookup(rows.where(own <= F.col("_tile")), vocab, unk_id, vocab_size)
+    return tokens.select("seq_id", "pos", "token", "_tile", kind).sortWithinPartitions("seq_id", "_tile", "_kind", "pos")
+
+
+def _starts(ends: DataFrame, key: str = "seq_id") -> DataFrame:
+    return ends.select(key, "turn", (F.col("_end") - F.col("_len")).alias("_start"))
+
+
+def _turns_in_tiles(segments: DataFrame, ends: DataFrame, config: ModelConfig) -> DataFrame:
+    """Turns (seq_id, _start, text, _tile) in the tile in which they start and each later one of their sequence.
+
+    `ends` has (seq_id, turn, _len, _end). The texts of a sequence of one tile are sent once, and meet their starts
+    there; those of a longer one are sent to their starts and then to the tiles. Only the longer sequences are broadcast.
+    """
+    # A turn that comes twice is placed as often as there are ends of it.
+    stop = (F.max(F.col("_end") - F.col("_len")) + F.max("_len")).alias("_stop")
+    last = ends.groupBy("seq_id", "turn").agg(stop).groupBy("seq_id").agg(F.max(tile_of(F.col("_stop") - 1, config)).alias("_last"))
+    longer = F.broadcast(last.where("_last > 0"))
+    texts = segments.select("seq_id", "turn", "text", F.lit(None).cast("bigint").alias("_start"))
+    both = texts.unionByName(_starts(ends), allowMissingColumns=True).where("seq_id IS NOT NULL AND turn IS NOT NULL")
+    alone = by_sequence(both.join(longer, "seq_id", "left_anti"))
+    found = F.collect_list("_start").over(Window.partitionBy("seq_id", "turn"))
+    met = alone.withColumn("_starts", found).where("text IS NOT NULL")
+    first = tile_of("_start", config)
+    spread = segments.join(longer, "seq_id").join(_starts(ends), ["seq_id", "turn"]).select(
+        "seq_id", "_start", "text", F.explode(F.sequence(first, F.greatest(first, "_last"))).alias("_tile")
+    )
+    return met.select("seq_id", F.explode("_starts").alias("_start"), "text", F.lit(0).alias("_tile")).unionByName(by_tile(spread, "_tile"))
 
 
 def make_prompts(tokens: DataFrame, max_new: int) -> DataFrame:

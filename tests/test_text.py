@@ -1,7 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from relinfer.operators import layers as L
+from relinfer.plans import catalog
 from relinfer.sources import text as T
+from tests.conftest import FOLDER, SMALL
 
 DIALOGUE = [
     (1, 0, "system", "Be brief."), (1, 1, "user", "Hi there\nyou"), (1, 2, "assistant", "Yes."),
@@ -142,3 +145,34 @@ def test_given_counts_save_counting_the_words(spark):
     assert passes(tokens) == passes(texts) == 1 < passes(T.decode(T.encode(docs, vocab, unk_id=-1), vocab))
     assert sorted(map(tuple, tokens.collect())) == sorted(map(tuple, T.encode(docs, vocab, unk_id=-1).collect()))
     assert {r.seq_id: r.text for r in texts.collect()} == {r.seq_id: r.text for r in docs.collect() if r.text}
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_turns_are_cut_where_their_tile_lies(spark, vocab, monkeypatch, again):
+    """Tokens of tiles without a row for each token in a shuffle: the same rows as tokens that are sent to their tiles."""
+    monkeypatch.setattr(L, "ATTENTION_BLOCK", 4)
+    monkeypatch.setattr(L, "TILE_BYTES", 1)
+    turns = [(s, t, "user", "a b " * (s * t % 5)) for s in range(1, 6) for t in range(s)]
+    turns += [(7, 0, "system", "a"), (7, 1, "user", "b a " * 9), (7, 1, "user", "b"), (8, 0, "user", None), (8, 1, "user", "a"), (None, 0, "user", "b")]
+    turns += [(9, None, "user", "a"), (10, 0, "system", "")]
+    conv = spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string")
+    options = {"vocab_size": 64, "system_prompt": None, "open_assistant": False}
+    lying = T.encode_chat(conv, vocab, tiles=SMALL, again=again, **options)
+    sent = L.in_tiles(T.encode_chat(conv, vocab, **options), SMALL, again=again)
+    assert lying.columns == sent.columns
+    rows = sorted(map(tuple, sent.collect()))
+    assert sorted(map(tuple, lying.collect())) == rows and len({r[3] for r in rows}) > 3
+    parts = [list(p) for p in lying.rdd.glom().collect()]
+    units = [(r.seq_id, r._tile) for p in parts for r in {(r.seq_id, r._tile): r for r in p}.values()]
+    assert len(units) == len(set(units))
+    for p in parts:
+        order = [(r.seq_id, r._tile, r._kind, r.pos) for r in p]
+        assert order == sorted(order)
+    wider = T.encode_chat(conv, vocab, tiles=SMALL, again=again, **options | {"vocab_size": None})
+    assert sorted(map(tuple, wider.collect())) == rows
+
+
+def test_tokens_cross_no_shuffle_to_their_tile(spark):
+    """Turns are sent as texts, and cut into words only where their tile lies."""
+    tree = catalog._chat_tiles(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_words" not in tree and tree.index("posexplode(regexp_extract_all") < tree.index("RepartitionByExpression")
