@@ -70,70 +70,189 @@ def gather_kernel(table):
     return _once(gather)
 
 
-class _Block:
-    """Causal grouped-query attention of a block of queries over keys that come in batches.
+def _with(batch, columns, without=()):
+    """The batch with some columns replaced or added, and without others."""
+    given = {n: batch.column(n) for n in batch.schema.names if n not in without} | columns
+    return pa.RecordBatch.from_arrays(list(given.values()), list(given))
 
-    Exponents are taken relative to the maximum so far and rescaled when it rises. The
-    clamp is applied to each batch; a weight that it lifts, e^-clamp of the maximum, is
-    below the resolution of the sum.
-    """
 
-    def __init__(self, pos, q, n_kv, head_dim, scale, clamp):
-        self.pos, self.n_kv, self.dim, self.scale, self.clamp = pos, n_kv, head_dim, scale, clamp
-        # (kv head, query, head of the group, component)
-        self.q = q.reshape(len(q), n_kv, -1, head_dim).transpose(1, 0, 2, 3)
-        self.top = np.full(self.q.shape[:3], -np.inf)
-        self.total = np.zeros(self.q.shape[:3])
-        self.mixed = np.zeros(self.q.shape)
-
-    def add(self, pos, k, v):
-        k = k.reshape(len(k), self.n_kv, self.dim).transpose(1, 2, 0)
-        v = v.reshape(len(v), self.n_kv, self.dim).transpose(1, 0, 2)
-        hidden = (pos[None, :] > self.pos[:, None])[:, None, :]
-        masked = bool(hidden.any())
-        for h in range(self.n_kv):
-            s = self.q[h] @ k[h]
-            s *= self.scale
-            if masked:
-                s[np.broadcast_to(hidden, s.shape)] = -np.inf
-            top = np.maximum(self.top[h], s.max(-1))
-            known = np.where(np.isfinite(top), top, 0.0)
-            e = np.exp(np.clip(s - known[..., None], -self.clamp, self.clamp))
-            if masked:
-                e[np.broadcast_to(hidden, e.shape)] = 0.0
-            fade = np.where(np.isfinite(self.top[h]), np.exp(self.top[h] - known), 0.0)
-            self.total[h] = self.total[h] * fade + e.sum(-1)
-            self.mixed[h] = self.mixed[h] * fade[..., None] + e @ v[h]
-            self.top[h] = top
-
-    def result(self):
-        """A row of concatenated heads per query; zero where a query saw no key."""
-        total = np.where(self.total > 0, self.total, 1.0)
-        o = (self.mixed / total[..., None]).transpose(1, 0, 2, 3)
-        return o.reshape(len(self.pos), -1)
+def _width(rows, w):
+    if len(rows) and rows.shape[1] != w:
+        raise ValueError(f"the matrix takes vectors of length {w}")
+    return rows if len(rows) else np.zeros((0, w))
+
+
+def gather_step(table, ids: str, out: str):
+    """mapInArrow function adding the rows of a broadcast matrix; an id that it doesn't have is an error."""
+
+    def run(batches):
+        for batch in batches:
+            w, named = table.value, batch.column(ids)
+            at = named.fill_null(-1).to_numpy(zero_copy_only=False)
+            valid = (at >= 0) & (at < len(w))
+            if not valid.all():
+                unknown = named[int(np.argmin(valid))].as_py()
+                raise ValueError(f"no embedding for token {'null' if unknown is None else unknown}")
+            yield _with(batch, {out: _vectors(w[at], valid)})
+
+    return run
+
+
+def projection_step(config, gain: np.ndarray, matrices: dict, frequencies: list[float]):
+    """mapInArrow function: the norm of x times each matrix {column: broadcast matrix}; q and k are turned by their position."""
+    freq, half = np.asarray(frequencies), config.head_dim // 2
+
+    def turned(y, cos, sin):
+        pairs = y.reshape(len(y), -1, 2, half)
+        a, b = pairs[:, :, 0], pairs[:, :, 1]
+        return np.stack([a * cos - b * sin, b * cos + a * sin], 2).reshape(y.shape)
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("x")
+            valid = np.asarray(x.is_valid())
+            rows = _width(_matrix(x), len(gain))
+            normed = rows * (1.0 / np.sqrt((rows * rows).sum(1) / len(gain) + config.rms_eps))[:, None] * gain
+            angle = (_places(batch)[valid].astype(np.float64)[:, None] * freq)[:, None]
+            cos, sin = np.cos(angle), np.sin(angle)
+            made = {}
+            for name, sent in matrices.items():
+                y = normed @ sent.value.T
+                made[name] = _vectors(turned(y, cos, sin) if name in "qk" else y, valid)
+            yield _with(batch, made)
+
+    return run
+
+
+def residual_step(sent, o: str = "o", x: str = "x"):
+    """mapInArrow function: x + W o for a broadcast matrix W, without `o`; a missing o counts as zero."""
+
+    def run(batches):
+        for batch in batches:
+            w, old = sent.value, np.asarray(batch.column(x).is_valid())
+            rows, valid = _matrix(batch.column(x)), np.asarray(batch.column(o).is_valid())[old]
+            rows = np.array(rows)
+            if valid.any():
+                rows[valid] += _width(_matrix(batch.column(o).filter(pa.array(old))), w.shape[1]) @ w.T
+            yield _with(batch, {x: _vectors(rows, old)}, [o])
+
+    return run
+
+
+def chained(steps):
+    """mapInArrow function of steps one after the other, each on what the one before it gives."""
+
+    def run(given):
+        for step in steps:
+            given = step(given)
+        return given
+
+    return run
+
+
+# Scores of a part of the queries that are worked on at once: few enough for a processor's cache.
+PART_SCORES, PART_QUERIES = 1 << 17, (8, 64)
+
+
+def _parts(seen, heads: int):
+    """Slices of queries whose scores over the keys they see (ascending numbers) are few."""
+    start = int(np.searchsorted(seen, 1))
+    while start < len(seen):
+        least, most = PART_QUERIES
+        size = max(least, min(most, PART_SCORES // (heads * int(seen[start]))))
+        yield slice(start, min(start + size, len(seen)))
+        start += size
+
+
+def _hide(s, seen, value):
+    """Put `value` in place of the scores (.., query, head of the group, key) of keys that a query doesn't see."""
+    first = int(seen[0])
+    if first < s.shape[-1]:
+        np.copyto(s[..., first:], value, where=(np.arange(first, s.shape[-1]) >= seen[:, None])[:, None])
+
+
+class _Keys:
+    """Places, keys (kv head, component, key) and values (kv head, key, component) of a batch."""
+
+    def __init__(self, batch, n_kv, head_dim):
+        self.places = _places(batch)
+        n = len(self.places)
+        self.k = np.ascontiguousarray(_matrix(batch.column("k")).reshape(n, n_kv, head_dim).transpose(1, 2, 0))
+        self.v = None
+        if "v" in batch.schema.names:
+            self.v = np.ascontiguousarray(_matrix(batch.column("v")).reshape(n, n_kv, head_dim).transpose(1, 0, 2))
+
+    def far(self, q, clamp):
+        """Whether two scores of a query may differ by more than the clamp."""
+        longest = lambda x, axis: np.sqrt((x * x).sum(axis).max(initial=0.0))
+        return not 2 * longest(q, -1) * longest(self.k, 1) < clamp
+
+
+def _heads(rows, shape):
+    """Scaled queries (kv head, query, head of the group, component)."""
+    n_kv, head_dim, scale = shape
+    q = _matrix(rows.column("q")).reshape(rows.num_rows, n_kv, -1, head_dim)
+    return np.ascontiguousarray(q.transpose(1, 0, 2, 3)) * scale
+
+
+def _dot(q, k):
+    """Scores (.., query, head of the group, key)."""
+    n, group, dim = q.shape[-3:]
+    return (q.reshape(*q.shape[:-3], n * group, dim) @ k).reshape(*q.shape[:-1], -1)
+
+
+def _mixed(e, v):
+    n, group, keys = e.shape[-3:]
+    return (e.reshape(*e.shape[:-3], n * group, keys) @ v).reshape(*e.shape[:-1], -1)
+
+
+def _exponents(s, top, seen, clamp, far):
+    """exp(s - top), not below e^-clamp and 0 for hidden keys, which are -inf; in place."""
+    s -= top[..., None]
+    if far:
+        np.maximum(s, -clamp, out=s)
+    np.exp(s, out=s)
+    if far:
+        _hide(s, seen, 0.0)
+    return s
 
 
 class _Tile:
-    """The queries of a unit of work in blocks; their own keys first, then others batch by batch."""
-
-    def __init__(self, rows, shape, size):
-        self.rows = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        pos = self.rows.column("pos").to_numpy(zero_copy_only=False)
-        q, k, v = (_matrix(self.rows.column(c)) for c in "qkv")
-        parts = [slice(a, a + size) for a in range(0, len(pos), size)]
-        self.blocks = [_Block(pos[p], q[p], *shape) for p in parts]
-        for n, block in enumerate(self.blocks):
-            for p in parts[: n + 1]:
-                block.add(pos[p], k[p], v[p])
+    """Causal grouped-query attention of the queries of a unit of work; their own keys first, then others batch by batch.
+
+    Exponents are taken relative to the maximum so far and rescaled when it rises. The clamp is applied to each
+    batch; a weight that it lifts, e^-clamp of the maximum, is below the resolution of the sum. Positions ascend.
+    """
+
+    def __init__(self, rows, shape):
+        self.rows = _one(rows)
+        self.n_kv, self.dim, scale, self.clamp = shape
+        self.pos, self.q = _places(self.rows), _heads(self.rows, shape[:3])
+        self.top = np.full(self.q.shape[:3], -np.inf)
+        self.total, self.mixed, self.far = np.zeros(self.q.shape[:3]), np.zeros(self.q.shape), False
+        self.add(self.rows)
 
     def add(self, batch):
-        pos = batch.column("pos").to_numpy(zero_copy_only=False)
-        k, v = _matrix(batch.column("k")), _matrix(batch.column("v"))
-        for block in self.blocks:
-            block.add(pos, k, v)
+        keys = _Keys(batch, self.n_kv, self.dim)
+        seen = np.searchsorted(keys.places, self.pos, "right")
+        self.far = self.far or keys.far(self.q, self.clamp)
+        for own in _parts(seen, self.q.shape[2]):
+            n = int(seen[own.stop - 1])
+            for h in range(self.n_kv):
+                s = _dot(self.q[h, own], keys.k[h, :, :n])
+                _hide(s, seen[own], -np.inf)
+                old = self.top[h, own]
+                top = np.maximum(old, s.max(-1))
+                fade = np.exp(old - top)
+                e = _exponents(s, top, seen[own], self.clamp, self.far)
+                self.total[h, own] = self.total[h, own] * fade + e.sum(-1)
+                self.mixed[h, own] = self.mixed[h, own] * fade[..., None] + _mixed(e, keys.v[h, :n])
+                self.top[h, own] = top
 
     def result(self, kept, out):
-        o = np.concatenate([b.result() for b in self.blocks])
+        """A row of concatenated heads per query; zero where a query saw no key."""
+        total = np.where(self.total > 0, self.total, 1.0)
+        o = (self.mixed / total[..., None]).transpose(1, 0, 2, 3).reshape(len(self.pos), -1)
         o = _vectors(o, np.ones(self.rows.num_rows, bool))
         return pa.RecordBatch.from_arrays([*(self.rows.column(c) for c in kept), o], [*kept, out])
 
@@ -147,7 +266,7 @@ def _runs(batch, names):
     return [*(np.flatnonzero(differ) + 1).tolist(), batch.num_rows]
 
 
-def attention_kernel(config, units: list[str], kept: list[str], out: str, size: int):
+def attention_kernel(config, units: list[str], kept: list[str], out: str):
     """mapInArrow function over rows sorted by (units, _kind, pos).
 
     Rows of kind 0 are the queries of a unit, with all columns and with their own keys and values; rows of
@@ -166,15 +285,15 @@ def attention_kernel(config, units: list[str], kept: list[str], out: str, size:
                 unit = tuple(part.column(c)[0].as_py() for c in units)
                 if unit != now:
                     if rows:
-                        yield (tile or _Tile(rows, shape, size)).result(kept, out)
+                        yield (tile or _Tile(rows, shape)).result(kept, out)
                     now, rows, tile = unit, [], None
                 if part.column("_kind")[0].as_py() == 0:
                     rows.append(part)
                 elif rows:
-                    tile = tile or _Tile(rows, shape, size)
+                    tile = tile or _Tile(rows, shape)
                     tile.add(part)
         if rows:
-            yield (tile or _Tile(rows, shape, size)).result(kept, out)
+            yield (tile or _Tile(rows, shape)).result(kept, out)
 
     return run
 
@@ -201,10 +320,6 @@ def _places(batch):
     return batch.column("pos").to_numpy(zero_copy_only=False)
 
 
-# Scores that a batch holds.
-BATCH_SCORES = 512 * 1024
-
-
 def _tiles(batches, units):
     """(rows of kind 0 of a unit as one batch, (kind, batch) of its other rows), of rows sorted by (units, _kind, pos)."""
     now, held, later = None, [], []
@@ -232,61 +347,58 @@ def _one(batches):
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
+def _present(batches, key):
+    """Batches without the rows whose key is null."""
+    for batch in batches:
+        yield batch.filter(batch.column(key).is_valid()) if batch.column(key).null_count else batch
+
+
 class _ScoreTile:
-    """The queries of a tile, which meet blocks of keys: its own, and those of earlier tiles, which come in batches."""
-
-    def __init__(self, rows, config, block):
-        self.rows, self.config, self.block = rows, config, block
-        self.pos = _places(rows)
-        self.q = _matrix(rows.column("q")).reshape(len(self.pos), config.n_kv_heads, -1, config.head_dim).transpose(1, 0, 2, 3)
-        # Queries of a block, few enough for a batch; rows of equal places lie together.
-        starts = self._starts(self.pos)
-        step = max(1, BATCH_SCORES // (config.n_heads * block))
-        self.parts = [slice(i, min(i + step, b)) for a, b in zip(starts, [*starts[1:], len(self.pos)]) for i in range(a, b, step)]
-        shape = (len(self.pos), config.n_heads)
-        self.top, self.total = np.full(shape, -np.inf), np.zeros(shape)
-
-    def _starts(self, pos):
-        return [0, *(np.flatnonzero(np.diff(pos // self.block)) + 1).tolist()] if len(pos) else []
-
-    def key_blocks(self, batch):
-        """(places, keys, batch) of each block of a batch of keys."""
-        pos = _places(batch)
-        starts = self._starts(pos)
-        for a, b in zip(starts, [*starts[1:], len(pos)]):
-            part = batch.slice(a, b - a)
-            k = _matrix(part.column("k")).reshape(b - a, self.config.n_kv_heads, self.config.head_dim).transpose(1, 2, 0)
-            yield pos[a:b], k, part
-
-    def meetings(self, batch):
-        """(queries, block of keys, scaled scores (query, head, key), keys that a query sees) of all that meet."""
-        for places, k, part in [*self.key_blocks(batch)]:
-            for own in self.parts:
-                seen = np.searchsorted(places, self.pos[own], "right")
-                skip = int(np.searchsorted(seen, 1))
-                own, seen = slice(own.start + skip, own.stop), seen[skip:]
-                if len(seen):
-                    s = (self.q[:, own] @ k[:, None]) * self.config.score_scale
-                    s = s.transpose(1, 0, 2, 3).reshape(len(seen), self.config.n_heads, -1)
-                    yield own, part, s, seen
+    """The queries of a tile, which meet its own keys, and those of earlier tiles, which come in batches."""
+
+    def __init__(self, rows, config, unit):
+        self.rows, self.config, self.unit = rows, config, unit
+        self.pos, self.q = _places(rows), _heads(rows, (config.n_kv_heads, config.head_dim, config.score_scale))
+        self.top, self.total = np.full(self.q.shape[:3], -np.inf), np.zeros(self.q.shape[:3])
+        # Rows of equal places are one query, as they are in a grouping.
+        self.starts = np.flatnonzero(np.r_[True, self.pos[1:] != self.pos[:-1]])
+        self.repeats = len(self.starts) < len(self.pos)
+
+    def keys(self, batch):
+        return _Keys(batch, self.config.n_kv_heads, self.config.head_dim)
+
+    def meetings(self, keys, spans):
+        """Scores of all queries over the keys that they see, of each span (start, end) of keys, in parts."""
+        seen, far = np.searchsorted(keys.places, self.pos, "right"), keys.far(self.q, self.config.exp_clamp)
+        for a, b in spans:
+            inside = np.clip(seen - a, 0, b - a)
+            for own in _parts(inside, self.config.n_heads):
+                n = int(inside[own.stop - 1])
+                s = _dot(self.q[:, own], keys.k[:, :, a : a + n])
+                _hide(s, inside[own], -np.inf)
+                yield _Scores(self, own, keys, slice(a, a + n), inside[own], s, far)
 
     def normalise(self, batch):
         """Take a batch of keys into the greatest score and the sum of exponents of every query."""
-        for own, _, s, seen in self.meetings(batch):
-            top, total, e = _block_softmax(s, seen, self.config)
-            high = np.maximum(self.top[own], top)
-            old = np.where(np.isfinite(self.top[own]), np.exp(self.top[own] - high), 0.0)
-            self.total[own] = self.total[own] * old + total * np.exp(top - high)
-            self.top[own] = high
+        keys = self.keys(batch)
+        for x in self.meetings(keys, _spans(keys, SPAN_KEYS)):
+            top, total, _ = x.partial()
+            old = self.top[:, x.own]
+            high = np.maximum(old, top)
+            self.total[:, x.own] = self.total[:, x.own] * np.exp(old - high) + total * np.exp(top - high)
+            self.top[:, x.own] = high
 
     def finish(self):
-        """Rows of equal places are one query, as they are in a grouping."""
-        if np.any(self.pos[1:] == self.pos[:-1]):
-            starts = np.flatnonzero(np.r_[True, self.pos[1:] != self.pos[:-1]])
-            sizes = np.diff(np.r_[starts, len(self.pos)])
-            top = np.repeat(np.maximum.reduceat(self.top, starts), sizes, axis=0)
-            total = np.add.reduceat(self.total * np.exp(self.top - top), starts)
-            self.top, self.total = top, np.repeat(total, sizes, axis=0)
+        if self.repeats:
+            self.top, (self.total,) = self.together(self.top, self.total)
+
+    def together(self, top, *sums):
+        """Greatest scores, and sums relative to them, of rows of equal places together, for each of the rows."""
+        sizes = np.diff(np.r_[self.starts, len(self.pos)])
+        high = np.repeat(np.maximum.reduceat(top, self.starts, axis=1), sizes, axis=1)
+        fade = np.exp(top - high)
+        added = [x * fade.reshape(*fade.shape, *[1] * (x.ndim - 3)) for x in sums]
+        return high, [np.repeat(np.add.reduceat(x, self.starts, axis=1), sizes, axis=1) for x in added]
 
     def by_head(self, own, key):
         """The columns (key, pos, head) of a row for each head of some queries."""
@@ -296,56 +408,70 @@ class _ScoreTile:
         return [self.rows.column(key).take(at), self.rows.column("pos").take(at), pa.array(head)]
 
 
-def _block_softmax(s, seen, config):
-    """Greatest score, sum of exponents relative to it, and the exponents; 0 for keys that aren't seen."""
-    hidden = None
-    if seen[0] < s.shape[2]:
-        hidden = np.broadcast_to((np.arange(s.shape[2]) >= seen[:, None])[:, None, :], s.shape)
-        s = np.where(hidden, -np.inf, s)
-    top = s.max(-1)
-    e = np.exp(np.maximum(s - top[..., None], -config.exp_clamp))
-    if hidden is not None:
-        e[hidden] = 0.0
-    return top, e.sum(-1), e
+# Keys that a query meets at once where its greatest score isn't known.
+SPAN_KEYS = 4096
 
 
-def _first(value, n, kind):
-    """A list in the first of n rows, null in the others."""
-    offsets = np.full(n + 1, len(value), np.int32)
-    offsets[0] = 0
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(value, kind), mask=pa.array(np.arange(n) > 0))
+def _spans(keys, size):
+    return [(a, min(a + size, len(keys.places))) for a in range(0, len(keys.places), size)]
 
 
-def scores_kernel(config, key: str, units: list[str], block: int, values: bool):
-    """mapInArrow function over rows in tiles: a row of scores for each query, head and block of keys.
+def _block_spans(places, block):
+    """Starts and ends of the runs of ascending places that lie in a block."""
+    ends = (np.flatnonzero(np.diff(places // block)) + 1).tolist()
+    return [*zip([0, *ends], [*ends, len(places)])] if len(places) else []
 
-    The keys of earlier tiles come twice, as kind 1 and as kind 2: the first time for the greatest score and the sum of
-    exponents, which every row has. With `values`, the first row of a run of queries that meet the same block brings
-    the places and the values of that block.
+
+class _Scores:
+    """Scores of some queries of a tile over a span of keys: (kv head, query, head of the group, key).
+
+    Keys that a query doesn't see, those from its `seen` on, have -inf. Steps in one process hand these on; rows are made of
+    them at the end.
     """
 
-    def rows_of(tile, batch, unit):
-        for own, part, s, seen in tile.meetings(batch):
-            places, heads = _places(part), config.n_heads
-            n = len(seen) * heads
-            mask = np.broadcast_to((np.arange(s.shape[2]) < seen[:, None])[:, None, :], s.shape)
-            offsets = _offsets(np.repeat(seen, heads))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.broadcast_to(places, s.shape)[mask], s[mask])]
-            columns = [*tile.by_head(own, key), pa.array(np.full(n, places[0] // block, np.int32)), *lists]
-            names = [key, "pos", "head", "kblock", "kpos", "val", "_tile", "_top", "_total"]
-            columns += [pa.array(np.full(n, unit, np.int32)), pa.array(tile.top[own].ravel()), pa.array(tile.total[own].ravel())]
-            if values:
-                names += ["_places", "_values"]
-                columns += [_first(places.astype(np.int64), n, pa.int64()), _first(_matrix(part.column("v")).ravel(), n, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    def __init__(self, tile, own, keys, span, seen, s, far):
+        self.tile, self.own, self.keys, self.span, self.seen, self.s, self.far = tile, own, keys, span, seen, s, far
+        self.e, self.weights = None, {}
+
+    def partial(self):
+        """Greatest score, sum of exponents relative to it, and the exponents."""
+        top = self.s.max(-1)
+        e = _exponents(self.s.copy(), top, self.seen, self.tile.config.exp_clamp, self.far)
+        return top, e.sum(-1), e
+
+    def softmax(self, clamp):
+        tile = self.tile
+        e, self.e = self.e, None
+        if e is None or clamp != tile.config.exp_clamp:
+            e = _exponents(self.s.copy(), tile.top[:, self.own], self.seen, clamp, True)
+        e /= tile.total[:, self.own][..., None]
+        return e
+
+    def flat(self, x):
+        """(kv head, query, head of the group, ..) as rows by query and head."""
+        return x.swapaxes(0, 1).reshape(-1, *x.shape[3:])
+
+
+def scores_step(config, key: str, units: list[str]):
+    """Function from rows in tiles to the `_Scores` of all queries of each tile.
+
+    The greatest score and the sum of exponents of a query are known then. The queries of a tile that meets no other keys than its own
+    see them all at once; else the keys of earlier tiles come twice, as kind 1 and as kind 2, the first time for those two.
+    """
 
     def run(batches):
         tile, twice = None, 0
-        for rows, more in _tiles(batches, units):
+        for rows, more in _tiles(_present(batches, key), units):
             if tile is None or rows is not tile.rows:
                 if twice:
                     raise ValueError("keys of earlier tiles have to come twice")
-                tile, unit, ready = _ScoreTile(rows, config, block), rows.column(units[1])[0].as_py(), False
+                tile, ready = _ScoreTile(rows, config, rows.column(units[1])[0].as_py()), False
+                if more is None and not tile.repeats:
+                    keys = tile.keys(rows)
+                    for x in tile.meetings(keys, [(0, rows.num_rows)]):
+                        tile.top[:, x.own], tile.total[:, x.own], x.e = x.partial()
+                        yield x
+                    continue
                 tile.normalise(rows)
             if more is not None and more[0] == 1:
                 twice += more[1].num_rows
@@ -353,17 +479,112 @@ def scores_kernel(config, key: str, units: list[str], block: int, values: bool):
                 continue
             if not ready:
                 tile.finish()
-                yield from rows_of(tile, rows, unit)
+                keys = tile.keys(rows)
+                yield from tile.meetings(keys, _spans(keys, SPAN_KEYS))
                 ready = True
             if more is not None:
                 twice -= more[1].num_rows
-                yield from rows_of(tile, more[1], unit)
+                keys = tile.keys(more[1])
+                yield from tile.meetings(keys, _spans(keys, SPAN_KEYS))
         if twice:
             raise ValueError("keys of earlier tiles have to come twice")
 
     return run
 
 
+def softmax_step(clamp: float, out: str):
+    """Function adding the probabilities to `_Scores`."""
+
+    def run(items):
+        for x in items:
+            x.weights[out] = x.softmax(clamp)
+            yield x
+
+    return run
+
+
+def _first(value, n, kind):
+    """A list in the first of n rows, null in the others."""
+    offsets = np.full(n + 1, len(value), np.int32)
+    offsets[0] = 0
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(value, kind), mask=pa.array(np.arange(n) > 0))
+
+
+def score_rows(key: str, block: int, values: bool):
+    """mapInArrow function from `_Scores`: a row of scores for each query, head and block of keys, and columns of weights.
+
+    With `values`, the first row of a run of queries that meet the same block brings the places and the values of
+    that block.
+    """
+
+    def run(items):
+        for x in items:
+            tile, heads = x.tile, x.tile.config.n_heads
+            there = x.keys.places[x.span]
+            for a, b in _block_spans(there, block):
+                skip = int(np.searchsorted(x.seen, a, "right"))
+                own, seen = slice(x.own.start + skip, x.own.stop), np.minimum(x.seen[skip:], b) - a
+                n, places = len(seen) * heads, there[a:b]
+                mask = np.repeat(np.arange(b - a) < seen[:, None], heads, axis=0)
+                offsets = _offsets(np.repeat(seen, heads))
+                shown = [np.broadcast_to(places, mask.shape), *(x.flat(y[:, skip:, :, a:b]) for y in (x.s, *x.weights.values()))]
+                kpos, val, *weights = [pa.ListArray.from_arrays(offsets, pa.array(y[mask])) for y in shown]
+                columns = [*tile.by_head(own, key), pa.array(np.full(n, places[0] // block, np.int32)), kpos, val]
+                names = [key, "pos", "head", "kblock", "kpos", "val", "_tile", "_top", "_total"]
+                columns += [pa.array(np.full(n, tile.unit, np.int32)), *(pa.array(x.flat(y[:, own])) for y in (tile.top, tile.total))]
+                if values:
+                    names += ["_places", "_values"]
+                    v = x.keys.v[:, x.span][:, a:b].swapaxes(0, 1)
+                    columns += [_first(places.astype(np.int64), n, pa.int64()), _first(v.ravel(), n, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*columns, *weights], [*names, *x.weights])
+
+    return run
+
+
+def summary_step(key: str, weight: str):
+    """mapInArrow function from `_Scores`: how many scores a query and head has there, the greatest one, and the greatest weight."""
+
+    def run(items):
+        for x in items:
+            n = pa.array(np.repeat(x.seen.astype(np.int64), x.tile.config.n_heads))
+            tops = [pa.array(x.flat(y.max(-1))) for y in (x.s, x.weights[weight])]
+            yield pa.RecordBatch.from_arrays([*x.tile.by_head(x.own, key), n, *tops], [key, "pos", "head", "n", "top", weight])
+
+    return run
+
+
+def mix_step(key: str, weight: str, out: str):
+    """mapInArrow function from `_Scores` with weights: the values that each query and head mixes by them."""
+
+    def result(tile, o):
+        own = slice(0, len(tile.pos))
+        columns = tile.by_head(own, key)
+        if tile.repeats:
+            o = np.add.reduceat(o, tile.starts, axis=1)
+            first = (tile.starts[:, None] * tile.config.n_heads + np.arange(tile.config.n_heads)).ravel()
+            columns = [c.take(pa.array(first)) for c in columns]
+        rows = o.swapaxes(0, 1).reshape(-1, o.shape[-1])
+        return pa.RecordBatch.from_arrays([*columns, _vectors(rows, np.ones(len(rows), bool))], [key, "pos", "head", out])
+
+    def run(items):
+        tile, o = None, None
+        for x in items:
+            if x.tile is not tile:
+                if tile is not None:
+                    yield result(tile, o)
+                tile, o = x.tile, np.zeros(x.tile.q.shape)
+            places, w = x.keys.places[x.span], x.weights[weight]
+            if np.any(places[1:] == places[:-1]):
+                # Of equal places the last weight and the first value count, as in mix_kernel.
+                given, w = w, np.zeros_like(w)
+                w[..., np.searchsorted(places, places)] = given
+            o[:, x.own] += _mixed(w, x.keys.v[:, x.span])
+        if tile is not None:
+            yield result(tile, o)
+
+    return run
+
+
 def softmax_kernel(clamp: float):
     """UDF (scores, greatest score, sum of exponents) -> probabilities."""
 
@@ -405,35 +626,78 @@ class _Merged:
         return pos[starts], head[starts], high, np.add.reduceat(values * fade[:, None], starts)
 
 
-def partials_kernel(config, key: str, units: list[str], block: int, kept: list[str]):
-    """mapInArrow function over rows in tiles, giving what the softmax of each block of keys comes to.
+def partials_step(config, key: str, units: list[str], block: int):
+    """Function from rows in tiles to what the softmax of each block of keys comes to.
 
-    A row for each query, head and block: the greatest score, the sum of exponents relative to it, and the values mixed
-    by them. The first row of a query in its own block brings its `kept` columns.
+    Of some queries over a block: their `_Scores` with (greatest score, sum of exponents relative to it, the values mixed by
+    the exponents), and whether the block is of the tile's own keys.
     """
 
     def run(batches):
         tile = None
-        for rows, more in _tiles(batches, units):
+        for rows, more in _tiles(_present(batches, key), units):
             met = [] if more is None or more[0] != 1 else [more[1]]
             if tile is None or rows is not tile.rows:
-                tile, unit = _ScoreTile(rows, config, block), rows.column(units[1])[0].as_py()
+                tile = _ScoreTile(rows, config, rows.column(units[1])[0].as_py())
                 met = [rows, *met]
             for batch in met:
-                for own, part, s, seen in tile.meetings(batch):
-                    top, total, e = _block_softmax(s, seen, config)
-                    v = _matrix(part.column("v")).reshape(part.num_rows, config.n_kv_heads, config.head_dim)
-                    e = e.reshape(len(seen), config.n_kv_heads, -1, e.shape[2]).transpose(1, 0, 2, 3)
-                    mixed = (e @ v.transpose(1, 0, 2)[:, None]).transpose(1, 0, 2, 3).reshape(-1, config.head_dim)
-                    at = np.repeat(np.arange(own.start, own.stop), config.n_heads)
-                    first = (np.arange(len(at)) % config.n_heads == 0) & (batch is rows) & (tile.pos[at] // block == _places(part)[0] // block)
-                    at = pa.array(at, mask=~first)
-                    n = len(mixed)
-                    yield pa.RecordBatch.from_arrays(
-                        [*tile.by_head(own, key), pa.array(top.ravel()), pa.array(total.ravel()), _vectors(mixed, np.ones(n, bool)),
-                         pa.array(np.full(n, unit, np.int32)), pa.array(first), *(rows.column(c).take(at) for c in kept)],
-                        [key, "pos", "head", "top", "total", "mixed", "_tile", "_own", *(f"_kept_{c}" for c in kept)],
-                    )
+                keys = tile.keys(batch)
+                for x in tile.meetings(keys, _block_spans(keys.places, block)):
+                    top, total, e = x.partial()
+                    yield x, (top, total, _mixed(e, keys.v[:, x.span])), batch is rows
+
+    return run
+
+
+def partial_rows(key: str, block: int, kept: list[str]):
+    """mapInArrow function from partial results: a row for each query, head and block.
+
+    The first row of a query in its own block brings its `kept` columns.
+    """
+
+    def run(items):
+        for x, (top, total, mixed), own_keys in items:
+            tile, heads = x.tile, x.tile.config.n_heads
+            at = np.repeat(np.arange(x.own.start, x.own.stop), heads)
+            first = (np.arange(len(at)) % heads == 0) & own_keys & (tile.pos[at] // block == x.keys.places[x.span.start] // block)
+            at = pa.array(at, mask=~first)
+            n = len(first)
+            yield pa.RecordBatch.from_arrays(
+                [*tile.by_head(x.own, key), pa.array(x.flat(top)), pa.array(x.flat(total)), _vectors(x.flat(mixed), np.ones(n, bool)),
+                 pa.array(np.full(n, tile.unit, np.int32)), pa.array(first), *(tile.rows.column(c).take(at) for c in kept)],
+                [key, "pos", "head", "top", "total", "mixed", "_tile", "_own", *(f"_kept_{c}" for c in kept)],
+            )
+
+    return run
+
+
+def merge_step(kept: list[str], out: str):
+    """mapInArrow function from partial results: a row (kept columns, out) for each query."""
+
+    def result(tile, top, total, mixed):
+        if tile.repeats:
+            _, (total, mixed) = tile.together(top, total, mixed)
+        o = (mixed / total[..., None]).swapaxes(0, 1).reshape(len(tile.pos), -1)
+        columns = [tile.rows.column(c) for c in kept]
+        return pa.RecordBatch.from_arrays([*columns, _vectors(o, np.ones(len(o), bool))], [*kept, out])
+
+    def run(items):
+        tile, now = None, ()
+        for x, (top, total, mixed), _ in items:
+            if x.tile is not tile:
+                if tile is not None:
+                    yield result(tile, *now)
+                tile = x.tile
+                now = tile.top, tile.total, np.zeros(tile.q.shape)
+            tops, totals, sums = now
+            old = tops[:, x.own]
+            high = np.maximum(old, top)
+            before, new = np.exp(old - high), np.exp(top - high)
+            totals[:, x.own] = totals[:, x.own] * before + total * new
+            sums[:, x.own] = sums[:, x.own] * before[..., None] + mixed * new[..., None]
+            tops[:, x.own] = high
+        if tile is not None:
+            yield result(tile, *now)
 
     return run
 

@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 from relinfer.config import ModelConfig
 from relinfer.functions import vector as V
 from relinfer.functions.kernels import (
-    attention_kernel, merge_kernel, mix_kernel, mix_tiles_kernel, partials_kernel, scores_kernel, softmax_kernel,
+    attention_kernel, merge_kernel, merge_step, mix_kernel, mix_step, mix_tiles_kernel, partial_rows, partials_step, score_rows,
+    scores_step, softmax_kernel, softmax_step, summary_step,
 )
 from relinfer.operators.skew import lookup_join
+from relinfer.operators.steps import chain_of, follow
 
 # Positions whose queries meet a batch of keys at once in attention.
 ATTENTION_BLOCK = 512
@@ -144,8 +146,7 @@ def attn_scores(df: DataFrame, config: ModelConfig, key: str = "seq_id") -> Data
     """
     values = "v" in df.columns
     placed = {"_tile", "_kind"} <= set(df.columns)
-    rows = df.select(key, "pos", "q", "k", *(["v"] if values else []), *(["_tile", "_kind"] if placed else []))
-    rows = (rows if placed else in_tiles(rows, config, key, again=True)).where(F.col(key).isNotNull())
+    rows = df if placed else in_tiles(df.select(key, "pos", "q", "k", *(["v"] if values else [])), config, key, again=True)
     place = df.schema["pos"].dataType
     schema = T.StructType([
         df.schema[key], df.schema["pos"], T.StructField("head", T.IntegerType()), T.StructField("kblock", T.IntegerType()),
@@ -154,15 +155,21 @@ def attn_scores(df: DataFrame, config: ModelConfig, key: str = "seq_id") -> Data
     ])
     if values:
         schema = schema.add("_places", T.ArrayType(T.LongType())).add("_values", T.ArrayType(T.DoubleType()))
-    return rows.mapInArrow(scores_kernel(config, key, [key, "_tile"], ATTENTION_BLOCK, values), schema)
+    step, shown = scores_step(config, key, [key, "_tile"]), score_rows(key, ATTENTION_BLOCK, values)
+    return follow(rows, step, schema, gives="scores with values" if values else "scores", rows=shown)
 
 
 def attn_softmax(scores: DataFrame, clamp: float = 50.0, key: str = "seq_id", out: str = "prob") -> DataFrame:
     """Softmax of each query's scores over all its blocks, as a column beside them.
 
     Scores of `attn_scores` bring the greatest one and the sum of exponents of their query, so that nothing is
-    sent. Of others, the blocks of a query meet in a window: as many rows as the sequence has blocks.
+    sent, and follow them in one process if they come from there. Of others, the blocks of a query meet in a window: as many
+    rows as the sequence has blocks.
     """
+    chain = chain_of(scores, "scores") or chain_of(scores, "scores with values")
+    if chain is not None and out not in scores.columns:
+        schema = T.StructType([*scores.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+        return follow(scores, softmax_step(clamp, out), schema, chain.gives, chain.gives, chain.rows)
     if {"_top", "_total"} <= set(scores.columns):
         return scores.withColumn(out, softmax_kernel(clamp)("val", "_top", "_total"))
     each = Window.partitionBy(key, "pos", "head")
@@ -185,6 +192,8 @@ def attn_mix(
     all of them, as they lie.
     """
     fields = [weights.schema[key], weights.schema["pos"], T.StructField("head", T.IntegerType()), T.StructField(out, T.ArrayType(T.DoubleType()))]
+    if kv is None and chain_of(weights, "scores with values") is not None and weight in weights.columns:
+        return follow(weights, mix_step(key, weight, out), T.StructType(fields), "scores with values")
     if kv is None:
         rows = weights.select(key, "pos", "head", "kblock", weight, "_tile", "_places", "_values")
         return rows.mapInArrow(mix_tiles_kernel(config, key, [key, "_tile"], weight, out, ATTENTION_BLOCK), T.StructType(fields))
@@ -196,6 +205,21 @@ def attn_mix(
     return parts.groupBy(key, "pos", "head").agg(F.array(*sums).alias(out))
 
 
+def attn_summary(weights: DataFrame, weight: str = "prob", key: str = "seq_id") -> DataFrame:
+    """How many scores each row of `attn_softmax` has, the greatest, and the greatest weight: (key, pos, head, n, top, weight).
+
+    A query and head have several rows, as they have of scores: at most one for each block of keys. Weights of `attn_scores` and
+    `attn_softmax` are summed up in the process that makes them.
+    """
+    chain = chain_of(weights, "scores") or chain_of(weights, "scores with values")
+    if chain is None:
+        tops = [F.array_max("val").alias("top"), F.array_max(weight).alias(weight)]
+        return weights.select(key, "pos", "head", F.size("kpos").cast("bigint").alias("n"), *tops)
+    kinds = {"n": T.LongType(), "top": T.DoubleType(), weight: T.DoubleType()}
+    schema = T.StructType([*(weights.schema[c] for c in (key, "pos", "head")), *(T.StructField(c, t) for c, t in kinds.items())])
+    return follow(weights, summary_step(key, weight), schema, chain.gives)
+
+
 def attn_partials(df: DataFrame, config: ModelConfig, key: str = "seq_id", kept: Sequence[str] = ()) -> DataFrame:
     """What the softmax over each block of keys comes to: (key, pos, head, top, total, mixed[], ..).
 
@@ -205,14 +229,14 @@ def attn_partials(df: DataFrame, config: ModelConfig, key: str = "seq_id", kept:
     """
     placed = {"_tile", "_kind"} <= set(df.columns)
     more = [c for c in kept if c not in (key, "pos", "q", "k", "v")]
-    rows = df.select(key, "pos", "q", "k", "v", *more, *(["_tile", "_kind"] if placed else []))
-    rows = (rows if placed else in_tiles(rows, config, key)).where(F.col(key).isNotNull())
+    rows = df if placed else in_tiles(df.select(key, "pos", "q", "k", "v", *more), config, key)
     schema = T.StructType([
         df.schema[key], df.schema["pos"], T.StructField("head", T.IntegerType()), T.StructField("top", T.DoubleType()),
         T.StructField("total", T.DoubleType()), T.StructField("mixed", T.ArrayType(T.DoubleType())), T.StructField("_tile", T.IntegerType()),
         T.StructField("_own", T.BooleanType()), *(T.StructField(f"_kept_{c}", df.schema[c].dataType) for c in kept),
     ])
-    return rows.mapInArrow(partials_kernel(config, key, [key, "_tile"], ATTENTION_BLOCK, list(kept)), schema)
+    step, shown = partials_step(config, key, [key, "_tile"], ATTENTION_BLOCK), partial_rows(key, ATTENTION_BLOCK, list(kept))
+    return follow(rows, step, schema, gives=f"partial results with {list(kept)}", rows=shown)
 
 
 def attn_merge(partials: DataFrame, config: ModelConfig, key: str = "seq_id", out: str = "o", kept: Sequence[str] = ()) -> DataFrame:
@@ -224,6 +248,9 @@ def attn_merge(partials: DataFrame, config: ModelConfig, key: str = "seq_id", ou
     if kept:
         names = {f.name: f for f in partials.schema.fields}
         schema = T.StructType([*(T.StructField(c, names[f"_kept_{c}"].dataType) for c in kept), T.StructField(out, T.ArrayType(T.DoubleType()))])
+        made = f"partial results with {list(kept)}"
+        if chain_of(partials, made) is not None:
+            return follow(partials, merge_step(list(kept), out), schema, made)
         return partials.mapInArrow(merge_kernel(config, key, [key, "_tile"], list(kept), out), schema)
     keys = [key, "pos", "head"]
     scaled = partials.withColumn("_f", F.exp(F.col("top") - F.max("top").over(Window.partitionBy(*keys))))
@@ -328,7 +355,7 @@ def _spread(rows: DataFrame, config: ModelConfig) -> DataFrame:
 
 def _attended(ready: DataFrame, df: DataFrame, config: ModelConfig, units: list[str], kept: list[str], out: str) -> DataFrame:
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return ready.mapInArrow(attention_kernel(config, units, kept, out, ATTENTION_BLOCK), schema)
+    return follow(ready, attention_kernel(config, units, kept, out), schema)
 
 
 def attend_step(

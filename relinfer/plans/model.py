@@ -14,9 +14,11 @@ from pyspark.sql import types as T
 
 from relinfer.config import SamplingParams
 from relinfer.functions import vector as V
+from relinfer.functions.kernels import gather_step, projection_step, residual_step
 from relinfer.operators.layers import attend, attend_step, by_tile, embed, known, tile_of, with_asked
 from relinfer.operators.sampling import gumbel_vec, penalise_vec, settings_of, survivors_vec, with_params
 from relinfer.operators.skew import with_group_value
+from relinfer.operators.steps import chain_of, follow
 from relinfer.session import cut, drop_table, has_table, new_table_path
 from relinfer.sources.weights import Model
 
@@ -32,8 +34,12 @@ def _normed(df: DataFrame, model: Model, tensor: str, layer: int = 0) -> DataFra
 
 
 def projected(df: DataFrame, model: Model, layer: int) -> DataFrame:
-    """Norm and projections: df with q, k and v, the first two turned by their position."""
+    """Norm and projections: df with q, k and v, the first two turned by their position; of rows `in_tiles`, in one step."""
     cfg = model.config
+    if {"_tile", "_kind"} <= set(df.columns) and all(map(model.fits, ("norm", "q", "k", "v"))):
+        sent = {t: model.broadcast(t, layer) for t in ("q", "k", "v")}
+        step = projection_step(cfg, model.matrix("norm", layer), sent, V.rope_frequencies(cfg.head_dim, cfg.rope_theta))
+        return follow(df, step, _with_vectors(df, *sent))
     df = _normed(df, model, "norm", layer)
     df = model.multiply(df, {t: t for t in ("q", "k", "v")}, "x_norm", layer).drop("x_norm")
     turned = {
@@ -50,6 +56,9 @@ def attention(df: DataFrame, model: Model, layer: int, attending=attend) -> Data
     q, k and v.
     """
     df = attending(projected(df, model, layer), model.config)
+    if chain_of(df) is not None and "_ask" not in df.columns and model.fits("o"):
+        schema = T.StructType([f for f in df.schema.fields if f.name != "o"])
+        return follow(df, residual_step(model.broadcast("o", layer)), schema)
     return _residual(model.multiply(df, {"_d": "o"}, "o", layer), model, "o")
 
 
@@ -104,7 +113,13 @@ def embedded(tokens: DataFrame, model: Model, parts: int | None = None) -> DataF
     return _looked_up(mapped, model).withColumn("token", F.col("_id")).drop("_id")
 
 
+def _with_vectors(df: DataFrame, *names: str) -> T.StructType:
+    return T.StructType([*(f for f in df.schema.fields if f.name not in names), *(T.StructField(n, VECTOR) for n in names)])
+
+
 def _looked_up(df: DataFrame, model: Model) -> DataFrame:
+    if model.fits("emb") and {"_tile", "_kind"} <= set(df.columns):
+        return follow(df, gather_step(model.table("emb"), "token", "x"), _with_vectors(df, "x"))
     if model.fits("emb"):
         return known(df.withColumn("x", model.lookup("emb", F.col("token"))))
     return embed(df, model.rows("emb"))

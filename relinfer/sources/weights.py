@@ -86,14 +86,20 @@ class Model:
         The driver keeps no values of a tensor that is broadcast.
         """
         key = (tensor, layer)
+        if key not in self._kernels:
+            self._kernels[key] = matmul_kernel(self.broadcast(tensor, layer))
+        return apply_kernel(self._kernels[key], x)
+
+    def broadcast(self, tensor: str, layer: int = 0):
+        """The values of a tensor below the bound, as (out, in), sent once."""
+        key = (tensor, layer, "values")
         if key not in self._kernels:
             values = self.matrix(tensor, layer).values
             del self._cache[tensor, layer]
             values = np.ascontiguousarray(values.T) if tensor in INPUT_MAJOR else values
-            sent = self.weights.sparkSession.sparkContext.broadcast(values)
-            self._sent.setdefault(layer, []).append(sent)
-            self._kernels[key] = matmul_kernel(sent)
-        return apply_kernel(self._kernels[key], x)
+            self._kernels[key] = self.weights.sparkSession.sparkContext.broadcast(values)
+            self._sent.setdefault(layer, []).append(self._kernels[key])
+        return self._kernels[key]
 
     def release(self, layers: Iterable[int]) -> None:
         """Free the executors of the layers' matrices, if the model as a whole exceeds the bound.
@@ -109,11 +115,17 @@ class Model:
         """The row of a tensor below the bound, which is broadcast once; null if there is none."""
         key = (tensor, "rows")
         if key not in self._kernels:
-            values = self.matrix(tensor).values
-            self._kernels[key] = gather_kernel(self.weights.sparkSession.sparkContext.broadcast(values))
-            del self._cache[tensor, 0]
+            self._kernels[key] = gather_kernel(self.table(tensor))
         return self._kernels[key](row)
 
+    def table(self, tensor: str):
+        """The rows of a tensor below the bound, sent once."""
+        key = (tensor, "table")
+        if key not in self._kernels:
+            self._kernels[key] = self.weights.sparkSession.sparkContext.broadcast(self.matrix(tensor).values)
+            del self._cache[tensor, 0]
+        return self._kernels[key]
+
     def column(self, key: tuple, build) -> Column:
         """A column expression that layers and steps share, built once.
 

@@ -8,12 +8,13 @@ from relinfer.config import SamplingParams
 from relinfer.operators import layers as L
 from relinfer.operators import tensor as X
 from relinfer.operators.sampling import survivors_vec
+from relinfer.plans import catalog
 from relinfer.plans import model as M
 from relinfer.sources.weights import (
     Model, check_weights, infer_config, load_weights, rope_table, save_weights,
 )
 from tests import reference as R
-from tests.conftest import SMALL, plan
+from tests.conftest import FOLDER, SMALL, plan
 
 GREEDY = SamplingParams().greedy()
 
@@ -314,3 +315,31 @@ def test_scores_cross_no_shuffle(spark, monkeypatch):
         L.attn_scores(L.in_tiles(df, SMALL), SMALL).collect()
     with pytest.raises(Exception, match="has no value"):
         L.attn_mix(weights.where("head > 0"), None, SMALL).collect()
+
+
+def _one_process(df):
+    text = plan(df)
+    return text.count("MapInArrow") == 1 and "ArrowEvalPython" not in text
+
+
+def _placed(spark, monkeypatch, again=False):
+    """Rows of several tiles, some of them twice, with q, k and v, `in_tiles`."""
+    monkeypatch.setattr(L, "ATTENTION_BLOCK", 2)
+    monkeypatch.setattr(L, "TILE_BYTES", 1)
+    rng = np.random.default_rng(6)
+    rows = [(s, p, rng.normal(size=48).tolist(), rng.normal(size=16).tolist(), rng.normal(size=16).tolist())
+            for s, n in ((1, 5), (2, 9), (3, 1), (4, 2)) for p in range(n)]
+    rows += [r for r in rows if r[0] == 4 or r[:2] == (2, 3)] + [(None, 0, *rows[0][2:])]
+    df = spark.createDataFrame(rows, "seq_id bigint, pos bigint, q array<double>, k array<double>, v array<double>")
+    return L.in_tiles(df, SMALL, again=again)
+
+
+def _near(left, right, keys, value):
+    left, right = ([(*(r[k] for k in keys), *np.ravel(r[value])) for r in x.collect()] for x in (left, right))
+    assert len(left) == len(right) > 0 and np.allclose(sorted(left), sorted(right), atol=1e-12)
+
+
+def test_partial_results_are_merged_in_the_process_that_makes_them(spark, monkeypatch):
+    assert _one_process(catalog.blocked_attention(spark, FOLDER))
+    partials = L.attn_partials(_placed(spark, monkeypatch), SMALL, kept=["seq_id", "pos"])
+    _near(L.attn_merge(partials, SMALL, kept=["seq_id", "pos"]), L.attn_merge(partials.select("*"), SMALL, kept=["seq_id", "pos"]), ["seq_id", "pos"], "o")
