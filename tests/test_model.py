@@ -343,3 +343,11 @@ def test_partial_results_are_merged_in_the_process_that_makes_them(spark, monkey
     assert _one_process(catalog.blocked_attention(spark, FOLDER))
     partials = L.attn_partials(_placed(spark, monkeypatch), SMALL, kept=["seq_id", "pos"])
     _near(L.attn_merge(partials, SMALL, kept=["seq_id", "pos"]), L.attn_merge(partials.select("*"), SMALL, kept=["seq_id", "pos"]), ["seq_id", "pos"], "o")
+
+
+def test_scores_are_mixed_in_the_process_that_makes_them(spark, monkeypatch):
+    assert _one_process(catalog.chat_mix(spark, FOLDER))
+    weights = L.attn_softmax(L.attn_scores(_placed(spark, monkeypatch, again=True), SMALL))
+    _near(L.attn_mix(weights, None, SMALL), L.attn_mix(weights.select("*"), None, SMALL), ["seq_id", "pos", "head"], "o")
+    _near(weights.select("seq_id", "pos", "head", "kblock", "prob").where("size(prob) = 1"),
+          L.attn_softmax(L.attn_scores(_placed(spark, monkeypatch, again=True), SMALL).select("*")).where("size(prob) = 1"), ["seq_id", "pos", "head", "kblock"], "prob")
