@@ -573,9 +573,8 @@ def chat_scores(spark, folder):
     model = _model(spark, TINY)
     rows = M.projected(M.embedded(_chat_tiles(spark, folder, again=True), model), model, 0)
     weights = L.attn_softmax(L.attn_scores(rows, TINY))
-    out = weights.groupBy("seq_id", "pos", "head").agg(
-        F.sum(F.size("kpos")).alias("n"), F.round(F.max(F.array_max("val")), 6).alias("top"),
-        F.round(F.max(F.array_max("prob")), 6).alias("prob"),
+    out = L.attn_summary(weights).groupBy("seq_id", "pos", "head").agg(
+        F.sum("n").alias("n"), F.round(F.max("top"), 6).alias("top"), F.round(F.max("prob"), 6).alias("prob"),
     )
     return big(out, "head")
 

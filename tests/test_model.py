@@ -351,3 +351,11 @@ def test_scores_are_mixed_in_the_process_that_makes_them(spark, monkeypatch):
     _near(L.attn_mix(weights, None, SMALL), L.attn_mix(weights.select("*"), None, SMALL), ["seq_id", "pos", "head"], "o")
     _near(weights.select("seq_id", "pos", "head", "kblock", "prob").where("size(prob) = 1"),
           L.attn_softmax(L.attn_scores(_placed(spark, monkeypatch, again=True), SMALL).select("*")).where("size(prob) = 1"), ["seq_id", "pos", "head", "kblock"], "prob")
+
+
+def test_scores_are_summed_up_in_the_process_that_makes_them(spark, monkeypatch):
+    assert _one_process(catalog.chat_scores(spark, FOLDER))
+    weights = L.attn_softmax(L.attn_scores(_placed(spark, monkeypatch, again=True), SMALL))
+    whole = [F.array(F.sum("n"), F.max("top"), F.max("prob")).alias("found")]
+    here, apart = (L.attn_summary(w).groupBy("seq_id", "pos", "head").agg(*whole) for w in (weights, weights.select("*")))
+    _near(here, apart, ["seq_id", "pos", "head"], "found")
