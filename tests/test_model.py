@@ -359,3 +359,14 @@ def test_scores_are_summed_up_in_the_process_that_makes_them(spark, monkeypatch)
     whole = [F.array(F.sum("n"), F.max("top"), F.max("prob")).alias("found")]
     here, apart = (L.attn_summary(w).groupBy("seq_id", "pos", "head").agg(*whole) for w in (weights, weights.select("*")))
     _near(here, apart, ["seq_id", "pos", "head"], "found")
+
+
+def test_attention_of_rows_in_tiles_is_one_process(spark, model, prompts):
+    """Embedding, norm, projections, rotation, attention and residual of rows in tiles: the same as step by step."""
+    assert _one_process(catalog.long_attention(spark, FOLDER))
+    lying = M.attention(M.embedded(L.in_tiles(prompts, SMALL), model), model, 0)
+    sent = M.attention(M.embedded(prompts, model), model, 0)
+    for column in "xkv":
+        _near(lying, sent, ["seq_id", "pos"], column)
+    with pytest.raises(Exception, match="no embedding for token 32"):
+        M.embedded(L.in_tiles(prompts.withColumn("token", F.lit(32)), SMALL), model).collect()
