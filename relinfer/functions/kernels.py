@@ -221,20 +221,22 @@ class _Tile:
     """Causal grouped-query attention of the queries of a unit of work; their own keys first, then others batch by batch.
 
     Exponents are taken relative to the maximum so far and rescaled when it rises. The clamp is applied to each
-    batch; a weight that it lifts, e^-clamp of the maximum, is below the resolution of the sum. Positions ascend.
+    batch; a weight that it lifts, e^-clamp of the maximum, is below the resolution of the sum. Positions ascend; of rows that
+    come twice, a query sees those up to the end of its block of `size` rows.
     """
 
-    def __init__(self, rows, shape):
+    def __init__(self, rows, shape, size):
         self.rows = _one(rows)
         self.n_kv, self.dim, scale, self.clamp = shape
         self.pos, self.q = _places(self.rows), _heads(self.rows, shape[:3])
         self.top = np.full(self.q.shape[:3], -np.inf)
         self.total, self.mixed, self.far = np.zeros(self.q.shape[:3]), np.zeros(self.q.shape), False
-        self.add(self.rows)
+        self.add(self.rows, (np.arange(len(self.pos)) // size + 1) * size)
 
-    def add(self, batch):
+    def add(self, batch, limit=None):
         keys = _Keys(batch, self.n_kv, self.dim)
         seen = np.searchsorted(keys.places, self.pos, "right")
+        seen = seen if limit is None else np.minimum(seen, limit)
         self.far = self.far or keys.far(self.q, self.clamp)
         for own in _parts(seen, self.q.shape[2]):
             n = int(seen[own.stop - 1])
@@ -266,7 +268,7 @@ def _runs(batch, names):
     return [*(np.flatnonzero(differ) + 1).tolist(), batch.num_rows]
 
 
-def attention_kernel(config, units: list[str], kept: list[str], out: str):
+def attention_kernel(config, units: list[str], kept: list[str], out: str, size: int):
     """mapInArrow function over rows sorted by (units, _kind, pos).
 
     Rows of kind 0 are the queries of a unit, with all columns and with their own keys and values; rows of
@@ -285,15 +287,15 @@ def attention_kernel(config, units: list[str], kept: list[str], out: str):
                 unit = tuple(part.column(c)[0].as_py() for c in units)
                 if unit != now:
                     if rows:
-                        yield (tile or _Tile(rows, shape)).result(kept, out)
+                        yield (tile or _Tile(rows, shape, size)).result(kept, out)
                     now, rows, tile = unit, [], None
                 if part.column("_kind")[0].as_py() == 0:
                     rows.append(part)
                 elif rows:
-                    tile = tile or _Tile(rows, shape)
+                    tile = tile or _Tile(rows, shape, size)
                     tile.add(part)
         if rows:
-            yield (tile or _Tile(rows, shape)).result(kept, out)
+            yield (tile or _Tile(rows, shape, size)).result(kept, out)
 
     return run
 

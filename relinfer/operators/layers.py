@@ -355,7 +355,7 @@ def _spread(rows: DataFrame, config: ModelConfig) -> DataFrame:
 
 def _attended(ready: DataFrame, df: DataFrame, config: ModelConfig, units: list[str], kept: list[str], out: str) -> DataFrame:
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return follow(ready, attention_kernel(config, units, kept, out), schema)
+    return follow(ready, attention_kernel(config, units, kept, out, ATTENTION_BLOCK), schema)
 
 
 def attend_step(
